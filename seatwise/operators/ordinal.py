@@ -12,8 +12,9 @@ few thousand rows, wrong at scale.
 2. ``checkpoint()`` that into ``spark.checkpoint.dir``: range bounds are sampled, so
    a recomputation after a lost executor could move rows between ranges.  The
    checkpoint fixes them.
-3. Count per partition (one row per partition), running offset over that tiny table,
-   broadcast it back (size bound = number of partitions) and add.
+3. Count per partition: one number per partition comes to the driver (size bound =
+   number of partitions), becomes an array literal of running offsets, and each row
+   adds its partition's offset - no join, no single-partition step.
 
 Every step is a scan, one shuffle of the rows, or a tiny aggregate.
 """
@@ -50,16 +51,16 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
                 .withColumn("__pid", F.spark_partition_id())
                 .withColumn("__pos", F.monotonically_increasing_id()))
     staged = staged.checkpoint(eager=True)
-    counts = staged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(
-        "__pid",
-        F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    counts = dict(staged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).collect())
+    offsets, run = [], 0
+    for pid in range(max(counts, default=-1) + 1):
+        offsets.append(run)
+        run += counts.get(pid, 0)
+    off = F.lit(offsets).cast("array<bigint>") if offsets else F.array().cast("array<bigint>")
     mask = (1 << _POS_BITS) - 1
-    return (staged.join(F.broadcast(offsets), "__pid")
-                  .withColumn(name, (F.col("__off") + F.col("__pos").bitwiseAND(F.lit(mask)) + 1)
-                              .cast("long"))
-                  .drop("__pid", "__pos", "__off"))
+    return (staged.withColumn(name, (F.element_at(off, F.col("__pid") + 1)
+                                     + F.col("__pos").bitwiseAND(F.lit(mask)) + 1).cast("long"))
+                  .drop("__pid", "__pos"))
 
 
 def head_rows(df: DataFrame, order: Sequence[SortSpec], n: int = 6) -> DataFrame:

@@ -92,4 +92,5 @@ class DrawConfig:
     guaranteed_value: object = GUARANTEED[1]
     list_col: str | None = "correo"
     on_short: str = "error"
+    null_weight: str = "error"
     max_broadcast_rows: int = 1_000_000

@@ -35,7 +35,7 @@ def seat_draw(scored: DataFrame, cfg: DrawConfig | None = None,
     """
     cfg = cfg or DrawConfig()
     drawn = weighted_sample(scored, cfg.seats, cfg.id_col, cfg.weight, seed=cfg.seed,
-                            on_short=cfg.on_short)
+                            on_short=cfg.on_short, null_weight=cfg.null_weight)
     ids = drawn.select(cfg.id_col).withColumn("__drawn", F.lit(True))
     if cfg.seats <= TOPK_MAX:      # at most `seats` rows: a proven bound
         ids = F.broadcast(ids)
