@@ -20,15 +20,17 @@ def _list(x) -> list[str]:
 
 
 def count_by(df: DataFrame, keys: str | Sequence[str], sort: bool = False,
-             name: str = "n") -> DataFrame:
+             name: str = "n", ordered: bool = True) -> DataFrame:
     """Rows per key combination; null is its own group.
 
     Ordered by the keys ascending (nulls last), or with ``sort=True`` by ``name``
-    descending then the keys.  The order only matters for display; it runs on the
-    aggregated rows.
+    descending then the keys.  The order is for display and runs on the aggregated
+    rows; ``ordered=False`` skips it when the counts feed another step.
     """
     keys = _list(keys)
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    if not ordered:
+        return out
     order = ([f"-{name}"] if sort else []) + keys
     return out.orderBy(*sort_cols(order))
 
@@ -36,7 +38,7 @@ def count_by(df: DataFrame, keys: str | Sequence[str], sort: bool = False,
 def count_having(df: DataFrame, keys: str | Sequence[str], cond: Column,
                  name: str = "n") -> DataFrame:
     """``count_by`` then a filter; Catalyst pushes key-only predicates below the aggregate."""
-    return count_by(df, keys, name=name).filter(cond)
+    return count_by(df, keys, name=name, ordered=False).filter(cond)
 
 
 def mean_strict(df: DataFrame, col: str | Column, by: str | Sequence[str] = (),

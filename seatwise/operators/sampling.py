@@ -61,10 +61,14 @@ def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | N
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     w = w.cast("double")
     if null_weight == "error":
-        w = F.when(w.isNull(), F.raise_error(F.lit("null weight in weighted_sample"))).otherwise(w)
-    elif null_weight != "skip":
+        # One reference to the weight for both the null check and the > 0 test.
+        keep = F.coalesce(w > 0, F.raise_error(F.lit("null weight in weighted_sample")).cast("boolean"))
+    elif null_weight == "skip":
+        keep = w > 0
+    else:
         raise ValueError(f"unknown null_weight {null_weight!r}")
-    eligible = df.filter(w > 0).withColumn("__key", sampling_key(id_col, w, seed))
+    eligible = df.withColumn("__w", w).filter(keep).withColumn("__key", sampling_key(id_col, F.col("__w"), seed)) \
+        .drop("__w")
     if strategy == "auto":
         strategy = "topk" if k <= TOPK_MAX else "threshold"
     if strategy == "topk":

@@ -20,7 +20,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seatwise.functions.nulls import if_else, is_in
+from seatwise.functions.nulls import is_in
 
 
 @dataclass(frozen=True)
@@ -61,5 +61,6 @@ def score_expr(rules: list[Rule], base: float = 1.0, floor_at: float | None = 0.
             guard = c.isNull() if guard is None else (guard | c.isNull())
     score = total if guard is None else F.when(~guard, total)
     if floor_at is not None:
-        score = if_else(score <= F.lit(float(floor_at)), F.lit(float(floor_to)), score)
+        # Same as if_else(score <= a, b, score): a null score fails the test and stays null.
+        score = F.when(score <= F.lit(float(floor_at)), F.lit(float(floor_to))).otherwise(score)
     return score

@@ -149,7 +149,7 @@ SQL_ADMITTED = f"""
 def flagship_seat_draw(spark, sf, seats: int = SEATS) -> DataFrame:
     """Score -> weighted draw -> + guaranteed + listed -> share of admitted per segment."""
     adm = _admitted(spark, sf, seats)
-    return share_of_total(count_by(adm, "c_mktsegment")).select("c_mktsegment", "n", _r9("p").alias("p"))
+    return share_of_total(count_by(adm, "c_mktsegment", ordered=False)).select("c_mktsegment", "n", _r9("p").alias("p"))
 
 
 def weighted_sample_q(spark, sf):
@@ -289,13 +289,13 @@ def _cust_region(spark, sf) -> DataFrame:
 
 
 def group_share(spark, sf):
-    c = count_by(_cust_region(spark, sf), ["n_regionkey", "c_mktsegment"])
+    c = count_by(_cust_region(spark, sf), ["n_regionkey", "c_mktsegment"], ordered=False)
     c = c.filter(is_in("c_mktsegment", ["BUILDING", "FURNITURE", "HOUSEHOLD"]))
     return share_within(c, "n_regionkey").select("n_regionkey", "c_mktsegment", "n", _r9("p").alias("p"))
 
 
 def total_share(spark, sf):
-    return share_of_total(count_by(_t(spark, sf, "customer"), "c_nationkey")) \
+    return share_of_total(count_by(_t(spark, sf, "customer"), "c_nationkey", ordered=False)) \
         .select("c_nationkey", "n", _r9("p").alias("p"))
 
 
@@ -310,7 +310,7 @@ def lump_top_n_q(spark, sf):
 
 
 def category_order(spark, sf):
-    c = share_of_total(count_by(_t(spark, sf, "orders"), "o_orderpriority"))
+    c = share_of_total(count_by(_t(spark, sf, "orders"), "o_orderpriority", ordered=False))
     c = relevel_ordinal(c, "o_orderpriority", ["3-MEDIUM", "1-URGENT"], name="ord_fixed")
     c = reorder_by(c, "o_orderpriority", "p", name="ord_by_share")
     return c.select("o_orderpriority", "n", "ord_fixed", "ord_by_share")
@@ -371,7 +371,7 @@ def title_case_q(spark, sf):
 
 
 def percent_label_q(spark, sf):
-    c = share_of_total(count_by(_t(spark, sf, "lineitem"), "l_returnflag"))
+    c = share_of_total(count_by(_t(spark, sf, "lineitem"), "l_returnflag", ordered=False))
     return c.select("l_returnflag", "n", percent_label("p", 1).alias("label"))
 
 

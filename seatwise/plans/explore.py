@@ -65,24 +65,24 @@ def _label(df: DataFrame, digits: int = 1) -> DataFrame:
 
 
 def gender_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
-    c = count_by(datos, ["genero", tipo]).filter(is_in("genero", C.GENDER_CHART_LEVELS))
+    c = count_by(datos, ["genero", tipo], ordered=False).filter(is_in("genero", C.GENDER_CHART_LEVELS))
     return _label(share_within(c, tipo))
 
 
 def lgbt_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
-    c = filter_out(count_by(datos, ["lgbt", tipo]), F.col("lgbt") == C.LGBT_CHART_DROP)
+    c = filter_out(count_by(datos, ["lgbt", tipo], ordered=False), F.col("lgbt") == C.LGBT_CHART_DROP)
     return _label(share_within(c, tipo))
 
 
 def level_count(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     keys = ["nivel_r", tipo] + (["nivel_r_ord"] if "nivel_r_ord" in datos.columns else [])
-    return share_within(count_by(datos, keys), tipo)
+    return share_within(count_by(datos, keys, ordered=False), tipo)
 
 
 def top_areas_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     adm = datos.filter(F.col(tipo) == C.TIPO_ADMITTED)
     lumped = lump_top_n(adm, "areas", C.AREAS_TOP, C.AREAS_OTHER)
-    c = share_within(count_by(lumped, ["areas", tipo]), tipo)
+    c = share_within(count_by(lumped, ["areas", tipo], ordered=False), tipo)
     return _label(reorder_by(c, "areas", "p"))
 
 
@@ -94,7 +94,7 @@ def age_density(datos: DataFrame, tipo: str = "tipo", points: int = 512) -> Data
 def top_countries_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     adm = datos.filter(F.col(tipo) == C.TIPO_ADMITTED)
     lumped = lump_top_n(adm, "pais", C.PAIS_TOP, C.PAIS_OTHER)
-    c = share_of_total(count_by(lumped, "pais"))
+    c = share_of_total(count_by(lumped, "pais", ordered=False))
     return _label(reorder_by(c, "pais", "p"))
 
 
