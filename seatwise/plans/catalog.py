@@ -189,8 +189,8 @@ def first_submission_window(spark, sf):
     return d.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-def _event_responses(spark, sf) -> DataFrame:
-    e = _t(spark, sf, "events")
+def _event_responses(spark, sf, e: DataFrame | None = None) -> DataFrame:
+    e = _t(spark, sf, "events") if e is None else e
     mail = F.when(~((F.col("event_type") == "view") & (F.col("value") > 40)),
                   F.concat(F.upper("event_type"), F.lit(" @Mail"),
                            F.when(F.col("value") > 10, F.lit(".CL")).otherwise(F.lit(""))))
@@ -231,6 +231,28 @@ FROM d WHERE regexp_matches(correo, '@.*\.') AND time_end <= TIMESTAMP '2024-01-
 """
 
 
+def stream_clean_intake(spark, sf):
+    """The clean intake as a stream: events arrive as files, the first submission per
+    person is kept in the state store, each trigger rewrites the current table."""
+    from seatwise.streaming import first_submissions
+
+    schema = _t(spark, sf, "events").schema
+    root = sf.rstrip("/")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
+        .option("basePath", root).parquet(f"{root}/events*.parquet")
+    cfg = IntakeConfig(exclude_names=("  User\u00a03 ",), cutoff="2024-01-20 00:00:00")
+    out_path, ck = scratch_path(spark, "stream-intake"), scratch_path(spark, "stream-intake-ck")
+
+    def write_current(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out_path)
+
+    q = (first_submissions(_event_responses(spark, sf, stream), cfg).writeStream
+         .outputMode("complete").foreachBatch(write_current)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_path).filter("valid").select("nombre", "correo", "genero", "trans")
+
+
 def exclusions_q(spark, sf):
     p = _t(spark, sf, "part").withColumn("brand", F.when(F.col("p_brand") != "Brand#7", F.col("p_brand")))
     ex = [("p_type", "ECONOMY"), ("brand", "Brand#1"), ("p_size", 50), ("p_size", 49)]
@@ -266,6 +288,27 @@ def semi_join_list(spark, sf):
     return in_list(_t(spark, sf, "customer"), "c_name", _special_list(spark, sf)).select("c_custkey", "c_name")
 
 
+def line_list_semi_join(spark, sf):
+    """The special list as a text file (one key per line), read back and matched."""
+    from seatwise.sources.readers import read_line_list
+    from seatwise.sources.writers import write_text_lines
+
+    path = write_text_lines(_special_list(spark, sf), "value", scratch_path(spark, "special-list"))
+    return in_list(_t(spark, sf, "customer"), "c_name", read_line_list(spark, path)) \
+        .select("c_custkey", "c_name")
+
+
+def flagship_union_form(spark, sf):
+    """The admitted set built the literal way: draw, guaranteed and listed rows
+    appended, then made distinct."""
+    scored = score_applicants(_customers(spark, sf), _score_cfg(rank=False))
+    cfg = DrawConfig(seats=SEATS, seed=SEED, id_col="c_custkey", weight="score",
+                     guaranteed_col="c_nationkey", guaranteed_value=7, list_col="c_name",
+                     on_short="all")
+    adm = seat_draw(scored, cfg, special_list=_special_list(spark, sf), method="union")
+    return adm.select("c_custkey", "c_mktsegment", "score")
+
+
 def count_one(spark, sf):
     return count_by(_customers(spark, sf, null_seg="MACHINERY"), "seg")
 
@@ -336,6 +379,33 @@ def recipient_list_q(spark, sf):
     return collapse(_t(spark, sf, "nation"), "n_name", "n_name", batch_size=10)
 
 
+def recipient_file(spark, sf):
+    """Recipient batches written as text lines and read back."""
+    from seatwise.sources.writers import write_text_lines
+
+    batches = collapse(_t(spark, sf, "nation"), "n_name", "n_name", batch_size=10)
+    path = write_text_lines(batches, "recipients", scratch_path(spark, "recipients"))
+    return spark.read.text(path)
+
+
+def drop_prefix_relocate(spark, sf):
+    from seatwise.operators.columns import add_constant, drop_prefix_keep, relocate_after, select_any_of
+
+    o = drop_prefix_keep(_t(spark, sf, "orders"), "o_order", keep=["o_orderdate"])
+    o = relocate_after(add_constant(o, "w", 1), "w", "o_custkey")
+    o = o.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return select_any_of(o, ["o_custkey", "w", "o_totalprice", "o_orderdate", "not_there"])
+
+
+def sort_text_number(spark, sf):
+    """A number held as text sorts as text unless converted first."""
+    c = _t(spark, sf, "customer").withColumn("bal_txt", F.col("c_acctbal").cast("string"))
+    c = ordinal(c, ["-bal_txt", "c_custkey"], name="id_text")
+    c = c.withColumn("bal_num", F.col("bal_txt").try_cast("double"))
+    c = ordinal(c, ["-bal_num", "c_custkey"], name="id_num")
+    return c.select("c_custkey", "id_text", "id_num")
+
+
 def text_squish_lower(spark, sf):
     d = _t(spark, sf, "documents")
     return d.select("doc_id", F.md5(F.lower(squish("text"))).alias("h"))
@@ -414,6 +484,28 @@ def density_q(spark, sf):
     return d.select("i", _r9("x").alias("x"), _r9("density").alias("density"))
 
 
+def display_labels_q(spark, sf):
+    """Display labels (recode, first ``_``, repairs, wrap, title, fixed level order)
+    on code-like columns made from ``part``."""
+    from seatwise.plans.explore import display_labels
+
+    p = _t(spark, sf, "part").select(
+        "p_partkey",
+        F.concat(F.lower("p_type"), F.lit("_"), F.col("p_size").cast("string")).alias("genero"),
+        F.lower("p_type").alias("nivel_r"),
+        F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_de_"), F.lower("p_type")).alias("areas"),
+        F.lower(F.regexp_replace("p_brand", "#", "_")).alias("pais"))
+    return display_labels(p).select("p_partkey", "genero", "nivel_r", "nivel_r_ord", "areas", "pais")
+
+
+def chart_top_share(spark, sf):
+    """A chart table: top-7 lump, count, share of the total, order by share, label."""
+    p = lump_top_n(_t(spark, sf, "part"), "p_brand", 7, "Other brands")
+    c = share_of_total(count_by(p, "p_brand", ordered=False))
+    c = reorder_by(c, "p_brand", "p", name="p_brand_ord")
+    return c.select("p_brand", "n", _r9("p").alias("p"), "p_brand_ord", percent_label("p", 1).alias("label"))
+
+
 def csv2_roundtrip(spark, sf):
     s = _t(spark, sf, "supplier")
     path = write_csv2(s, scratch_path(spark, "supplier-csv2"))
@@ -468,6 +560,7 @@ QUERIES: dict[str, Query] = {
     "first_submission": first_submission,
     "first_submission_window": first_submission_window,
     "clean_intake": clean_intake_q,
+    "stream_clean_intake": stream_clean_intake,
     "exclusions": exclusions_q,
     "score_rules": score_rules_q,
     "ordinal_rank": ordinal_rank,
@@ -475,6 +568,8 @@ QUERIES: dict[str, Query] = {
     "head_ranked": head_ranked,
     "tail_ranked": tail_ranked,
     "semi_join_list": semi_join_list,
+    "line_list_semi_join": line_list_semi_join,
+    "flagship_union_form": flagship_union_form,
     "count_one": count_one,
     "count_two": count_two,
     "count_sorted": count_sorted,
@@ -487,6 +582,9 @@ QUERIES: dict[str, Query] = {
     "mean_strict": mean_strict_q,
     "mean_na_rm": mean_na_rm,
     "recipient_list": recipient_list_q,
+    "recipient_file": recipient_file,
+    "drop_prefix_relocate": drop_prefix_relocate,
+    "sort_text_number": sort_text_number,
     "text_squish_lower": text_squish_lower,
     "email_filter": email_filter,
     "replace_first": replace_first_q,
@@ -501,6 +599,8 @@ QUERIES: dict[str, Query] = {
     "cutoff_text_time": cutoff_text_time,
     "distinct_rows": distinct_rows,
     "density": density_q,
+    "display_labels": display_labels_q,
+    "chart_top_share": chart_top_share,
     "csv2_roundtrip": csv2_roundtrip,
     "snapshot_anonymised": snapshot_anonymised,
     "column_profile": column_profile_q,
@@ -671,3 +771,55 @@ SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority),
        count(*) FILTER (WHERE o_orderpriority IS NOT NULL AND o_orderpriority NOT IN
                         ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')) FROM o""",
 }
+
+ORACLE_SQL.update({
+    "stream_clean_intake": SQL_CLEAN_INTAKE,
+    "line_list_semi_join": f"SELECT c_custkey, c_name FROM customer WHERE c_name IN ({SQL_SPECIAL_LIST})",
+    "flagship_union_form": f"WITH {SQL_ADMITTED} SELECT c_custkey, c_mktsegment, score FROM admitted",
+    "recipient_file": """
+WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation)
+SELECT string_agg(coalesce(n_name, 'NA'), ', ' ORDER BY i) AS value FROM r GROUP BY (i - 1) // 10""",
+    "drop_prefix_relocate": """
+SELECT o_custkey, 1.0 AS w, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
+    "sort_text_number": """
+SELECT c_custkey,
+       row_number() OVER (ORDER BY CAST(c_acctbal AS VARCHAR) DESC NULLS LAST, c_custkey) AS id_text,
+       row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS id_num
+FROM customer""",
+    "display_labels": r"""
+WITH p AS (
+  SELECT p_partkey, lower(p_type) || '_' || CAST(p_size AS VARCHAR) AS genero, lower(p_type) AS nivel_r,
+         replace(p_name, ' ', '_') || '_de_' || lower(p_type) AS areas,
+         lower(replace(p_brand, '#', '_')) AS pais FROM part),
+l AS (
+  SELECT p_partkey,
+         regexp_replace(CASE genero WHEN 'queer_ag_nero_otro' THEN 'queer, agénero, otros' ELSE genero END,
+                        '_', ' ') AS genero,
+         CASE nivel_r WHEN 'lo_vi_en_la_universidad_pero_no_entend_nada'
+              THEN 'lo vi en la universidad,' || chr(10) || 'pero no entendí nada' ELSE nivel_r END AS nivel_r,
+         regexp_replace(trim(regexp_replace(
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+             replace(areas, '_', ' '), 'g a', 'gía'), 'm a', 'mía'), 'f a', 'fía'), 'pol tica', 'política'),
+             'ci n', 'ción'),
+           '[\s\p{Z}]+', ' ', 'g')), '(.{1,30})( +|$)', '\1' || chr(10), 'g') AS areas_w,
+         array_to_string(list_transform(string_split(lower(
+           CASE pais WHEN 'm_xico' THEN 'méxico' WHEN 'per' THEN 'perú' WHEN 'espa_a' THEN 'españa'
+                ELSE pais END), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS pais
+  FROM p),
+lv AS (
+  SELECT nivel_r, row_number() OVER (ORDER BY CASE nivel_r WHEN 'avanzado' THEN 0 WHEN 'intermedio' THEN 1
+                                       WHEN 'principiante' THEN 2 WHEN 'ninguno' THEN 3 END ASC NULLS LAST,
+                                     nivel_r) AS nivel_r_ord
+  FROM (SELECT DISTINCT nivel_r FROM l WHERE nivel_r IS NOT NULL))
+SELECT p_partkey, genero, l.nivel_r, lv.nivel_r_ord, regexp_replace(areas_w, '\n+$', '') AS areas, pais
+FROM l LEFT JOIN lv ON l.nivel_r = lv.nivel_r""",
+    "chart_top_share": """
+WITH c AS (SELECT p_brand, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1),
+r AS (SELECT *, rank() OVER (ORDER BY n DESC) AS rk FROM c),
+o AS (SELECT *, sum(CASE WHEN rk > 7 THEN 1 ELSE 0 END) OVER () AS n_out FROM r),
+m AS (SELECT p_brand, CASE WHEN rk <= 7 OR n_out <= 1 THEN p_brand ELSE 'Other brands' END AS lumped FROM o),
+k AS (SELECT m.lumped AS p_brand, count(*) AS n FROM part LEFT JOIN m USING (p_brand) GROUP BY 1),
+s AS (SELECT *, n / sum(n) OVER () AS p FROM k)
+SELECT p_brand, n, round(p, 9) AS p, row_number() OVER (ORDER BY p, p_brand) AS p_brand_ord,
+       printf('%.1f%%', round(p * 100.0, 1)) AS label FROM s""",
+})

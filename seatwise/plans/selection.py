@@ -26,16 +26,36 @@ def score_applicants(df: DataFrame, cfg: ScoreConfig | None = None) -> DataFrame
 
 
 def seat_draw(scored: DataFrame, cfg: DrawConfig | None = None,
-              special_list: DataFrame | None = None, list_key: str = "value") -> DataFrame:
+              special_list: DataFrame | None = None, list_key: str = "value",
+              method: str = "filter") -> DataFrame:
     """Admitted rows: the weighted draw of ``cfg.seats``, plus everyone in the
     guaranteed group, plus everyone on the special list - each person once.
 
     The guaranteed people also take part in the draw, so the admitted count lies
     between ``seats`` and ``seats + guaranteed + listed``.
+
+    ``method="filter"`` (default) reads the scored table once and keeps a row when
+    any of the three memberships holds.  ``method="union"`` is the literal form -
+    three row sets appended and made distinct - which shuffles every admitted row
+    on all its columns; same rows when ids are unique.
     """
     cfg = cfg or DrawConfig()
     drawn = weighted_sample(scored, cfg.seats, cfg.id_col, cfg.weight, seed=cfg.seed,
                             on_short=cfg.on_short, null_weight=cfg.null_weight)
+    if method == "union":
+        parts = [drawn]
+        if cfg.guaranteed_col:
+            parts.append(scored.filter(F.col(cfg.guaranteed_col) == F.lit(cfg.guaranteed_value)))
+        if special_list is not None and cfg.list_col:
+            from seatwise.operators.membership import in_list
+            parts.append(in_list(scored, cfg.list_col, special_list, key_col=list_key,
+                                 max_broadcast_rows=cfg.max_broadcast_rows).select(*scored.columns))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.distinct()
+    if method != "filter":
+        raise ValueError(f"unknown method {method!r}")
     ids = drawn.select(cfg.id_col).withColumn("__drawn", F.lit(True))
     if cfg.seats <= TOPK_MAX:      # at most `seats` rows: a proven bound
         ids = F.broadcast(ids)
