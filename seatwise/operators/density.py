@@ -7,10 +7,12 @@ statistics.  The grid runs from min - cut*h to max + cut*h (cut=0: the data rang
 
 The estimate is computed exactly (no FFT binning):
 
-1. compress the column to (value, count) with a partial aggregate and checkpoint it -
-   its size is the number of distinct values, not rows; pass ``bin_width`` to round
-   a continuous column onto a grid first and bound it;
-2. the statistics come from that small table (one row to the driver);
+1. one aggregate over the (pruned) column gives n, sd, min, max and the quartiles -
+   one row to the driver.  Exact quartiles hold one count per distinct value; pass
+   ``bin_width`` to round a continuous column onto a grid first, or
+   ``quantiles="approx"`` for a bounded sketch;
+2. a second scan compresses the column to (value, count) with a partial aggregate -
+   its size is the number of distinct values, not rows;
 3. every distinct value adds ``count * phi((g - x) / h)`` to every grid point ``g``:
    a ``posexplode`` of a fixed-length array followed by a partial aggregate per grid
    index, so the (value x grid) products are summed inside each task and never
@@ -24,7 +26,6 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.session import ensure_checkpoint_dir
 
 
 def nrd0(n: int, sd: float | None, q1: float, q3: float, xmin: float) -> float:
@@ -40,23 +41,21 @@ def density(df: DataFrame, col: str, points: int = 512, bw: float | None = None,
             quantiles: str = "exact") -> DataFrame:
     """Rows ``(i, x, density)`` for grid index ``i`` = 0..points-1."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     x = F.col(col).cast("string").try_cast("double")
     if bin_width:
         x = F.round(x / bin_width) * bin_width
-    vals = (df.select(x.alias("x")).filter(F.col("x").isNotNull())
-              .groupBy("x").agg(F.count(F.lit(1)).alias("c"))).checkpoint(eager=True)
+    xs = df.select(x.alias("x")).filter(F.col("x").isNotNull())
     if quantiles == "exact":
-        q = F.percentile("x", [0.25, 0.75], F.col("c"))
+        q = F.percentile("x", [0.25, 0.75])
     else:
         q = F.percentile_approx("x", [0.25, 0.75], 100000)
-    s = vals.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
-                 F.min("x").alias("lo"), F.max("x").alias("hi"), q.alias("q")).first()
+    s = xs.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
+               F.min("x").alias("lo"), F.max("x").alias("hi"), q.alias("q")).first()
     n = s["n"] or 0
     if n == 0:
         return spark.createDataFrame([], "i int, x double, density double")
-    ss = vals.agg(F.sum(F.col("c") * (F.col("x") - F.lit(s["mean"])) ** 2).alias("ss")).first()["ss"]
-    sd = math.sqrt(ss / (n - 1)) if n > 1 else None
+    sd = s["sd"] if n > 1 else None
+    vals = xs.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     h = (bw if bw is not None else nrd0(n, sd, s["q"][0], s["q"][1], s["lo"])) * adjust
     lo, hi = s["lo"] - cut * h, s["hi"] + cut * h
     step = (hi - lo) / (points - 1) if points > 1 else 0.0

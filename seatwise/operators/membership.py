@@ -1,7 +1,8 @@
 """Membership tests against a key list (``x %in% list``): semi-join and flag.
 
 Null keys never match and rows never multiply (the list is de-duplicated).  The list
-is broadcast only after its size is checked against ``max_broadcast_rows``; a longer
+is broadcast only after its size is checked: Catalyst's upper-bound estimate under
+the broadcast threshold, or else a row count under ``max_broadcast_rows``; a longer
 list is joined with a shuffle (AQE splits a skewed side).
 """
 
@@ -10,11 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seatwise.session import estimated_bytes
+
 MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _keys(keys: DataFrame, key_col: str, on: str, max_broadcast_rows: int) -> DataFrame:
     k = keys.select(F.col(key_col).alias(on)).filter(F.col(on).isNotNull()).distinct()
+    threshold = int(k.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+                    .rstrip("b") or 0)
+    if 0 < estimated_bytes(k) <= threshold:      # upper bound already small: no job needed
+        return F.broadcast(k)
     return F.broadcast(k) if k.count() <= max_broadcast_rows else k
 
 

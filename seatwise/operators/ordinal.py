@@ -2,9 +2,10 @@
 
 ``method="window"`` is the textbook form: one window without partitioning, which
 Spark runs as ``Exchange SinglePartition`` - every row through one task.  Fine for a
-few thousand rows, wrong at scale.
+few thousand rows, wrong at scale.  ``method="auto"`` (default) picks it only when
+Catalyst's size estimate of the input is at most ``single_task_bytes`` (64 MiB).
 
-``method="range"`` (default) is the two-phase ordinal:
+``method="range"`` is the two-phase ordinal:
 
 1. ``repartitionByRange`` on the full sort key (which must end in a unique
    tie-break, so a hot value is split across ranges), sort within partitions, and
@@ -27,18 +28,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.operators.sorting import SortSpec, sort_cols
-from seatwise.session import ensure_checkpoint_dir
+from seatwise.session import ensure_checkpoint_dir, estimated_bytes
+
+SINGLE_TASK_BYTES = 64 * 1024 * 1024   # auto: at most this much goes through one task
 
 _POS_BITS = 33   # monotonically_increasing_id = partition_id << 33 | row number in partition
 
 
 def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
-            method: str = "range", num_partitions: int | None = None) -> DataFrame:
+            method: str = "auto", num_partitions: int | None = None,
+            single_task_bytes: int = SINGLE_TASK_BYTES) -> DataFrame:
     """Add ``name`` = 1..n following ``order`` (``"x"`` asc, ``"-x"`` desc, nulls last).
 
     The order must be total (end in a unique column) for the result to be repeatable.
+    ``method="auto"`` takes the window when Catalyst's size estimate of ``df`` (an
+    upper bound for scans, filters and projections; joins over-estimate) is at most
+    ``single_task_bytes``, and the two-phase plan otherwise.
     """
     cols = sort_cols(order)
+    if method == "auto":
+        method = "window" if estimated_bytes(df) <= single_task_bytes else "range"
     if method == "window":
         return df.withColumn(name, F.row_number().over(Window.orderBy(*cols)).cast("long"))
     if method != "range":

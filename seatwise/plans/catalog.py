@@ -53,8 +53,16 @@ SEED = 42
 SEATS = 160
 
 
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    """A driver table; the DataFrame (its inferred schema) is reused per session."""
+    path = f"{sf.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def _r9(c) -> F.Column:
@@ -124,8 +132,8 @@ SQL_SPECIAL_LIST = ("SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '
                     "WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 450000")
 
 
-def _admitted(spark, sf, seats: int = SEATS) -> DataFrame:
-    scored = score_applicants(_customers(spark, sf), _score_cfg(rank=False))
+def _admitted(spark, sf, seats: int = SEATS, rank: bool = False) -> DataFrame:
+    scored = score_applicants(_customers(spark, sf), _score_cfg(rank=rank))
     cfg = DrawConfig(seats=seats, seed=SEED, id_col="c_custkey", weight="score",
                      guaranteed_col="c_nationkey", guaranteed_value=7, list_col="c_name",
                      on_short="all")
@@ -458,8 +466,7 @@ def across_strings_q(spark, sf):
 
 
 def harmonise_union(spark, sf):
-    adm = _admitted(spark, sf)
-    adm = ordinal(adm, ["c_custkey"]).select("id", "c_custkey", "c_mktsegment", "c_nationkey")
+    adm = _admitted(spark, sf, rank=True).select("id", "c_custkey", "c_mktsegment", "c_nationkey")
     app = _t(spark, sf, "customer")
     return stack_populations(adm, app, numeric=())
 

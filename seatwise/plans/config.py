@@ -79,7 +79,7 @@ class ScoreConfig:
     after: str | None = "nombre"
     rank_name: str = "id"
     rank_order: tuple[str, ...] = ("-puntaje", "time_end", "nombre")
-    rank_method: str = "range"
+    rank_method: str = "auto"
 
 
 @dataclass

@@ -77,3 +77,14 @@ def local_path(path: str) -> str:
 
 __all__ = ["build_session", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path",
            "local_path", "DEFAULT_CONF"]
+
+
+def estimated_bytes(df) -> int:
+    """Catalyst's size estimate of ``df`` (``sizeInBytes`` of the optimized plan).
+
+    For scans, filters, projections, aggregates and limits it is an upper bound
+    (file size scaled to the read columns); joins and unions over-estimate.  Used
+    only to pick the cheaper of two exact plans.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())

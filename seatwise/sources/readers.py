@@ -58,11 +58,13 @@ def read_csv2(spark: SparkSession, path: str, schema: T.StructType | str | None
     df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if decimal_cols is None and schema is None and strings:
+        # One pass: a column converts when every value is a comma number and one has a comma.
         flags = df.agg(*[
-            F.coalesce(F.bool_and(F.col(c).rlike(COMMA_NUMBER)), F.lit(False)).alias(c) for c in strings
+            (F.coalesce(F.bool_and(F.col(c).rlike(COMMA_NUMBER)), F.lit(False))
+             & F.coalesce(F.bool_or(F.col(c).contains(",")), F.lit(False))).alias(c)
+            for c in strings
         ]).first()
-        decimal_cols = [c for c in strings if flags[c]
-                        and df.filter(F.col(c).contains(",")).limit(1).count() > 0]
+        decimal_cols = [c for c in strings if flags[c]]
     if decimal_cols:
         df = df.withColumns({c: comma_decimal(c) for c in decimal_cols if c in strings})
     return df

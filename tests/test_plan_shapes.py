@@ -20,11 +20,19 @@ def test_draw_is_take_ordered(spark):
 
 def test_range_ordinal_has_no_single_partition(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet")
-    p = plan(ordinal(o, ["-o_totalprice", "o_orderkey"]))
+    p = plan(ordinal(o, ["-o_totalprice", "o_orderkey"], method="range"))
     assert "SinglePartition" not in p
     assert "SinglePartition" in plan(ordinal(o, ["-o_totalprice", "o_orderkey"], method="window"))
 
 
+def test_auto_ordinal_follows_the_size_estimate(spark):
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    small = plan(ordinal(o, ["-o_totalprice", "o_orderkey"]))
+    assert "SinglePartition" in small                      # 15k rows: one task is fine
+    big = plan(ordinal(o, ["-o_totalprice", "o_orderkey"], single_task_bytes=0))
+    assert "SinglePartition" not in big
+
+
 def test_dedup_aggregates_before_the_shuffle(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet")
     p = plan(first_per_key(o, "o_custkey", "o_orderdate", "o_orderkey"))
