@@ -4,7 +4,9 @@
   level in ascending (binary) order.
 * ``reorder_by``: levels ordered by the median of a measure, ascending; ties keep
   the previous level order.
-Both compute the order on the distinct levels (a small aggregate) and join it back.
+Both compute the order on the distinct levels (a small aggregate; the level-order
+window runs in one task over one row per level) and join it back, broadcast after
+a size check.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatwise.operators.sizing import broadcast_checked
+
 
 def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | None = None) -> DataFrame:
     """Add ``name`` (default ``<col>_ord``): 1.. following the level order."""
@@ -27,7 +31,7 @@ def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | N
     levels = levels.withColumn("__listed", listed)
     order = Window.orderBy(F.asc_nulls_last("__listed"), F.asc(col))
     levels = levels.select(col, F.row_number().over(order).cast("long").alias(name))
-    return df.join(levels, on=col, how="left")
+    return df.join(broadcast_checked(levels)[0], on=col, how="left")
 
 
 def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
@@ -39,4 +43,4 @@ def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
     med = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(F.median(measure).alias("__med"))
     tie = F.asc(prior) if prior else F.asc(col)
     ordered = med.select(col, F.row_number().over(Window.orderBy(F.asc("__med"), tie)).cast("long").alias(name))
-    return df.join(ordered, on=col, how="left")
+    return df.join(broadcast_checked(ordered)[0], on=col, how="left")

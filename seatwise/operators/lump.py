@@ -7,8 +7,8 @@ Rules (those of the factor tools the charts were made with):
 * null stays null and is not a level.
 
 Plan: count per level (partial aggregate), rank on that small table, join the
-level map back.  The map has one row per distinct level; the join is left to AQE,
-which broadcasts it at run time once its real size is known.
+level map back.  The map has one row per distinct level; it is broadcast after a
+size check (``broadcast_checked``), otherwise joined with a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatwise.operators.sizing import broadcast_checked
+
 
 def lump_levels(df: DataFrame, col: str, n: int, other: str = "Other") -> DataFrame:
     """Map ``col`` -> lumped level, one row per non-null level."""
@@ -32,7 +34,7 @@ def lump_levels(df: DataFrame, col: str, n: int, other: str = "Other") -> DataFr
 def lump_top_n(df: DataFrame, col: str, n: int, other: str = "Other",
                name: str | None = None) -> DataFrame:
     """Replace ``col`` (or add ``name``) with the lumped level."""
-    levels = lump_levels(df, col, n, other)
+    levels, _ = broadcast_checked(lump_levels(df, col, n, other))
     out = df.join(levels, on=col, how="left")
     target = name or col
     cols = [c for c in df.columns] + ([] if name is None or name in df.columns else [name])

@@ -11,18 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.session import estimated_bytes
+from seatwise.operators.sizing import broadcast_checked
 
 MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _keys(keys: DataFrame, key_col: str, on: str, max_broadcast_rows: int) -> DataFrame:
     k = keys.select(F.col(key_col).alias(on)).filter(F.col(on).isNotNull()).distinct()
-    threshold = int(k.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-                    .rstrip("b") or 0)
-    if 0 < estimated_bytes(k) <= threshold:      # upper bound already small: no job needed
-        return F.broadcast(k)
-    return F.broadcast(k) if k.count() <= max_broadcast_rows else k
+    return broadcast_checked(k, max_broadcast_rows)[0]
 
 
 def in_list(df: DataFrame, on: str, keys: DataFrame, key_col: str = "value",

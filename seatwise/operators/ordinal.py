@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.operators.sorting import SortSpec, sort_cols
+from seatwise.operators.sizing import range_partitions
 from seatwise.session import ensure_checkpoint_dir, estimated_bytes
 
 SINGLE_TASK_BYTES = 64 * 1024 * 1024   # auto: at most this much goes through one task
@@ -54,7 +55,7 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
         raise ValueError(f"unknown method {method!r}")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     staged = (df.repartitionByRange(n, *cols)
                 .sortWithinPartitions(*cols)
                 .withColumn("__pid", F.spark_partition_id())

@@ -15,7 +15,9 @@ Plans
 -----
 * ``strategy="topk"``: ``orderBy(key, id).limit(k)`` -> TakeOrderedAndProject: each
   task keeps its own k best, one task merges k x tasks rows.  For the seat counts
-  of a course (k in the hundreds) this is the whole cost of one scan.
+  of a course (k in the hundreds) this is the whole cost of one scan.  ``auto``
+  uses it only while k <= TOPK_MAX and k x (estimated input tasks) <=
+  TOPK_MERGE_ROWS, so the merge task does not grow with the data.
 * ``strategy="threshold"`` for large k: one partial aggregate builds a histogram of
   the keys on a log2 grid (at most a few thousand buckets, whatever the data size),
   the driver finds the bucket holding the k-th key, the scan keeps keys up to it
@@ -29,9 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.operators.ordinal import ordinal
+from seatwise.operators.sizing import input_partitions
 
 TOPK_MAX = 100_000        # above this k the threshold plan is used
+TOPK_MERGE_ROWS = 5_000_000  # ... and also when k x input tasks would exceed this in one merge
 _BUCKETS_PER_OCTAVE = 16  # key histogram resolution (2**(1/16) ~ 4.4 % per bucket)
+SINGLE_TASK_ROWS = 1_000_000  # threshold plan: candidates ranked in one task up to this
 
 
 def hash_uniform(id_col, seed: int) -> Column:
@@ -70,7 +75,8 @@ def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | N
     eligible = df.withColumn("__w", w).filter(keep).withColumn("__key", sampling_key(id_col, F.col("__w"), seed)) \
         .drop("__w")
     if strategy == "auto":
-        strategy = "topk" if k <= TOPK_MAX else "threshold"
+        small_merge = k * input_partitions(df) <= TOPK_MERGE_ROWS
+        strategy = "topk" if k <= TOPK_MAX and small_merge else "threshold"
     if strategy == "topk":
         drawn = eligible.orderBy(F.col("__key"), F.col(id_col)).limit(k).drop("__key")
     elif strategy == "threshold":
@@ -97,5 +103,7 @@ def _threshold_draw(eligible: DataFrame, k: int, id_col: str) -> DataFrame:
             cut = row["__bucket"]
             break
     cand = keyed if cut is None else keyed.filter(F.col("__bucket") <= F.lit(cut))
-    ranked = ordinal(cand.drop("__bucket"), ["__key", id_col], name="__rank")
+    # The histogram gives the exact candidate count: one task when it is small.
+    method = "window" if total <= SINGLE_TASK_ROWS else "range"
+    ranked = ordinal(cand.drop("__bucket"), ["__key", id_col], name="__rank", method=method)
     return ranked.filter(F.col("__rank") <= k).drop("__rank", "__key")
