@@ -86,7 +86,7 @@ def customer_rules(seg: str = "seg") -> list[Rule]:
 
 
 SQL_SCORE = """
-  CASE WHEN s IS NULL THEN NULL WHEN s <= 0 THEN 1.0 ELSE s END AS score
+  CAST(CASE WHEN s IS NULL THEN NULL WHEN s <= 0 THEN 1.0 ELSE s END AS DOUBLE) AS score
   FROM (SELECT *,
     CASE WHEN (seg = 'FURNITURE') IS NULL OR (c_nationkey = 2) IS NULL OR (c_acctbal < 0) IS NULL
            OR (c_acctbal >= 0 AND c_acctbal < 1000) IS NULL OR (seg = 'MACHINERY') IS NULL THEN NULL
@@ -787,7 +787,7 @@ ORACLE_SQL.update({
 WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation)
 SELECT string_agg(coalesce(n_name, 'NA'), ', ' ORDER BY i) AS value FROM r GROUP BY (i - 1) // 10""",
     "drop_prefix_relocate": """
-SELECT o_custkey, 1.0 AS w, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
+SELECT o_custkey, CAST(1.0 AS DOUBLE) AS w, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
     "sort_text_number": """
 SELECT c_custkey,
        row_number() OVER (ORDER BY CAST(c_acctbal AS VARCHAR) DESC NULLS LAST, c_custkey) AS id_text,
