@@ -20,6 +20,15 @@ def to_number(col) -> Column:
     return _c(col).cast("string").try_cast("double")
 
 
+def as_double(df, col: str) -> Column:
+    """``col`` as a double: numeric columns are cast directly, text goes through
+    ``to_number`` (null when not a number)."""
+    dt = df.schema[col].dataType
+    if isinstance(dt, T.NumericType):
+        return F.col(col).cast("double")
+    return to_number(col)
+
+
 def to_timestamp_utc(col, fmt: str | None = None) -> Column:
     """Text -> timestamp read in the session time zone (UTC here); null when unparsable."""
     c = _c(col).cast("string")

@@ -19,14 +19,22 @@ from pyspark.sql import functions as F
 from seatwise.operators.sizing import broadcast_checked
 
 
-def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | None = None) -> DataFrame:
-    """Add ``name`` (default ``<col>_ord``): 1.. following the level order."""
+def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | None = None,
+                    per_level: bool = False) -> DataFrame:
+    """Add ``name`` (default ``<col>_ord``): 1.. following the level order.
+
+    ``per_level=True`` says ``df`` already has one row per level (an aggregate):
+    the ordinal is then a window over those rows, with no second pass.
+    """
     name = name or f"{col}_ord"
     first = list(first)
     pos = None
     for i, v in enumerate(first):
         pos = F.when(F.col(col) == v, F.lit(i)) if pos is None else pos.when(F.col(col) == v, F.lit(i))
     listed = pos if pos is not None else F.lit(None).cast("int")
+    if per_level:
+        order = Window.orderBy(F.asc_nulls_last(listed), F.asc(col))
+        return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     levels = df.filter(F.col(col).isNotNull()).select(col).distinct()
     levels = levels.withColumn("__listed", listed)
     order = Window.orderBy(F.asc_nulls_last("__listed"), F.asc(col))
@@ -35,12 +43,19 @@ def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | N
 
 
 def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
-               name: str | None = None) -> DataFrame:
+               name: str | None = None, per_level: bool = False) -> DataFrame:
     """Add ``name`` (default ``<col>_ord``): levels by median ``measure`` ascending,
-    ties broken by ``prior`` (an earlier ordinal) or by the level itself."""
+    ties broken by ``prior`` (an earlier ordinal) or by the level itself.
+
+    ``per_level=True``: one row per level, so the median is the value itself and
+    the ordinal is a window over those rows.
+    """
     name = name or f"{col}_ord"
+    tie = F.asc(prior) if prior else F.asc(col)
+    if per_level:
+        order = Window.orderBy(F.asc(measure), tie)
+        return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     keys = [col] + ([prior] if prior else [])
     med = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(F.median(measure).alias("__med"))
-    tie = F.asc(prior) if prior else F.asc(col)
     ordered = med.select(col, F.row_number().over(Window.orderBy(F.asc("__med"), tie)).cast("long").alias(name))
     return df.join(broadcast_checked(ordered)[0], on=col, how="left")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.functions.convert import to_number
+from seatwise.functions.convert import as_double, to_number
 from seatwise.operators.sorting import sort_cols
 
 
@@ -45,7 +45,7 @@ def mean_strict(df: DataFrame, col: str | Column, by: str | Sequence[str] = (),
                 na_rm: bool = False, name: str = "mean") -> DataFrame:
     """Mean of a number held as text; any null (or non-number) makes it null unless
     ``na_rm``.  With no rows the mean is null."""
-    x = to_number(col)
+    x = as_double(df, col) if isinstance(col, str) else to_number(col)
     avg = F.avg(x)
     agg = avg if na_rm else F.when(F.count(F.lit(1)) == F.count(x), avg)
     by = _list(by)

@@ -26,6 +26,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seatwise.functions.convert import as_double
+
 
 
 def nrd0(n: int, sd: float | None, q1: float, q3: float, xmin: float) -> float:
@@ -41,7 +43,7 @@ def density(df: DataFrame, col: str, points: int = 512, bw: float | None = None,
             quantiles: str = "exact") -> DataFrame:
     """Rows ``(i, x, density)`` for grid index ``i`` = 0..points-1."""
     spark = df.sparkSession
-    x = F.col(col).cast("string").try_cast("double")
+    x = as_double(df, col)
     if bin_width:
         x = F.round(x / bin_width) * bin_width
     xs = df.select(x.alias("x")).filter(F.col("x").isNotNull())
@@ -59,8 +61,7 @@ def density(df: DataFrame, col: str, points: int = 512, bw: float | None = None,
     h = (bw if bw is not None else nrd0(n, sd, s["q"][0], s["q"][1], s["lo"])) * adjust
     lo, hi = s["lo"] - cut * h, s["hi"] + cut * h
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
-                       lambda i: F.lit(lo) + i.cast("double") * F.lit(step))
+    grid = F.lit([float(lo + i * step) for i in range(points)]).cast("array<double>")
     contrib = F.transform(grid, lambda g: F.col("c") * F.exp(-0.5 * ((g - F.col("x")) / F.lit(h)) ** 2))
     norm = 1.0 / (n * h * math.sqrt(2.0 * math.pi))
     return (vals.select(F.posexplode(contrib).alias("i", "k"))

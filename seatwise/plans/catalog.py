@@ -362,8 +362,8 @@ def lump_top_n_q(spark, sf):
 
 def category_order(spark, sf):
     c = share_of_total(count_by(_t(spark, sf, "orders"), "o_orderpriority", ordered=False))
-    c = relevel_ordinal(c, "o_orderpriority", ["3-MEDIUM", "1-URGENT"], name="ord_fixed")
-    c = reorder_by(c, "o_orderpriority", "p", name="ord_by_share")
+    c = relevel_ordinal(c, "o_orderpriority", ["3-MEDIUM", "1-URGENT"], name="ord_fixed", per_level=True)
+    c = reorder_by(c, "o_orderpriority", "p", name="ord_by_share", per_level=True)
     return c.select("o_orderpriority", "n", "ord_fixed", "ord_by_share")
 
 
@@ -509,7 +509,7 @@ def chart_top_share(spark, sf):
     """A chart table: top-7 lump, count, share of the total, order by share, label."""
     p = lump_top_n(_t(spark, sf, "part"), "p_brand", 7, "Other brands")
     c = share_of_total(count_by(p, "p_brand", ordered=False))
-    c = reorder_by(c, "p_brand", "p", name="p_brand_ord")
+    c = reorder_by(c, "p_brand", "p", name="p_brand_ord", per_level=True)
     return c.select("p_brand", "n", _r9("p").alias("p"), "p_brand_ord", percent_label("p", 1).alias("label"))
 
 

@@ -83,7 +83,7 @@ def top_areas_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     adm = datos.filter(F.col(tipo) == C.TIPO_ADMITTED)
     lumped = lump_top_n(adm, "areas", C.AREAS_TOP, C.AREAS_OTHER)
     c = share_within(count_by(lumped, ["areas", tipo], ordered=False), tipo)
-    return _label(reorder_by(c, "areas", "p"))
+    return _label(reorder_by(c, "areas", "p", per_level=True))
 
 
 def age_density(datos: DataFrame, tipo: str = "tipo", points: int = 512) -> DataFrame:
@@ -95,7 +95,7 @@ def top_countries_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     adm = datos.filter(F.col(tipo) == C.TIPO_ADMITTED)
     lumped = lump_top_n(adm, "pais", C.PAIS_TOP, C.PAIS_OTHER)
     c = share_of_total(count_by(lumped, "pais", ordered=False))
-    return _label(reorder_by(c, "pais", "p"))
+    return _label(reorder_by(c, "pais", "p", per_level=True))
 
 
 def chart_tables(datos: DataFrame, tipo: str = "tipo") -> dict[str, DataFrame]:
