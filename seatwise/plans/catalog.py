@@ -513,6 +513,17 @@ def chart_top_share(spark, sf):
     return c.select("p_brand", "n", _r9("p").alias("p"), "p_brand_ord", percent_label("p", 1).alias("label"))
 
 
+def chart_segment_share(spark, sf):
+    """Applicants vs admitted: stacked populations, count per level and population,
+    listed levels only, share inside each population, percent label."""
+    adm = _admitted(spark, sf, rank=True).select("id", "c_custkey", "c_mktsegment")
+    datos = stack_populations(adm, _t(spark, sf, "customer"), numeric=())
+    c = count_by(datos, ["c_mktsegment", "tipo"], ordered=False)
+    c = c.filter(is_in("c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE"]))
+    c = share_within(c, "tipo")
+    return c.select("c_mktsegment", "tipo", "n", _r9("p").alias("p"), percent_label("p", 1).alias("label"))
+
+
 def csv2_roundtrip(spark, sf):
     s = _t(spark, sf, "supplier")
     path = write_csv2(s, scratch_path(spark, "supplier-csv2"))
@@ -528,6 +539,29 @@ def snapshot_anonymised(spark, sf):
     return spark.read.parquet(path)
 
 
+def glimpse_q(spark, sf):
+    from seatwise.sources.inspect import glimpse
+    return glimpse(_t(spark, sf, "customer"), 5, order=["c_custkey"])
+
+
+def admitted_snapshot(spark, sf):
+    """The admitted set written without personal columns and the score, read back."""
+    adm = _admitted(spark, sf)
+    path = write_snapshot(adm, scratch_path(spark, "admitted"), drop=("c_name", "score"))
+    return spark.read.parquet(path)
+
+
+def admitted_by_nation(spark, sf):
+    return count_by(_admitted(spark, sf), "c_nationkey", sort=True)
+
+
+def admitted_mean_balance(spark, sf):
+    adm = _admitted(spark, sf).withColumn(
+        "bal_txt", F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.col("c_acctbal").cast("string")))
+    return mean_strict(adm, "bal_txt", by="c_mktsegment", na_rm=True).select(
+        "c_mktsegment", _r9("mean").alias("mean"))
+
+
 def column_profile_q(spark, sf):
     return column_profile(_t(spark, sf, "customer"))
 
@@ -608,9 +642,14 @@ QUERIES: dict[str, Query] = {
     "density": density_q,
     "display_labels": display_labels_q,
     "chart_top_share": chart_top_share,
+    "chart_segment_share": chart_segment_share,
     "csv2_roundtrip": csv2_roundtrip,
     "snapshot_anonymised": snapshot_anonymised,
     "column_profile": column_profile_q,
+    "glimpse": glimpse_q,
+    "admitted_snapshot": admitted_snapshot,
+    "admitted_by_nation": admitted_by_nation,
+    "admitted_mean_balance": admitted_mean_balance,
     "slugify": slugify,
     "decode_codes": decode_codes,
     "conformance": conformance_q,
@@ -830,3 +869,32 @@ s AS (SELECT *, n / sum(n) OVER () AS p FROM k)
 SELECT p_brand, n, round(p, 9) AS p, row_number() OVER (ORDER BY p, p_brand) AS p_brand_ord,
        printf('%.1f%%', round(p * 100.0, 1)) AS label FROM s""",
 })
+
+ORACLE_SQL.update({
+    "glimpse": """
+WITH h AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)
+SELECT 'c_custkey' AS "column", 'bigint' AS type,
+       string_agg(CAST(c_custkey AS VARCHAR), ', ' ORDER BY c_custkey) AS sample FROM h
+UNION ALL SELECT 'c_name', 'string', string_agg(c_name, ', ' ORDER BY c_custkey) FROM h
+UNION ALL SELECT 'c_nationkey', 'int', string_agg(CAST(c_nationkey AS VARCHAR), ', ' ORDER BY c_custkey) FROM h
+UNION ALL SELECT 'c_acctbal', 'double', string_agg(CAST(c_acctbal AS VARCHAR), ', ' ORDER BY c_custkey) FROM h
+UNION ALL SELECT 'c_mktsegment', 'string', string_agg(c_mktsegment, ', ' ORDER BY c_custkey) FROM h""",
+    "admitted_snapshot": f"WITH {SQL_ADMITTED} SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, seg FROM admitted",
+    "admitted_by_nation": f"WITH {SQL_ADMITTED} SELECT c_nationkey, count(*) AS n FROM admitted GROUP BY 1",
+    "admitted_mean_balance": f"""
+WITH {SQL_ADMITTED}
+SELECT c_mktsegment, round(avg(TRY_CAST(CASE WHEN c_acctbal < 0 THEN '' ELSE CAST(c_acctbal AS VARCHAR) END
+                                        AS DOUBLE)), 9) AS mean
+FROM admitted GROUP BY 1""",
+})
+
+ORACLE_SQL.update({
+    "chart_segment_share": f"""
+WITH {SQL_ADMITTED},
+datos AS (SELECT c_custkey, c_mktsegment, 'inscritos/as' AS tipo FROM admitted
+          UNION ALL SELECT c_custkey, c_mktsegment, 'postulaciones' AS tipo FROM customer),
+c AS (SELECT c_mktsegment, tipo, count(*) AS n FROM datos GROUP BY 1, 2),
+f AS (SELECT * FROM c WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY tipo) AS p FROM f)
+SELECT c_mktsegment, tipo, n, round(p, 9) AS p, printf('%.1f%%', round(p * 100.0, 1)) AS label FROM s""",
+})

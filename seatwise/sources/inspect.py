@@ -6,10 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def glimpse(df: DataFrame, n: int = 5) -> DataFrame:
-    """One row per column: name, type, the first ``n`` values as text."""
+def glimpse(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFrame:
+    """One row per column: name, type, the first ``n`` values as text.
+
+    Spark rows have no order: pass ``order`` (sort specs) for a repeatable sample.
+    Only ``n`` rows reach the driver.
+    """
+    from seatwise.operators.ordinal import head_rows
+
     spark = df.sparkSession
-    sample = df.limit(n).collect()
+    sample = (head_rows(df, order, n) if order else df.limit(n)).collect()
     rows = [(f.name, f.dataType.simpleString(),
              ", ".join("NA" if r[f.name] is None else str(r[f.name]) for r in sample))
             for f in df.schema.fields]
