@@ -14,6 +14,7 @@ Every query reads whole tables; a limit appears only where it is the operator
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,16 +54,16 @@ SEED = 42
 SEATS = 160
 
 
-_TABLES: dict[tuple[int, str], DataFrame] = {}
+_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A driver table; the DataFrame (its inferred schema) is reused per session."""
     path = f"{sf.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    per_session = _TABLES.setdefault(spark, {})
+    if path not in per_session:
+        per_session[path] = spark.read.parquet(path)
+    return per_session[path]
 
 
 def _r9(c) -> F.Column:

@@ -80,3 +80,12 @@ def test_percent_and_title(spark):
     assert one(spark, percent_label("x", 0), 0.5, "double") == "50%"
     assert one(spark, title_case("x"), "costa_rica") == "Costa_rica"
     assert one(spark, title_case("x"), "méxico lindo") == "México Lindo"
+
+
+def test_recode_case_and_map_forms_agree(spark):
+    from seatwise.functions.recode import CASE_MAX, recode
+    big = {f"k{i}": f"v{i}" for i in range(CASE_MAX + 10)}
+    small = {"k1": "v1", "k3": "v3"}
+    df = spark.createDataFrame([("k1",), ("k3",), ("zz",), (None,), ("k40",)], "x string")
+    assert [r["y"] for r in df.select(recode("x", small).alias("y")).collect()] == ["v1", "v3", "zz", None, "k40"]
+    assert [r["y"] for r in df.select(recode("x", big).alias("y")).collect()] == ["v1", "v3", "zz", None, "v40"]
