@@ -49,3 +49,14 @@ def range_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES)
     partitions, more when the estimate says partitions would exceed ``target_bytes``."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(base, -(-estimated_bytes(df) // target_bytes))
+
+
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``tasks`` (default: the cluster's cores) when its input
+    would give fewer read tasks than that - e.g. one large row group, which Spark
+    cannot split, feeding CPU-heavy per-row work such as regexes over whole texts.
+    With enough input splits (any large table) it returns ``df`` unchanged."""
+    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    if input_partitions(df) >= tasks:
+        return df
+    return df.repartition(tasks)

@@ -33,6 +33,7 @@ from seatwise.operators.dedup import first_per_key
 from seatwise.operators.density import density
 from seatwise.operators.lump import lump_top_n
 from seatwise.operators.membership import in_list
+from seatwise.operators.sizing import spread
 from seatwise.operators.ordinal import head_rows, ordinal, tail_rows
 from seatwise.operators.sampling import weighted_sample
 from seatwise.operators.scoring import Rule
@@ -416,12 +417,12 @@ def sort_text_number(spark, sf):
 
 
 def text_squish_lower(spark, sf):
-    d = _t(spark, sf, "documents")
+    d = spread(_t(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.md5(F.lower(squish("text"))).alias("h"))
 
 
 def email_filter(spark, sf):
-    d = _t(spark, sf, "documents")
+    d = spread(_t(spark, sf, "documents").select("doc_id", "text"))
     return d.filter(F.col("text").rlike(r"@.*\.")).select("doc_id")
 
 
