@@ -56,6 +56,10 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or range_partitions(df)
+    # A row hash as the last key: when the given order is not total, a value held by
+    # a third of the rows is still split across ranges (ties are ordered by the hash,
+    # deterministically).  With a total order it never decides anything.
+    cols = cols + [F.asc(F.xxhash64(*[F.col(c) for c in df.columns]))]
     staged = (df.repartitionByRange(n, *cols)
                 .sortWithinPartitions(*cols)
                 .withColumn("__pid", F.spark_partition_id())

@@ -160,3 +160,16 @@ def test_density_integrates_to_one(spark):
     rows = density(p, "p_size", points=512, cut=4).orderBy("i").collect()
     xs, ys = np.array([r["x"] for r in rows]), np.array([r["density"] for r in rows])
     assert abs(np.trapezoid(ys, xs) - 1) < 1e-3
+
+
+def test_range_ordinal_splits_a_hot_tie(spark):
+    # Order on a value held by a third of the rows, with no tie-break: the hot value
+    # must not end up in a single range partition.
+    df = spark.range(6000).withColumn("v", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    r = ordinal(df, ["v"], name="r", method="range", num_partitions=6)
+    assert sorted(x["r"] for x in r.collect()) == list(range(1, 6001))
+    hot = r.filter(F.col("v") == 0).select("r").collect()
+    assert sorted(x["r"] for x in hot) == list(range(1, 2001))
+    staged = (df.repartitionByRange(6, F.asc("v"), F.asc(F.xxhash64("id", "v")))
+                .groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert max(x["count"] for x in staged) < 2000
