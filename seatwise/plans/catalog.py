@@ -243,8 +243,9 @@ FROM d WHERE regexp_matches(correo, '@.*\.') AND time_end <= TIMESTAMP '2024-01-
 
 def stream_clean_intake(spark, sf):
     """The clean intake as a stream: events arrive as files, the first submission per
-    person is kept in the state store, each trigger rewrites the current table."""
-    from seatwise.streaming import first_submissions
+    person is kept in the state store, each trigger writes only the people whose
+    first submission changed, and the current table is the latest row per person."""
+    from seatwise.streaming import changes_sink, current_firsts, first_submissions
 
     schema = _t(spark, sf, "events").schema
     root = sf.rstrip("/")
@@ -252,15 +253,11 @@ def stream_clean_intake(spark, sf):
         .option("basePath", root).parquet(f"{root}/events*.parquet")
     cfg = IntakeConfig(exclude_names=("  User\u00a03 ",), cutoff="2024-01-20 00:00:00")
     out_path, ck = scratch_path(spark, "stream-intake"), scratch_path(spark, "stream-intake-ck")
-
-    def write_current(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
-
     q = (first_submissions(_event_responses(spark, sf, stream), cfg).writeStream
-         .outputMode("complete").foreachBatch(write_current)
+         .outputMode("update").foreachBatch(changes_sink(out_path))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path).filter("valid").select("nombre", "correo", "genero", "trans")
+    return current_firsts(spark, out_path).select("nombre", "correo", "genero", "trans")
 
 
 def exclusions_q(spark, sf):

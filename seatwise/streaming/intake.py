@@ -62,3 +62,23 @@ def response_stream(spark, folder: str, schema: T.StructType | str, max_files_pe
     """Stream of response files (parquet) appearing in ``folder``."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(folder))
+
+
+def changes_sink(path: str):
+    """``foreachBatch`` sink for ``update`` mode: each micro-batch's changed rows go to
+    ``<path>/epoch=<id>`` (overwritten on a retry of the same epoch, so replays are
+    idempotent).  Only changed people are written, not the whole table."""
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/epoch={epoch_id}")
+    return write
+
+
+def current_firsts(spark, path: str, key: str = "nombre", valid_only: bool = True) -> DataFrame:
+    """The current first submission per person from a ``changes_sink`` folder: the row
+    of the latest epoch per key (a partial aggregate, no full sort)."""
+    from seatwise.operators.dedup import first_per_key
+
+    ch = spark.read.parquet(path)
+    latest = first_per_key(ch.withColumn("__neg_epoch", -F.col("epoch")), key, "__neg_epoch")
+    latest = latest.drop("__neg_epoch", "epoch")
+    return latest.filter("valid").drop("valid") if valid_only else latest

@@ -28,3 +28,24 @@ def test_stream_matches_batch(spark, scratch):
     cols = sorted(want.columns)
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
     assert got.filter(F.col("nombre") == "rita repeat").count() == 0
+
+
+def test_update_mode_changes_sink(spark, scratch):
+    from seatwise.streaming import changes_sink, current_firsts
+
+    rows = response_rows()
+    folder = os.path.join(scratch, "in")
+    spark.createDataFrame(rows[1::2], SCHEMA).coalesce(1).write.parquet(f"{folder}/a")
+    cfg = IntakeConfig(exclude_names=(TEST_NAME,))
+    out = os.path.join(scratch, "changes")
+    stream = response_stream(spark, f"{folder}/*", SCHEMA, max_files_per_trigger=1)
+    q = (first_submissions(stream, cfg).writeStream.outputMode("update")
+         .foreachBatch(changes_sink(out)).option("checkpointLocation", os.path.join(scratch, "ck2")).start())
+    q.processAllAvailable()
+    spark.createDataFrame(rows[0::2], SCHEMA).coalesce(1).write.parquet(f"{folder}/b")
+    q.processAllAvailable()
+    q.stop()
+    got = current_firsts(spark, out)
+    want = clean_intake(spark.createDataFrame(rows, SCHEMA), cfg)
+    cols = sorted(want.columns)
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
