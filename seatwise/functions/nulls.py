@@ -4,6 +4,7 @@
 if_else            null condition -> null (three-valued)
 case_default       null condition -> the default
 is_in              membership is never null: null -> False
+keep_in            filter on membership (null dropped; pushed to the scan)
 filter (Spark)     null condition drops the row
 filter_out         null condition KEEPS the row
 =================  =============================================
@@ -40,6 +41,13 @@ def is_in(col, values: Iterable) -> Column:
     return F.coalesce(_c(col).isin(list(values)), F.lit(False))
 
 
+def keep_in(df: DataFrame, col: str, values: Iterable) -> DataFrame:
+    """Rows whose ``col`` is in ``values``.  Inside a filter a plain ``IN`` already
+    drops nulls (same rows as ``is_in``), and unlike ``coalesce(IN, false)`` it is
+    pushed down to the parquet reader."""
+    return df.filter(F.col(col).isin(list(values)))
+
+
 def filter_out(df: DataFrame, cond: Column) -> DataFrame:
     """Drop rows where ``cond`` is true; rows where it is null are kept."""
     return df.filter(~F.coalesce(cond, F.lit(False)))

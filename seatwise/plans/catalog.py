@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatwise.functions.convert import timestamp_literal, to_timestamp_utc
-from seatwise.functions.nulls import case_default, filter_out, is_in
+from seatwise.functions.nulls import case_default, filter_out, keep_in
 from seatwise.functions.recode import recode
 from seatwise.functions.text import (
     percent_label, replace_each_first, replace_first, slug, squish, title_case, wrap,
@@ -340,7 +340,7 @@ def _cust_region(spark, sf) -> DataFrame:
 
 def group_share(spark, sf):
     c = count_by(_cust_region(spark, sf), ["n_regionkey", "c_mktsegment"], ordered=False)
-    c = c.filter(is_in("c_mktsegment", ["BUILDING", "FURNITURE", "HOUSEHOLD"]))
+    c = keep_in(c, "c_mktsegment", ["BUILDING", "FURNITURE", "HOUSEHOLD"])
     return share_within(c, "n_regionkey").select("n_regionkey", "c_mktsegment", "n", _r9("p").alias("p"))
 
 
@@ -518,7 +518,7 @@ def chart_segment_share(spark, sf):
     adm = _admitted(spark, sf, rank=True).select("id", "c_custkey", "c_mktsegment")
     datos = stack_populations(adm, _t(spark, sf, "customer"), numeric=())
     c = count_by(datos, ["c_mktsegment", "tipo"], ordered=False)
-    c = c.filter(is_in("c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE"]))
+    c = keep_in(c, "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE"])
     c = share_within(c, "tipo")
     return c.select("c_mktsegment", "tipo", "n", _r9("p").alias("p"), percent_label("p", 1).alias("label"))
 

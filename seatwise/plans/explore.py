@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.functions.convert import to_number
-from seatwise.functions.nulls import filter_out, is_in
+from seatwise.functions.nulls import filter_out, keep_in
 from seatwise.functions.recode import recode
 from seatwise.functions.text import percent_label, replace_all, replace_each_first, replace_first, title_case, wrap
 from seatwise.operators.categories import relevel_ordinal, reorder_by
@@ -65,7 +65,7 @@ def _label(df: DataFrame, digits: int = 1) -> DataFrame:
 
 
 def gender_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
-    c = count_by(datos, ["genero", tipo], ordered=False).filter(is_in("genero", C.GENDER_CHART_LEVELS))
+    c = keep_in(count_by(datos, ["genero", tipo], ordered=False), "genero", C.GENDER_CHART_LEVELS)
     return _label(share_within(c, tipo))
 
 

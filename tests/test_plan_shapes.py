@@ -52,3 +52,10 @@ def test_no_python_udfs_in_catalogue(spark):
     for name in ["flagship_seat_draw", "clean_intake", "density", "lump_top_n", "conformance"]:
         p = plan(QUERIES[name](spark, SF01))
         assert "EvalPython" not in p, name
+
+
+def test_membership_filter_reaches_the_scan(spark):
+    from seatwise.functions import keep_in
+    c = spark.read.parquet(f"{SF01}/customer.parquet")
+    p = plan(keep_in(c, "c_mktsegment", ["BUILDING", "FURNITURE"]).select("c_custkey"))
+    assert "PushedFilters: [In(c_mktsegment" in p or "PushedFilters: [IsNotNull(c_mktsegment), In(c_mktsegment" in p

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from seatwise.sources import column_profile, glimpse, read_csv2, read_line_list, write_csv2
 from seatwise.sources.writers import write_text_lines

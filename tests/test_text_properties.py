@@ -5,7 +5,6 @@ import textwrap
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from seatwise.functions import replace_first, slug, squish, wrap
 
