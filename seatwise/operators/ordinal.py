@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.operators.sorting import SortSpec, sort_cols
-from seatwise.operators.sizing import range_partitions
 from seatwise.session import ensure_checkpoint_dir, estimated_bytes
 
 SINGLE_TASK_BYTES = 64 * 1024 * 1024   # auto: at most this much goes through one task
@@ -55,15 +54,15 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
         raise ValueError(f"unknown method {method!r}")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or range_partitions(df)
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A row hash as the last key: when the given order is not total, a value held by
     # a third of the rows is still split across ranges (ties are ordered by the hash,
     # deterministically).  With a total order it never decides anything.
     cols = cols + [F.asc(F.xxhash64(*[F.col(c) for c in df.columns]))]
-    # Without a forced count AQE may merge small neighbouring ranges; merged ranges
-    # stay contiguous and in order, so partition ids still follow the sort order.
-    ranged = df.repartitionByRange(n, *cols) if (num_partitions or n > base) else df.repartitionByRange(*cols)
+    # Without a forced count the exchange uses the session's shuffle partitions (on a
+    # large cluster: spark.sql.adaptive.coalescePartitions.initialPartitionNum) and AQE
+    # merges small neighbouring ranges; merged ranges stay contiguous and in order,
+    # so partition ids still follow the sort order.
+    ranged = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
     staged = (ranged.sortWithinPartitions(*cols)
                 .withColumn("__pid", F.spark_partition_id())
                 .withColumn("__pos", F.monotonically_increasing_id()))

@@ -5,7 +5,8 @@
   broadcast threshold, one row count.  Only a side that passes is hinted; a larger
   one is left to a shuffled join.
 * ``input_partitions`` / ``range_partitions``: partition counts derived from the
-  estimate, so a step's fan-in or fan-out grows with the data.
+  estimate (capped: join estimates multiply sizes), used to choose between exact
+  plans - never to force a shuffle's width, which is left to the session and AQE.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from seatwise.session import estimated_bytes
 
 MAX_BROADCAST_ROWS = 1_000_000
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 200_000   # estimates of joins multiply sizes; never size a shuffle past this
 
 
 def _conf_bytes(df: DataFrame, key: str, default: int) -> int:
@@ -41,14 +43,14 @@ def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
 def input_partitions(df: DataFrame) -> int:
     """Roughly how many tasks will read ``df`` (estimate / maxPartitionBytes)."""
     per = _conf_bytes(df, "spark.sql.files.maxPartitionBytes", 128 << 20)
-    return max(1, -(-estimated_bytes(df) // max(per, 1)))
+    return int(min(MAX_PARTITIONS, max(1, -(-estimated_bytes(df) // max(per, 1)))))
 
 
 def range_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     """Partitions for a full shuffle of ``df``: at least the session's shuffle
     partitions, more when the estimate says partitions would exceed ``target_bytes``."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(base, -(-estimated_bytes(df) // target_bytes))
+    return int(min(MAX_PARTITIONS, max(base, -(-estimated_bytes(df) // target_bytes))))
 
 
 def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -66,6 +66,8 @@ class IntakeConfig:
     yes_pattern: str = YES_PATTERN
     yes_value: str = YES_VALUE
     dedup_method: str = "aggregate"
+    dedup_extra_keys: tuple[str, ...] = ()       # e.g. ("correo",): two people, one name
+    validate_before_dedup: bool = False          # True: bad answers cannot shadow good ones
     keep_session: bool = False                   # the scripts drop it; we use it as tie-break
 
 
@@ -93,4 +95,5 @@ class DrawConfig:
     list_col: str | None = "correo"
     on_short: str = "error"
     null_weight: str = "error"
+    guaranteed_in_draw: bool = True              # False: guaranteed people leave the draw
     max_broadcast_rows: int = 1_000_000

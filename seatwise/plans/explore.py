@@ -55,9 +55,30 @@ def display_labels(datos: DataFrame) -> DataFrame:
     return datos
 
 
-def harmonise(admitted: DataFrame, applicants: DataFrame, tipo: str = "tipo") -> DataFrame:
-    """One labelled table of both populations with display-ready labels."""
-    return display_labels(stack_populations(admitted, applicants, tipo))
+def codebook_labels(datos: DataFrame, codebook: DataFrame,
+                    questions=("genero", "pais", "areas", "nivel_r")) -> DataFrame:
+    """Exact labels from the codebook instead of the partial hand repairs: each code
+    column is replaced by its option label (unknown codes kept as they are), then the
+    fixed level order of the R-level question is added."""
+    from seatwise.operators.codebook import decode
+
+    qs = [q for q in questions if q in datos.columns]
+    out = decode(datos, codebook, qs, suffix="__label")
+    out = out.withColumns({q: F.coalesce(F.col(f"{q}__label"), F.col(q)) for q in qs}) \
+             .drop(*[f"{q}__label" for q in qs])
+    if "nivel_r" in out.columns:
+        first = {"ninguno": "Ninguno", "principiante": "Principiante", "intermedio": "Intermedio",
+                 "avanzado": "Avanzado"}
+        out = relevel_ordinal(out, "nivel_r", [first[c] for c in reversed(list(first))])
+    return out
+
+
+def harmonise(admitted: DataFrame, applicants: DataFrame, tipo: str = "tipo",
+              codebook: DataFrame | None = None) -> DataFrame:
+    """One labelled table of both populations with display-ready labels; with a
+    ``codebook`` the labels are the exact option labels."""
+    datos = stack_populations(admitted, applicants, tipo)
+    return codebook_labels(datos, codebook) if codebook is not None else display_labels(datos)
 
 
 def _label(df: DataFrame, digits: int = 1) -> DataFrame:

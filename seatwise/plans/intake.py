@@ -27,7 +27,9 @@ def clean_intake(df: DataFrame, cfg: IntakeConfig | None = None) -> DataFrame:
     string column.
 
     The dedup runs BEFORE the e-mail and cut-off checks, so a person whose first
-    answer has a bad e-mail is dropped even if a later one is good.
+    answer has a bad e-mail is dropped even if a later one is good
+    (``validate_before_dedup=True`` checks first instead).  The key is the name alone
+    unless ``dedup_extra_keys`` adds columns.
     """
     cfg = cfg or IntakeConfig()
     name, mail, t, sid = cfg.name_col, cfg.email_col, cfg.time_col, cfg.session_col
@@ -42,10 +44,15 @@ def clean_intake(df: DataFrame, cfg: IntakeConfig | None = None) -> DataFrame:
         name: F.lower(squish(name)),
         mail: remove_all(F.lower(F.col(mail)), " "),
     })
-    out = first_per_key(out, name, t, tiebreak=[sid] if has_sid else [], method=cfg.dedup_method)
-    out = out.filter(F.col(mail).rlike(cfg.email_pattern))
+    checks = F.col(mail).rlike(cfg.email_pattern)
     if cfg.cutoff is not None:
-        out = out.filter(F.col(t) <= timestamp_literal(cfg.cutoff, out.schema[t].dataType))
+        checks = checks & (F.col(t) <= timestamp_literal(cfg.cutoff, out.schema[t].dataType))
+    if cfg.validate_before_dedup:
+        out = out.filter(checks)
+    keys = [name, *cfg.dedup_extra_keys]
+    out = first_per_key(out, keys, t, tiebreak=[sid] if has_sid else [], method=cfg.dedup_method)
+    if not cfg.validate_before_dedup:
+        out = out.filter(checks)
     if has_sid and not cfg.keep_session:
         out = out.drop(sid)
     yes = cfg.yes_pattern

@@ -32,7 +32,8 @@ def seat_draw(scored: DataFrame, cfg: DrawConfig | None = None,
     guaranteed group, plus everyone on the special list - each person once.
 
     The guaranteed people also take part in the draw, so the admitted count lies
-    between ``seats`` and ``seats + guaranteed + listed``.
+    between ``seats`` and ``seats + guaranteed + listed``
+    (``guaranteed_in_draw=False`` draws the seats among the others only).
 
     ``method="filter"`` (default) reads the scored table once and keeps a row when
     any of the three memberships holds.  ``method="union"`` is the literal form -
@@ -40,7 +41,10 @@ def seat_draw(scored: DataFrame, cfg: DrawConfig | None = None,
     on all its columns; same rows when ids are unique.
     """
     cfg = cfg or DrawConfig()
-    drawn = weighted_sample(scored, cfg.seats, cfg.id_col, cfg.weight, seed=cfg.seed,
+    pool = scored
+    if cfg.guaranteed_col and not cfg.guaranteed_in_draw:
+        pool = scored.filter(~F.coalesce(F.col(cfg.guaranteed_col) == F.lit(cfg.guaranteed_value), F.lit(False)))
+    drawn = weighted_sample(pool, cfg.seats, cfg.id_col, cfg.weight, seed=cfg.seed,
                             on_short=cfg.on_short, null_weight=cfg.null_weight)
     if method == "union":
         parts = [drawn]

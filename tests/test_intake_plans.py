@@ -137,3 +137,30 @@ def test_conformance_on_responses(spark):
     assert rep["nivel_r"]["n_out_of_domain"] == 0
     dec = decode(df, codebook_df(spark), ["pais"]).filter(F.col("pais") == "per").first()
     assert dec["pais_label"] == "Perú"
+
+
+def test_switches(spark):
+    from dataclasses import replace
+    raw = responses(spark)
+    v = by_name(clean_intake(raw, replace(CFG, validate_before_dedup=True)))
+    assert v["rita repeat"]["correo"] == "rita@ok.cl"          # the good later answer wins
+    k = clean_intake(raw, replace(CFG, dedup_extra_keys=("correo",)))
+    assert k.filter(F.col("nombre") == "tina tie").count() == 2   # two e-mails, two people
+    scored = score_applicants(apply_exclusions(clean_intake(raw, CFG))).filter(F.col("puntaje").isNotNull())
+    cfg = DrawConfig(seats=10, seed=4, guaranteed_in_draw=False)
+    adm = seat_draw(scored, cfg)
+    n_trans = scored.filter(F.col("trans") == "sí").count()
+    assert adm.count() == 10 + n_trans
+
+
+def test_codebook_labels(spark, clean):
+    from seatwise.plans.explore import harmonise
+    from seatwise.sources.codebook import codebook_df
+    scored = score_applicants(apply_exclusions(clean)).filter(F.col("puntaje").isNotNull())
+    adm = seat_draw(scored, DrawConfig(seats=20, seed=3)).drop("nombre", "correo", "puntaje")
+    datos = harmonise(adm, clean.drop("nombre", "correo"), codebook=codebook_df(spark))
+    pais = {r["pais"] for r in datos.select("pais").distinct().collect()}
+    assert {"Panamá", "República Dominicana", "Costa Rica", "Perú"} <= pais
+    lv = {r["nivel_r"]: r["nivel_r_ord"] for r in datos.select("nivel_r", "nivel_r_ord").distinct().collect()}
+    assert [k for k, _ in sorted(lv.items(), key=lambda kv: kv[1])][:4] == \
+        ["Avanzado", "Intermedio", "Principiante", "Ninguno"]
