@@ -81,9 +81,11 @@ def percent_label(col, digits: int = 1) -> Column:
     """Share in [0, 1] as a percent label, e.g. ``0.1234`` -> ``12.3%``.
 
     Rounded half-up first so that every printf-style formatter prints the same digits.
+    A null share stays null.
     """
     d = int(digits)
-    return F.format_string(f"%.{d}f%%", F.round(_c(col) * 100.0, d))
+    c = _c(col)
+    return F.when(c.isNotNull(), F.format_string(f"%.{d}f%%", F.round(c * 100.0, d)))
 
 
 def slug(col) -> Column:

@@ -78,6 +78,7 @@ def test_to_number(spark):
 def test_percent_and_title(spark):
     assert one(spark, percent_label("x", 1), 0.1234, "double") == "12.3%"
     assert one(spark, percent_label("x", 0), 0.5, "double") == "50%"
+    assert one(spark, percent_label("x", 1), None, "double") is None
     assert one(spark, title_case("x"), "costa_rica") == "Costa_rica"
     assert one(spark, title_case("x"), "méxico lindo") == "México Lindo"
 
