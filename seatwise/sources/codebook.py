@@ -135,3 +135,12 @@ def codebook_df(spark: SparkSession, questions=None) -> DataFrame:
 
 def required_df(spark: SparkSession, required=None) -> DataFrame:
     return spark.createDataFrame([(q,) for q in (required or REQUIRED)], "question_id string")
+
+
+def response_schema(time_columns=("time_start", "time_end"), session_col: str = "session_id",
+                    questions=None) -> str:
+    """DDL schema of the response table: session id, ``time*`` columns and one string
+    column per question, in form order.  Pass it to the readers so a large response
+    folder is not scanned for inference."""
+    cols = [session_col, *time_columns] + [q for q, _t, _l, _o in (questions or QUESTIONS)]
+    return ", ".join(f"`{c}` string" for c in cols)

@@ -44,3 +44,13 @@ def test_glimpse_and_profile(spark):
     assert prof["c_mktsegment"]["n_distinct"] == 5
     approx = {r["column"]: r for r in column_profile(c, approx=True).collect()}
     assert abs(approx["c_custkey"]["n_distinct"] - c.count()) / c.count() < 0.05
+
+
+def test_response_schema_reads_the_fixture(spark, scratch):
+    from seatwise.sources import read_parquet, response_schema
+    from tests.fixtures import responses
+    path = f"{scratch}/resp"
+    responses(spark).write.parquet(path)
+    df = read_parquet(spark, path, schema=response_schema())
+    assert df.columns[:3] == ["session_id", "time_start", "time_end"] and "correo" in df.columns
+    assert df.count() == responses(spark).count()
