@@ -72,3 +72,18 @@ def collapse(df: DataFrame, col: str, order: Sequence[str] | str, sep: str = ",
                   .groupBy(batch_name)
                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__i"), val.alias("v")))),
                                                 lambda s: s["v"]), sep).alias(name)))
+
+
+def count_each(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataFrame:
+    """Counts per value for several columns in ONE scan: rows ``(column, value, n)``.
+
+    The report counts answers of many questions; separate ``count_by`` calls would
+    read the table once per question.  Here each row is unpivoted to (column, value)
+    inside the task and a partial aggregate combines them before the shuffle.
+    Values are compared as text; null is its own value.
+    """
+    cols = list(cols)
+    kv = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    return (df.select(kv.alias("kv")).select("kv.column", "kv.value")
+              .groupBy("column", "value").agg(F.count(F.lit(1)).alias(name)))

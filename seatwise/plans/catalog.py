@@ -328,6 +328,11 @@ def count_sorted(spark, sf):
     return count_by(_t(spark, sf, "customer"), "c_nationkey", sort=True)
 
 
+def answer_counts(spark, sf):
+    from seatwise.operators.counts import count_each
+    return count_each(_customers(spark, sf, null_seg="MACHINERY"), ["seg", "c_nationkey", "c_mktsegment"])
+
+
 def count_having_q(spark, sf):
     return count_having(_t(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"],
                         (F.col("l_linestatus") == "F") & (F.col("n") > 100))
@@ -614,6 +619,7 @@ QUERIES: dict[str, Query] = {
     "count_two": count_two,
     "count_sorted": count_sorted,
     "count_having": count_having_q,
+    "answer_counts": answer_counts,
     "group_share": group_share,
     "total_share": total_share,
     "filter_out_nulls_kept": filter_out_nulls_kept,
@@ -897,3 +903,11 @@ f AS (SELECT * FROM c WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITUR
 s AS (SELECT *, n / sum(n) OVER (PARTITION BY tipo) AS p FROM f)
 SELECT c_mktsegment, tipo, n, round(p, 9) AS p, printf('%.1f%%', round(p * 100.0, 1)) AS label FROM s""",
 })
+
+ORACLE_SQL.update({
+    "answer_counts": """
+WITH c AS (SELECT nullif(c_mktsegment, 'MACHINERY') AS seg, c_nationkey, c_mktsegment FROM customer)
+SELECT 'seg' AS "column", seg AS value, count(*) AS n FROM c GROUP BY seg
+UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM c GROUP BY c_nationkey
+UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(*) FROM c GROUP BY c_mktsegment""",
+})

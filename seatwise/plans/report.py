@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seatwise.operators.counts import collapse, count_by, count_having, mean_strict
+from seatwise.operators.counts import collapse, count_by, count_each, count_having, mean_strict
 from seatwise.operators.ordinal import head_rows, tail_rows
 from seatwise.operators.sorting import sort_cols
 
@@ -22,6 +22,9 @@ def profile_report(df: DataFrame, yes: str = "sí") -> dict[str, DataFrame]:
         "by_area": count_by(df, "areas", sort=True),
         "mean_age": mean_strict(df, "edad"),
         "country_trans": count_having(df, ["pais", "trans"], F.col("trans") == yes),
+        # every question's counts from one scan, long format (column, value, n)
+        "all_answers": count_each(df, [c for c in ["genero", "pais", "nivel_r", "nivel_programacion",
+                                                   "trans", "educacion", "areas"] if c in df.columns]),
     }
     if "puntaje" in df.columns:
         cols = [c for c in ["nombre", "pais", "genero", "disca", "trans", "lgbt", "puntaje"] if c in df.columns]
