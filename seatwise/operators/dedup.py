@@ -10,7 +10,10 @@ Two plans, same result:
   the shuffle, so a key holding a third of all rows costs one row per task in the
   exchange, not a third of the table in one task.
 * ``method="window"``: ``row_number() over (partition by key order by ...) = 1``.
-  Shuffles every row; kept for comparison and for callers who need the rank.
+  Spark plans a partial ``WindowGroupLimit`` before the exchange (rank limit 1), so
+  this form is also reduced to one row per key per task before the shuffle.  It
+  depends on that optimizer rule (``spark.sql.optimizer.windowGroupLimitThreshold``);
+  the aggregate form does not.
 """
 
 from __future__ import annotations

@@ -36,7 +36,9 @@ def test_auto_ordinal_follows_the_size_estimate(spark):
 def test_dedup_aggregates_before_the_shuffle(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet")
     p = plan(first_per_key(o, "o_custkey", "o_orderdate", "o_orderkey"))
-    assert "partial_min_by" in p.replace(" ", "") or "partial_min_by" in p
+    assert p.index("partial_min_by") > p.index("Exchange hashpartitioning")   # below the exchange
+    w = plan(first_per_key(o, "o_custkey", "o_orderdate", "o_orderkey", method="window"))
+    assert "row_number(), 1, Partial" in w and w.index("Partial") > w.index("Exchange hashpartitioning")
 
 
 def test_cutoff_pushed_and_columns_pruned(spark):
@@ -59,3 +61,16 @@ def test_membership_filter_reaches_the_scan(spark):
     c = spark.read.parquet(f"{SF01}/customer.parquet")
     p = plan(keep_in(c, "c_mktsegment", ["BUILDING", "FURNITURE"]).select("c_custkey"))
     assert "PushedFilters: [In(c_mktsegment" in p or "PushedFilters: [IsNotNull(c_mktsegment), In(c_mktsegment" in p
+
+
+def test_clean_intake_pushes_row_filters_to_the_scan(spark, scratch):
+    from seatwise.plans.config import IntakeConfig
+    from seatwise.plans.intake import clean_intake
+    from seatwise.sources import read_parquet, response_schema
+    from tests.fixtures import TEST_NAME, responses
+    path = f"{scratch}/resp"
+    responses(spark).write.parquet(path)
+    raw = read_parquet(spark, path, schema=response_schema())
+    p = plan(clean_intake(raw, IntakeConfig(exclude_names=(TEST_NAME,))))
+    assert "IsNotNull(correo)" in p and f"Not(EqualTo(nombre,{TEST_NAME}))" in p
+    assert "time_start" not in p.split("ReadSchema:")[1].split("\n")[0]    # dropped column not read
