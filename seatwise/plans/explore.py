@@ -67,9 +67,9 @@ def codebook_labels(datos: DataFrame, codebook: DataFrame,
     out = out.withColumns({q: F.coalesce(F.col(f"{q}__label"), F.col(q)) for q in qs}) \
              .drop(*[f"{q}__label" for q in qs])
     if "nivel_r" in out.columns:
-        first = {"ninguno": "Ninguno", "principiante": "Principiante", "intermedio": "Intermedio",
-                 "avanzado": "Avanzado"}
-        out = relevel_ordinal(out, "nivel_r", [first[c] for c in reversed(list(first))])
+        label_of = {r["option_code"]: r["option_label"] for r in
+                    codebook.filter(F.col("question_id") == "nivel_r").collect()}
+        out = relevel_ordinal(out, "nivel_r", [label_of.get(c, c) for c in C.NIVEL_R_FIRST])
     return out
 
 
