@@ -48,6 +48,9 @@ def conformance(df: DataFrame, codebook: DataFrame, required: Sequence[str]) ->
     opts = _options(codebook)
     req = set(required)
     qs = [q for q in dict.fromkeys(list(required) + list(opts)) if q in df.columns]
+    if not qs:
+        return df.sparkSession.createDataFrame(
+            [], "question_id string, n bigint, n_missing bigint, n_out_of_domain bigint")
     aggs = []
     for q in qs:
         c = F.col(q)

@@ -164,3 +164,10 @@ def test_codebook_labels(spark, clean):
     lv = {r["nivel_r"]: r["nivel_r_ord"] for r in datos.select("nivel_r", "nivel_r_ord").distinct().collect()}
     assert [k for k, _ in sorted(lv.items(), key=lambda kv: kv[1])][:4] == \
         ["Avanzado", "Intermedio", "Principiante", "Ninguno"]
+
+
+def test_conformance_without_known_questions(spark):
+    from seatwise.operators.codebook import conformance
+    from seatwise.sources.codebook import codebook_df
+    df = spark.createDataFrame([("a",)], "other string")
+    assert conformance(df, codebook_df(spark), ["missing_q"]).count() == 0
