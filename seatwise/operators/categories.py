@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatwise.operators.ordinal import ordinal
 from seatwise.operators.sizing import broadcast_checked
 
 
@@ -36,9 +37,9 @@ def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | N
         order = Window.orderBy(F.asc_nulls_last(listed), F.asc(col))
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     levels = df.filter(F.col(col).isNotNull()).select(col).distinct()
-    levels = levels.withColumn("__listed", listed)
-    order = Window.orderBy(F.asc_nulls_last("__listed"), F.asc(col))
-    levels = levels.select(col, F.row_number().over(order).cast("long").alias(name))
+    levels = levels.withColumn("__listed", F.coalesce(listed, F.lit(len(first))))
+    # ordinal(): one task for a small level table, the two-phase plan for a large one.
+    levels = ordinal(levels, ["__listed", col], name=name).select(col, name)
     return df.join(broadcast_checked(levels)[0], on=col, how="left")
 
 
@@ -57,5 +58,5 @@ def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     keys = [col] + ([prior] if prior else [])
     med = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(F.median(measure).alias("__med"))
-    ordered = med.select(col, F.row_number().over(Window.orderBy(F.asc("__med"), tie)).cast("long").alias(name))
+    ordered = ordinal(med, ["__med"] + ([prior] if prior else []) + [col], name=name).select(col, name)
     return df.join(broadcast_checked(ordered)[0], on=col, how="left")

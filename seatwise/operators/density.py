@@ -7,10 +7,12 @@ statistics.  The grid runs from min - cut*h to max + cut*h (cut=0: the data rang
 
 The estimate is computed exactly (no FFT binning):
 
-1. one aggregate over the (pruned) column gives n, sd, min, max and the quartiles -
-   one row to the driver.  Exact quartiles hold one count per distinct value; pass
-   ``bin_width`` to round a continuous column onto a grid first, or
-   ``quantiles="approx"`` for a bounded sketch;
+1. one aggregate over the (pruned) column gives n, sd, min, max, a distinct-count
+   sketch and sketch quartiles - one row to the driver.  With ``quantiles="auto"``
+   the quartiles are recomputed exactly from the (value, count) table when there
+   are at most ``EXACT_MAX_DISTINCT`` distinct values (an exact percentile keeps one
+   entry per distinct value in one buffer); beyond that the sketch stands.  Pass
+   ``bin_width`` to round a continuous column onto a grid first;
 2. a second scan compresses the column to (value, count) with a partial aggregate -
    its size is the number of distinct values, not rows;
 3. every distinct value adds ``count * phi((g - x) / h)`` to every grid point ``g``:
@@ -38,27 +40,34 @@ def nrd0(n: int, sd: float | None, q1: float, q3: float, xmin: float) -> float:
     return 0.9 * lo * n ** -0.2
 
 
+EXACT_MAX_DISTINCT = 1_000_000   # auto: exact quartiles up to this many distinct values
+APPROX_ACCURACY = 100_000        # percentile sketch accuracy (rank error ~ 1/accuracy)
+
+
 def density(df: DataFrame, col: str, points: int = 512, bw: float | None = None,
             adjust: float = 1.0, cut: float = 0.0, bin_width: float | None = None,
-            quantiles: str = "exact") -> DataFrame:
+            quantiles: str = "auto") -> DataFrame:
     """Rows ``(i, x, density)`` for grid index ``i`` = 0..points-1."""
     spark = df.sparkSession
     x = as_double(df, col)
     if bin_width:
         x = F.round(x / bin_width) * bin_width
     xs = df.select(x.alias("x")).filter(F.col("x").isNotNull())
-    if quantiles == "exact":
-        q = F.percentile("x", [0.25, 0.75])
-    else:
-        q = F.percentile_approx("x", [0.25, 0.75], 100000)
+    vals = xs.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     s = xs.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-               F.min("x").alias("lo"), F.max("x").alias("hi"), q.alias("q")).first()
+               F.min("x").alias("lo"), F.max("x").alias("hi"),
+               F.approx_count_distinct("x").alias("ndv"),
+               F.percentile_approx("x", [0.25, 0.75], APPROX_ACCURACY).alias("q")).first()
     n = s["n"] or 0
     if n == 0:
         return spark.createDataFrame([], "i int, x double, density double")
+    q1, q3 = s["q"]
+    exact = quantiles == "exact" or (quantiles == "auto" and s["ndv"] <= EXACT_MAX_DISTINCT)
+    if exact:
+        # Exact quartiles from (value, count): one buffer entry per distinct value.
+        q1, q3 = vals.agg(F.percentile("x", [0.25, 0.75], F.col("c")).alias("q")).first()["q"]
     sd = s["sd"] if n > 1 else None
-    vals = xs.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    h = (bw if bw is not None else nrd0(n, sd, s["q"][0], s["q"][1], s["lo"])) * adjust
+    h = (bw if bw is not None else nrd0(n, sd, q1, q3, s["lo"])) * adjust
     lo, hi = s["lo"] - cut * h, s["hi"] + cut * h
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
     grid = F.lit([float(lo + i * step) for i in range(points)]).cast("array<double>")

@@ -173,3 +173,10 @@ def test_range_ordinal_splits_a_hot_tie(spark):
     staged = (df.repartitionByRange(6, F.asc("v"), F.asc(F.xxhash64("id", "v")))
                 .groupBy(F.spark_partition_id().alias("p")).count().collect())
     assert max(x["count"] for x in staged) < 2000
+
+
+def test_density_sketch_quartiles_close_to_exact(spark):
+    p = spark.read.parquet(f"{SF01}/part.parquet")
+    a = [r["density"] for r in density(p, "p_size", points=33, quantiles="exact").orderBy("i").collect()]
+    b = [r["density"] for r in density(p, "p_size", points=33, quantiles="approx").orderBy("i").collect()]
+    assert max(abs(x - y) for x, y in zip(a, b)) < 1e-3
