@@ -41,7 +41,8 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
     """Add ``name`` = 1..n following ``order`` (``"x"`` asc, ``"-x"`` desc, nulls last).
 
     The order must be total (end in a unique column) for the result to be repeatable.
-    ``method="auto"`` takes the window when Catalyst's size estimate of ``df`` (an
+    Select the needed columns first: the two-phase plan checkpoints ``df`` and no
+    column can be pruned through a checkpoint.  ``method="auto"`` takes the window when Catalyst's size estimate of ``df`` (an
     upper bound for scans, filters and projections; joins over-estimate) is at most
     ``single_task_bytes``, and the two-phase plan otherwise.
     """

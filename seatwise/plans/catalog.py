@@ -272,13 +272,15 @@ def score_rules_q(spark, sf):
 
 
 def ordinal_rank(spark, sf):
-    return ordinal(_t(spark, sf, "orders"), ["-o_totalprice", "o_orderkey"], method="range") \
-        .select("o_orderkey", "id")
+    # Project before ranking: the two-phase plan checkpoints its input, and columns
+    # cannot be pruned through a checkpoint.
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return ordinal(o, ["-o_totalprice", "o_orderkey"], method="range").select("o_orderkey", "id")
 
 
 def ordinal_rank_window(spark, sf):
-    return ordinal(_t(spark, sf, "orders"), ["-o_totalprice", "o_orderkey"], method="window") \
-        .select("o_orderkey", "id")
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return ordinal(o, ["-o_totalprice", "o_orderkey"], method="window").select("o_orderkey", "id")
 
 
 def head_ranked(spark, sf):
@@ -411,7 +413,7 @@ def drop_prefix_relocate(spark, sf):
 
 def sort_text_number(spark, sf):
     """A number held as text sorts as text unless converted first."""
-    c = _t(spark, sf, "customer").withColumn("bal_txt", F.col("c_acctbal").cast("string"))
+    c = _t(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").cast("string").alias("bal_txt"))
     c = ordinal(c, ["-bal_txt", "c_custkey"], name="id_text")
     c = c.withColumn("bal_num", F.col("bal_txt").try_cast("double"))
     c = ordinal(c, ["-bal_num", "c_custkey"], name="id_num")
