@@ -39,14 +39,16 @@ _BUCKETS_PER_OCTAVE = 16  # key histogram resolution (2**(1/16) ~ 4.4 % per buck
 SINGLE_TASK_ROWS = 1_000_000  # threshold plan: candidates ranked in one task up to this
 
 
-def hash_uniform(id_col, seed: int) -> Column:
-    """u in (0, 1) from md5("<seed>:<id>"): 52 bits, centred in its cell."""
+def hash_uniform(id_col, seed: int | Column) -> Column:
+    """u in (0, 1) from md5("<seed>:<id>"): 52 bits, centred in its cell.  ``seed`` may
+    be a column (many independent draws in one job)."""
     c = id_col if isinstance(id_col, Column) else F.col(id_col)
-    h = F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
+    prefix = F.concat(seed.cast("string"), F.lit(":")) if isinstance(seed, Column) else F.lit(f"{seed}:")
+    h = F.md5(F.concat(prefix, c.cast("string")))
     return (F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint") + F.lit(0.5)) / F.lit(float(2 ** 52))
 
 
-def sampling_key(id_col, weight: Column, seed: int) -> Column:
+def sampling_key(id_col, weight: Column, seed: int | Column) -> Column:
     """Exponential race key; the k smallest form the sample."""
     return -F.log(hash_uniform(id_col, seed)) / weight
 
