@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COMMA_NUMBER = r"^\s*-?[0-9]{1,3}(\.?[0-9]{3})*(,[0-9]+)?\s*$|^\s*-?[0-9]+(,[0-9]+)?\s*$"
+COMMA_NUMBER = (r"^\s*-?([0-9]{1,3}(\.?[0-9]{3})*|[0-9]+)(,[0-9]+)?([eE][-+]?[0-9]+)?\s*$")
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -54,3 +54,9 @@ def test_response_schema_reads_the_fixture(spark, scratch):
     df = read_parquet(spark, path, schema=response_schema())
     assert df.columns[:3] == ["session_id", "time_start", "time_end"] and "correo" in df.columns
     assert df.count() == responses(spark).count()
+
+
+def test_csv2_roundtrip_large_and_small_doubles(spark, scratch):
+    df = spark.createDataFrame([(1, 12345678.9), (2, 1.5e-7), (3, -2.5e10)], "id int, x double")
+    back = {r["id"]: r["x"] for r in read_csv2(spark, write_csv2(df, f"{scratch}/big")).collect()}
+    assert back == {1: 12345678.9, 2: 1.5e-7, 3: -2.5e10}
