@@ -36,12 +36,14 @@ def first_submissions(stream: DataFrame, cfg: IntakeConfig | None = None) -> Dat
     out = stream.filter(F.col(mail).isNotNull())
     for test in cfg.exclude_names:
         out = out.filter(F.col(name) != F.lit(test))
-    out = drop_prefix_keep(out, cfg.time_prefix, keep=[t, sid])
+    has_sid = sid in out.columns
+    out = drop_prefix_keep(out, cfg.time_prefix, keep=[t] + ([sid] if has_sid else []))
     if not isinstance(out.schema[t].dataType, (T.TimestampType, T.TimestampNTZType)):
         out = out.withColumn(t, to_timestamp_utc(t))
     out = out.withColumns({name: F.lower(squish(name)), mail: remove_all(F.lower(F.col(mail)), " ")})
     cols = [c for c in out.columns if c != name]
-    order = F.struct(F.col(t).isNull(), F.col(t), F.col(sid).isNull(), F.col(sid))
+    ties = [F.col(sid).isNull(), F.col(sid)] if has_sid else []
+    order = F.struct(F.col(t).isNull(), F.col(t), *ties)
     agg = out.groupBy(name).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("__first"))
     first = agg.select(name, *[F.col("__first")[c].alias(c) for c in cols])
     valid = F.coalesce(F.col(mail).rlike(cfg.email_pattern), F.lit(False))
@@ -53,7 +55,7 @@ def first_submissions(stream: DataFrame, cfg: IntakeConfig | None = None) -> Dat
     yes = cfg.yes_pattern
     first = first.withColumns({c: case_default(F.col(c).rlike(yes), F.lit(cfg.yes_value), F.col(c))
                                for c in strings})
-    if not cfg.keep_session:
+    if has_sid and not cfg.keep_session:
         first = first.drop(sid)
     return first
 
