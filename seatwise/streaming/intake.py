@@ -30,7 +30,8 @@ from seatwise.plans.config import IntakeConfig
 
 def first_submissions(stream: DataFrame, cfg: IntakeConfig | None = None) -> DataFrame:
     """Streaming DataFrame: one row per person with the earliest submission and a
-    ``valid`` flag (e-mail pattern and inclusive cut-off hold)."""
+    ``valid`` flag (e-mail pattern and inclusive cut-off hold).  Honours the same
+    switches as the batch job (``dedup_extra_keys``, ``validate_before_dedup``)."""
     cfg = cfg or IntakeConfig()
     name, mail, t, sid = cfg.name_col, cfg.email_col, cfg.time_col, cfg.session_col
     out = stream.filter(F.col(mail).isNotNull())
@@ -41,15 +42,18 @@ def first_submissions(stream: DataFrame, cfg: IntakeConfig | None = None) -> Dat
     if not isinstance(out.schema[t].dataType, (T.TimestampType, T.TimestampNTZType)):
         out = out.withColumn(t, to_timestamp_utc(t))
     out = out.withColumns({name: F.lower(squish(name)), mail: remove_all(F.lower(F.col(mail)), " ")})
-    cols = [c for c in out.columns if c != name]
-    ties = [F.col(sid).isNull(), F.col(sid)] if has_sid else []
-    order = F.struct(F.col(t).isNull(), F.col(t), *ties)
-    agg = out.groupBy(name).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("__first"))
-    first = agg.select(name, *[F.col("__first")[c].alias(c) for c in cols])
     valid = F.coalesce(F.col(mail).rlike(cfg.email_pattern), F.lit(False))
     if cfg.cutoff is not None:
-        valid = valid & F.coalesce(F.col(t) <= timestamp_literal(cfg.cutoff, first.schema[t].dataType),
+        valid = valid & F.coalesce(F.col(t) <= timestamp_literal(cfg.cutoff, out.schema[t].dataType),
                                    F.lit(False))
+    if cfg.validate_before_dedup:
+        out = out.filter(valid)
+    keys = [name, *cfg.dedup_extra_keys]
+    cols = [c for c in out.columns if c not in keys]
+    ties = [F.col(sid).isNull(), F.col(sid)] if has_sid else []
+    order = F.struct(F.col(t).isNull(), F.col(t), *ties)
+    agg = out.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("__first"))
+    first = agg.select(*keys, *[F.col("__first")[c].alias(c) for c in cols])
     first = first.withColumn("valid", valid)
     strings = [f.name for f in first.schema.fields if isinstance(f.dataType, T.StringType)]
     yes = cfg.yes_pattern

@@ -49,3 +49,21 @@ def test_update_mode_changes_sink(spark, scratch):
     want = clean_intake(spark.createDataFrame(rows, SCHEMA), cfg)
     cols = sorted(want.columns)
     assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+
+
+def test_stream_switches_match_batch(spark, scratch):
+    from dataclasses import replace
+    rows = response_rows()
+    folder = os.path.join(scratch, "in")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/a")
+    cfg = replace(IntakeConfig(exclude_names=(TEST_NAME,)), validate_before_dedup=True,
+                  dedup_extra_keys=("correo",))
+    stream = response_stream(spark, f"{folder}/*", SCHEMA)
+    q = (first_submissions(stream, cfg).writeStream.outputMode("complete").format("memory")
+         .queryName("firsts_sw").option("checkpointLocation", os.path.join(scratch, "ck3")).start())
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("firsts_sw").filter("valid").drop("valid")
+    want = clean_intake(spark.createDataFrame(rows, SCHEMA), cfg)
+    cols = sorted(want.columns)
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
