@@ -51,11 +51,15 @@ def checkpoint_root(spark: SparkSession) -> str | None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure ``checkpoint()`` has a target.
 
-    Uses ``spark.checkpoint.dir`` when the session has it.  When it is unset (only
-    in local tests), a fresh folder under the system temp dir is set instead.
+    Uses ``spark.checkpoint.dir`` when the session has it.  When it is unset on a
+    local master (tests), a fresh folder under the system temp dir is set instead; on
+    a cluster that would be a machine-local folder, so it is an error.
     """
     d = checkpoint_root(spark)
     if d is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
+                               "for checkpoints and scratch tables")
         d = tempfile.mkdtemp(prefix="seatwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     jd = spark.sparkContext._jsc.sc().getCheckpointDir()
