@@ -823,9 +823,6 @@ UNION ALL
 SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority),
        count(*) FILTER (WHERE o_orderpriority IS NOT NULL AND o_orderpriority NOT IN
                         ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')) FROM o""",
-}
-
-ORACLE_SQL.update({
     "stream_clean_intake": SQL_CLEAN_INTAKE,
     "line_list_semi_join": f"SELECT c_custkey, c_name FROM customer WHERE c_name IN ({SQL_SPECIAL_LIST})",
     "flagship_union_form": f"WITH {SQL_ADMITTED} SELECT c_custkey, c_mktsegment, score FROM admitted",
@@ -875,9 +872,6 @@ k AS (SELECT m.lumped AS p_brand, count(*) AS n FROM part LEFT JOIN m USING (p_b
 s AS (SELECT *, n / sum(n) OVER () AS p FROM k)
 SELECT p_brand, n, round(p, 9) AS p, row_number() OVER (ORDER BY p, p_brand) AS p_brand_ord,
        printf('%.1f%%', round(p * 100.0, 1)) AS label FROM s""",
-})
-
-ORACLE_SQL.update({
     "glimpse": """
 WITH h AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)
 SELECT 'c_custkey' AS "column", 'bigint' AS type,
@@ -893,9 +887,6 @@ WITH {SQL_ADMITTED}
 SELECT c_mktsegment, round(avg(TRY_CAST(CASE WHEN c_acctbal < 0 THEN '' ELSE CAST(c_acctbal AS VARCHAR) END
                                         AS DOUBLE)), 9) AS mean
 FROM admitted GROUP BY 1""",
-})
-
-ORACLE_SQL.update({
     "chart_segment_share": f"""
 WITH {SQL_ADMITTED},
 datos AS (SELECT c_custkey, c_mktsegment, 'inscritos/as' AS tipo FROM admitted
@@ -904,12 +895,9 @@ c AS (SELECT c_mktsegment, tipo, count(*) AS n FROM datos GROUP BY 1, 2),
 f AS (SELECT * FROM c WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')),
 s AS (SELECT *, n / sum(n) OVER (PARTITION BY tipo) AS p FROM f)
 SELECT c_mktsegment, tipo, n, round(p, 9) AS p, printf('%.1f%%', round(p * 100.0, 1)) AS label FROM s""",
-})
-
-ORACLE_SQL.update({
     "answer_counts": """
 WITH c AS (SELECT nullif(c_mktsegment, 'MACHINERY') AS seg, c_nationkey, c_mktsegment FROM customer)
 SELECT 'seg' AS "column", seg AS value, count(*) AS n FROM c GROUP BY seg
 UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM c GROUP BY c_nationkey
 UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(*) FROM c GROUP BY c_mktsegment""",
-})
+}
