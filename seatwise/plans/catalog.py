@@ -493,7 +493,13 @@ def distinct_rows(spark, sf):
 
 
 def density_q(spark, sf):
-    d = density(_t(spark, sf, "part"), "p_size", points=64)
+    """The chart estimator: linear binning on 512 points, kernel convolution, 512-point grid."""
+    d = density(_t(spark, sf, "part"), "p_size", points=512)
+    return d.select("i", _r9("x").alias("x"), _r9("density").alias("density"))
+
+
+def density_exact(spark, sf):
+    d = density(_t(spark, sf, "part"), "p_size", points=64, method="exact")
     return d.select("i", _r9("x").alias("x"), _r9("density").alias("density"))
 
 
@@ -647,6 +653,7 @@ QUERIES: dict[str, Query] = {
     "cutoff_text_time": cutoff_text_time,
     "distinct_rows": distinct_rows,
     "density": density_q,
+    "density_exact": density_exact,
     "display_labels": display_labels_q,
     "chart_top_share": chart_top_share,
     "chart_segment_share": chart_segment_share,
@@ -674,6 +681,32 @@ def _sql_sample(weight_sql: str, source: str) -> str:
 
 SQL_SCORED = f"(SELECT *, {SQL_SCORE} FROM (SELECT *, c_mktsegment AS seg FROM customer) c) x)"
 
+SQL_NRD0 = """
+WITH v AS (SELECT CAST(p_size AS DOUBLE) AS x FROM part WHERE p_size IS NOT NULL),
+s AS (SELECT count(*) AS n, stddev_samp(x) AS sd, quantile_cont(x, 0.25) AS q1,
+             quantile_cont(x, 0.75) AS q3, min(x) AS mn, max(x) AS mx FROM v),
+b AS (SELECT *, 0.9 * CASE WHEN least(sd, (q3 - q1) / 1.34) > 0 THEN least(sd, (q3 - q1) / 1.34)
+                           WHEN sd > 0 THEN sd WHEN abs(mn) > 0 THEN abs(mn) ELSE 1.0 END
+                  * pow(n, -0.2) AS h FROM s)"""
+
+SQL_DENSITY_BINNED = SQL_NRD0 + """,
+g AS (SELECT *, mn - 4 * h AS lo, mx + 4 * h AS up FROM b),
+w AS (SELECT floor((v.x - g.lo) / ((g.up - g.lo) / 511.0)) AS ix,
+             (v.x - g.lo) / ((g.up - g.lo) / 511.0) - floor((v.x - g.lo) / ((g.up - g.lo) / 511.0)) AS fx
+      FROM v, g),
+bins AS (SELECT idx, sum(wt) AS c
+         FROM (SELECT ix AS idx, 1.0 - fx AS wt FROM w UNION ALL SELECT ix + 1, fx FROM w)
+         WHERE idx >= 0 AND idx < 512 GROUP BY idx),
+d AS (SELECT r.j, greatest(0.0, sum(bins.c / g.n * exp(-0.5 * pow(abs(bins.idx - r.j) * (2 * (g.up - g.lo) / 1023.0)
+                                                                / g.h, 2)) / (g.h * sqrt(2 * pi())))) AS dens
+      FROM range(512) r(j), bins, g GROUP BY r.j),
+u AS (SELECT i, g.mn + i * (g.mx - g.mn) / 511.0 AS xu, g.lo, g.up FROM range(512) t(i), g),
+uj AS (SELECT i, xu, least(floor((xu - lo) / ((up - lo) / 511.0)), 511) AS j0,
+              (xu - lo) / ((up - lo) / 511.0) - least(floor((xu - lo) / ((up - lo) / 511.0)), 511) AS t FROM u)
+SELECT CAST(uj.i AS INTEGER) AS i, round(uj.xu, 9) AS x,
+       round(d0.dens + uj.t * (coalesce(d1.dens, d0.dens) - d0.dens), 9) AS density
+FROM uj JOIN d d0 ON d0.j = uj.j0 LEFT JOIN d d1 ON d1.j = uj.j0 + 1"""
+
 SQL_DENSITY = """
 WITH v AS (SELECT CAST(p_size AS DOUBLE) AS x FROM part WHERE p_size IS NOT NULL),
 s AS (SELECT count(*) AS n, stddev_samp(x) AS sd, quantile_cont(x, 0.25) AS q1,
@@ -793,7 +826,8 @@ SELECT c_custkey, c_mktsegment, c_nationkey, 'postulaciones' AS tipo FROM custom
     "cutoff_inclusive": "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00'",
     "cutoff_text_time": "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-15 00:00:00'",
     "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_tax FROM lineitem",
-    "density": SQL_DENSITY,
+    "density": SQL_DENSITY_BINNED,
+    "density_exact": SQL_DENSITY,
     "csv2_roundtrip": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
     "snapshot_anonymised": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "column_profile": """
