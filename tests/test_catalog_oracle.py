@@ -28,3 +28,16 @@ def test_entry_smoke(spark):
     from __spark_entry__ import entry
     rows = entry(spark).collect()
     assert len(rows) > 0 and set(rows[0].asDict()) == {"c_mktsegment", "n", "p"}
+
+
+def test_entry_matches_sql_at_sf0001(spark):
+    from __spark_entry__ import entry
+    from seatwise.plans.catalog import SEATS, SQL_ADMITTED
+    from tools.oracle_check import duck
+    con = duck("/root/testdata/sf0.001")
+    sql = ("WITH " + SQL_ADMITTED.replace(f"LIMIT {SEATS}", "LIMIT 40") +
+           " SELECT c_mktsegment, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS p"
+           " FROM admitted GROUP BY c_mktsegment")
+    want = sorted(con.execute(sql).fetchall())
+    got = sorted(tuple(r) for r in entry(spark).select("c_mktsegment", "n", "p").collect())
+    assert got == want
