@@ -536,6 +536,16 @@ def chart_segment_share(spark, sf):
     return c.select("c_mktsegment", "tipo", "n", _r9("p").alias("p"), percent_label("p", 1).alias("label"))
 
 
+def chart_null_kept_share(spark, sf):
+    """The chart that drops one answer but keeps unanswered rows: count per level and
+    population, filter_out (null level kept), share inside each population."""
+    adm = _admitted(spark, sf, rank=True).select("id", "c_custkey", "c_mktsegment")
+    datos = stack_populations(adm, _t(spark, sf, "customer"), numeric=())
+    datos = datos.withColumn("seg", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")))
+    c = filter_out(count_by(datos, ["seg", "tipo"], ordered=False), F.col("seg") == "BUILDING")
+    return share_within(c, "tipo").select("seg", "tipo", "n", _r9("p").alias("p"))
+
+
 def csv2_roundtrip(spark, sf):
     s = _t(spark, sf, "supplier")
     path = write_csv2(s, scratch_path(spark, "supplier-csv2"))
@@ -657,6 +667,7 @@ QUERIES: dict[str, Query] = {
     "display_labels": display_labels_q,
     "chart_top_share": chart_top_share,
     "chart_segment_share": chart_segment_share,
+    "chart_null_kept_share": chart_null_kept_share,
     "csv2_roundtrip": csv2_roundtrip,
     "snapshot_anonymised": snapshot_anonymised,
     "column_profile": column_profile_q,
@@ -934,4 +945,11 @@ WITH c AS (SELECT nullif(c_mktsegment, 'MACHINERY') AS seg, c_nationkey, c_mktse
 SELECT 'seg' AS "column", seg AS value, count(*) AS n FROM c GROUP BY seg
 UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM c GROUP BY c_nationkey
 UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(*) FROM c GROUP BY c_mktsegment""",
+    "chart_null_kept_share": f"""
+WITH {SQL_ADMITTED},
+datos AS (SELECT c_mktsegment, 'inscritos/as' AS tipo FROM admitted
+          UNION ALL SELECT c_mktsegment, 'postulaciones' AS tipo FROM customer),
+c AS (SELECT nullif(c_mktsegment, 'MACHINERY') AS seg, tipo, count(*) AS n FROM datos GROUP BY 1, 2),
+f AS (SELECT * FROM c WHERE NOT coalesce(seg = 'BUILDING', false))
+SELECT seg, tipo, n, round(n / sum(n) OVER (PARTITION BY tipo), 9) AS p FROM f""",
 }
