@@ -35,6 +35,18 @@ def to_timestamp_utc(col, fmt: str | None = None) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
 
 
+def as_timestamp(df, col: str) -> Column:
+    """``col`` as a timestamp the way the intake reads closing times: timestamps as
+    they are, numbers as seconds since the epoch (UTC), text parsed in the session
+    time zone (null when unparsable)."""
+    dt = df.schema[col].dataType
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(col)
+    if isinstance(dt, T.NumericType):
+        return F.timestamp_seconds(F.col(col))
+    return to_timestamp_utc(col)
+
+
 def timestamp_literal(value: str, like: T.DataType | None = None) -> Column:
     """A timestamp literal of the same kind as the column it is compared with."""
     if isinstance(like, T.TimestampNTZType):

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from seatwise.functions.convert import timestamp_literal, to_timestamp_utc
+from seatwise.functions.convert import as_timestamp, timestamp_literal
 from seatwise.functions.nulls import case_default
 from seatwise.functions.text import remove_all, squish
 from seatwise.operators.columns import across_strings, drop_prefix_keep
@@ -38,8 +37,7 @@ def clean_intake(df: DataFrame, cfg: IntakeConfig | None = None) -> DataFrame:
         out = out.filter(F.col(name) != F.lit(test))
     has_sid = sid in out.columns
     out = drop_prefix_keep(out, cfg.time_prefix, keep=[t] + ([sid] if has_sid else []), drop=[])
-    if not isinstance(out.schema[t].dataType, (T.TimestampType, T.TimestampNTZType)):
-        out = out.withColumn(t, to_timestamp_utc(t))
+    out = out.withColumn(t, as_timestamp(out, t))
     out = out.withColumns({
         name: F.lower(squish(name)),
         mail: remove_all(F.lower(F.col(mail)), " "),

@@ -90,3 +90,11 @@ def test_recode_case_and_map_forms_agree(spark):
     df = spark.createDataFrame([("k1",), ("k3",), ("zz",), (None,), ("k40",)], "x string")
     assert [r["y"] for r in df.select(recode("x", small).alias("y")).collect()] == ["v1", "v3", "zz", None, "k40"]
     assert [r["y"] for r in df.select(recode("x", big).alias("y")).collect()] == ["v1", "v3", "zz", None, "v40"]
+
+
+def test_as_timestamp_kinds(spark):
+    from seatwise.functions.convert import as_timestamp
+    df = spark.createDataFrame([(1781395200, "2026-06-14 00:00:00", "2026-06-14T00:00:00Z", "nope")],
+                               "n long, s string, iso string, bad string")
+    r = df.select(*[as_timestamp(df, c).cast("string").alias(c) for c in df.columns]).first()
+    assert r["n"] == r["s"] == r["iso"] == "2026-06-14 00:00:00" and r["bad"] is None
