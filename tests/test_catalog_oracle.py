@@ -41,3 +41,23 @@ def test_entry_matches_sql_at_sf0001(spark):
     want = sorted(con.execute(sql).fetchall())
     got = sorted(tuple(r) for r in entry(spark).select("c_mktsegment", "n", "p").collect())
     assert got == want
+
+
+ORDER_SENSITIVE = ["flagship_seat_draw", "weighted_sample", "weighted_sample_threshold", "first_submission",
+                   "first_submission_window", "ordinal_rank", "score_rules", "recipient_list",
+                   "lump_top_n", "category_order", "sort_text_number", "clean_intake"]
+
+
+@pytest.mark.parametrize("name", ORDER_SENSITIVE)
+def test_same_rows_with_other_partitioning(spark, con, name):
+    from __spark_entry__ import oracle_sql, queries
+    from tools.oracle_check import compare
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ok, msg = compare(spark, con, name, queries()[name], oracle_sql()[name], SF01)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert ok, msg
