@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatwise.functions.convert import to_number
@@ -81,18 +83,33 @@ def harmonise(admitted: DataFrame, applicants: DataFrame, tipo: str = "tipo",
     return codebook_labels(datos, codebook) if codebook is not None else display_labels(datos)
 
 
-def _label(df: DataFrame, digits: int = 1) -> DataFrame:
+def auto_percent_digits(df: DataFrame, p: str = "p") -> int:
+    """Digits the percent labeller picks when no accuracy is given: one decimal finer
+    than the smallest gap between distinct percent values, never coarser than whole
+    percents (0 digits); one distinct value gives 0.  Runs on a chart table (one row
+    per level), so the scalar that comes back is all that reaches the driver."""
+    vals = df.select((F.col(p) * 100.0).alias("v")).filter(F.col("v").isNotNull()).distinct()
+    gap = vals.select((F.col("v") - F.lag("v").over(Window.orderBy("v"))).alias("d")) \
+              .agg(F.min("d").alias("d")).first()["d"]
+    if gap is None or gap < 1.4901161193847656e-08:      # sqrt(machine epsilon)
+        return 0
+    return max(0, 1 - math.floor(math.log10(gap)))
+
+
+def _label(df: DataFrame, digits: int | str = 1) -> DataFrame:
+    if digits == "auto":
+        digits = auto_percent_digits(df)
     return df.withColumn("label", percent_label("p", digits))
 
 
 def gender_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     c = keep_in(count_by(datos, ["genero", tipo], ordered=False), "genero", C.GENDER_CHART_LEVELS)
-    return _label(share_within(c, tipo))
+    return _label(share_within(c, tipo), "auto")
 
 
 def lgbt_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     c = filter_out(count_by(datos, ["lgbt", tipo], ordered=False), F.col("lgbt") == C.LGBT_CHART_DROP)
-    return _label(share_within(c, tipo))
+    return _label(share_within(c, tipo), "auto")
 
 
 def level_count(datos: DataFrame, tipo: str = "tipo") -> DataFrame:

@@ -171,3 +171,11 @@ def test_conformance_without_known_questions(spark):
     from seatwise.sources.codebook import codebook_df
     df = spark.createDataFrame([("a",)], "other string")
     assert conformance(df, codebook_df(spark), ["missing_q"]).count() == 0
+
+
+def test_auto_percent_digits(spark):
+    from seatwise.plans.explore import auto_percent_digits
+    mk = lambda ps: spark.createDataFrame([(p,) for p in ps], "p double")
+    assert auto_percent_digits(mk([0.123456, 0.45678])) == 0       # gap 33 points -> whole %
+    assert auto_percent_digits(mk([0.1234, 0.1256])) == 2          # gap 0.22 points -> 0.01 %
+    assert auto_percent_digits(mk([0.5])) == 0
