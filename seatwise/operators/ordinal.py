@@ -7,9 +7,11 @@ Catalyst's size estimate of the input is at most ``single_task_bytes`` (64 MiB).
 
 ``method="range"`` is the two-phase ordinal:
 
-1. ``repartitionByRange`` on the full sort key (which must end in a unique
-   tie-break, so a hot value is split across ranges), sort within partitions, and
-   stamp ``spark_partition_id()`` and the in-partition position.
+1. ``repartitionByRange`` on the sort key plus a row hash as the last key (so a
+   value held by a third of the rows is split across ranges even when the given
+   order is not total), sort within partitions, and stamp ``spark_partition_id()``
+   and the in-partition position.  Without ``num_partitions`` the exchange takes
+   the session's shuffle partitions and AQE merges small neighbouring ranges.
 2. ``checkpoint()`` that into ``spark.checkpoint.dir``: range bounds are sampled, so
    a recomputation after a lost executor could move rows between ranges.  The
    checkpoint fixes them.
@@ -42,8 +44,9 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
 
     The order must be total (end in a unique column) for the result to be repeatable.
     Select the needed columns first: the two-phase plan checkpoints ``df`` and no
-    column can be pruned through a checkpoint.  ``method="auto"`` takes the window when Catalyst's size estimate of ``df`` (an
-    upper bound for scans, filters and projections; joins over-estimate) is at most
+    column can be pruned through a checkpoint.  ``method="auto"`` takes the window
+    when Catalyst's size estimate of ``df`` (an upper bound for scans, filters and
+    projections; joins and in-memory data count as unknown, i.e. large) is at most
     ``single_task_bytes``, and the two-phase plan otherwise.
     """
     cols = sort_cols(order)
