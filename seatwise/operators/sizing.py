@@ -4,9 +4,9 @@
   filters, projections and aggregates); when that is not already under the
   broadcast threshold, one row count.  Only a side that passes is hinted; a larger
   one is left to a shuffled join.
-* ``input_partitions`` / ``range_partitions``: partition counts derived from the
-  estimate (capped: join estimates multiply sizes), used to choose between exact
-  plans - never to force a shuffle's width, which is left to the session and AQE.
+* ``input_partitions``: read tasks implied by the estimate (capped: join estimates
+  multiply sizes), used to choose between exact plans - never to force a shuffle's
+  width, which is left to the session and AQE.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from seatwise.session import estimated_bytes
 
 MAX_BROADCAST_ROWS = 1_000_000
-TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 MAX_PARTITIONS = 200_000   # estimates of joins multiply sizes; never size a shuffle past this
 
 
@@ -46,13 +45,6 @@ def input_partitions(df: DataFrame) -> int:
     return int(min(MAX_PARTITIONS, max(1, -(-estimated_bytes(df) // max(per, 1)))))
 
 
-def range_partitions(df: DataFrame, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
-    """Partitions for a full shuffle of ``df``: at least the session's shuffle
-    partitions, more when the estimate says partitions would exceed ``target_bytes``."""
-    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(MAX_PARTITIONS, max(base, -(-estimated_bytes(df) // target_bytes))))
-
-
 def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Round-robin ``df`` over ``tasks`` (default: the cluster's cores) when its input
     would give fewer read tasks than that - e.g. one large row group, which Spark
