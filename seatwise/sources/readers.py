@@ -46,15 +46,19 @@ def comma_decimal(col) -> F.Column:
 
 
 def read_csv2(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              decimal_cols: Sequence[str] | None = None, na: str = "NA") -> DataFrame:
+              decimal_cols: Sequence[str] | None = None, na: str = "NA",
+              multiline: bool = False) -> DataFrame:
     """``;``-separated CSV with a header, ``NA`` for missing, comma decimals.
 
     With a ``schema``, string columns listed in ``decimal_cols`` are converted.
     Without one, types are inferred (a scan) and string columns whose every value is a
     comma-decimal number are detected with one more aggregate pass and converted.
     """
+    # Quotes inside quoted fields are doubled (RFC 4180, as R writes them).  Fields
+    # holding line breaks need multiline=True, which reads each file in one task.
     r = (spark.read.option("sep", ";").option("header", True).option("nullValue", na)
-         .option("encoding", "UTF-8"))
+         .option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+         .option("multiLine", multiline))
     df = r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if decimal_cols is None and schema is None and strings:

@@ -36,7 +36,8 @@ def csv2_frame(df: DataFrame) -> DataFrame:
 def write_csv2(df: DataFrame, path: str, mode: str = "overwrite", na: str = "NA") -> str:
     """``;``-separated CSV with a header, comma decimals and ``NA`` for missing."""
     (csv2_frame(df).write.mode(mode).option("sep", ";").option("header", True)
-        .option("nullValue", na).option("emptyValue", "").csv(path))
+        .option("nullValue", na).option("emptyValue", "").option("quote", '"').option("escape", '"')
+        .csv(path))
     return path
 
 

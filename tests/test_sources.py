@@ -60,3 +60,10 @@ def test_csv2_roundtrip_large_and_small_doubles(spark, scratch):
     df = spark.createDataFrame([(1, 12345678.9), (2, 1.5e-7), (3, -2.5e10)], "id int, x double")
     back = {r["id"]: r["x"] for r in read_csv2(spark, write_csv2(df, f"{scratch}/big")).collect()}
     assert back == {1: 12345678.9, 2: 1.5e-7, 3: -2.5e10}
+
+
+def test_csv2_quotes_separators_and_line_breaks(spark, scratch):
+    df = spark.createDataFrame([(1, 'a;b "c"\nd', 2.5)], "id int, s string, x double")
+    path = write_csv2(df, f"{scratch}/q")
+    back = read_csv2(spark, path, multiline=True).collect()
+    assert back[0]["s"] == 'a;b "c"\nd' and back[0]["x"] == 2.5
