@@ -94,3 +94,28 @@ def estimated_bytes(df) -> int:
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(size if isinstance(size, int) else size.toString())
+
+
+def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a run over ``input_bytes`` of input on ``cores`` executor cores.
+
+    * read splits of ``partition_bytes`` (fewer, larger scan tasks);
+    * shuffles start at about one partition per ``partition_bytes`` of input (at least
+      three waves of the cores) and AQE merges them down to ``partition_bytes``;
+    * AQE splits skewed join partitions; broadcasts stay small (the size checks in
+      ``operators/sizing`` hint only proven-small sides);
+    * checkpoint files are cleaned when unreferenced.
+    Pass the result as ``extra`` to ``build_session`` (or to spark-submit ``--conf``).
+    """
+    initial = max(3 * cores, -(-int(input_bytes) // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }

@@ -34,3 +34,10 @@ def test_auto_draw_switches_plan_when_the_merge_would_grow(spark, monkeypatch):
     p = big._jdf.queryExecution().executedPlan().toString()
     assert "LOG2" in p.upper()        # the histogram bucket filter ahead of any top-k
     assert {r["c_custkey"] for r in big.collect()} == topk
+
+
+def test_scale_conf():
+    from seatwise.session import scale_conf
+    c = scale_conf(100 * 2**40, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_conf(10, 8)["spark.sql.shuffle.partitions"] == "24"
