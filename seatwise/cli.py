@@ -1,6 +1,8 @@
 """Command-line jobs: the selection run and the exploration run.
 
-    python -m seatwise.cli select --responses PATH --snapshot OUT --admitted OUT
+    python -m seatwise.cli select (--responses PATH | --jdbc-url URL --jdbc-table T
+                                  --jdbc-partition-column C [--jdbc-lower L --jdbc-upper U])
+                                  --snapshot OUT --admitted OUT
                                   [--special FILE] [--seats 160] [--seed N] [--null-scores error|skip]
                                   [--exclude-name NAME ...] [--cutoff TS]
                                   [--recipients OUT] [--report OUT] [--admitted-csv OUT]
@@ -26,12 +28,22 @@ from seatwise.plans.report import profile_report, recipient_list
 from seatwise.plans.selection import score_applicants, seat_draw
 from seatwise.session import build_session
 from seatwise.sources.codebook import response_schema
-from seatwise.sources.readers import read_csv2, read_line_list, read_parquet
+from seatwise.sources.readers import read_csv2, read_jdbc, read_line_list, read_parquet
 from seatwise.sources.writers import write_csv2, write_text_lines
 
 
+def read_responses(spark: SparkSession, a: argparse.Namespace):
+    """The response table: a parquet folder, or a database table over JDBC read in
+    ``--jdbc-partitions`` parallel ranges of ``--jdbc-partition-column``."""
+    if a.jdbc_url:
+        props = {"user": a.jdbc_user} if a.jdbc_user else {}
+        return read_jdbc(spark, a.jdbc_url, a.jdbc_table, a.jdbc_partition_column,
+                         a.jdbc_lower, a.jdbc_upper, a.jdbc_partitions, props)
+    return read_parquet(spark, a.responses, schema=response_schema())
+
+
 def run_select(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
-    raw = read_parquet(spark, a.responses, schema=response_schema())
+    raw = read_responses(spark, a)
     clean = clean_intake(raw, IntakeConfig(exclude_names=tuple(a.exclude_name or ()), cutoff=a.cutoff))
     # The cleaned table feeds the snapshot, the score and the draw: write it once.
     clean = clean.checkpoint(eager=True)
@@ -70,7 +82,16 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="seatwise")
     sub = p.add_subparsers(dest="cmd", required=True)
     s = sub.add_parser("select", help="clean, score and draw seats")
-    s.add_argument("--responses", required=True)
+    src = s.add_mutually_exclusive_group(required=True)
+    src.add_argument("--responses", help="parquet folder of responses")
+    src.add_argument("--jdbc-url", help="JDBC URL of the response database (password via the URL "
+                                        "or the driver's own configuration)")
+    s.add_argument("--jdbc-table")
+    s.add_argument("--jdbc-user")
+    s.add_argument("--jdbc-partition-column", help="numeric or timestamp column to split the read on")
+    s.add_argument("--jdbc-lower", type=int, default=0)
+    s.add_argument("--jdbc-upper", type=int, default=1)
+    s.add_argument("--jdbc-partitions", type=int, default=8)
     s.add_argument("--snapshot", required=True)
     s.add_argument("--admitted", required=True)
     s.add_argument("--admitted-csv")
@@ -92,7 +113,10 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
-    a = parser().parse_args(argv)
+    p = parser()
+    a = p.parse_args(argv)
+    if a.cmd == "select" and a.jdbc_url and not (a.jdbc_table and a.jdbc_partition_column):
+        p.error("--jdbc-url needs --jdbc-table and --jdbc-partition-column")
     spark = spark or build_session()
     return run_select(spark, a) if a.cmd == "select" else run_explore(spark, a)
 

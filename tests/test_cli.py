@@ -27,3 +27,12 @@ def test_select_then_explore(spark, scratch):
     assert spark.read.parquet(charts["age"]).count() == 512
     g = spark.read.parquet(charts["gender"]).groupBy("tipo").sum("p").collect()
     assert all(abs(r["sum(p)"] - 1) < 1e-9 for r in g)
+
+
+def test_jdbc_arguments_are_checked():
+    import pytest
+    from seatwise.cli import main
+    with pytest.raises(SystemExit):
+        main(["select", "--jdbc-url", "jdbc:x://h/db", "--snapshot", "s", "--admitted", "a"])
+    with pytest.raises(SystemExit):
+        main(["select", "--responses", "r", "--jdbc-url", "jdbc:x://h/db", "--snapshot", "s", "--admitted", "a"])
