@@ -80,12 +80,12 @@ def title_case(col) -> Column:
 def percent_label(col, digits: int = 1) -> Column:
     """Share in [0, 1] as a percent label, e.g. ``0.1234`` -> ``12.3%``.
 
-    Rounded half-up first so that every printf-style formatter prints the same digits.
-    A null share stays null.
+    Rounded first with ties to even (as R's ``round`` does for the labeller), so
+    every printf-style formatter then prints the same digits.  A null share stays null.
     """
     d = int(digits)
     c = _c(col)
-    return F.when(c.isNotNull(), F.format_string(f"%.{d}f%%", F.round(c * 100.0, d)))
+    return F.when(c.isNotNull(), F.format_string(f"%.{d}f%%", F.bround(c * 100.0, d)))
 
 
 def slug(col) -> Column:

@@ -817,7 +817,7 @@ SELECT p_partkey, array_to_string(list_transform(string_split(lower(concat_ws('
        lambda w: upper(w[1]) || w[2:]), ' ') AS v FROM part""",
     "percent_label": """
 SELECT l_returnflag, count(*) AS n,
-       printf('%.1f%%', round(count(*) / sum(count(*)) OVER () * 100.0, 1)) AS label
+       printf('%.1f%%', round_even(count(*) / sum(count(*)) OVER () * 100.0, 1)) AS label
 FROM lineitem GROUP BY 1""",
     "recode": """
 SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open'
@@ -916,7 +916,7 @@ m AS (SELECT p_brand, CASE WHEN rk <= 7 OR n_out <= 1 THEN p_brand ELSE 'Other b
 k AS (SELECT m.lumped AS p_brand, count(*) AS n FROM part LEFT JOIN m USING (p_brand) GROUP BY 1),
 s AS (SELECT *, n / sum(n) OVER () AS p FROM k)
 SELECT p_brand, n, round(p, 9) AS p, row_number() OVER (ORDER BY p, p_brand) AS p_brand_ord,
-       printf('%.1f%%', round(p * 100.0, 1)) AS label FROM s""",
+       printf('%.1f%%', round_even(p * 100.0, 1)) AS label FROM s""",
     "glimpse": """
 WITH h AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)
 SELECT 'c_custkey' AS "column", 'bigint' AS type,
@@ -939,7 +939,7 @@ datos AS (SELECT c_custkey, c_mktsegment, 'inscritos/as' AS tipo FROM admitted
 c AS (SELECT c_mktsegment, tipo, count(*) AS n FROM datos GROUP BY 1, 2),
 f AS (SELECT * FROM c WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')),
 s AS (SELECT *, n / sum(n) OVER (PARTITION BY tipo) AS p FROM f)
-SELECT c_mktsegment, tipo, n, round(p, 9) AS p, printf('%.1f%%', round(p * 100.0, 1)) AS label FROM s""",
+SELECT c_mktsegment, tipo, n, round(p, 9) AS p, printf('%.1f%%', round_even(p * 100.0, 1)) AS label FROM s""",
     "answer_counts": """
 WITH c AS (SELECT nullif(c_mktsegment, 'MACHINERY') AS seg, c_nationkey, c_mktsegment FROM customer)
 SELECT 'seg' AS "column", seg AS value, count(*) AS n FROM c GROUP BY seg

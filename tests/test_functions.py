@@ -98,3 +98,9 @@ def test_as_timestamp_kinds(spark):
                                "n long, s string, iso string, bad string")
     r = df.select(*[as_timestamp(df, c).cast("string").alias(c) for c in df.columns]).first()
     assert r["n"] == r["s"] == r["iso"] == "2026-06-14 00:00:00" and r["bad"] is None
+
+
+def test_percent_label_ties_to_even(spark):
+    assert one(spark, percent_label("x", 1), 0.1225, "double") == "12.2%"    # exactly 12.25: tie to even
+    assert one(spark, percent_label("x", 0), 0.125, "double") == "12%"       # exact tie 12.5 -> 12
+    assert one(spark, percent_label("x", 0), 0.135, "double") == "14%"
