@@ -43,13 +43,21 @@ def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | N
     return df.join(broadcast_checked(levels)[0], on=col, how="left")
 
 
+EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+
+
 def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
-               name: str | None = None, per_level: bool = False) -> DataFrame:
+               name: str | None = None, per_level: bool = False,
+               median: str = "auto") -> DataFrame:
     """Add ``name`` (default ``<col>_ord``): levels by median ``measure`` ascending,
     ties broken by ``prior`` (an earlier ordinal) or by the level itself.
 
     ``per_level=True``: one row per level, so the median is the value itself and
-    the ordinal is a window over those rows.
+    the ordinal is a window over those rows.  Otherwise the median per level is exact
+    while the measure has at most ``EXACT_MEDIAN_MAX_DISTINCT`` distinct values (an
+    exact median keeps every distinct value of a level in one buffer, and a level may
+    hold a third of the rows); beyond that, or with ``median="approx"``, a bounded
+    quantile sketch is used.
     """
     name = name or f"{col}_ord"
     tie = F.asc(prior) if prior else F.asc(col)
@@ -57,6 +65,10 @@ def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
         order = Window.orderBy(F.asc(measure), tie)
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     keys = [col] + ([prior] if prior else [])
-    med = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(F.median(measure).alias("__med"))
+    if median == "auto":
+        ndv = df.agg(F.approx_count_distinct(measure).alias("n")).first()["n"]
+        median = "exact" if ndv <= EXACT_MEDIAN_MAX_DISTINCT else "approx"
+    agg = F.median(measure) if median == "exact" else F.percentile_approx(measure, 0.5, 100_000)
+    med = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(agg.alias("__med"))
     ordered = ordinal(med, ["__med"] + ([prior] if prior else []) + [col], name=name).select(col, name)
     return df.join(broadcast_checked(ordered)[0], on=col, how="left")

@@ -213,3 +213,11 @@ def test_density_sketch_quartiles_close_to_exact(spark):
     a = [r["density"] for r in density(p, "p_size", points=33, quantiles="exact").orderBy("i").collect()]
     b = [r["density"] for r in density(p, "p_size", points=33, quantiles="approx").orderBy("i").collect()]
     assert max(abs(x - y) for x, y in zip(a, b)) < 1e-3
+
+
+def test_reorder_by_median_many_rows_per_level(spark):
+    rows = [("a", 5.0), ("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0), ("c", 0.5)]
+    df = spark.createDataFrame(rows, "lv string, m double")
+    for median in ("auto", "exact", "approx"):
+        o = {r["lv"]: r["lv_ord"] for r in reorder_by(df, "lv", "m", median=median).distinct().collect()}
+        assert o == {"c": 1, "a": 2, "b": 3}, median
