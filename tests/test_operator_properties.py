@@ -20,7 +20,7 @@ def _first_by_python(rows):
     return sorted((v[1] for v in best.values()), key=repr)
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=12, deadline=None, derandomize=True)
 @given(ROWS)
 def test_first_per_key_matches_python(spark, rows):
     df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "k string, t int, tie int")
@@ -38,7 +38,7 @@ def _lump_python(values, n, other):
     return [None if v is None else (v if rank[v] <= n else other) for v in values]
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=12, deadline=None, derandomize=True)
 @given(st.lists(st.one_of(st.none(), st.sampled_from(list("abcdefg"))), min_size=1, max_size=60),
        st.integers(1, 5))
 def test_lump_matches_python(spark, values, n):
@@ -49,7 +49,7 @@ def test_lump_matches_python(spark, values, n):
     assert sum(counts.values()) == len(values)
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=8, deadline=None, derandomize=True)
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 1000)),
                 min_size=1, max_size=50, unique_by=lambda x: x[1]))
 def test_ordinal_matches_sorted(spark, rows):
