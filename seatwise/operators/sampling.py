@@ -55,11 +55,12 @@ def sampling_key(id_col, weight: Column, seed: int | Column) -> Column:
 
 def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | None = None,
                     seed: int = 1, on_short: str = "error", null_weight: str = "error",
-                    strategy: str = "auto") -> DataFrame:
+                    strategy: str = "auto", negative_weight: str = "error") -> DataFrame:
     """Draw ``k`` rows of ``df`` without replacement, chance proportional to ``weight``.
 
-    ``weight=None`` is the uniform draw.  Rows with weight <= 0 are never drawn.  A
-    null weight raises (``null_weight="error"``) or is skipped (``"skip"``).  When
+    ``weight=None`` is the uniform draw.  Rows with weight 0 are never drawn.  A
+    null weight raises (``null_weight="error"``) or is skipped (``"skip"``); so does
+    a negative one (``negative_weight``).  When
     fewer than ``k`` rows can be drawn, ``on_short="error"`` raises and ``"all"``
     returns every drawable row.  Returns the drawn rows with all their columns.
     """
@@ -67,14 +68,19 @@ def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | N
         raise ValueError("k must be >= 0")
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     w = w.cast("double")
+    wc = F.col("__w")
     if null_weight == "error":
-        # One reference to the weight for both the null check and the > 0 test.
-        keep = F.coalesce(w > 0, F.raise_error(F.lit("null weight in weighted_sample")).cast("boolean"))
+        keep = F.coalesce(wc > 0, F.raise_error(F.lit("null weight in weighted_sample")).cast("boolean"))
     elif null_weight == "skip":
-        keep = w > 0
+        keep = wc > 0
     else:
         raise ValueError(f"unknown null_weight {null_weight!r}")
-    eligible = df.withColumn("__w", w).filter(keep).withColumn("__key", sampling_key(id_col, F.col("__w"), seed)) \
+    if negative_weight == "error":
+        keep = F.when(wc < 0, F.raise_error(F.lit("negative weight in weighted_sample")).cast("boolean")) \
+                .otherwise(keep)
+    elif negative_weight != "skip":
+        raise ValueError(f"unknown negative_weight {negative_weight!r}")
+    eligible = df.withColumn("__w", w).filter(keep).withColumn("__key", sampling_key(id_col, wc, seed)) \
         .drop("__w")
     if strategy == "auto":
         small_merge = k * input_partitions(df) <= TOPK_MERGE_ROWS

@@ -221,3 +221,11 @@ def test_reorder_by_median_many_rows_per_level(spark):
     for median in ("auto", "exact", "approx"):
         o = {r["lv"]: r["lv_ord"] for r in reorder_by(df, "lv", "m", median=median).distinct().collect()}
         assert o == {"c": 1, "a": 2, "b": 3}, median
+
+
+def test_negative_weight(customers):
+    w = F.when(F.col("c_nationkey") == 3, -1.0).otherwise(1.0)
+    with pytest.raises(Exception):
+        weighted_sample(customers, 10, "c_custkey", w, seed=1, on_short="all").collect()
+    got = weighted_sample(customers, 10, "c_custkey", w, seed=1, negative_weight="skip")
+    assert got.filter(F.col("c_nationkey") == 3).count() == 0 and got.count() == 10
