@@ -104,7 +104,8 @@ def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -
       three waves of the cores) and AQE merges them down to ``partition_bytes``;
     * AQE splits skewed join partitions; broadcasts stay small (the size checks in
       ``operators/sizing`` hint only proven-small sides);
-    * checkpoint files are cleaned when unreferenced.
+    * checkpoint files are cleaned when unreferenced;
+    * streaming state lives in RocksDB (local disk) instead of the executor heap.
     Pass the result as ``extra`` to ``build_session`` (or to spark-submit ``--conf``).
     """
     initial = max(3 * cores, -(-int(input_bytes) // partition_bytes))
@@ -118,4 +119,7 @@ def scale_conf(input_bytes: int, cores: int, partition_bytes: int = 256 << 20) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # streaming intake state (one row per person) on local disk, not executor heap
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
