@@ -50,7 +50,11 @@ def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
     would give fewer read tasks than that - e.g. one large row group, which Spark
     cannot split, feeding CPU-heavy per-row work such as regexes over whole texts.
     With enough input splits (any large table) it returns ``df`` unchanged."""
-    tasks = tasks or df.sparkSession.sparkContext.defaultParallelism
+    if not tasks:
+        try:
+            tasks = df.sparkSession.sparkContext.defaultParallelism
+        except Exception:      # no JVM context: use the session's shuffle width
+            tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if input_partitions(df) >= tasks:
         return df
     return df.repartition(tasks)

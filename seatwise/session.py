@@ -41,13 +41,24 @@ def build_session(master: str | None = None, app: str = "seatwise",
     return spark
 
 
+def _context_checkpoint_dir(spark: SparkSession) -> str | None:
+    try:
+        jd = spark.sparkContext._jsc.sc().getCheckpointDir()
+    except Exception:          # no JVM context (e.g. a Spark Connect client)
+        return None
+    return jd.get() if jd.isDefined() else None
+
+
+def _master(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.master
+    except Exception:
+        return spark.conf.get("spark.master", "")
+
+
 def checkpoint_root(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by the session, or None when unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d
-    jd = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return jd.get() if jd.isDefined() else None
+    return spark.conf.get("spark.checkpoint.dir", None) or _context_checkpoint_dir(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -59,14 +70,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = checkpoint_root(spark)
     if d is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not _master(spark).startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
                                "for checkpoints and scratch tables")
         d = tempfile.mkdtemp(prefix="seatwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    jd = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not jd.isDefined():
-        spark.sparkContext.setCheckpointDir(d)
+    if _context_checkpoint_dir(spark) is None:
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:      # no JVM context: the conf setting is what checkpoint() reads
+            pass
     return d
 
 
@@ -85,6 +98,9 @@ __all__ = ["build_session", "checkpoint_root", "ensure_checkpoint_dir", "scratch
            "local_path", "DEFAULT_CONF"]
 
 
+UNKNOWN_BYTES = 2 ** 63 - 1
+
+
 def estimated_bytes(df) -> int:
     """Catalyst's size estimate of ``df`` (``sizeInBytes`` of the optimized plan).
 
@@ -92,7 +108,10 @@ def estimated_bytes(df) -> int:
     (file size scaled to the read columns); joins and unions over-estimate.  Used
     only to pick the cheaper of two exact plans.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    except Exception:          # no plan statistics available: treat as unknown, i.e. large
+        return UNKNOWN_BYTES
     return int(size if isinstance(size, int) else size.toString())
 
 
