@@ -74,3 +74,16 @@ def test_clean_intake_pushes_row_filters_to_the_scan(spark, scratch):
     p = plan(clean_intake(raw, IntakeConfig(exclude_names=(TEST_NAME,))))
     assert "IsNotNull(correo)" in p and f"Not(EqualTo(nombre,{TEST_NAME}))" in p
     assert "time_start" not in p.split("ReadSchema:")[1].split("\n")[0]    # dropped column not read
+
+
+def test_no_query_pairs_rows_or_runs_python(spark):
+    """Across the whole catalogue: no Cartesian product, no nested-loop join (a cross
+    join in disguise), no Python evaluation."""
+    from seatwise.plans.catalog import QUERIES
+    bad = {}
+    for name, fn in QUERIES.items():
+        p = plan(fn(spark, SF01))
+        hits = [k for k in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython") if k in p]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
