@@ -64,6 +64,8 @@ def collapse(df: DataFrame, col: str, order: Sequence[str] | str, sep: str = ",
     """
     from seatwise.operators.ordinal import ordinal
 
+    if batch_size < 1:
+        raise ValueError("batch_size must be >= 1")
     order = _list(order)
     ranked = ordinal(df.select(col, *[o.lstrip("-") for o in order if o.lstrip("-") != col]),
                      order, name="__i")
