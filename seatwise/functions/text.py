@@ -64,6 +64,8 @@ def wrap(col, width: int) -> Column:
 
     White space is squished first.  A word longer than ``width`` stays whole.
     """
+    if int(width) < 1:
+        raise ValueError("width must be >= 1")
     s = squish(col)
     wrapped = F.regexp_replace(s, f"(.{{1,{int(width)}}})( +|$)", "$1\n")
     return F.regexp_replace(wrapped, "\n+$", "")

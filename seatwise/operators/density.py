@@ -72,6 +72,8 @@ def density(df: DataFrame, col: str, points: int = 512, bw: float | None = None,
             adjust: float = 1.0, cut: float = 0.0, bin_width: float | None = None,
             quantiles: str = "auto", method: str = "binned") -> DataFrame:
     """Rows ``(i, x, density)`` for grid index ``i`` = 0..points-1."""
+    if points < 1:
+        raise ValueError("points must be >= 1")
     spark = df.sparkSession
     x = as_double(df, col)
     if bin_width:

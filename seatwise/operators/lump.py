@@ -21,6 +21,8 @@ from seatwise.operators.sizing import broadcast_checked
 
 def lump_levels(df: DataFrame, col: str, n: int, other: str = "Other") -> DataFrame:
     """Map ``col`` -> lumped level, one row per non-null level."""
+    if n < 0:
+        raise ValueError("n must be >= 0 (keeping the least frequent levels is not supported)")
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
     ranked = counts.withColumn("__rk", F.rank().over(Window.orderBy(F.desc("__n"))))
     ranked = ranked.withColumn(
