@@ -5,12 +5,12 @@ from seatwise.functions.text import (
     percent_label, remove_all, replace_all, replace_each_first, replace_first, slug, squish,
     title_case, wrap,
 )
-from seatwise.functions.convert import as_double, to_number, to_timestamp_utc, timestamp_literal
+from seatwise.functions.convert import as_double, as_timestamp, to_number, to_timestamp_utc, timestamp_literal
 from seatwise.functions.recode import recode
 
 __all__ = [
     "case_default", "filter_out", "if_else", "is_in", "keep_in", "keep_not_null",
     "percent_label", "remove_all", "replace_all", "replace_each_first", "replace_first",
     "slug", "squish", "title_case", "wrap",
-    "as_double", "to_number", "to_timestamp_utc", "timestamp_literal", "recode",
+    "as_double", "as_timestamp", "to_number", "to_timestamp_utc", "timestamp_literal", "recode",
 ]

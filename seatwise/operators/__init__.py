@@ -10,6 +10,7 @@ from seatwise.operators.ordinal import head_rows, ordinal, tail_rows
 from seatwise.operators.sampling import hash_uniform, sampling_key, weighted_sample
 from seatwise.operators.scoring import Rule, score_expr
 from seatwise.operators.shares import share_of_total, share_within
+from seatwise.operators.sizing import broadcast_checked, input_partitions, spread
 from seatwise.operators.sorting import sort_cols
 
 __all__ = [
@@ -17,5 +18,5 @@ __all__ = [
     "relocate_after", "select_any_of", "collapse", "count_by", "count_each", "count_having", "mean_strict",
     "first_per_key", "density", "lump_levels", "lump_top_n", "head_rows", "ordinal", "tail_rows",
     "hash_uniform", "sampling_key", "weighted_sample", "Rule", "score_expr", "share_of_total",
-    "share_within", "sort_cols",
+    "share_within", "sort_cols", "broadcast_checked", "input_partitions", "spread",
 ]
