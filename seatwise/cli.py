@@ -6,7 +6,7 @@
                                   [--special FILE] [--seats 160] [--seed N] [--null-scores error|skip]
                                   [--exclude-name NAME ...] [--cutoff TS]
                                   [--recipients OUT] [--report OUT] [--admitted-csv OUT]
-    python -m seatwise.cli explore --admitted-csv PATH --snapshot PATH --out DIR
+    python -m seatwise.cli explore (--admitted-csv PATH | --admitted PATH) --snapshot PATH --out DIR [--csv]
 
 ``select``: clean intake -> anonymised snapshot -> exclusions -> score and rank ->
 weighted draw + guaranteed + special list -> admitted table, recipient batches,
@@ -67,7 +67,10 @@ def run_select(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
 
 
 def run_explore(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
-    admitted = read_csv2(spark, a.admitted_csv)
+    if a.admitted_csv:
+        admitted = read_csv2(spark, a.admitted_csv)
+    else:   # the select job's parquet output: drop the personal columns and the score
+        admitted = read_parquet(spark, a.admitted).drop("nombre", "correo", "puntaje")
     applicants = read_parquet(spark, a.snapshot)
     datos = harmonise(admitted, applicants).checkpoint(eager=True)
     out = {}
@@ -75,6 +78,8 @@ def run_explore(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
         path = f"{a.out.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(path)
         out[name] = path
+        if a.csv:
+            out[f"{name}_csv"] = write_csv2(spark.read.parquet(path), f"{path}_csv")
     return out
 
 
@@ -106,9 +111,12 @@ def parser() -> argparse.ArgumentParser:
                    help="a null score (an unanswered scored question) stops the draw, or "
                         "leaves that person out of the draw")
     e = sub.add_parser("explore", help="applicants vs admitted chart tables")
-    e.add_argument("--admitted-csv", required=True)
+    adm = e.add_mutually_exclusive_group(required=True)
+    adm.add_argument("--admitted-csv", help="admitted people as ;-CSV (comma decimals)")
+    adm.add_argument("--admitted", help="admitted people as written by the select job (parquet)")
     e.add_argument("--snapshot", required=True)
     e.add_argument("--out", required=True)
+    e.add_argument("--csv", action="store_true", help="also write each chart table as ;-CSV")
     return p
 
 

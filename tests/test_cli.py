@@ -36,3 +36,13 @@ def test_jdbc_arguments_are_checked():
         main(["select", "--jdbc-url", "jdbc:x://h/db", "--snapshot", "s", "--admitted", "a"])
     with pytest.raises(SystemExit):
         main(["select", "--responses", "r", "--jdbc-url", "jdbc:x://h/db", "--snapshot", "s", "--admitted", "a"])
+
+
+def test_explore_from_parquet_with_csv(spark, scratch):
+    src = f"{scratch}/responses"
+    responses(spark).write.parquet(src)
+    out = main(["select", "--responses", src, "--snapshot", f"{scratch}/snap", "--admitted", f"{scratch}/adm",
+                "--seats", "10", "--exclude-name", TEST_NAME, "--null-scores", "skip"], spark=spark)
+    charts = main(["explore", "--admitted", out["admitted"], "--snapshot", out["snapshot"],
+                   "--out", f"{scratch}/charts", "--csv"], spark=spark)
+    assert "countries_csv" in charts and glob.glob(f"{charts['countries_csv']}/*.csv")
