@@ -19,11 +19,11 @@ Plans
   uses it only while k <= TOPK_MAX and k x (estimated input tasks) <=
   TOPK_MERGE_ROWS, so the merge task does not grow with the data.
 * ``strategy="threshold"`` for large k: one partial aggregate builds a histogram of
-  the keys on a log2 grid (at most about 33k buckets, the double range times 16,
-  whatever the data size),
-  the driver finds the bucket holding the k-th key, the scan keeps keys up to it
-  (k plus one bucket of rows) and the exact two-phase ordinal cuts at k.  No task
-  ever holds more than a range partition of the candidates.
+  the keys on a log2 grid (at most about 33k buckets - the double range times 16 -
+  whatever the data size); the driver finds the bucket holding the k-th key; the
+  scan keeps keys up to it (k plus one bucket of rows, an exact count); an exact
+  rank cuts at k (one task up to a million candidates, the two-phase ordinal
+  beyond).  No task ever holds more than a range partition of the candidates.
 """
 
 from __future__ import annotations
