@@ -27,7 +27,7 @@ from seatwise.plans.intake import anonymised_snapshot, apply_exclusions, clean_i
 from seatwise.plans.report import profile_report, recipient_list
 from seatwise.plans.selection import score_applicants, seat_draw
 from seatwise.session import build_session
-from seatwise.sources.codebook import response_schema
+from seatwise.sources.codebook import codebook_df, response_schema
 from seatwise.sources.readers import read_csv2, read_jdbc, read_line_list, read_parquet
 from seatwise.sources.writers import write_csv2, write_text_lines
 
@@ -72,7 +72,8 @@ def run_explore(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
     else:   # the select job's parquet output: drop the personal columns and the score
         admitted = read_parquet(spark, a.admitted).drop("nombre", "correo", "puntaje")
     applicants = read_parquet(spark, a.snapshot)
-    datos = harmonise(admitted, applicants).checkpoint(eager=True)
+    codebook = codebook_df(spark) if a.codebook_labels else None
+    datos = harmonise(admitted, applicants, codebook=codebook).checkpoint(eager=True)
     out = {}
     for name, df in chart_tables(datos).items():
         path = f"{a.out.rstrip('/')}/{name}"
@@ -117,6 +118,8 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--snapshot", required=True)
     e.add_argument("--out", required=True)
     e.add_argument("--csv", action="store_true", help="also write each chart table as ;-CSV")
+    e.add_argument("--codebook-labels", action="store_true",
+                   help="exact option labels from the codebook instead of the charts' partial repairs")
     return p
 
 

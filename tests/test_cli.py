@@ -44,5 +44,7 @@ def test_explore_from_parquet_with_csv(spark, scratch):
     out = main(["select", "--responses", src, "--snapshot", f"{scratch}/snap", "--admitted", f"{scratch}/adm",
                 "--seats", "10", "--exclude-name", TEST_NAME, "--null-scores", "skip"], spark=spark)
     charts = main(["explore", "--admitted", out["admitted"], "--snapshot", out["snapshot"],
-                   "--out", f"{scratch}/charts", "--csv"], spark=spark)
+                   "--out", f"{scratch}/charts", "--csv", "--codebook-labels"], spark=spark)
     assert "countries_csv" in charts and glob.glob(f"{charts['countries_csv']}/*.csv")
+    labels = {r["pais"] for r in spark.read.parquet(charts["countries"]).collect()}
+    assert "Chile" in labels
