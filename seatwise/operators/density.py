@@ -7,11 +7,12 @@ statistics.  The output grid runs from min - cut*h to max + cut*h (cut=0: the da
 range, which is what the density charts use).
 
 Statistics: one aggregate over the (pruned) column gives n, sd, min, max, a
-distinct-count sketch and sketch quartiles - one row to the driver.  With
-``quantiles="auto"`` the quartiles are recomputed exactly from the (value, count)
-table when there are at most ``EXACT_MAX_DISTINCT`` distinct values (an exact
-percentile keeps one entry per distinct value in one buffer); beyond that the
-sketch stands.
+distinct-count sketch and sketch quartiles - one row to the driver.  The quartiles
+are then made exact (default): from the (value, count) table when there are at most
+``EXACT_MAX_DISTINCT`` distinct values (an exact percentile keeps one entry per
+distinct value in one buffer), and by bracket refinement beyond that
+(``operators/quantiles``: bounded memory, a few extra scans).  ``quantiles="approx"``
+keeps the sketch.
 
 ``method="binned"`` (default) is the estimator the charts were drawn with (R's
 ``density``): every value is split linearly between the two nearest of 512 bins
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.functions.convert import as_double
+from seatwise.operators.quantiles import exact_quantiles
 
 EXACT_MAX_DISTINCT = 1_000_000   # auto: exact quartiles up to this many distinct values
 APPROX_ACCURACY = 100_000        # percentile sketch accuracy (rank error ~ 1/accuracy)
@@ -60,10 +62,16 @@ def _stats(xs: DataFrame, quantiles: str):
     if not s["n"]:
         return None
     q1, q3 = s["q"]
-    if quantiles == "exact" or (quantiles == "auto" and s["ndv"] <= EXACT_MAX_DISTINCT):
-        # Exact quartiles from (value, count): one buffer entry per distinct value.
-        vals = xs.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-        q1, q3 = vals.agg(F.percentile("x", [0.25, 0.75], F.col("c")).alias("q")).first()["q"]
+    if quantiles in ("exact", "auto"):
+        if s["ndv"] <= EXACT_MAX_DISTINCT:
+            # (value, count) table: one percentile buffer entry per distinct value.
+            vals = xs.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+            q1, q3 = vals.agg(F.percentile("x", [0.25, 0.75], F.col("c")).alias("q")).first()["q"]
+        else:
+            # Too many distinct values for one buffer: bracket refinement, still exact.
+            q1, q3 = exact_quantiles(xs, [0.25, 0.75], s["n"], s["lo"], s["hi"])
+    elif quantiles != "approx":
+        raise ValueError(f"unknown quantiles {quantiles!r}")
     sd = s["sd"] if s["n"] > 1 else None
     return s["n"], sd, s["lo"], s["hi"], q1, q3
 
