@@ -60,9 +60,9 @@ def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
     quantile sketch is used.
     """
     name = name or f"{col}_ord"
-    tie = F.asc(prior) if prior else F.asc(col)
+    ties = ([F.asc(prior)] if prior else []) + [F.asc(col)]
     if per_level:
-        order = Window.orderBy(F.asc(measure), tie)
+        order = Window.orderBy(F.asc(measure), *ties)
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     keys = [col] + ([prior] if prior else [])
     if median == "auto":

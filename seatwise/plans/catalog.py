@@ -521,7 +521,8 @@ def chart_top_share(spark, sf):
     """A chart table: top-7 lump, count, share of the total, order by share, label."""
     p = lump_top_n(_t(spark, sf, "part"), "p_brand", 7, "Other brands")
     c = share_of_total(count_by(p, "p_brand", ordered=False))
-    c = reorder_by(c, "p_brand", "p", name="p_brand_ord", per_level=True)
+    c = c.withColumn("__other", (F.col("p_brand") == "Other brands").cast("int"))
+    c = reorder_by(c, "p_brand", "p", prior="__other", name="p_brand_ord", per_level=True)
     return c.select("p_brand", "n", _r9("p").alias("p"), "p_brand_ord", percent_label("p", 1).alias("label"))
 
 
@@ -915,7 +916,8 @@ o AS (SELECT *, sum(CASE WHEN rk > 7 THEN 1 ELSE 0 END) OVER () AS n_out FROM r)
 m AS (SELECT p_brand, CASE WHEN rk <= 7 OR n_out <= 1 THEN p_brand ELSE 'Other brands' END AS lumped FROM o),
 k AS (SELECT m.lumped AS p_brand, count(*) AS n FROM part LEFT JOIN m USING (p_brand) GROUP BY 1),
 s AS (SELECT *, n / sum(n) OVER () AS p FROM k)
-SELECT p_brand, n, round(p, 9) AS p, row_number() OVER (ORDER BY p, p_brand) AS p_brand_ord,
+SELECT p_brand, n, round(p, 9) AS p,
+       row_number() OVER (ORDER BY p, CAST(p_brand = 'Other brands' AS INTEGER), p_brand) AS p_brand_ord,
        printf('%.1f%%', round_even(p * 100.0, 1)) AS label FROM s""",
     "glimpse": """
 WITH h AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)

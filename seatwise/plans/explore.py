@@ -102,6 +102,13 @@ def _label(df: DataFrame, digits: int | str = 1) -> DataFrame:
     return df.withColumn("label", percent_label("p", digits))
 
 
+def _reorder_other_last(c: DataFrame, col: str, other: str) -> DataFrame:
+    """Order levels by share; on equal shares the lumped level comes after the others,
+    as the lumping leaves it last in the level order."""
+    c = c.withColumn("__other", (F.col(col) == F.lit(other)).cast("int"))
+    return reorder_by(c, col, "p", prior="__other", per_level=True).drop("__other")
+
+
 def gender_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     c = keep_in(count_by(datos, ["genero", tipo], ordered=False), "genero", C.GENDER_CHART_LEVELS)
     return _label(share_within(c, tipo), "auto")
@@ -121,7 +128,7 @@ def top_areas_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     adm = datos.filter(F.col(tipo) == C.TIPO_ADMITTED)
     lumped = lump_top_n(adm, "areas", C.AREAS_TOP, C.AREAS_OTHER)
     c = share_within(count_by(lumped, ["areas", tipo], ordered=False), tipo)
-    return _label(reorder_by(c, "areas", "p", per_level=True))
+    return _label(_reorder_other_last(c, "areas", C.AREAS_OTHER))
 
 
 def age_density(datos: DataFrame, tipo: str = "tipo", points: int = 512) -> DataFrame:
@@ -133,7 +140,7 @@ def top_countries_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
     adm = datos.filter(F.col(tipo) == C.TIPO_ADMITTED)
     lumped = lump_top_n(adm, "pais", C.PAIS_TOP, C.PAIS_OTHER)
     c = share_of_total(count_by(lumped, "pais", ordered=False))
-    return _label(reorder_by(c, "pais", "p", per_level=True))
+    return _label(_reorder_other_last(c, "pais", C.PAIS_OTHER))
 
 
 def chart_tables(datos: DataFrame, tipo: str = "tipo") -> dict[str, DataFrame]:

@@ -179,3 +179,10 @@ def test_auto_percent_digits(spark):
     assert auto_percent_digits(mk([0.123456, 0.45678])) == 0       # gap 33 points -> whole %
     assert auto_percent_digits(mk([0.1234, 0.1256])) == 2          # gap 0.22 points -> 0.01 %
     assert auto_percent_digits(mk([0.5])) == 0
+
+
+def test_other_level_last_on_equal_share(spark):
+    from seatwise.plans.explore import _reorder_other_last
+    c = spark.createDataFrame([("zeta", 0.25), ("otras", 0.25), ("alfa", 0.5)], "areas string, p double")
+    o = {r["areas"]: r["areas_ord"] for r in _reorder_other_last(c, "areas", "otras").collect()}
+    assert o == {"zeta": 1, "otras": 2, "alfa": 3}
