@@ -34,7 +34,8 @@ def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | N
         pos = F.when(F.col(col) == v, F.lit(i)) if pos is None else pos.when(F.col(col) == v, F.lit(i))
     listed = pos if pos is not None else F.lit(None).cast("int")
     if per_level:
-        order = Window.orderBy(F.asc_nulls_last(listed), F.asc(col))
+        # Null is not a level: number the non-null levels among themselves.
+        order = Window.partitionBy(F.col(col).isNull()).orderBy(F.asc_nulls_last(listed), F.asc(col))
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     levels = df.filter(F.col(col).isNotNull()).select(col).distinct()
     levels = levels.withColumn("__listed", F.coalesce(listed, F.lit(len(first))))
@@ -62,7 +63,7 @@ def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
     name = name or f"{col}_ord"
     ties = ([F.asc(prior)] if prior else []) + [F.asc(col)]
     if per_level:
-        order = Window.orderBy(F.asc(measure), *ties)
+        order = Window.partitionBy(F.col(col).isNull()).orderBy(F.asc(measure), *ties)
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     keys = [col] + ([prior] if prior else [])
     if median == "auto":

@@ -229,3 +229,11 @@ def test_negative_weight(customers):
         weighted_sample(customers, 10, "c_custkey", w, seed=1, on_short="all").collect()
     got = weighted_sample(customers, 10, "c_custkey", w, seed=1, negative_weight="skip")
     assert got.filter(F.col("c_nationkey") == 3).count() == 0 and got.count() == 10
+
+
+def test_per_level_orders_skip_the_null_level(spark):
+    df = spark.createDataFrame([(None, 0.1), ("b", 0.3), ("a", 0.6)], "lv string, p double")
+    r = {x["lv"]: x["lv_ord"] for x in reorder_by(df, "lv", "p", per_level=True).collect()}
+    assert r == {None: None, "b": 1, "a": 2}
+    r = {x["lv"]: x["lv_ord"] for x in relevel_ordinal(df, "lv", ["b"], per_level=True).collect()}
+    assert r == {None: None, "b": 1, "a": 2}
