@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seatwise.functions.convert import to_number
 from seatwise.functions.nulls import filter_out, keep_in
@@ -34,6 +35,15 @@ def stack_populations(admitted: DataFrame, applicants: DataFrame, tipo: str = "t
             app = app.withColumn(c, to_number(c))
     app = select_any_of(app, admitted.columns).withColumn(tipo, F.lit(C.TIPO_APPLICANTS))
     adm = adm.withColumn(tipo, F.lit(C.TIPO_ADMITTED))
+    # Like appending data frames in R: numbers widen, any other type clash is an error
+    # (Spark's union would otherwise coerce, e.g. a number and a text to text).
+    at = dict(adm.dtypes)
+    for f in app.schema.fields:
+        if f.name in at and f.dataType != adm.schema[f.name].dataType:
+            numeric = isinstance(f.dataType, T.NumericType) and \
+                isinstance(adm.schema[f.name].dataType, T.NumericType)
+            if not numeric:
+                raise TypeError(f"cannot stack column {f.name!r}: {at[f.name]} vs {f.dataType.simpleString()}")
     return adm.unionByName(app, allowMissingColumns=True)
 
 

@@ -186,3 +186,12 @@ def test_other_level_last_on_equal_share(spark):
     c = spark.createDataFrame([("zeta", 0.25), ("otras", 0.25), ("alfa", 0.5)], "areas string, p double")
     o = {r["areas"]: r["areas_ord"] for r in _reorder_other_last(c, "areas", "otras").collect()}
     assert o == {"zeta": 1, "otras": 2, "alfa": 3}
+
+
+def test_stack_populations_type_clash(spark):
+    from seatwise.plans.explore import stack_populations
+    adm = spark.createDataFrame([(1, "a", 3)], "id int, pais string, n int")
+    ok = stack_populations(adm, spark.createDataFrame([("b", 2.5)], "pais string, n double"), numeric=())
+    assert dict(ok.dtypes)["n"] == "double" and ok.count() == 2
+    with pytest.raises(TypeError):
+        stack_populations(adm, spark.createDataFrame([(7, 1)], "pais int, n int"), numeric=())
