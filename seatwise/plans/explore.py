@@ -40,9 +40,10 @@ def stack_populations(admitted: DataFrame, applicants: DataFrame, tipo: str = "t
     at = dict(adm.dtypes)
     for f in app.schema.fields:
         if f.name in at and f.dataType != adm.schema[f.name].dataType:
-            numeric = isinstance(f.dataType, T.NumericType) and \
-                isinstance(adm.schema[f.name].dataType, T.NumericType)
-            if not numeric:
+            other = adm.schema[f.name].dataType
+            numeric = isinstance(f.dataType, T.NumericType) and isinstance(other, T.NumericType)
+            untyped = isinstance(f.dataType, T.NullType) or isinstance(other, T.NullType)
+            if not (numeric or untyped):
                 raise TypeError(f"cannot stack column {f.name!r}: {at[f.name]} vs {f.dataType.simpleString()}")
     return adm.unionByName(app, allowMissingColumns=True)
 
