@@ -9,12 +9,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatwise.llm import decontamination, mixing, sharding
+from seatwise.llm import decontamination, mixing, neardup, sharding, toxicity
 from seatwise.llm.common import table
 from seatwise.llm.queries import SHARDS
 from seatwise.session import scratch_path
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    net = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns]), net, "c_text")
+    return scored.filter("predicted = 0").select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return neardup.deduplicate(docs)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -22,8 +34,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a document taken more than once is repeated, one not taken goes."""
-    mixed = mixing.mix_sources(docs)
-    return mixed.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(docs.columns)
+    return mixing.take_mix(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +43,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", drop_near_duplicates),
     ("benchmark decontamination", drop_benchmark),
     ("mixing sources to target weights", mix),
     ("sharding", shards),

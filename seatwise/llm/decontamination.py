@@ -39,24 +39,16 @@ from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, LongType
 
 from .common import cut, free_name
-from .textcore import NON_ALNUM, Texts, distinct_per_text, shingle_hashes, slices
+from .frequencies import bitmap, flagged, text_shingles
+from .textcore import slices
 
 K = 5                 # words of a shingle
 THRESHOLD = 0.8       # share of an item's shingles that makes a document contaminated
 SKETCH = 24           # hash values kept of an item
 MISS = 1e-6           # accepted probability to miss an item at the threshold
-BITS = 26             # the bitmap has 2 ** BITS bits
 SALTS = 16            # a popular item's rows are dealt over so many keys
 
 
-def text_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of the distinct shingles of a slice of texts."""
-    t = Texts(column, lower=True)
-    start, end, owner = t.pieces(NON_ALNUM)
-    h, of, _ = distinct_per_text(*shingle_hashes(t.hashes(start, end), owner, len(t), K))
-    return h, of
-
-
 def least_hits(n: int, threshold: float = THRESHOLD, miss: float = MISS, sketch: int = SKETCH) -> int:
     """Sketch hits from which on a document is a candidate for an item of n shingles."""
     if n <= sketch:
@@ -78,7 +70,7 @@ def _lists(values: np.ndarray, per: np.ndarray) -> pa.Array:
 def _sketch_all(texts: pa.Array) -> pa.Array:
     out = []
     for _, part in slices(texts):
-        h, of = text_shingles(part)
+        h, of, _ = text_shingles(part, K)
         out.append(_lists(h, np.bincount(of, minlength=len(part))))
     return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
 
@@ -95,36 +87,13 @@ def item_sketches(items: DataFrame, item_id: str = "item_id", text: str = "text"
                     F.explode(F.slice(F.sort_array("all"), 1, SKETCH)).alias("hash"))
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """Bitmap of a column of hashes: made in the tasks, joined in one pass of fixed memory."""
-    size = 1 << (BITS - 3)
-
-    def mark(batches):
-        bits = np.zeros(size, dtype=np.uint8)
-        for b in batches:
-            at = b.column(0).to_numpy() & (2 ** BITS - 1)
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-
-    def merge(batches):
-        bits = np.zeros(size, dtype=np.uint8)
-        for b in batches:
-            for x in b.column(0):
-                bits |= np.frombuffer(x.as_py(), dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-
-    found = hashes.mapInArrow(mark, "bits binary").repartition(1).mapInArrow(merge, "bits binary").collect()
-    return np.frombuffer(bytes(found[0][0]), dtype=np.uint8) if found else np.zeros(size, dtype=np.uint8)
-
-
 def _hits(bits):
     @F.arrow_udf(ArrayType(LongType()))
     def hits(texts: pa.Array) -> pa.Array:
         out = []
         for _, part in slices(texts):
-            h, of = text_shingles(part)
-            at = (h & np.uint64(2 ** BITS - 1)).astype(np.int64)
-            maybe = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            h, of, _ = text_shingles(part, K)
+            maybe = flagged(bits.value, h)
             out.append(_lists(h[maybe], np.bincount(of[maybe], minlength=len(part))))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
     return hits
@@ -159,7 +128,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     containment, verified."""
     spark = docs.sparkSession
     sketches = cut(item_sketches(items, item_id, item_text, threshold))
-    bits = spark.sparkContext.broadcast(_bitmap(sketches.select("hash")))
+    bits = spark.sparkContext.broadcast(bitmap(sketches.select("hash")))
     body = F.col(text).cast("string")
     # the only pass over the documents: what has no possible hit ends here
     touched = cut(docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(body).alias("t")).alias("doc"), body.alias("text"))

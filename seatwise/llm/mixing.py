@@ -200,3 +200,12 @@ def mix_sources(df: DataFrame, text: str = "text", source: str = "source", row_i
     plan = mix_plan(df, text, source, row_id, **kw)
     plan = plan.select(F.col("at").alias(key), F.col("nth").alias(nth), *RESULTS)
     return number_rows(df, row_id, source, text=text, key=key, nth=nth).join(plan, [key, nth]).drop(key, nth)
+
+
+def take_mix(df: DataFrame, text: str = "text", source: str = "source", row_id: str = "doc_id", **kw) -> DataFrame:
+    """The mix itself, with the columns of ``df``: each row as often as it is taken."""
+    key, nth, copies = free_name(df, "at", "nth", "copies")
+    plan = mix_plan(df, text, source, row_id, **kw)
+    plan = plan.select(F.col("at").alias(key), F.col("nth").alias(nth), F.col("copies").alias(copies)).filter(F.col(copies) > 0)
+    return (number_rows(df, row_id, source, text=text, key=key, nth=nth).join(plan, [key, nth])
+            .withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).drop(key, nth, copies))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, quality, secrets, sharding, warc
+from . import decontamination, linededup, mixing, neardup, pii, quality, secrets, sharding, toxicity, warc
 from .common import span_count, span_digest, span_list, table
 
 SHARDS = 24
@@ -31,6 +31,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc")["id"].alias("doc_id"), "item_id", "item_shingles", "shared")
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = linededup.line_report(table(spark, sf_dir, "documents"))
+    return report.select(F.col("doc")["id"].alias("doc_id"), "n_lines", "n_copies", "n_near")
+
+
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes.select(F.col("row_id").alias("doc_id"), "class_id", F.col("first").alias("kept"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = sharding.shard_plan(table(spark, sf_dir, "documents"), SHARDS)
     return plan.select(F.col("row_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -42,6 +52,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold("doc_id") == 0, F.lit(False)).alias("held_out")
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), net).select("doc_id", held_out, "score", "predicted")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     s = F.col("pii")
@@ -59,8 +76,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op5_sharding, op6_quality,
-                                   op8_pii, op9_warc, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_linededup, op4_neardup, op5_sharding,
+                                   op6_quality, op7_toxicity, op8_pii, op9_warc, op10_mixing)}
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
@@ -76,6 +93,26 @@ with w as (
 select d.id as doc_id, i.id as item_id, any_value(n.n) as item_shingles, count(*) as shared
 from s i join s d on i.g = d.g and i.kind = 'i' and d.kind = 'd' join n on n.id = i.id
 group by d.id, i.id having count(*) >= 0.8 * any_value(n.n)""",
+    "op3_linededup": r"""
+with line as (
+  select doc_id, i, regexp_extract_all(lower(l[i]), '[^\x00-/:-@\[-`{-\x7f]+') as w
+  from (select doc_id, l, unnest(range(1, len(l) + 1)) as i
+        from (select doc_id, string_split(text, chr(10)) as l from documents))
+), shingled as (
+  select doc_id, i, list_sort(list_distinct(list_transform(range(1, greatest(2, len(w) - 3)),
+         lambda j: array_to_string(list_slice(w, j, j + 4), ' ')))) as s from line where len(w) > 0
+), placed as (
+  select *, row_number() over (order by doc_id, i) as place,
+    row_number() over (partition by s order by doc_id, i) as nth from shingled
+), token as (select place, len(s) as n, unnest(s) as g from placed where nth = 1),
+near as (
+  select distinct b.place from token a join token b on a.g = b.g and a.place < b.place
+  group by a.place, b.place, a.n, b.n having count(*) >= 0.8 * (a.n + b.n - count(*))
+), near_class as (select distinct s from placed p join near on near.place = p.place)
+select d.doc_id, count(p.s) as n_lines, count(*) filter (p.nth > 1) as n_copies,
+  count(*) filter (p.nth = 1 and c.s is not null) as n_near
+from documents d left join placed p on p.doc_id = d.doc_id left join near_class c on c.s = p.s
+group by d.doc_id""",
     "op6_quality": r"""
 with t as (select doc_id, source, coalesce(text, '') as text from documents),
 w as (select doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from t),

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
-_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2 ** 64 - 1], dtype=np.uint64)
+KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2 ** 64 - 1], dtype=np.uint64)
 LONG_WORD = 256     # bytes; longer words are hashed by blake2b instead of 8 bytes a step
 
 # 1 where a byte separates words
@@ -76,6 +76,11 @@ class Texts:
         first = np.searchsorted(start, self.off)
         return start, end, np.repeat(np.arange(self.n), np.diff(first))
 
+    def lead(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The first 8 bytes of each byte range as a number (shorter ranges zero-filled)."""
+        eight = np.ndarray(shape=(len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
+        return eight[start] & KEEP[np.minimum(end - start, 8)]
+
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hash of each byte range (equal bytes, equal hash, in any batch)."""
         size = end - start
@@ -85,7 +90,7 @@ class Texts:
         step = 0
         while len(rest):
             left = size[rest] - step
-            chunk = eight[start[rest] + step] & _KEEP[np.minimum(left, 8)]
+            chunk = eight[start[rest] + step] & KEEP[np.minimum(left, 8)]
             h[rest] = mix(h[rest] ^ chunk)
             step += 8
             rest = rest[left > 8]
