@@ -8,8 +8,8 @@ record per conversion; a payload of at least ``MIN_REVISIT`` bytes that occurs a
 stored once (response) and referred to by the others (revisit).  ``write_warc`` and
 ``read_warc`` store and read these.
 
-Archives are folders of part files, written by Spark and split by record count, so a
-part stays small and is read by one task.  A record's id is derived from its place in the
+Archives are folders of gzip part files, written by Spark and split by record count, so
+a part stays small and is read by one task; plain files are read as well.  A record's id is derived from its place in the
 ARC archive, so a retried task gives it the same id.
 
 Defined results: a null html is an empty payload; a null url is written as ``-``;
@@ -23,6 +23,7 @@ beyond the file) is an error that names the place.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -70,7 +71,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, page_id: str = "pag
         fields += [F.lit("200"), F.md5(F.encode(body, "UTF-8")), F.lit("-"), F.lit("0"), F.lit("pages.arc")]
     head = F.concat_ws(" ", *fields, F.octet_length(content).cast("string"))
     (pages.select(F.concat(head, F.lit("\n"), content).alias("value"))
-     .write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(path))
+     .write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
 def arc_version_block(version: int) -> str:
@@ -115,6 +116,11 @@ _RECORD = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("ip", pa
                      ("payload_digest", pa.string()), ("digest32", pa.string())])
 
 
+def _plain(data: bytes) -> bytes:
+    """A file's bytes, unpacked if they are gzip."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -149,7 +155,7 @@ def read_arc(spark: SparkSession, path: str, version: int | None = None, payload
             for b in batches:
                 for name, data in zip(b.column(0).to_pylist(), b.column(1)):
                     base = name.rsplit("/", 1)[-1]
-                    for at, head, content in arc_records(data.as_py(), name, version):
+                    for at, head, content in arc_records(_plain(data.as_py()), name, version):
                         http, payload = _split_http(content)
                         sha = hashlib.sha1(payload)
                         yield (f"urn:uuid:{uuid.uuid5(_ID_SPACE, f'{base} {at}')}", head["URL"], head["IP-address"],
@@ -193,7 +199,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")))
     (records.withColumn("block", block).select(F.concat(head, F.lit("\r\n\r\n"), "block").alias("value"))
-     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path))
+     .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
 def warc_records(data: bytes, name: str) -> Iterator[tuple[dict, bytes]]:
@@ -224,7 +230,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         def rows():
             for b in batches:
                 for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                    for head, block in warc_records(data.as_py(), name):
+                    for head, block in warc_records(_plain(data.as_py()), name):
                         http, payload = _split_http(block)
                         revisit = head["WARC-Type"] == "revisit"
                         stated = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
