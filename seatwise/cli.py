@@ -1,11 +1,11 @@
 """Command-line jobs: the selection run and the exploration run.
 
     python -m seatwise.cli select (--responses PATH | --jdbc-url URL --jdbc-table T
-                                  --jdbc-partition-column C [--jdbc-lower L --jdbc-upper U])
+                                  --jdbc-partition-column C --jdbc-lower L --jdbc-upper U)
                                   --snapshot OUT --admitted OUT
                                   [--special FILE] [--seats 160] [--seed N] [--null-scores error|skip]
                                   [--exclude-name NAME ...] [--cutoff TS]
-                                  [--recipients OUT] [--report OUT] [--admitted-csv OUT]
+                                  [--recipients OUT [--recipients-batch N]] [--report OUT] [--admitted-csv OUT]
     python -m seatwise.cli explore (--admitted-csv PATH | --admitted PATH) --snapshot PATH --out DIR [--csv]
 
 ``select``: clean intake -> anonymised snapshot -> exclusions -> score and rank ->
@@ -20,6 +20,7 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 from seatwise.plans.config import CUTOFF, SEATS, DrawConfig, IntakeConfig
 from seatwise.plans.explore import chart_tables, harmonise
@@ -39,7 +40,12 @@ def read_responses(spark: SparkSession, a: argparse.Namespace):
         props = {"user": a.jdbc_user} if a.jdbc_user else {}
         return read_jdbc(spark, a.jdbc_url, a.jdbc_table, a.jdbc_partition_column,
                          a.jdbc_lower, a.jdbc_upper, a.jdbc_partitions, props)
-    return read_parquet(spark, a.responses, schema=response_schema())
+    # the form's columns as declared, and any other column as the files have it
+    found = read_parquet(spark, a.responses)
+    declared = read_parquet(spark, a.responses, schema=response_schema())
+    others = [f for f in found.schema.fields if f.name not in declared.columns]
+    schema = T.StructType(declared.schema.fields + others)
+    return read_parquet(spark, a.responses, schema=schema)
 
 
 def run_select(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
@@ -58,10 +64,11 @@ def run_select(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
     if a.admitted_csv:
         out["admitted_csv"] = write_csv2(admitted.drop("nombre", "correo", "puntaje"), a.admitted_csv)
     if a.recipients:
-        out["recipients"] = write_text_lines(recipient_list(admitted), "recipients", a.recipients)
+        out["recipients"] = write_text_lines(recipient_list(admitted, a.recipients_batch), "recipients", a.recipients)
     if a.report:
-        for name, df in profile_report(admitted).items():
-            df.write.mode("overwrite").parquet(f"{a.report.rstrip('/')}/{name}")
+        for who, people in (("applicants", scored), ("admitted", admitted)):
+            for name, df in profile_report(people).items():
+                df.write.mode("overwrite").parquet(f"{a.report.rstrip('/')}/{who}/{name}")
         out["report"] = a.report
     return out
 
@@ -95,14 +102,15 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--jdbc-table")
     s.add_argument("--jdbc-user")
     s.add_argument("--jdbc-partition-column", help="numeric or timestamp column to split the read on")
-    s.add_argument("--jdbc-lower", type=int, default=0)
-    s.add_argument("--jdbc-upper", type=int, default=1)
+    s.add_argument("--jdbc-lower", help="least value of that column, as a number or a timestamp")
+    s.add_argument("--jdbc-upper", help="largest value of that column")
     s.add_argument("--jdbc-partitions", type=int, default=8)
     s.add_argument("--snapshot", required=True)
     s.add_argument("--admitted", required=True)
     s.add_argument("--admitted-csv")
     s.add_argument("--special")
     s.add_argument("--recipients")
+    s.add_argument("--recipients-batch", type=int, help="addresses per line; without it all are one line")
     s.add_argument("--report")
     s.add_argument("--seats", type=int, default=SEATS)
     s.add_argument("--seed", type=int, default=1)
@@ -126,8 +134,8 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
     p = parser()
     a = p.parse_args(argv)
-    if a.cmd == "select" and a.jdbc_url and not (a.jdbc_table and a.jdbc_partition_column):
-        p.error("--jdbc-url needs --jdbc-table and --jdbc-partition-column")
+    if a.cmd == "select" and a.jdbc_url and not all((a.jdbc_table, a.jdbc_partition_column, a.jdbc_lower, a.jdbc_upper)):
+        p.error("--jdbc-url needs --jdbc-table, --jdbc-partition-column, --jdbc-lower and --jdbc-upper")
     spark = spark or build_session()
     return run_select(spark, a) if a.cmd == "select" else run_explore(spark, a)
 

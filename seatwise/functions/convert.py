@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+DECIMAL = r"^\s*[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"
+
+
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
 def to_number(col) -> Column:
-    """Text -> double; null when the text is not a number."""
-    return _c(col).cast("string").try_cast("double")
+    """Text -> double; null when the text is not a decimal number (type suffixes and words
+    such as ``30d`` or ``NaN``, which a plain cast takes, are none)."""
+    c = _c(col).cast("string")
+    return F.when(c.rlike(DECIMAL), c.try_cast("double"))
 
 
 def as_double(df, col: str) -> Column:

@@ -51,11 +51,3 @@ def keep_in(df: DataFrame, col: str, values: Iterable) -> DataFrame:
 def filter_out(df: DataFrame, cond: Column) -> DataFrame:
     """Drop rows where ``cond`` is true; rows where it is null are kept."""
     return df.filter(~F.coalesce(cond, F.lit(False)))
-
-
-def keep_not_null(df: DataFrame, *cols: str) -> DataFrame:
-    """Keep rows where every named column is non-null (empty strings stay)."""
-    cond = F.lit(True)
-    for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return df.filter(cond)

@@ -5,7 +5,7 @@ from seatwise.operators.columns import across_strings, add_constant, drop_prefix
 from seatwise.operators.counts import collapse, count_by, count_each, count_having, mean_strict
 from seatwise.operators.dedup import first_per_key
 from seatwise.operators.density import density
-from seatwise.operators.lump import lump_levels, lump_top_n
+from seatwise.operators.lump import kept_levels, lump_top_n
 from seatwise.operators.ordinal import head_rows, ordinal, tail_rows
 from seatwise.operators.sampling import hash_uniform, sampling_key, weighted_sample
 from seatwise.operators.scoring import Rule, score_expr
@@ -16,7 +16,7 @@ from seatwise.operators.sorting import sort_cols
 __all__ = [
     "relevel_ordinal", "reorder_by", "across_strings", "add_constant", "drop_prefix_keep",
     "relocate_after", "select_any_of", "collapse", "count_by", "count_each", "count_having", "mean_strict",
-    "first_per_key", "density", "lump_levels", "lump_top_n", "head_rows", "ordinal", "tail_rows",
+    "first_per_key", "density", "kept_levels", "lump_top_n", "head_rows", "ordinal", "tail_rows",
     "hash_uniform", "sampling_key", "weighted_sample", "Rule", "score_expr", "share_of_total",
     "share_within", "sort_cols", "broadcast_checked", "input_partitions", "spread",
 ]

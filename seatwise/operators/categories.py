@@ -44,21 +44,37 @@ def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | N
     return df.join(broadcast_checked(levels)[0], on=col, how="left")
 
 
-EXACT_MEDIAN_MAX_DISTINCT = 1_000_000
+def level_medians(df: DataFrame, keys: Sequence[str], measure: str, name: str = "median") -> DataFrame:
+    """Exact median of ``measure`` per level, null where a level has no value.
+
+    The (level, value) rows are numbered in order over the whole table with the global
+    ordinal, so a level that holds a third of the rows is spread over many ranges and no
+    buffer holds a level's values.  A level's middle values are those whose number,
+    counted from the level's first, is in the middle of its count.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(measure).cast("double").alias("__x"))
+    place = ordinal(rows.filter(F.col("__x").isNotNull()), [*keys, "__x"], name="__i")
+    span = place.groupBy(*keys).agg(F.min("__i").alias("__lo"), F.count(F.lit(1)).alias("__n"))
+    same = None
+    for k in keys:
+        eq = F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}"))
+        same = eq if same is None else same & eq
+    nth = F.col("__i") - F.col("__lo")
+    middle = (place.alias("p").join(span.alias("s"), same)
+              .filter((nth == F.floor((F.col("__n") - 1) / 2)) | (nth == F.floor(F.col("__n") / 2)))
+              .groupBy(*[F.col(f"p.{k}").alias(k) for k in keys]).agg(F.avg("__x").alias(name)))
+    return rows.select(*keys).distinct().join(middle, on=keys, how="left")
 
 
 def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
-               name: str | None = None, per_level: bool = False,
-               median: str = "auto") -> DataFrame:
+               name: str | None = None, per_level: bool = False) -> DataFrame:
     """Add ``name`` (default ``<col>_ord``): levels by median ``measure`` ascending,
     ties broken by ``prior`` (an earlier ordinal) or by the level itself.
 
     ``per_level=True``: one row per level, so the median is the value itself and
-    the ordinal is a window over those rows.  Otherwise the median per level is exact
-    while the measure has at most ``EXACT_MEDIAN_MAX_DISTINCT`` distinct values (an
-    exact median keeps every distinct value of a level in one buffer, and a level may
-    hold a third of the rows); beyond that, or with ``median="approx"``, a bounded
-    quantile sketch is used.
+    the ordinal is a window over those rows.  Otherwise the exact median per level is
+    taken, whatever the number of rows and values (``level_medians``).
     """
     name = name or f"{col}_ord"
     ties = ([F.asc(prior)] if prior else []) + [F.asc(col)]
@@ -66,10 +82,6 @@ def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
         order = Window.partitionBy(F.col(col).isNull()).orderBy(F.asc(measure), *ties)
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     keys = [col] + ([prior] if prior else [])
-    if median == "auto":
-        ndv = df.agg(F.approx_count_distinct(measure).alias("n")).first()["n"]
-        median = "exact" if ndv <= EXACT_MEDIAN_MAX_DISTINCT else "approx"
-    agg = F.median(measure) if median == "exact" else F.percentile_approx(measure, 0.5, 100_000)
-    med = df.filter(F.col(col).isNotNull()).groupBy(*keys).agg(agg.alias("__med"))
+    med = level_medians(df.filter(F.col(col).isNotNull()), keys, measure, "__med")
     ordered = ordinal(med, ["__med"] + ([prior] if prior else []) + [col], name=name).select(col, name)
     return df.join(broadcast_checked(ordered)[0], on=col, how="left")

@@ -1,10 +1,10 @@
 """Codebook-driven operators: decode codes to labels, conformance report.
 
-A codebook is the definition of a form: a bounded list (tens to hundreds of options).
-It is collected to the driver once (its size is checked) and turned into plain
-expressions - a map literal per question for decoding, an ``IN`` list per question
-for the domain test - so the response table is read in one pass, with no join and
-no shuffle except a one-row global aggregate.
+A codebook is the definition of a form: usually tens to hundreds of options.  Up to
+``MAX_LITERALS`` options it becomes plain expressions (a map literal per question for
+decoding, an ``IN`` list for the domain test), so the response table is read in one
+pass without a join.  A larger codebook is joined question by question; the join's
+strategy is chosen on the size of its option table.  The results are the same.
 """
 
 from __future__ import annotations
@@ -14,19 +14,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CODEBOOK_ROWS = 100_000
+from seatwise.operators.sizing import broadcast_checked
 
+MAX_LITERALS = 500       # options that are made literals of the plan
 
-def _options(codebook: DataFrame) -> dict[str, list[tuple[str, str]]]:
-    n = codebook.count()
-    if n > MAX_CODEBOOK_ROWS:
-        raise ValueError(f"codebook has {n} rows; a form definition should be small")
+
+def _options(codebook: DataFrame) -> dict[str, list[tuple[str, str]]] | None:
+    """The options by question, None when there are more than ``MAX_LITERALS``."""
+    rows = codebook.filter(F.col("option_code").isNotNull()).limit(MAX_LITERALS + 1).collect()
+    if len(rows) > MAX_LITERALS:
+        return None
     out: dict[str, list[tuple[str, str]]] = {}
-    for r in codebook.filter(F.col("option_code").isNotNull()).collect():
+    for r in rows:
         out.setdefault(r["question_id"], []).append((r["option_code"], r["option_label"]))
     return out
 
 
+def _closed(codebook: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Columns that the codebook has options for, in column order."""
+    known = (codebook.filter(F.col("option_code").isNotNull() & F.col("question_id").isin(list(columns)))
+             .select("question_id").distinct().collect())      # at most one row per column
+    return [c for c in columns if c in {r["question_id"] for r in known}]
+
+
+def _codes(codebook: DataFrame, q: str) -> DataFrame:
+    """(code, label) of a question; of a repeated code one label is taken."""
+    return (codebook.filter((F.col("question_id") == q) & F.col("option_code").isNotNull())
+            .groupBy(F.col("option_code").alias("__code")).agg(F.max("option_label").alias("__label")))
+
+
 def decode(df: DataFrame, codebook: DataFrame, questions: Sequence[str] | None = None,
            suffix: str = "_label") -> DataFrame:
     """Add ``<q><suffix>`` = option label for each closed question column ``q``.
@@ -34,6 +50,12 @@ def decode(df: DataFrame, codebook: DataFrame, questions: Sequence[str] | None =
     Unknown codes and nulls give null.
     """
     opts = _options(codebook)
+    if opts is None:
+        out = df
+        for q in _closed(codebook, [c for c in (questions or df.columns) if c in df.columns]):
+            codes = broadcast_checked(_codes(codebook, q).withColumnRenamed("__label", f"{q}{suffix}"))[0]
+            out = out.join(codes, F.col(q).cast("string") == F.col("__code"), "left").drop("__code")
+        return out
     qs = [q for q in (questions or list(opts)) if q in df.columns and q in opts]
     adds = {}
     for q in qs:
@@ -47,7 +69,14 @@ def conformance(df: DataFrame, codebook: DataFrame, required: Sequence[str]) ->
     closed domain.  Rows ``(question_id, n, n_missing, n_out_of_domain)``."""
     opts = _options(codebook)
     req = set(required)
-    qs = [q for q in dict.fromkeys(list(required) + list(opts)) if q in df.columns]
+    if opts is None:
+        closed = _closed(codebook, df.columns)
+        for q in closed:
+            codes = _codes(codebook, q).select("__code", F.lit(True).alias(f"__ok_{q}"))
+            df = df.join(broadcast_checked(codes)[0], F.col(q).cast("string") == F.col("__code"), "left").drop("__code")
+    else:
+        closed = [q for q in opts if q in df.columns]
+    qs = [q for q in dict.fromkeys([*required, *closed]) if q in df.columns]
     if not qs:
         return df.sparkSession.createDataFrame(
             [], "question_id string, n bigint, n_missing bigint, n_out_of_domain bigint")
@@ -55,9 +84,9 @@ def conformance(df: DataFrame, codebook: DataFrame, required: Sequence[str]) ->
     for q in qs:
         c = F.col(q)
         miss = F.sum(F.when(c.isNull(), 1).otherwise(0)) if q in req else F.lit(0).cast("long")
-        if q in opts:
-            codes = [code for code, _ in opts[q]]
-            ood = F.sum(F.when(c.isNotNull() & ~c.cast("string").isin(codes), 1).otherwise(0))
+        if q in closed:
+            known = F.col(f"__ok_{q}").isNotNull() if opts is None else c.cast("string").isin([code for code, _ in opts[q]])
+            ood = F.sum(F.when(c.isNotNull() & ~known, 1).otherwise(0))
         else:
             ood = F.lit(0).cast("long")
         aggs += [miss.cast("long").alias(f"m__{q}"), ood.cast("long").alias(f"o__{q}")]

@@ -52,25 +52,25 @@ def mean_strict(df: DataFrame, col: str | Column, by: str | Sequence[str] = (),
     return df.groupBy(*by).agg(agg.alias(name)) if by else df.agg(agg.alias(name))
 
 
-def collapse(df: DataFrame, col: str, order: Sequence[str] | str, sep: str = ", ",
-             batch_size: int = 1000, name: str = "recipients",
-             batch_name: str = "batch") -> DataFrame:
-    """Join a column's values into strings of at most ``batch_size`` values each.
+def collapse(df: DataFrame, col: str, order: Sequence[str] | str, batch_size: int | None,
+             sep: str = ", ", name: str = "recipients", batch_name: str = "batch") -> DataFrame:
+    """Join a column's values into strings of at most ``batch_size`` values each; with
+    ``batch_size=None`` into one string, which must fit one task.
 
     The values are numbered in ``order`` with the two-phase ordinal, batch ``b`` holds
     numbers ``b*batch_size+1 ..``, so no group is larger than ``batch_size`` however
-    long the list.  With fewer values than ``batch_size`` this is the single joined
-    string.  Null becomes ``"NA"``.
+    long the list.  Null becomes ``"NA"``.
     """
     from seatwise.operators.ordinal import ordinal
 
-    if batch_size < 1:
+    if batch_size is not None and batch_size < 1:
         raise ValueError("batch_size must be >= 1")
     order = _list(order)
     ranked = ordinal(df.select(col, *[o.lstrip("-") for o in order if o.lstrip("-") != col]),
                      order, name="__i")
     val = F.coalesce(F.col(col).cast("string"), F.lit("NA"))
-    return (ranked.withColumn(batch_name, ((F.col("__i") - 1) / batch_size).cast("long"))
+    batch = F.lit(0).cast("long") if batch_size is None else F.floor((F.col("__i") - 1) / batch_size).cast("long")
+    return (ranked.withColumn(batch_name, batch)
                   .groupBy(batch_name)
                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__i"), val.alias("v")))),
                                                 lambda s: s["v"]), sep).alias(name)))

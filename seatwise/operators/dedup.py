@@ -5,15 +5,14 @@ Spark rows have no implied order.
 
 Two plans, same result:
 
-* ``method="aggregate"`` (default): ``groupBy(key).agg(min_by(row, order))``.  The
-  aggregate is partial (map-side): every task reduces its rows to one per key before
-  the shuffle, so a key holding a third of all rows costs one row per task in the
-  exchange, not a third of the table in one task.
-* ``method="window"``: ``row_number() over (partition by key order by ...) = 1``.
-  Spark plans a partial ``WindowGroupLimit`` before the exchange (rank limit 1), so
-  this form is also reduced to one row per key per task before the shuffle.  It
-  depends on that optimizer rule (``spark.sql.optimizer.windowGroupLimitThreshold``);
-  the aggregate form does not.
+* ``method="window"`` (default): ``row_number() over (partition by key order by ...) = 1``.
+  Spark plans a partial ``WindowGroupLimit`` before the exchange (rank limit 1), so a key
+  holding a third of all rows costs one row per task in the shuffle, and only columns
+  that are used later are read.  It depends on that optimizer rule
+  (``spark.sql.optimizer.windowGroupLimitThreshold``).
+* ``method="aggregate"``: ``groupBy(key).agg(min_by(row, order))``.  The aggregate is
+  partial as well and needs no optimizer rule; it also works on a stream.  It sorts
+  before and after the exchange and carries every column, so it costs more.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ def _as_list(x) -> list[str]:
 
 
 def first_per_key(df: DataFrame, keys: str | Sequence[str], time_col: str,
-                  tiebreak: str | Sequence[str] = (), method: str = "aggregate") -> DataFrame:
+                  tiebreak: str | Sequence[str] = (), method: str = "window") -> DataFrame:
     keys, ties = _as_list(keys), _as_list(tiebreak)
     cols = df.columns
     if method == "window":

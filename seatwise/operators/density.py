@@ -6,13 +6,10 @@ when that minimum is 0), with quartiles by linear interpolation between order
 statistics.  The output grid runs from min - cut*h to max + cut*h (cut=0: the data
 range, which is what the density charts use).
 
-Statistics: one aggregate over the (pruned) column gives n, sd, min, max, a
-distinct-count sketch and sketch quartiles - one row to the driver.  The quartiles
-are then made exact (default): from the (value, count) table when there are at most
-``EXACT_MAX_DISTINCT`` distinct values (an exact percentile keeps one entry per
-distinct value in one buffer), and by bracket refinement beyond that
-(``operators/quantiles``: bounded memory, a few extra scans).  ``quantiles="approx"``
-keeps the sketch.
+Statistics: one aggregate over the (pruned) column gives n, sd, min, max and sketch
+quartiles - one row to the driver.  The quartiles are then made exact (default) by
+bracket refinement (``operators/quantiles``: bounded memory, two more scans);
+``quantiles="approx"`` keeps the sketch.  Values that are not finite are left out.
 
 ``method="binned"`` (default) is the estimator the charts were drawn with (R's
 ``density``): every value is split linearly between the two nearest of 512 bins
@@ -38,10 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.functions.convert import as_double
-from seatwise.operators.quantiles import exact_quantiles
+from seatwise.operators.quantiles import SKETCH_ACCURACY, exact_quantiles, sketch
 
-EXACT_MAX_DISTINCT = 1_000_000   # auto: exact quartiles up to this many distinct values
-APPROX_ACCURACY = 100_000        # percentile sketch accuracy (rank error ~ 1/accuracy)
 BINS = 512                       # bins of the binned estimator (grows to a power of 2 for more points)
 SCHEMA = "i int, x double, density double"
 
@@ -55,30 +50,24 @@ def nrd0(n: int, sd: float | None, q1: float, q3: float, xmin: float) -> float:
 
 
 def _stats(xs: DataFrame, quantiles: str):
+    if quantiles not in ("exact", "approx"):
+        raise ValueError(f"unknown quantiles {quantiles!r}")
     s = xs.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
                F.min("x").alias("lo"), F.max("x").alias("hi"),
-               F.approx_count_distinct("x").alias("ndv"),
-               F.percentile_approx("x", [0.25, 0.75], APPROX_ACCURACY).alias("q")).first()
+               F.percentile_approx("x", [0.25, 0.75], SKETCH_ACCURACY).alias("q"),
+               sketch([0.25, 0.75]).alias("around")).first()
     if not s["n"]:
         return None
     q1, q3 = s["q"]
-    if quantiles in ("exact", "auto"):
-        if s["ndv"] <= EXACT_MAX_DISTINCT:
-            # (value, count) table: one percentile buffer entry per distinct value.
-            vals = xs.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-            q1, q3 = vals.agg(F.percentile("x", [0.25, 0.75], F.col("c")).alias("q")).first()["q"]
-        else:
-            # Too many distinct values for one buffer: bracket refinement, still exact.
-            q1, q3 = exact_quantiles(xs, [0.25, 0.75], s["n"], s["lo"], s["hi"])
-    elif quantiles != "approx":
-        raise ValueError(f"unknown quantiles {quantiles!r}")
+    if quantiles == "exact":
+        q1, q3 = exact_quantiles(xs, [0.25, 0.75], s["n"], s["lo"], s["hi"], sketched=s["around"])
     sd = s["sd"] if s["n"] > 1 else None
     return s["n"], sd, s["lo"], s["hi"], q1, q3
 
 
 def density(df: DataFrame, col: str, points: int = 512, bw: float | None = None,
             adjust: float = 1.0, cut: float = 0.0, bin_width: float | None = None,
-            quantiles: str = "auto", method: str = "binned") -> DataFrame:
+            quantiles: str = "exact", method: str = "binned") -> DataFrame:
     """Rows ``(i, x, density)`` for grid index ``i`` = 0..points-1."""
     if points < 1:
         raise ValueError("points must be >= 1")
@@ -86,7 +75,7 @@ def density(df: DataFrame, col: str, points: int = 512, bw: float | None = None,
     x = as_double(df, col)
     if bin_width:
         x = F.round(x / bin_width) * bin_width
-    xs = df.select(x.alias("x")).filter(F.col("x").isNotNull())
+    xs = df.select(x.alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") != F.lit(float("inf"))))
     st = _stats(xs, quantiles)
     if st is None:
         return spark.createDataFrame([], SCHEMA)
@@ -127,9 +116,11 @@ def _binned(xs: DataFrame, n: int, h: float, frm: float, to: float, points: int)
     for r in sums:
         y[r["idx"]] = r["c"] / n
     kstep = 2 * (up - lo) / (2 * nb - 1)
-    dist = np.abs(np.arange(nb)[:, None] - np.arange(nb)[None, :]) * kstep
+    # The kernel depends on the distance of two bins only: a convolution, done by FFT over
+    # twice the bins so that it does not wrap around.
+    dist = np.minimum(np.arange(2 * nb), 2 * nb - np.arange(2 * nb)) * kstep
     kern = np.exp(-0.5 * (dist / h) ** 2) / (h * math.sqrt(2 * math.pi))
-    dens = np.maximum(0.0, kern @ y)
+    dens = np.maximum(0.0, np.fft.irfft(np.fft.rfft(y, 2 * nb) * np.fft.rfft(kern), 2 * nb)[:nb])
     rows = []
     for i in range(points):
         xu = frm + i * (to - frm) / (points - 1) if points > 1 else frm

@@ -6,39 +6,42 @@ Rules (those of the factor tools the charts were made with):
 * when at most one level would fall outside, nothing is lumped;
 * null stays null and is not a level.
 
-Plan: count per level (partial aggregate), rank on that small table, join the
-level map back.  The map has one row per distinct level; it is broadcast after a
-size check (``broadcast_checked``), otherwise joined with a shuffle.
+Plan: count per level (partial aggregate), then the n-th largest count by a top-n
+(``TakeOrderedAndProject``), so no task holds all levels.  Only the kept levels - n and
+those tied with the n-th - are joined to the rows; any other non-null value is lumped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.operators.sizing import broadcast_checked
 
 
-def lump_levels(df: DataFrame, col: str, n: int, other: str = "Other") -> DataFrame:
-    """Map ``col`` -> lumped level, one row per non-null level."""
+def kept_levels(df: DataFrame, col: str, n: int) -> DataFrame | None:
+    """The levels that stay (one column, ``col``); None when all do."""
     if n < 0:
         raise ValueError("n must be >= 0 (keeping the least frequent levels is not supported)")
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = counts.withColumn("__rk", F.rank().over(Window.orderBy(F.desc("__n"))))
-    ranked = ranked.withColumn(
-        "__out", F.sum(F.when(F.col("__rk") > n, 1).otherwise(0)).over(Window.partitionBy()))
-    return ranked.select(
-        col,
-        F.when((F.col("__rk") <= n) | (F.col("__out") <= 1), F.col(col))
-         .otherwise(F.lit(other)).alias("__lumped"))
+    least = counts.select("__n").orderBy(F.desc("__n")).limit(n).agg(F.min("__n"), F.count(F.lit(1))).first() if n else (None, 0)
+    if least[1] < n:
+        return None                              # fewer than n levels
+    kept = F.col("__n") >= F.lit(least[0]) if n else F.lit(False)
+    if counts.filter(~kept).limit(2).count() <= 1:
+        return None
+    return counts.filter(kept).select(col)
 
 
 def lump_top_n(df: DataFrame, col: str, n: int, other: str = "Other",
                name: str | None = None) -> DataFrame:
-    """Replace ``col`` (or add ``name``) with the lumped level."""
-    levels, _ = broadcast_checked(lump_levels(df, col, n, other))
-    out = df.join(levels, on=col, how="left")
+    """Replace ``col`` (or add ``name``) with the lumped level, a text."""
     target = name or col
-    cols = [c for c in df.columns] + ([] if name is None or name in df.columns else [name])
-    out = out.withColumn(target, F.col("__lumped"))
-    return out.select(*cols)
+    cols = [*df.columns] + ([] if target in df.columns else [target])
+    kept = kept_levels(df, col, n)
+    level = F.col(col).cast("string")
+    if kept is None:
+        return df.withColumn(target, level).select(*cols)
+    levels, _ = broadcast_checked(kept.withColumn("__kept", F.lit(True)))
+    out = df.join(levels, on=col, how="left")
+    return out.withColumn(target, F.when(F.col("__kept"), level).when(F.col(col).isNotNull(), F.lit(other))).select(*cols)

@@ -42,14 +42,17 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
             single_task_bytes: int = SINGLE_TASK_BYTES) -> DataFrame:
     """Add ``name`` = 1..n following ``order`` (``"x"`` asc, ``"-x"`` desc, nulls last).
 
-    The order must be total (end in a unique column) for the result to be repeatable.
-    Select the needed columns first: the two-phase plan checkpoints ``df`` and no
+    Rows that tie in the order are numbered by a hash of all their columns, so the result
+    is repeatable; only rows equal in every column are interchangeable.  Select the needed columns first: the two-phase plan checkpoints ``df`` and no
     column can be pruned through a checkpoint.  ``method="auto"`` takes the window
-    when Catalyst's size estimate of ``df`` (an upper bound for scans, filters and
-    projections; joins and in-memory data count as unknown, i.e. large) is at most
-    ``single_task_bytes``, and the two-phase plan otherwise.
+    when Catalyst's size estimate of ``df`` is at most ``single_task_bytes``, and the
+    two-phase plan otherwise; both give the same numbers, so the estimate only decides
+    about the cost.
     """
-    cols = sort_cols(order)
+    # A row hash as the last key, in both plans: ties get the same numbers in any plan and
+    # under any partitioning, and a value held by a third of the rows is split across
+    # ranges.  With a total order it never decides anything.
+    cols = sort_cols(order) + [F.asc(F.xxhash64(*[F.col(c) for c in df.columns]))]
     if method == "auto":
         method = "window" if estimated_bytes(df) <= single_task_bytes else "range"
     if method == "window":
@@ -58,10 +61,6 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
         raise ValueError(f"unknown method {method!r}")
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    # A row hash as the last key: when the given order is not total, a value held by
-    # a third of the rows is still split across ranges (ties are ordered by the hash,
-    # deterministically).  With a total order it never decides anything.
-    cols = cols + [F.asc(F.xxhash64(*[F.col(c) for c in df.columns]))]
     # Without a forced count the exchange uses the session's shuffle partitions (on a
     # large cluster: spark.sql.adaptive.coalescePartitions.initialPartitionNum) and AQE
     # merges small neighbouring ranges; merged ranges stay contiguous and in order,

@@ -60,8 +60,8 @@ def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | N
     """Draw ``k`` rows of ``df`` without replacement, chance proportional to ``weight``.
 
     ``weight=None`` is the uniform draw.  Rows with weight 0 are never drawn.  A
-    null weight raises (``null_weight="error"``) or is skipped (``"skip"``); so does
-    a negative one (``negative_weight``).  When
+    null, NaN or infinite weight raises (``null_weight="error"``) or is skipped
+    (``"skip"``); so does a negative one (``negative_weight``).  When
     fewer than ``k`` rows can be drawn, ``on_short="error"`` raises and ``"all"``
     returns every drawable row.  Returns the drawn rows with all their columns.
     """
@@ -70,8 +70,10 @@ def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | N
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     w = w.cast("double")
     wc = F.col("__w")
+    # NaN and infinity are no weights: refused or skipped like null, whatever the plan
+    w = F.when(F.isnan(w) | (w == F.lit(float("inf"))), F.lit(None)).otherwise(w)
     if null_weight == "error":
-        keep = F.coalesce(wc > 0, F.raise_error(F.lit("null weight in weighted_sample")).cast("boolean"))
+        keep = F.coalesce(wc > 0, F.raise_error(F.lit("null or non-finite weight in weighted_sample")).cast("boolean"))
     elif null_weight == "skip":
         keep = wc > 0
     else:

@@ -29,8 +29,3 @@ def sort_cols(specs: Sequence[SortSpec] | SortSpec, reverse: bool = False) -> li
         else:
             out.append(F.desc_nulls_first(name) if asc else F.asc_nulls_first(name))
     return out
-
-
-def spec_names(specs: Sequence[SortSpec] | SortSpec) -> list[str]:
-    specs = [specs] if isinstance(specs, str) else list(specs)
-    return [_parse(s)[0] for s in specs]

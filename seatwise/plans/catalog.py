@@ -14,7 +14,6 @@ Every query reads whole tables; a limit appears only where it is the operator
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +39,9 @@ from seatwise.operators.scoring import Rule
 from seatwise.operators.shares import share_of_total, share_within
 from seatwise.operators.sizing import spread
 from seatwise.plans.config import DrawConfig, IntakeConfig, ScoreConfig
+from seatwise.plans import explore
 from seatwise.plans.explore import stack_populations
+from seatwise.plans.report import profile_report
 from seatwise.plans.intake import apply_exclusions, clean_intake
 from seatwise.plans.selection import score_applicants, seat_draw
 from seatwise.session import scratch_path
@@ -55,16 +56,8 @@ SEED = 42
 SEATS = 160
 
 
-_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
-
-
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A driver table; the DataFrame (its inferred schema) is reused per session."""
-    path = f"{sf.rstrip('/')}/{name}.parquet"
-    per_session = _TABLES.setdefault(spark, {})
-    if path not in per_session:
-        per_session[path] = spark.read.parquet(path)
-    return per_session[path]
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
 def _r9(c) -> F.Column:
@@ -257,7 +250,7 @@ def stream_clean_intake(spark, sf):
          .outputMode("update").foreachBatch(changes_sink(out_path))
          .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    return current_firsts(spark, out_path).select("nombre", "correo", "genero", "trans")
+    return current_firsts(spark, out_path, cfg).select("nombre", "correo", "genero", "trans")
 
 
 def exclusions_q(spark, sf):
@@ -373,10 +366,14 @@ def category_order(spark, sf):
     return c.select("o_orderpriority", "n", "ord_fixed", "ord_by_share")
 
 
+BAD_NUMBERS = {3: "", 4: "30d", 5: "30f", 6: "NaN", 7: "inf", 8: "  ", 9: "1.2.3"}     # by c_nationkey
+
+
 def _acct_text(spark, sf) -> DataFrame:
     c = _t(spark, sf, "customer")
-    return c.withColumn("bal_txt", F.when(F.col("c_nationkey") == 3, F.lit(""))
-                        .otherwise(F.col("c_acctbal").cast("string")))
+    bad = F.create_map(*[F.lit(x) for kv in BAD_NUMBERS.items() for x in kv])
+    return c.withColumn("bal_txt", F.coalesce(F.try_element_at(bad, F.col("c_nationkey")),
+                                              F.col("c_acctbal").cast("string")))
 
 
 def mean_strict_q(spark, sf):
@@ -426,8 +423,7 @@ def text_squish_lower(spark, sf):
 
 
 def email_filter(spark, sf):
-    d = spread(_t(spark, sf, "documents").select("doc_id", "text"))
-    return d.filter(F.col("text").rlike(r"@.*\.")).select("doc_id")
+    return _t(spark, sf, "documents").filter(F.col("text").rlike(r"@.*\.")).select("doc_id")
 
 
 def replace_first_q(spark, sf):
@@ -472,7 +468,7 @@ def across_strings_q(spark, sf):
 
 
 def harmonise_union(spark, sf):
-    adm = _admitted(spark, sf, rank=True).select("id", "c_custkey", "c_mktsegment", "c_nationkey")
+    adm = _admitted(spark, sf).select("c_custkey", "c_mktsegment", "c_nationkey")
     app = _t(spark, sf, "customer")
     return stack_populations(adm, app, numeric=())
 
@@ -517,43 +513,17 @@ def display_labels_q(spark, sf):
     return display_labels(p).select("p_partkey", "genero", "nivel_r", "nivel_r_ord", "areas", "pais")
 
 
-def chart_top_share(spark, sf):
-    """A chart table: top-7 lump, count, share of the total, order by share, label."""
-    p = lump_top_n(_t(spark, sf, "part"), "p_brand", 7, "Other brands")
-    c = share_of_total(count_by(p, "p_brand", ordered=False))
-    c = c.withColumn("__other", (F.col("p_brand") == "Other brands").cast("int"))
-    c = reorder_by(c, "p_brand", "p", prior="__other", name="p_brand_ord", per_level=True)
-    return c.select("p_brand", "n", _r9("p").alias("p"), "p_brand_ord", percent_label("p", 1).alias("label"))
-
-
-def chart_segment_share(spark, sf):
-    """Applicants vs admitted: stacked populations, count per level and population,
-    listed levels only, share inside each population, percent label."""
-    adm = _admitted(spark, sf, rank=True).select("id", "c_custkey", "c_mktsegment")
-    datos = stack_populations(adm, _t(spark, sf, "customer"), numeric=())
-    c = count_by(datos, ["c_mktsegment", "tipo"], ordered=False)
-    c = keep_in(c, "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE"])
-    c = share_within(c, "tipo")
-    return c.select("c_mktsegment", "tipo", "n", _r9("p").alias("p"), percent_label("p", 1).alias("label"))
-
-
-def chart_null_kept_share(spark, sf):
-    """The chart that drops one answer but keeps unanswered rows: count per level and
-    population, filter_out (null level kept), share inside each population."""
-    adm = _admitted(spark, sf, rank=True).select("id", "c_custkey", "c_mktsegment")
-    datos = stack_populations(adm, _t(spark, sf, "customer"), numeric=())
-    datos = datos.withColumn("seg", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")))
-    c = filter_out(count_by(datos, ["seg", "tipo"], ordered=False), F.col("seg") == "BUILDING")
-    return share_within(c, "tipo").select("seg", "tipo", "n", _r9("p").alias("p"))
-
-
 def csv2_roundtrip(spark, sf):
-    s = _t(spark, sf, "supplier")
+    """Written and read back: numbers, thousands marks, missing values, separators, quotes
+    and line breaks inside fields."""
+    s = _t(spark, sf, "supplier").withColumns({
+        "thousands": F.concat(F.format_string("%d", F.col("s_suppkey") % 9 + 1), F.lit(".500")),
+        "thousands_dec": F.concat(F.lit("1.234,"), (F.col("s_suppkey") % 10).cast("string")),
+        "some": F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name")),
+        "odd": F.concat(F.lit('a;"b"\n'), F.col("s_name"), F.lit("; c"))})
     path = write_csv2(s, scratch_path(spark, "supplier-csv2"))
     back = read_csv2(spark, path)
-    return back.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name",
-                       F.col("s_nationkey").cast("int").alias("s_nationkey"),
-                       F.col("s_acctbal").cast("double").alias("s_acctbal"))
+    return back.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal", "thousands", "thousands_dec", "some", "odd")
 
 
 def snapshot_anonymised(spark, sf):
@@ -616,6 +586,143 @@ def conformance_q(spark, sf):
                        required=["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+def category_order_median(spark, sf):
+    """Levels of raw rows by the exact median of a measure."""
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return reorder_by(o, "o_orderpriority", "o_totalprice", name="ord").select("o_orderkey", "ord")
+
+
+def draw_by_rank(spark, sf):
+    """The selection as shipped: score, rank, and draw by the hash of the rank id."""
+    scored = score_applicants(_customers(spark, sf), _score_cfg(rank=True))
+    cfg = DrawConfig(seats=SEATS, seed=SEED, weight="score", guaranteed_col="c_nationkey", guaranteed_value=7,
+                     list_col="c_name", on_short="all")
+    return seat_draw(scored, cfg, special_list=_special_list(spark, sf)).select("id", "c_custkey", "score")
+
+
+def density_continuous(spark, sf):
+    """Density of a column with many distinct values (exact quartiles by refinement)."""
+    d = density(_t(spark, sf, "lineitem"), "l_extendedprice", points=512)
+    return d.select("i", _r9("x").alias("x"), F.round("density", 12).alias("density"))
+
+
+def mean_strict_all(spark, sf):
+    """The strict mean of a whole table: null as soon as one value is no number."""
+    c = _acct_text(spark, sf)
+    good = c.filter(~F.col("c_nationkey").between(3, 9))
+    return (mean_strict(good, "bal_txt").select(F.lit("good").alias("rows"), _r9("mean").alias("mean"))
+            .unionByName(mean_strict(c, "bal_txt").select(F.lit("all").alias("rows"), _r9("mean").alias("mean"))))
+
+
+def _answers(people: DataFrame) -> DataFrame:
+    """The form's answers, as codes, made from a customer's columns."""
+    n = F.col("c_nationkey")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (n % len(v) + 1).cast("int"))
+    return people.select(
+        "c_custkey", F.col("c_name").alias("nombre"),
+        pick("femenino", "masculino", "no_binario", "queer_ag_nero_otro").alias("genero"),
+        F.when(F.col("c_acctbal") >= 0, pick("sí", "no", "prefiero_no_decirlo")).alias("lgbt"),
+        pick("ninguno", "principiante", "lo_vi_en_la_universidad_pero_no_entend_nada", "intermedio").alias("nivel_r"),
+        F.concat(F.lit("area_"), n.cast("string")).alias("areas"),
+        F.concat(F.lit("pais_"), (n % 12).cast("string")).alias("pais"),
+        F.when(n % 11 != 0, (n + 18).cast("string")).otherwise(F.lit("30d")).alias("edad"),
+        pick("sí", "no").alias("trans"), pick("media", "superior").alias("educacion"),
+        pick("no", "sí", "no").alias("nivel_programacion"))
+
+
+SQL_ANSWERS = """
+SELECT c_custkey, c_name AS nombre, ['femenino', 'masculino', 'no_binario', 'queer_ag_nero_otro'][c_nationkey % 4 + 1] AS genero,
+  CASE WHEN c_acctbal >= 0 THEN ['sí', 'no', 'prefiero_no_decirlo'][c_nationkey % 3 + 1] END AS lgbt,
+  ['ninguno', 'principiante', 'lo_vi_en_la_universidad_pero_no_entend_nada', 'intermedio'][c_nationkey % 4 + 1] AS nivel_r,
+  'area_' || c_nationkey AS areas, 'pais_' || (c_nationkey % 12) AS pais,
+  CASE WHEN c_nationkey % 11 <> 0 THEN CAST(c_nationkey + 18 AS VARCHAR) ELSE '30d' END AS edad,
+  ['sí', 'no'][c_nationkey % 2 + 1] AS trans, ['media', 'superior'][c_nationkey % 2 + 1] AS educacion,
+  ['no', 'sí', 'no'][c_nationkey % 3 + 1] AS nivel_programacion"""
+SQL_DATOS = f"""{SQL_ADMITTED},
+coded AS (SELECT *, 'inscritos/as' AS tipo FROM ({SQL_ANSWERS} FROM admitted)
+          UNION ALL SELECT *, 'postulaciones' FROM ({SQL_ANSWERS} FROM customer)),
+datos AS (
+  SELECT c_custkey, tipo, regexp_replace(CASE genero WHEN 'queer_ag_nero_otro' THEN 'queer, agénero, otros' ELSE genero END,
+         '_', ' ') AS genero, lgbt,
+         CASE nivel_r WHEN 'lo_vi_en_la_universidad_pero_no_entend_nada'
+              THEN 'lo vi en la universidad,' || chr(10) || 'pero no entendí nada' ELSE nivel_r END AS nivel_r,
+         CASE nivel_r WHEN 'intermedio' THEN 1 WHEN 'principiante' THEN 2 WHEN 'ninguno' THEN 3 ELSE 4 END AS nivel_r_ord,
+         replace(areas, '_', ' ') AS areas, upper(pais[1]) || pais[2:] AS pais,
+         CASE WHEN edad <> '30d' THEN CAST(edad AS DOUBLE) END AS edad FROM coded)"""
+
+
+def _datos(spark, sf) -> DataFrame:
+    return explore.harmonise(_answers(_admitted(spark, sf)), _answers(_t(spark, sf, "customer")))
+
+
+def harmonise_q(spark, sf):
+    """Both populations stacked and labelled by hand repairs."""
+    return _datos(spark, sf).select("c_custkey", "tipo", "genero", "lgbt", "nivel_r",
+                                    F.col("nivel_r_ord").cast("long").alias("nivel_r_ord"), "areas", "pais", "edad")
+
+
+def harmonise_codebook(spark, sf):
+    """The same with exact labels from a codebook."""
+    book = codebook_df(spark, [("genero", "mc", "", [("Femenino", "femenino"), ("Masculino", "masculino"), ("No binario", "no_binario")]),
+                               ("pais", "select", "", [(f"País {i}", f"pais_{i}") for i in range(6)])])
+    d = explore.harmonise(_answers(_admitted(spark, sf)), _answers(_t(spark, sf, "customer")), codebook=book)
+    return d.select("c_custkey", "tipo", "genero", "pais", "areas")
+
+
+def _chart(name: str, *cols: str) -> Query:
+    def query(spark, sf):
+        t = getattr(explore, name)(_datos(spark, sf))
+        return t.select(*[_r9(c).alias(c) if c == "p" else c for c in cols])
+    query.__doc__ = f"The chart table ``{name}`` as shipped."
+    return query
+
+
+def chart_age_density(spark, sf):
+    """The chart table ``age_density`` as shipped."""
+    return explore.age_density(_datos(spark, sf)).select("i", _r9("x").alias("x"), _r9("density").alias("density"))
+
+
+def _report(spark, sf, who: DataFrame) -> DataFrame:
+    """The tables of ``profile_report`` as one: table name and a row as text."""
+    out = None
+    for name, t in sorted(profile_report(who, country="pais_3").items()):
+        row = t.select(F.lit(name).alias("name"), F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(t.columns)]),
+                                                            {"ignoreNullFields": "false"}).alias("row"))
+        out = row if out is None else out.unionByName(row)
+    return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row").alias("n_distinct"),
+                                   F.min("row").alias("least"), F.max("row").alias("largest"))
+
+
+def report_applicants(spark, sf):
+    return _report(spark, sf, _answers(_t(spark, sf, "customer")).drop("c_custkey"))
+
+
+def report_admitted(spark, sf):
+    return _report(spark, sf, _answers(_admitted(spark, sf)).drop("c_custkey"))
+
+
+def _codebook_file(spark, sf) -> str:
+    """A form definition made from the values of ``orders``, written as a text file."""
+    from seatwise.sources.writers import write_text_lines
+
+    o = _t(spark, sf, "orders")
+    part = lambda q: (o.groupBy(F.col(q).alias("v")).agg(F.lit(1)).orderBy("v")
+                      .agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit('    "Label of '), F.col("v"), F.lit("\": '"), F.col("v"), F.lit("'")))), "\n").alias("x"))
+                      .select(F.concat(F.lit(f"{q}:\n  type: mc\n  label: Question on\n    {q}\n  options:\n"), "x").alias("value")))
+    text = part("o_orderstatus").unionByName(part("o_orderpriority"))
+    whole = text.agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("value"))
+    return write_text_lines(whole, "value", scratch_path(spark, "form"))
+
+
+def codebook_file(spark, sf):
+    """A codebook read from its definition file, used to decode and check."""
+    from seatwise.sources.codebook import read_codebook
+
+    book = read_codebook(spark, _codebook_file(spark, sf))
+    d = decode(_t(spark, sf, "orders"), book).groupBy("o_orderstatus_label", "o_orderpriority_label").agg(F.count(F.lit(1)).alias("n"))
+    return d
+
+
 QUERIES: dict[str, Query] = {
     "flagship_seat_draw": flagship_seat_draw,
     "weighted_sample": weighted_sample_q,
@@ -666,9 +773,6 @@ QUERIES: dict[str, Query] = {
     "density": density_q,
     "density_exact": density_exact,
     "display_labels": display_labels_q,
-    "chart_top_share": chart_top_share,
-    "chart_segment_share": chart_segment_share,
-    "chart_null_kept_share": chart_null_kept_share,
     "csv2_roundtrip": csv2_roundtrip,
     "snapshot_anonymised": snapshot_anonymised,
     "column_profile": column_profile_q,
@@ -679,6 +783,21 @@ QUERIES: dict[str, Query] = {
     "slugify": slugify,
     "decode_codes": decode_codes,
     "conformance": conformance_q,
+    "category_order_median": category_order_median,
+    "draw_by_rank": draw_by_rank,
+    "density_continuous": density_continuous,
+    "mean_strict_all": mean_strict_all,
+    "harmonise": harmonise_q,
+    "harmonise_codebook": harmonise_codebook,
+    "chart_gender_share": _chart("gender_share", "genero", "tipo", "n", "p", "label"),
+    "chart_lgbt_share": _chart("lgbt_share", "lgbt", "tipo", "n", "p", "label"),
+    "chart_level_count": _chart("level_count", "nivel_r", "tipo", "nivel_r_ord", "n", "p"),
+    "chart_top_areas": _chart("top_areas_share", "areas", "tipo", "n", "p", "areas_ord", "label"),
+    "chart_top_countries": _chart("top_countries_share", "pais", "n", "p", "pais_ord", "label"),
+    "chart_age_density": chart_age_density,
+    "report_applicants": report_applicants,
+    "report_admitted": report_admitted,
+    "codebook_file": codebook_file,
 }
 
 
@@ -791,12 +910,10 @@ SELECT o_orderpriority, n,
        row_number() OVER (ORDER BY p, o_orderpriority) AS ord_by_share
 FROM p""",
     "mean_strict": """
-WITH t AS (SELECT c_nationkey, TRY_CAST(CASE WHEN c_nationkey = 3 THEN '' ELSE CAST(c_acctbal AS VARCHAR) END
-                                      AS DOUBLE) AS x FROM customer)
+WITH t AS (SELECT c_nationkey, CASE WHEN c_nationkey NOT BETWEEN 3 AND 9 THEN c_acctbal END AS x FROM customer)
 SELECT c_nationkey, round(CASE WHEN count(*) = count(x) THEN avg(x) END, 9) AS mean FROM t GROUP BY 1""",
     "mean_na_rm": """
-WITH t AS (SELECT c_nationkey, TRY_CAST(CASE WHEN c_nationkey = 3 THEN '' ELSE CAST(c_acctbal AS VARCHAR) END
-                                      AS DOUBLE) AS x FROM customer)
+WITH t AS (SELECT c_nationkey, CASE WHEN c_nationkey NOT BETWEEN 3 AND 9 THEN c_acctbal END AS x FROM customer)
 SELECT c_nationkey, round(avg(x), 9) AS mean FROM t GROUP BY 1""",
     "recipient_list": """
 WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation)
@@ -840,7 +957,11 @@ SELECT c_custkey, c_mktsegment, c_nationkey, 'postulaciones' AS tipo FROM custom
     "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_tax FROM lineitem",
     "density": SQL_DENSITY_BINNED,
     "density_exact": SQL_DENSITY,
-    "csv2_roundtrip": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
+    "csv2_roundtrip": """
+SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal,
+       CAST((s_suppkey % 9 + 1) * 1000 + 500 AS BIGINT) AS thousands, 1234 + (s_suppkey % 10) / 10.0 AS thousands_dec,
+       CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS some, 'a;"b"' || chr(10) || s_name || '; c' AS odd
+FROM supplier""",
     "snapshot_anonymised": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "column_profile": """
 SELECT 'c_custkey' AS "column", count(*) AS n, count(c_custkey) AS n_non_null,
@@ -909,16 +1030,6 @@ lv AS (
   FROM (SELECT DISTINCT nivel_r FROM l WHERE nivel_r IS NOT NULL))
 SELECT p_partkey, genero, l.nivel_r, lv.nivel_r_ord, regexp_replace(areas_w, '\n+$', '') AS areas, pais
 FROM l LEFT JOIN lv ON l.nivel_r = lv.nivel_r""",
-    "chart_top_share": """
-WITH c AS (SELECT p_brand, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1),
-r AS (SELECT *, rank() OVER (ORDER BY n DESC) AS rk FROM c),
-o AS (SELECT *, sum(CASE WHEN rk > 7 THEN 1 ELSE 0 END) OVER () AS n_out FROM r),
-m AS (SELECT p_brand, CASE WHEN rk <= 7 OR n_out <= 1 THEN p_brand ELSE 'Other brands' END AS lumped FROM o),
-k AS (SELECT m.lumped AS p_brand, count(*) AS n FROM part LEFT JOIN m USING (p_brand) GROUP BY 1),
-s AS (SELECT *, n / sum(n) OVER () AS p FROM k)
-SELECT p_brand, n, round(p, 9) AS p,
-       row_number() OVER (ORDER BY p, CAST(p_brand = 'Other brands' AS INTEGER), p_brand) AS p_brand_ord,
-       printf('%.1f%%', round_even(p * 100.0, 1)) AS label FROM s""",
     "glimpse": """
 WITH h AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 5)
 SELECT 'c_custkey' AS "column", 'bigint' AS type,
@@ -934,24 +1045,105 @@ WITH {SQL_ADMITTED}
 SELECT c_mktsegment, round(avg(TRY_CAST(CASE WHEN c_acctbal < 0 THEN '' ELSE CAST(c_acctbal AS VARCHAR) END
                                         AS DOUBLE)), 9) AS mean
 FROM admitted GROUP BY 1""",
-    "chart_segment_share": f"""
-WITH {SQL_ADMITTED},
-datos AS (SELECT c_custkey, c_mktsegment, 'inscritos/as' AS tipo FROM admitted
-          UNION ALL SELECT c_custkey, c_mktsegment, 'postulaciones' AS tipo FROM customer),
-c AS (SELECT c_mktsegment, tipo, count(*) AS n FROM datos GROUP BY 1, 2),
-f AS (SELECT * FROM c WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE')),
-s AS (SELECT *, n / sum(n) OVER (PARTITION BY tipo) AS p FROM f)
-SELECT c_mktsegment, tipo, n, round(p, 9) AS p, printf('%.1f%%', round_even(p * 100.0, 1)) AS label FROM s""",
     "answer_counts": """
 WITH c AS (SELECT nullif(c_mktsegment, 'MACHINERY') AS seg, c_nationkey, c_mktsegment FROM customer)
 SELECT 'seg' AS "column", seg AS value, count(*) AS n FROM c GROUP BY seg
 UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR), count(*) FROM c GROUP BY c_nationkey
 UNION ALL SELECT 'c_mktsegment', c_mktsegment, count(*) FROM c GROUP BY c_mktsegment""",
-    "chart_null_kept_share": f"""
-WITH {SQL_ADMITTED},
-datos AS (SELECT c_mktsegment, 'inscritos/as' AS tipo FROM admitted
-          UNION ALL SELECT c_mktsegment, 'postulaciones' AS tipo FROM customer),
-c AS (SELECT nullif(c_mktsegment, 'MACHINERY') AS seg, tipo, count(*) AS n FROM datos GROUP BY 1, 2),
-f AS (SELECT * FROM c WHERE NOT coalesce(seg = 'BUILDING', false))
-SELECT seg, tipo, n, round(n / sum(n) OVER (PARTITION BY tipo), 9) AS p FROM f""",
+}
+
+
+def _sql_density(column: str, table: str, digits: int = 9) -> str:
+    return (SQL_DENSITY_BINNED.replace("CAST(p_size AS DOUBLE) AS x FROM part WHERE p_size IS NOT NULL",
+                                       f"CAST({column} AS DOUBLE) AS x FROM {table} WHERE {column} IS NOT NULL")
+            .replace("d0.dens), 9)", f"d0.dens), {digits})"))
+
+
+# the digits that the labeller picks: one finer than the least gap, less an idle last one
+SQL_AUTO = """
+v AS (SELECT DISTINCT p * 100.0 AS v FROM s),
+gap AS (SELECT min(d) AS d FROM (SELECT v - lag(v) OVER (ORDER BY v) AS d FROM v)),
+dig AS (SELECT CASE WHEN d IS NULL OR d < 1.4901161193847656e-08 THEN 0 ELSE CAST(1 - floor(log10(d)) AS INTEGER) END AS k, d FROM gap),
+fin AS (SELECT greatest(0, CASE WHEN any_value(d) IS NULL OR any_value(d) < 1.4901161193847656e-08 THEN 0
+          WHEN bool_and(CAST(round_even(v * pow(10, k), 0) AS BIGINT) % 10 = 0) THEN any_value(k) - 1 ELSE any_value(k) END) AS k
+        FROM v, dig)"""
+
+
+def _sql_lump(col: str, n: int, other: str, by_tipo: bool) -> str:
+    keep = ", tipo" if by_tipo else ""
+    return f"""
+WITH {SQL_DATOS}, adm AS (SELECT * FROM datos WHERE tipo = 'inscritos/as'),
+c AS (SELECT {col}, count(*) AS n FROM adm WHERE {col} IS NOT NULL GROUP BY 1),
+r AS (SELECT *, rank() OVER (ORDER BY n DESC) AS rk FROM c),
+o AS (SELECT *, sum(CASE WHEN rk > {n} THEN 1 ELSE 0 END) OVER () AS n_out FROM r),
+m AS (SELECT {col}, CASE WHEN rk <= {n} OR n_out <= 1 THEN {col} ELSE {other} END AS lumped FROM o),
+k AS (SELECT m.lumped AS {col}{keep}, count(*) AS n FROM adm LEFT JOIN m USING ({col}) GROUP BY ALL),
+s AS (SELECT *, n / sum(n) OVER () AS p FROM k)
+SELECT {col}{keep}, n, round(p, 9) AS p,
+       row_number() OVER (ORDER BY p, CAST({col} = {other} AS INTEGER), {col}) AS {col}_ord,
+       printf('%.1f%%', round_even(p * 100.0, 1)) AS label FROM s"""
+
+
+def _sql_report(rows: str) -> str:
+    def one(name: str, cols: str, source: str = "a") -> str:
+        fields = ", ".join(f"'{c}', CAST({c} AS VARCHAR)" for c in sorted(cols.split()))
+        return f"SELECT '{name}' AS name, CAST(json_object({fields}) AS VARCHAR) AS r FROM {source}"
+    count = lambda keys: f"(SELECT {keys}, count(*) AS n FROM a GROUP BY ALL)"
+    everything = "nombre genero lgbt nivel_r areas pais edad trans educacion nivel_programacion"
+    parts = [one(f"by_{k}", f"{c} n", count(c)) for k, c in (
+        ("gender", "genero"), ("country", "pais"), ("level", "nivel_r"), ("programming", "nivel_programacion"),
+        ("trans", "trans"), ("education", "educacion"), ("area", "areas"))]
+    parts += [one("mean_age", "mean", "(SELECT CAST(NULL AS DOUBLE) AS mean)"),
+              one("country_trans", "pais trans n", count("pais, trans") + " WHERE trans = 'sí'"),
+              one("from_country", everything, "a WHERE pais = 'pais_3'"), one("trans_yes", everything, "a WHERE trans = 'sí'"),
+              one("by_age", everything)]
+    parts += [f"SELECT 'all_answers', CAST(json_object('column', '{c}', 'n', CAST(n AS VARCHAR), 'value', {c}) AS VARCHAR) FROM {count(c)}"
+              for c in ("genero", "pais", "nivel_r", "nivel_programacion", "trans", "educacion", "areas")]
+    return (f"{rows}, t AS ({' UNION ALL '.join(parts)}) SELECT name, count(*) AS n, count(DISTINCT r) AS n_distinct, "
+            "min(r) AS least, max(r) AS largest FROM t GROUP BY name")
+
+
+def _sql_share(col: str, keep: str) -> str:
+    return f"""
+WITH {SQL_DATOS},
+c AS (SELECT {col}, tipo, count(*) AS n FROM datos GROUP BY 1, 2),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY tipo) AS p FROM c WHERE {keep}), {SQL_AUTO}
+SELECT {col}, tipo, n, round(p, 9) AS p, printf('%.' || k || 'f%%', round_even(p * 100.0, k)) AS label FROM s, fin"""
+
+
+ORACLE_SQL |= {
+    "category_order_median": """
+WITH m AS (SELECT o_orderpriority, row_number() OVER (ORDER BY median(o_totalprice), o_orderpriority) AS ord
+           FROM orders GROUP BY 1)
+SELECT o_orderkey, ord FROM orders JOIN m USING (o_orderpriority)""",
+    "draw_by_rank": f"""
+WITH scored AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, c_custkey) AS id
+                FROM (SELECT *, {SQL_SCORE} FROM (SELECT *, c_mktsegment AS seg FROM customer) c) x) y),
+drawn AS (SELECT id FROM scored WHERE score > 0 ORDER BY {sql_key('id', 'score')}, id LIMIT {SEATS})
+SELECT id, c_custkey, score FROM scored
+WHERE id IN (SELECT id FROM drawn) OR c_nationkey = 7 OR c_name IN ({SQL_SPECIAL_LIST})""",
+    "density_continuous": _sql_density("l_extendedprice", "lineitem", 12),
+    "mean_strict_all": """
+SELECT 'good' AS rows, round(avg(c_acctbal), 9) AS mean FROM customer WHERE c_nationkey NOT BETWEEN 3 AND 9
+UNION ALL SELECT 'all', CASE WHEN count(*) FILTER (c_nationkey BETWEEN 3 AND 9) = 0 THEN round(avg(c_acctbal), 9) END FROM customer""",
+    "harmonise": f"WITH {SQL_DATOS} SELECT c_custkey, tipo, genero, lgbt, nivel_r, CAST(nivel_r_ord AS BIGINT) AS nivel_r_ord, areas, pais, edad FROM datos",
+    "harmonise_codebook": f"""
+WITH {SQL_DATOS}
+SELECT c_custkey, tipo,
+  CASE genero WHEN 'femenino' THEN 'Femenino' WHEN 'masculino' THEN 'Masculino' WHEN 'no_binario' THEN 'No binario' ELSE genero END AS genero,
+  CASE WHEN pais IN ('pais_0', 'pais_1', 'pais_2', 'pais_3', 'pais_4', 'pais_5') THEN 'País ' || pais[6:] ELSE pais END AS pais, areas
+FROM coded""",
+    "chart_gender_share": _sql_share("genero", "genero IN ('no binario', 'femenino', 'masculino')"),
+    "chart_lgbt_share": _sql_share("lgbt", "NOT coalesce(lgbt = 'prefiero_no_decirlo', false)"),
+    "chart_level_count": f"""
+WITH {SQL_DATOS}, c AS (SELECT nivel_r, tipo, CAST(nivel_r_ord AS BIGINT) AS nivel_r_ord, count(*) AS n FROM datos GROUP BY 1, 2, 3)
+SELECT nivel_r, tipo, nivel_r_ord, n, round(n / sum(n) OVER (PARTITION BY tipo), 9) AS p FROM c""",
+    "chart_top_areas": _sql_lump("areas", 10, "'otras disciplinas'", True),
+    "chart_top_countries": _sql_lump("pais", 7, "'Otros' || chr(10) || 'países'", False),
+    "chart_age_density": f"WITH {SQL_DATOS}, v0 AS (SELECT edad FROM datos WHERE tipo = 'inscritos/as')," + _sql_density("edad", "v0").lstrip()[4:],
+    "report_applicants": _sql_report(f"WITH a AS ({SQL_ANSWERS} FROM customer)"),
+    "report_admitted": _sql_report(f"WITH {SQL_ADMITTED}, a AS ({SQL_ANSWERS} FROM admitted)"),
+    "codebook_file": """
+SELECT 'Label of ' || o_orderstatus AS o_orderstatus_label, 'Label of ' || o_orderpriority AS o_orderpriority_label, count(*) AS n
+FROM orders GROUP BY 1, 2""",
 }

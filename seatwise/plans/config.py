@@ -65,7 +65,7 @@ class IntakeConfig:
     email_pattern: str = EMAIL_PATTERN
     yes_pattern: str = YES_PATTERN
     yes_value: str = YES_VALUE
-    dedup_method: str = "aggregate"
+    dedup_method: str = "window"
     dedup_extra_keys: tuple[str, ...] = ()       # e.g. ("correo",): two people, one name
     validate_before_dedup: bool = False          # True: bad answers cannot shadow good ones
     keep_session: bool = False                   # the scripts drop it; we use it as tie-break

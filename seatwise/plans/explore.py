@@ -77,8 +77,10 @@ def codebook_labels(datos: DataFrame, codebook: DataFrame,
 
     qs = [q for q in questions if q in datos.columns]
     out = decode(datos, codebook, qs, suffix="__label")
-    out = out.withColumns({q: F.coalesce(F.col(f"{q}__label"), F.col(q)) for q in qs}) \
-             .drop(*[f"{q}__label" for q in qs])
+    qs = [q for q in qs if f"{q}__label" in out.columns]       # the others have no options
+    if qs:
+        out = out.withColumns({q: F.coalesce(F.col(f"{q}__label"), F.col(q)) for q in qs}) \
+                 .drop(*[f"{q}__label" for q in qs])
     if "nivel_r" in out.columns:
         label_of = {r["option_code"]: r["option_label"] for r in
                     codebook.filter(F.col("question_id") == "nivel_r").collect()}
@@ -96,15 +98,18 @@ def harmonise(admitted: DataFrame, applicants: DataFrame, tipo: str = "tipo",
 
 def auto_percent_digits(df: DataFrame, p: str = "p") -> int:
     """Digits the percent labeller picks when no accuracy is given: one decimal finer
-    than the smallest gap between distinct percent values, never coarser than whole
-    percents (0 digits); one distinct value gives 0.  Runs on a chart table (one row
-    per level), so the scalar that comes back is all that reaches the driver."""
+    than the smallest gap between distinct percent values, less one when that last digit
+    would be 0 in all of them, never coarser than whole percents (0 digits); one distinct
+    value gives 0.  Runs on a chart table (one row per level), so the scalars that come
+    back are all that reaches the driver."""
     vals = df.select((F.col(p) * 100.0).alias("v")).filter(F.col("v").isNotNull()).distinct()
     gap = vals.select((F.col("v") - F.lag("v").over(Window.orderBy("v"))).alias("d")) \
               .agg(F.min("d").alias("d")).first()["d"]
     if gap is None or gap < 1.4901161193847656e-08:      # sqrt(machine epsilon)
         return 0
-    return max(0, 1 - math.floor(math.log10(gap)))
+    digits = 1 - math.floor(math.log10(gap))
+    idle = vals.agg(F.bool_and(F.bround(F.col("v") * F.lit(10.0 ** digits)) % 10 == 0)).first()[0]
+    return max(0, digits - 1 if idle else digits)
 
 
 def _label(df: DataFrame, digits: int | str = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from seatwise.operators.ordinal import head_rows, tail_rows
 from seatwise.operators.sorting import sort_cols
 
 
-def profile_report(df: DataFrame, yes: str = "sí") -> dict[str, DataFrame]:
+def profile_report(df: DataFrame, yes: str = "sí", country: str = "chile") -> dict[str, DataFrame]:
     """The tables printed by the selection script, as DataFrames (no row cut)."""
     out = {
         "by_gender": count_by(df, "genero"),
@@ -22,6 +22,10 @@ def profile_report(df: DataFrame, yes: str = "sí") -> dict[str, DataFrame]:
         "by_area": count_by(df, "areas", sort=True),
         "mean_age": mean_strict(df, "edad"),
         "country_trans": count_having(df, ["pais", "trans"], F.col("trans") == yes),
+        # whole rows of three listings: one country, one answer, the oldest first
+        "from_country": df.filter(F.col("pais") == country),
+        "trans_yes": df.filter(F.col("trans") == yes),
+        "by_age": df.orderBy(*sort_cols(["-edad"])),
         # every question's counts from one scan, long format (column, value, n)
         "all_answers": count_each(df, [c for c in ["genero", "pais", "nivel_r", "nivel_programacion",
                                                    "trans", "educacion", "areas"] if c in df.columns]),
@@ -36,7 +40,8 @@ def profile_report(df: DataFrame, yes: str = "sí") -> dict[str, DataFrame]:
     return out
 
 
-def recipient_list(df: DataFrame, col: str = "correo", order: str | list[str] = "id",
-                   sep: str = ", ", batch_size: int = 1000) -> DataFrame:
-    """E-mail addresses joined by ``sep`` in batches of at most ``batch_size``."""
-    return collapse(df, col, order, sep=sep, batch_size=batch_size)
+def recipient_list(df: DataFrame, batch_size: int | None, col: str = "correo",
+                   order: str | list[str] = "id", sep: str = ", ") -> DataFrame:
+    """E-mail addresses joined by ``sep`` in batches of at most ``batch_size``, or with
+    ``batch_size=None`` in one string."""
+    return collapse(df, col, order, batch_size, sep=sep)

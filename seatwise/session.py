@@ -89,13 +89,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/seatwise-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme (used only by tests that look at written files)."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 __all__ = ["build_session", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path",
-           "local_path", "DEFAULT_CONF"]
+           "DEFAULT_CONF"]
 
 
 UNKNOWN_BYTES = 2 ** 63 - 1
@@ -104,9 +99,9 @@ UNKNOWN_BYTES = 2 ** 63 - 1
 def estimated_bytes(df) -> int:
     """Catalyst's size estimate of ``df`` (``sizeInBytes`` of the optimized plan).
 
-    For scans, filters, projections, aggregates and limits it is an upper bound
-    (file size scaled to the read columns); joins and unions over-estimate.  Used
-    only to pick the cheaper of two exact plans.
+    It scales the compressed file size by default column widths, so it can be several
+    times too small (or, for joins, too large).  Used only to pick the cheaper of two
+    plans with the same result, never as a bound.
     """
     try:
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

@@ -6,6 +6,9 @@ questions have one row with null option fields).
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 # ---------------------------------------------------------------------------
@@ -118,6 +121,9 @@ CODEBOOK_SCHEMA = ("question_id string, qtype string, label string, "
                    "option_label string, option_code string")
 
 
+NAMES = ["question_id", "qtype", "label", "option_label", "option_code"]
+
+
 def codebook_rows(questions=None) -> list[tuple]:
     rows = []
     for qid, qtype, label, options in (questions or QUESTIONS):
@@ -128,15 +134,66 @@ def codebook_rows(questions=None) -> list[tuple]:
     return rows
 
 
+def read_codebook(spark: SparkSession, path: str) -> DataFrame:
+    """The codebook of a form from its definition file: blocks of two-space steps, one per
+    question id, with ``type``, ``label`` and, below ``choice`` or ``option``, lines
+    ``"label": code`` (quotes are optional).  Five columns, as ``codebook_df`` has them.
+
+    The file is a form's definition, read as text by Spark and parsed as a whole in one
+    task."""
+    def parse(frames):
+        for f in frames:
+            for text in f["value"]:
+                yield pd.DataFrame(codebook_rows(parse_form(text)), columns=NAMES, dtype=object)
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, CODEBOOK_SCHEMA)
+
+
+_ENTRY = re.compile(r"""^(?P<indent>\s*)(?:-\s+)?(?P<key>"(?:[^"\\]|\\.)*"|'[^']*'|[^:#]+?)\s*:\s*(?P<value>.*?)\s*$""")
+
+
+def _scalar(text: str) -> str:
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
+        return text[1:-1].replace('\\"', '"')
+    return text
+
+
+def parse_form(text: str) -> list[tuple]:
+    """(id, type, label, [(option label, code)]) of each question of a definition."""
+    out, current, options_at, label_at = [], None, None, None
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        if label_at is not None and len(line) - len(line.lstrip()) > label_at:
+            current[2] += " " + line.strip()          # a long label goes on
+            continue
+        label_at = None
+        m = _ENTRY.match(line)
+        if not m:
+            continue
+        indent, key, value = len(m["indent"]), _scalar(m["key"]), _scalar(m["value"])
+        if options_at is not None and indent > options_at:
+            current[3].append((key, value))
+            continue
+        options_at = None
+        if value == "" and key in ("choice", "choices", "option", "options"):
+            options_at = indent
+        elif key == "type" and current:
+            current[1] = value
+        elif key == "label" and current:
+            current[2], label_at = value, indent
+        elif value == "":
+            current = [key, None, None, []]
+            out.append(current)
+    # blocks that are no question (a wrapping key) have neither type nor options
+    return [tuple(q) for q in out if q[1] or q[3]]
+
+
 def codebook_df(spark: SparkSession, questions=None) -> DataFrame:
     """The codebook as a DataFrame (a few dozen rows; a broadcast dimension)."""
     return spark.createDataFrame(codebook_rows(questions), CODEBOOK_SCHEMA)
 
 
-def required_df(spark: SparkSession, required=None) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in (required or REQUIRED)], "question_id string")
-
-
 def response_schema(time_columns=("time_start", "time_end"), session_col: str = "session_id",
                     questions=None) -> str:
     """DDL schema of the response table: session id, ``time*`` columns and one string

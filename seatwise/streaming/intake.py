@@ -54,15 +54,27 @@ def first_submissions(stream: DataFrame, cfg: IntakeConfig | None = None) -> Dat
     agg = out.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), order).alias("__first"))
     first = agg.select(*keys, *[F.col("__first")[c].alias(c) for c in cols])
     first = first.withColumn("valid", valid)
-    strings = [f.name for f in first.schema.fields if isinstance(f.dataType, T.StringType)]
-    yes = cfg.yes_pattern
-    first = first.withColumns({c: case_default(F.col(c).rlike(yes), F.lit(cfg.yes_value), F.col(c))
-                               for c in strings})
+    # the keys stay as they are until the sink has been de-duplicated on them
+    strings = [f.name for f in first.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in keys]
+    first = _rewrite_yes(first, strings, cfg)
     if has_sid and not cfg.keep_session:
         first = first.drop(sid)
     return first
 
 
+def _rewrite_yes(df: DataFrame, cols: list[str], cfg: IntakeConfig) -> DataFrame:
+    return df.withColumns({c: case_default(F.col(c).rlike(cfg.yes_pattern), F.lit(cfg.yes_value), F.col(c))
+                           for c in cols})
+
+
+def finish(firsts: DataFrame, cfg: IntakeConfig | None = None, valid_only: bool = True) -> DataFrame:
+    """The last step on a current table of ``first_submissions`` rows: valid rows only, and
+    the yes-rewriting of the grouping keys."""
+    cfg = cfg or IntakeConfig()
+    out = _rewrite_yes(firsts, [cfg.name_col, *cfg.dedup_extra_keys], cfg)
+    return out.filter("valid").drop("valid") if valid_only else out
+
+
 def response_stream(spark, folder: str, schema: T.StructType | str, max_files_per_trigger: int = 1000):
     """Stream of response files (parquet) appearing in ``folder``."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
@@ -78,12 +90,13 @@ def changes_sink(path: str):
     return write
 
 
-def current_firsts(spark, path: str, key: str = "nombre", valid_only: bool = True) -> DataFrame:
-    """The current first submission per person from a ``changes_sink`` folder: the row
-    of the latest epoch per key (a partial aggregate, no full sort)."""
+def current_firsts(spark, path: str, cfg: IntakeConfig | None = None, valid_only: bool = True) -> DataFrame:
+    """The current first submission per person from a ``changes_sink`` folder: the row of
+    the latest epoch for each value of all the grouping keys, which are rewritten last."""
     from seatwise.operators.dedup import first_per_key
 
+    cfg = cfg or IntakeConfig()
+    keys = [cfg.name_col, *cfg.dedup_extra_keys]
     ch = spark.read.parquet(path)
-    latest = first_per_key(ch.withColumn("__neg_epoch", -F.col("epoch")), key, "__neg_epoch")
-    latest = latest.drop("__neg_epoch", "epoch")
-    return latest.filter("valid").drop("valid") if valid_only else latest
+    latest = first_per_key(ch.withColumn("__neg_epoch", -F.col("epoch")), keys, "__neg_epoch")
+    return finish(latest.drop("__neg_epoch", "epoch"), cfg, valid_only)

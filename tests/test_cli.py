@@ -20,7 +20,7 @@ def test_select_then_explore(spark, scratch):
     assert "nombre" not in spark.read.parquet(out["snapshot"]).columns
     lines = [r["value"] for r in spark.read.text(out["recipients"]).collect()]
     assert len(lines) == 1 and lines[0].count("@") == adm.count()
-    assert glob.glob(f"{scratch}/report/by_gender/*.parquet")
+    assert glob.glob(f"{scratch}/report/admitted/by_gender/*.parquet")
     charts = main(["explore", "--admitted-csv", out["admitted_csv"], "--snapshot", out["snapshot"],
                    "--out", f"{scratch}/charts"], spark=spark)
     assert set(charts) == {"gender", "lgbt", "level", "areas", "age", "countries"}

@@ -218,9 +218,64 @@ def test_density_sketch_quartiles_close_to_exact(spark):
 def test_reorder_by_median_many_rows_per_level(spark):
     rows = [("a", 5.0), ("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 4.0), ("c", 0.5)]
     df = spark.createDataFrame(rows, "lv string, m double")
-    for median in ("auto", "exact", "approx"):
-        o = {r["lv"]: r["lv_ord"] for r in reorder_by(df, "lv", "m", median=median).distinct().collect()}
-        assert o == {"c": 1, "a": 2, "b": 3}, median
+    o = {r["lv"]: r["lv_ord"] for r in reorder_by(df, "lv", "m").distinct().collect()}
+    assert o == {"c": 1, "a": 2, "b": 3}
+
+
+def test_level_medians_are_exact(spark):
+    from seatwise.operators.categories import level_medians
+    rng = np.random.default_rng(4)
+    rows = [(str(i % 7 if i % 3 else 0), float(v)) for i, v in enumerate(rng.normal(size=901).round(3))]
+    rows += [("none", None), ("one", 2.5), (None, 1.0)]
+    got = {r["lv"]: r["median"] for r in level_medians(spark.createDataFrame(rows, "lv string, m double").filter("lv is not null"), ["lv"], "m").collect()}
+    want = {lv: float(np.median([v for k, v in rows if k == lv and v is not None] or [np.nan])) for lv in {k for k, _ in rows} - {None}}
+    assert got.pop("none") is None and want.pop("none") != 0
+    assert got == pytest.approx(want)
+
+
+def test_ties_get_the_same_numbers_in_every_plan(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("v"))
+    number = lambda d, **k: {r["id"]: r["r"] for r in ordinal(d, ["v"], name="r", **k).collect()}
+    want = number(df, method="window")
+    assert number(df.repartition(7), method="window") == number(df.repartition(5), method="range", num_partitions=6) == want
+
+
+@pytest.mark.parametrize("strategy", ["topk", "threshold"])
+def test_weights_that_are_not_finite(spark, strategy):
+    df = spark.range(300).select("id", F.when(F.col("id") % 4 == 0, F.lit(float("nan"))).when(F.col("id") % 7 == 0, F.lit(float("inf")))
+                                 .when(F.col("id") % 11 == 0, F.lit(None)).otherwise(1.0 + F.col("id") % 5).alias("w"))
+    draw = lambda **k: {r["id"] for r in weighted_sample(df, 150, "id", "w", seed=5, strategy=strategy, **k).collect()}
+    with pytest.raises(Exception, match="non-finite"):
+        draw()
+    got = draw(null_weight="skip")
+    assert len(got) == 150 and all(i % 4 and i % 7 and i % 11 for i in got)
+    other = "topk" if strategy == "threshold" else "threshold"
+    assert got == {r["id"] for r in weighted_sample(df, 150, "id", "w", seed=5, strategy=other, null_weight="skip").collect()}
+
+
+def test_lump_on_numbers_and_plan(spark):
+    df = spark.range(200).select((F.col("id") * F.col("id") % 17).cast("int").alias("x"))
+    out = lump_top_n(df, "x", 3, "Other")
+    assert dict(out.dtypes)["x"] == "string" and "Other" in {r["x"] for r in out.collect()}
+    assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_codebook_is_joined(spark, monkeypatch):
+    from seatwise.operators import codebook as cb
+    book = spark.createDataFrame([("q", "mc", "", f"L{i}", str(i)) for i in range(9)] + [("t", "text", "", None, None)],
+                                 "question_id string, qtype string, label string, option_label string, option_code string")
+    df = spark.createDataFrame([("3", "x"), ("9", None), (None, "y")], "q string, t string")
+    both = lambda: [sorted(map(str, t.collect())) for t in (cb.decode(df, book), cb.conformance(df, book, ["q", "t"]))]
+    small = both()
+    monkeypatch.setattr(cb, "MAX_LITERALS", 2)
+    assert both() == small and "L3" in str(small)
+
+
+def test_numbers_held_as_text(spark):
+    from seatwise.functions.convert import to_number
+    texts = ["30d", "30f", "NaN", "inf", "Infinity", "", " 7 ", "-1.5e3", ".5", "5.", "1,5", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(to_number("t")).collect()] == [None] * 6 + [7.0, -1500.0, 0.5, 5.0, None, None]
 
 
 def test_negative_weight(customers):

@@ -35,7 +35,7 @@ def test_auto_ordinal_follows_the_size_estimate(spark):
 
 def test_dedup_aggregates_before_the_shuffle(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet")
-    p = plan(first_per_key(o, "o_custkey", "o_orderdate", "o_orderkey"))
+    p = plan(first_per_key(o, "o_custkey", "o_orderdate", "o_orderkey", method="aggregate"))
     assert p.index("partial_min_by") > p.index("Exchange hashpartitioning")   # below the exchange
     w = plan(first_per_key(o, "o_custkey", "o_orderdate", "o_orderkey", method="window"))
     assert "row_number(), 1, Partial" in w and w.index("Partial") > w.index("Exchange hashpartitioning")

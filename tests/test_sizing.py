@@ -6,7 +6,7 @@ from seatwise.session import estimated_bytes
 from tests.conftest import SF01
 
 
-def test_estimate_is_an_upper_bound_for_a_scan(spark):
+def test_estimate_follows_the_columns_read(spark):
     o = spark.read.parquet(f"{SF01}/orders.parquet")
     assert estimated_bytes(o.select("o_orderkey")) < estimated_bytes(o)
     assert input_partitions(o) >= 1

@@ -67,3 +67,22 @@ def test_csv2_quotes_separators_and_line_breaks(spark, scratch):
     path = write_csv2(df, f"{scratch}/q")
     back = read_csv2(spark, path, multiline=True).collect()
     assert back[0]["s"] == 'a;b "c"\nd' and back[0]["x"] == 2.5
+
+
+def test_csv2_one_typing_rule(spark, scratch):
+    p = f"{scratch}/types.csv"
+    open(p, "w").write("a;b;c;d;e;f\n1.234;1.234,5;2026-01-02;TRUE;x.5;NA\n2.500;7;2026-01-03;FALSE;1.5;NA\n")
+    df = read_csv2(spark, p)
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "date", "boolean", "string", "string"]
+    assert [(r["a"], r["b"], r["e"]) for r in df.collect()] == [(1234, 1234.5, "x.5"), (2500, 7.0, "1.5")]
+
+
+def test_codebook_from_a_file(spark, scratch):
+    from seatwise.sources import read_codebook
+    p = f"{scratch}/form.yml"
+    open(p, "w").write("# a form\nname:\n  type: text\n  label: Your name\npick:\n  type: mc\n  label: A long question that\n"
+                       "    goes on: here\n  options:\n    Yes please: s\n    'No': 'no'\n")
+    rows = {tuple(r) for r in read_codebook(spark, p).collect()}
+    assert rows == {("name", "text", "Your name", None, None),
+                    ("pick", "mc", "A long question that goes on: here", "Yes please", "s"),
+                    ("pick", "mc", "A long question that goes on: here", "No", "no")}
