@@ -74,7 +74,7 @@ def shingle_frequencies(docs: DataFrame, text: str = "text", k: int = 5) -> tupl
 def bitmap(numbers: DataFrame, bits: int = FLAG_BITS) -> np.ndarray:
     """Bitmap of a column of longs (their low bits): made in the tasks, joined in one pass
     of fixed memory.  A superset filter of fixed size, whatever the number of rows."""
-    size = 1 << (bits - 3)
+    numbers, size = numbers.toDF("number"), 1 << (bits - 3)
 
     def mark(batches):
         flags = np.zeros(size, dtype=np.uint8)
