@@ -1,9 +1,8 @@
 """Membership tests against a key list (``x %in% list``): semi-join and flag.
 
 Null keys never match and rows never multiply (the list is de-duplicated).  The list
-is broadcast only after its size is checked: Catalyst's upper-bound estimate under
-the broadcast threshold, or else a row count under ``max_broadcast_rows``; a longer
-list is joined with a shuffle (AQE splits a skewed side).
+is broadcast only after its rows and bytes have been measured; a longer or wider list is
+joined with a shuffle (AQE splits a skewed side).
 """
 
 from __future__ import annotations

@@ -1,22 +1,23 @@
 """Size checks behind every broadcast and every single-task step.
 
-* ``broadcast_checked``: Catalyst's size estimate first (an upper bound for scans,
-  filters, projections and aggregates); when that is not already under the
-  broadcast threshold, one row count.  Only a side that passes is hinted; a larger
-  one is left to a shuffled join.
-* ``input_partitions``: read tasks implied by the estimate (capped: join estimates
-  multiply sizes), used to choose between exact plans - never to force a shuffle's
-  width, which is left to the session and AQE.
+* ``broadcast_checked``: the rows and bytes of the small side are measured (one
+  aggregate); only a side under both bounds is hinted, a larger one is left to a
+  shuffled join.
+* ``input_partitions``: read tasks implied by Catalyst's estimate (capped: join
+  estimates multiply sizes), used to choose between plans with the same result - never
+  as a bound.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seatwise.session import estimated_bytes
 
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 MAX_PARTITIONS = 200_000   # estimates of joins multiply sizes; never size a shuffle past this
 
 
@@ -29,12 +30,23 @@ def _conf_bytes(df: DataFrame, key: str, default: int) -> int:
     return int(v)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``(F.broadcast(df), True)`` when ``df`` is proven small, else ``(df, False)``."""
-    threshold = _conf_bytes(df, "spark.sql.autoBroadcastJoinThreshold", 10 << 20)
-    if 0 < estimated_bytes(df) <= max(threshold, 0):
-        return F.broadcast(df), True
-    if df.count() <= max_rows:
+def measured_size(df: DataFrame) -> tuple[int, int]:
+    """Rows of ``df`` and the bytes they take, about: 8 a column and row, and the bytes of
+    text, binary and nested values."""
+    wide = [F.octet_length(F.col(f"`{f.name}`").cast("string")) for f in df.schema.fields
+            if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    width = F.lit(8 * (len(df.columns) + 1)).cast("long")
+    for w in wide:
+        width = width + F.coalesce(w, F.lit(0))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return n, size or 0
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``(F.broadcast(df), True)`` when ``df`` is measured small, else ``(df, False)``."""
+    rows, size = measured_size(df)
+    if rows <= max_rows and size <= max_bytes:
         return F.broadcast(df), True
     return df, False
 

@@ -41,3 +41,22 @@ def test_scale_conf():
     c = scale_conf(100 * 2**40, 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert scale_conf(10, 8)["spark.sql.shuffle.partitions"] == "24"
+
+
+def test_a_wide_list_is_not_broadcast(spark):
+    """Few rows and a small file, but long texts."""
+    wide = spark.range(50).select(F.repeat(F.lit("x"), 100_000).alias("value"))
+    _, ok = broadcast_checked(wide, max_bytes=1 << 20)
+    assert not ok
+    assert broadcast_checked(wide.limit(2), max_bytes=1 << 20)[1]
+
+
+def test_shares_need_no_single_task(spark):
+    from seatwise.operators.shares import share_of_total, share_within
+    c = spark.read.parquet(f"{SF01}/customer.parquet").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    within, total = share_within(c, "c_mktsegment"), share_of_total(c)
+    p = within._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in p and "SinglePartition" not in p and "Cartesian" not in p
+    assert "Window" not in total._jdf.queryExecution().executedPlan().toString()
+    assert abs(sum(r["p"] for r in total.collect()) - 1) < 1e-9
+    assert abs(sum(r["p"] for r in within.collect()) - 5) < 1e-9
