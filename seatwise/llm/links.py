@@ -1,93 +1,100 @@
 """Links between members of buckets, and the components they form.
 
 A bucket (an LSH band value, a prefix token) may hold a third of all members, so its
-pairs are not all made.  They are made in rounds, from a few leaders of each bucket to
-the members that are still undecided; the next round has four times as many leaders.
-Members of one large group are decided by the first leaders; only members that match
-nothing go through all rounds, the last of which compares every pair of them that is
-left.  So every pair of a bucket is compared unless what it could tell is known already.
+pairs are never made as rows.  A few leaders of each bucket are compared with its other
+members; that settles most members of a large group.  ``group`` (components) then looks
+for links between what is left in blocks of bounded size, by sketches, inside tasks.
+Rounds of ever more leaders (``leads``) serve joins that only need one match a member.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-GROWTH = 4            # times as many leaders in each round
+FIRST = 8             # leaders of a bucket in the first round of a join
+GROWTH = 16           # times as many in each round
 
 
-def leaders(members: DataFrame, sizes: DataFrame, round_: int) -> DataFrame:
-    """Leaders of a round: of each bucket its first member (round 0), then a share of
-    ``GROWTH ** round_ / n`` by hash; all members once that is 1.  ``sizes``: bucket, n,
-    first."""
-    if round_ == 0:
-        return sizes.select("bucket", F.col("first").alias("id"))
-    share = F.lit(float(GROWTH ** round_)) / F.col("n")
-    place = F.pmod(F.xxhash64("bucket", "id"), F.lit(2 ** 52)) / F.lit(float(2 ** 52))
-    return members.join(sizes.select("bucket", "n"), "bucket").filter(place < share).drop("n")
+def leads(round_: int, bucket: str = "bucket", id_: str = "id", n: str = "n") -> Column:
+    """Whether a member is a new leader of a round: by hash, a share of
+    ``FIRST * GROWTH ** round_ / n`` of the bucket without the earlier rounds' share."""
+    place = F.pmod(F.xxhash64(bucket, id_), F.lit(2 ** 52)) / F.lit(float(2 ** 52)) * F.col(n)
+    new = place < F.lit(float(FIRST * GROWTH ** round_))
+    return new if round_ == 0 else new & (place >= F.lit(float(FIRST * GROWTH ** (round_ - 1))))
+
+
+def in_buckets(members: DataFrame, *carried: str) -> DataFrame:
+    """The members (bucket, id and the carried columns) of buckets of two or more, with the
+    bucket's size ``n``."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return cut(members.join(sizes, "bucket").select("bucket", "id", "n", *carried))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of the ids that have edges; a component's name is its least id.
     Labels spread to the neighbours and then jump to the label's label, so the rounds grow
     with the logarithm of the longest path."""
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-               .unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    label = cut(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m"))
-                .select("id", F.least("id", "m").alias("component")))
-    while True:
-        near = (both.join(label.select(F.col("id").alias("y"), "component"), "y")
-                .groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near")))
-        step = label.join(near, "id").select("id", "component", F.least("component", "near").alias("new"))
-        jump = step.select(F.col("id").alias("new"), F.col("new").alias("far"))
-        after = cut(step.join(jump, "new", "left")
-                    .select("id", F.col("component").alias("old"), F.least("new", F.coalesce("far", "new")).alias("component")))
-        moved = after.filter("old != component").limit(1).count()
-        label = after.select("id", "component")
-        if not moved:
-            return label
-
-
-def buckets(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets with two members or more, and the buckets (bucket, n, first)."""
-    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"))
-    return cut(members.join(sizes.select("bucket"), "bucket", "left_semi")), sizes
-
-
-def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(id, component) of the members that are linked.  ``members``: bucket, id, distinct.
-    ``verify`` gets pairs (a, b) with a < b and returns those that are links.  Pairs whose
-    members are in one component already are not compared."""
-    members, sizes = buckets(members)
-    edges = compared = None
-    label = members.select("id", F.col("id").alias("component")).limit(0)
-    round_ = 0
+    ends = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")),
+                   F.struct(F.col(a).alias("x"), F.col(a).alias("y")), F.struct(F.col(b).alias("x"), F.col(b).alias("y")))
+    both = cut(edges.select(F.explode(ends).alias("e")).select("e.x", "e.y").distinct())
+    label = cut(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("component")))
     while True:
-        named = (members.join(label, "id", "left")
-                 .select("bucket", "id", F.coalesce("component", "id").alias("component")))
-        # only buckets whose members are not yet all in one component
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-        open_sizes = cut(sizes.join(mixed, "bucket").select("bucket", "n", "first"))
-        most = open_sizes.agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        open_members = named.join(open_sizes.select("bucket"), "bucket", "left_semi")
-        lead = leaders(members, open_sizes, round_).join(label, "id", "left") \
-            .select("bucket", F.col("id").alias("of"), F.coalesce("component", "id").alias("of_component"))
-        pairs = (open_members.join(lead, "bucket").filter("component != of_component")
-                 .select(F.least("id", "of").alias("a"), F.greatest("id", "of").alias("b")).distinct())
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        compared = pairs if compared is None else cut(compared.unionByName(pairs))
-        found = verify(pairs).select("a", "b")
-        edges = cut(found if edges is None else edges.unionByName(found))
-        label = components(edges)
-        if round_ and GROWTH ** round_ >= most:
-            break
-        round_ += 1
-    return label
+        step = (both.join(label.select(F.col("id").alias("y"), "component"), "y").groupBy(F.col("x").alias("id"))
+                .agg(F.min("component").alias("new"), F.min(F.when(F.col("x") == F.col("y"), F.col("component"))).alias("old")))
+        jump = label.select(F.col("id").alias("new"), F.col("component").alias("far"))
+        label = cut(step.join(jump, "new").select("id", "old", F.least("new", "far").alias("component")))
+        if label.filter("old != component").isEmpty():
+            return label.select("id", "component")
+
+
+LEADERS = 2           # leaders of a bucket by hash, besides the central one, in ``group``
+BLOCK = 1024          # members of a bucket that are compared with another such block at once
+
+
+def central(members: DataFrame) -> DataFrame:
+    """(bucket, id) of the most central member of each bucket: the one that shares buckets
+    with most others, as the original of a group of edited copies does."""
+    crowd = members.groupBy("id").agg(F.sum("n").alias("crowd"))
+    return (members.join(crowd, "id").groupBy("bucket").agg(F.max(F.struct("crowd", "id")).alias("m"))
+            .select("bucket", F.col("m")["id"].alias("id")))
+
+
+def close_in_blocks(members: DataFrame, alike) -> DataFrame:
+    """Pairs (a, b), a < b, of members of one bucket and different components whose sketches
+    are alike.  ``members``: bucket, id, n, component, sketch.
+
+    A bucket is cut into blocks of about ``BLOCK`` members by hash, and every two blocks of
+    it are compared in one row of bounded size; only pairs found alike become rows."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
+    one = F.struct(F.col("own").alias("k"), "id", "component", "sketch")
+    pieces = (members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+              .groupBy("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+              .agg(F.collect_list(one).alias("m")).filter(F.size("m") > 1))
+    return pieces.select(F.explode(alike("lo", "hi", "m")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame], alike) -> DataFrame:
+    """(id, component) of the members that are linked.  ``members``: bucket, id, n, as
+    ``in_buckets`` gives them.  ``verify`` gets pairs (a, b) with a < b and returns those
+    that are links; ``sketch`` gets ids and returns them with a ``sketch``; ``alike`` is
+    the column function that ``close_in_blocks`` uses."""
+    lead = (members.filter(F.pmod(F.xxhash64("bucket", "id"), F.lit(2 ** 52)) / F.lit(float(2 ** 52)) * F.col("n") < LEADERS)
+            .select("bucket", "id").unionByName(central(members)).distinct())
+    pairs = (members.join(lead.select("bucket", F.col("id").alias("of")), "bucket").filter("id != of")
+             .select(F.least("id", "of").alias("a"), F.greatest("id", "of").alias("b")).distinct())
+    edges = cut(verify(pairs).select("a", "b"))
+    label = components(edges)
+    named = (members.join(label, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component")))
+    # buckets in which not every pair has been compared and that are not one component yet
+    mixed = (named.filter(F.col("n") > LEADERS).groupBy("bucket")
+             .agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket"))
+    open_ = cut(named.join(mixed, "bucket", "left_semi"))
+    sketched = sketch(open_.select("id").distinct())
+    found = verify(close_in_blocks(open_.join(sketched, "id"), alike)).select("a", "b")
+    return components(cut(edges.unionByName(found)))
