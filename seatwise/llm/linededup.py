@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType
 
-from .common import cut, free_name
+from ..session import scratch_path
+from .common import cut, free_name, remove
 from .frequencies import BITS, bitmap, flagged, shingle_frequencies
-from .links import GROWTH, leaders
+from .links import FIRST, GROWTH, in_buckets, leads
 from .textcore import NON_ALNUM, Texts, mix, shingle_hashes, slices
 
 THRESHOLD = 0.8
@@ -170,76 +171,67 @@ def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     level = spark.sparkContext.broadcast(rarity_levels(frequencies))
     body = F.col(text).cast("string")
     doc = F.struct(F.col(row_id).alias("id"), F.xxhash64(body).alias("t"))
-    # all lines, without their texts
-    lines = cut(docs.select(doc.alias("doc"), F.explode(_lines(level, threshold)(body)).alias("l")).select("doc", "l.*"))
-    order = F.struct(F.col("doc.id").isNull().alias("o0"), F.col("doc.id").alias("o1"), F.col("doc.t").alias("o2"), F.col("line_no").alias("o3"))
+    # all lines, without their texts, as a table that is read several times
+    path = scratch_path(spark, "lines")
+    docs.select(doc.alias("doc"), F.explode(_lines(level, threshold)(body)).alias("l")).select("doc", "l.*").write.parquet(path)
+    lines = spark.read.parquet(path)
     # equal sets are one node; its place is that of its first line
-    heads = cut(lines.groupBy("k1", "k2").agg(F.min(order).alias("place")))
-    nodes = (heads.select("k1", "k2", "place", F.struct(F.col("place.o1").alias("id"), F.col("place.o2").alias("t")).alias("doc"),
-                          F.col("place.o3").alias("line_no"))
-             .join(lines.select("doc", "line_no", "n", "prefix").dropDuplicates(["doc", "line_no"]), ["doc", "line_no"])
-             .withColumn("id", F.xxhash64("k1", "k2")))
-    nodes = cut(nodes)
+    node = F.xxhash64("k1", "k2").alias("id")
+    place = F.struct(F.col("doc.id").isNull().alias("o0"), F.col("doc.id").alias("o1"), F.col("doc.t").alias("o2"),
+                     F.col("line_no").alias("o3"))
     # prefix tokens of more than one node: the others can match nothing
-    token = F.explode("prefix").alias("token")
-    shared = (nodes.select(token, "id").groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-              .filter("lo != hi").select("token"))
+    shared = (lines.select(F.explode("prefix").alias("token"), node).groupBy("token")
+              .agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("token"))
     flags = spark.sparkContext.broadcast(bitmap(shared))
-    postings = (nodes.select("id", "n", "place", F.explode(_postings_in(flags)("prefix")).alias("x"))
-                .select((F.col("x").bitwiseAND(F.lit((1 << 52) - 1))).alias("bucket"), "id", "n", "place",
-                        F.shiftrightunsigned("x", 52).cast("int").alias("pos")))
-    sizes = cut(postings.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", "place").alias("first")).filter("n > 1"))
-    postings = cut(postings.join(sizes.select("bucket"), "bucket", "left_semi"))
-    # the texts of the nodes that have candidates
-    wanted = cut(postings.select("id").distinct().join(nodes.select("id", "doc", "line_no"), "id"))
-    doc_flags = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("doc"))))
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line_no", "id")).alias("want"))
+    postings = (lines.select(node, "n", F.explode(_postings_in(flags)("prefix")).alias("x"))
+                .groupBy(F.col("x").bitwiseAND(F.lit((1 << 52) - 1)).alias("bucket"), "id")
+                .agg(F.first("n").alias("size"), F.min(F.shiftrightunsigned("x", 52)).cast("int").alias("pos")))
+    postings = in_buckets(postings, "size", "pos")
+    # place and text of the nodes that have candidates
+    ids = spark.sparkContext.broadcast(bitmap(postings.select("id")))
+    wanted = cut(lines.select(node, place.alias("place")).filter(_in(ids)("id")).groupBy("id").agg(F.min("place").alias("place")))
+    head = F.struct(F.col("place.o1").alias("id"), F.col("place.o2").alias("t"))
+    doc_flags = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(head))))
+    per_doc = wanted.groupBy(head.alias("doc")).agg(F.collect_list(F.struct("place", "id")).alias("want"))
     texts = cut(docs.select(doc.alias("doc"), body.alias("text")).filter(_in(doc_flags)(F.xxhash64("doc")))
                 .join(per_doc, "doc").dropDuplicates(["doc"])
-                .select("want", _some_lines("text", F.transform("want", lambda w: w["line_no"])).alias("lines"))
+                .select("want", _some_lines("text", F.transform("want", lambda w: w["place"]["o3"])).alias("lines"))
                 .select(F.explode(F.arrays_zip("want", "lines")).alias("z"))
-                .select(F.col("z")["want"]["id"].alias("id"), F.col("z")["lines"].alias("line")))
+                .select(F.col("z")["want"]["id"].alias("id"), F.col("z")["want"]["place"].alias("place"), F.col("z")["lines"].alias("line")))
 
-    matched = compared = None
-    round_ = 0
-    t = threshold
+    t, round_, matched, open_ = threshold, 0, None, postings
     while True:
-        open_ = postings if matched is None else postings.join(matched.select("id"), "id", "left_anti")
-        # a bucket is settled once no line but its first is open
-        live = (open_.join(sizes.select("bucket", "first"), "bucket").filter("id != first").select("bucket").distinct()
-                .join(sizes, "bucket"))
-        live = cut(live)
-        most = live.agg(F.max("n")).first()[0]
-        if most is None:
-            break
-        lead = (leaders(postings.select("bucket", "id"), live, round_).join(postings, ["bucket", "id"])
-                .select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("id", "n", "place", "pos")]))
-        small, large = F.least("n", "l_n"), F.greatest("n", "l_n")
-        rest = F.least(F.col("n") - F.col("pos"), F.col("l_n") - F.col("l_pos"))        # tokens from the shared one on
-        need = F.ceil(F.lit(t / (1 + t)) * (F.col("n") + F.col("l_n")) - F.lit(1e-9))
-        pairs = (open_.join(lead, "bucket").filter((F.col("id") != F.col("l_id")) & (small >= F.lit(t) * large - F.lit(1e-9)) & (rest >= need))
-                 # the later line is the one in question; an open line may also be the earlier one
-                 .select(F.when(F.col("place") > F.col("l_place"), F.col("id")).otherwise(F.col("l_id")).alias("later"),
-                         F.when(F.col("place") > F.col("l_place"), F.col("l_id")).otherwise(F.col("id")).alias("earlier")).distinct())
-        if matched is not None:
-            pairs = pairs.join(matched.select(F.col("id").alias("later")), "later", "left_anti")
-        if compared is not None:
-            pairs = pairs.join(compared, ["later", "earlier"], "left_anti")
-        pairs = cut(pairs)
-        compared = pairs if compared is None else cut(compared.unionByName(pairs))
-        found = (pairs.join(texts.select(F.col("id").alias("later"), F.col("line").alias("a")), "later")
-                 .join(texts.select(F.col("id").alias("earlier"), F.col("line").alias("b")), "earlier")
-                 .filter(_jaccard("a", "b") >= threshold).select(F.col("later").alias("id")).distinct())
+        # leaders may have been removed already: any earlier line counts
+        lead = (postings if matched is None else postings.join(live, "bucket", "left_semi")).filter(leads(round_)) \
+            .select("bucket", *[F.col(c).alias(f"l_{c}") for c in ("id", "size", "pos")])
+        small, large = F.least("size", "l_size"), F.greatest("size", "l_size")
+        rest = F.least(F.col("size") - F.col("pos"), F.col("l_size") - F.col("l_pos"))      # tokens from the shared one on
+        need = F.ceil(F.lit(t / (1 + t)) * (F.col("size") + F.col("l_size")) - F.lit(1e-9))
+        pairs = (open_.join(lead, "bucket")
+                 .filter((F.col("id") != F.col("l_id")) & (small >= F.lit(t) * large - F.lit(1e-9)) & (rest >= need))
+                 .select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct())
+        side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("place").alias(f"place_{c}"))
+        found = (pairs.join(side("a"), "a").join(side("b"), "b").filter(_jaccard("line_a", "line_b") >= threshold)
+                 .select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct())
         matched = cut(found if matched is None else matched.unionByName(found).distinct())
-        if round_ and GROWTH ** round_ >= most:
+        # lines without an earlier match go on in buckets that have members left to lead
+        open_ = cut(postings.filter(F.col("n") > FIRST * GROWTH ** round_).join(matched, "id", "left_anti"))
+        live = open_.select("bucket").distinct()
+        if open_.isEmpty():
             break
         round_ += 1
-    near = matched if matched is not None else nodes.select("id").limit(0)
-    state = cut(heads.withColumn("id", F.xxhash64("k1", "k2")).join(near.withColumn("near", F.lit(True)), "id", "left")
-                .select("k1", "k2", "place", F.coalesce("near", F.lit(False)).alias("near")))
-    lines = lines.select("doc", "line_no", "k1", "k2", order.alias("own"))
-    return (lines.join(state, ["k1", "k2"])
-            .select("doc", "line_no", F.when(F.col("own") != F.col("place"), "copy").when(F.col("near"), "near").alias("reason")))
+    # by line: of a class all but the first line are copies; lines of other classes stay
+    lines = lines.select("doc", "line_no", node, place.alias("own"))
+    classes = cut(lines.groupBy("id").agg(F.min("own").alias("place"), F.count("*").alias("n"))
+                  .join(matched.withColumn("near", F.lit(True)), "id", "left").filter("n > 1 or near").drop("n"))
+    some = spark.sparkContext.broadcast(bitmap(classes.select("id")))
+    lines = lines.withColumn("maybe", _in(some)("id"))
+    out = (lines.filter("maybe").join(classes, "id", "left")
+           .select("doc", "line_no", F.when(F.col("own") != F.col("place"), "copy").when(F.col("near"), "near").alias("reason"))
+           .unionByName(lines.filter("not maybe").select("doc", "line_no", F.lit(None).cast("string").alias("reason"))))
+    out = cut(out)
+    remove(spark, path)
+    return out
 
 
 @F.arrow_udf(StringType())
