@@ -55,7 +55,7 @@ def test_base_spans_on_documents(spark, texts, query, base, kinds):
 
 
 TRICKY = ["a@b.c@d.e", "x@y @z.de u@v.w.", "1.2.3.4.5.6.7.8", "999.1.1.1 1.1.1.999", "+1 (555) 555-5555 +1+2 345 678 90",
-          "4111 1111 1111 1111", "4111-1111-1111-1112", "0" * 40, "1" * 5000 + ".2.3.4", "a" * 5000 + "@", "@" * 2000,
+          "4111 1111 1111 1111", "4111-1111-1111-1112", "0" * 40, "1" * 4000 + ".2.3.4", "a" * 5000 + "@", "@" * 2000,
           "Kelvin toKen=abcdefghijklmn ſecret=abcdefghijklmn", "TOKEN : 'abcdefghijklmnop", "api_key=short",
           "apikey = \"0123456789abcdef0123\"", "AKIA" + "A" * 14, "AKIAAKIAAKIAAKIAAK", "\U0001f600 password=aaaaaaaaaaaaaaa"]
 

@@ -85,39 +85,40 @@ def test_damaged_warc_is_an_error():
         list(warc.warc_records(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n", "f"))
 
 
-def test_pipeline_stages(spark):
-    """Each stage on what the one before kept, against its operator or brute force."""
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
+def test_pipeline_run(spark, monkeypatch):
+    """run() as it is, and each stage on what the one before kept, against brute force."""
+    tables = []
+
+    def seen(stage):
+        def call(spark, docs, sf_dir):
+            tables.append(docs)
+            return stage(spark, docs, sf_dir)
+        return call
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, seen(f)) for n, f in corpus_pipeline.STAGES])
+    final = corpus_pipeline.run(spark, SF).collect()
+    before = [t.collect() for t in tables]
+    assert all(t.columns == tables[0].columns for t in tables)
+    ids = [Counter(r.doc_id for r in rows) for rows in before]
+    assert all(b.keys() <= a.keys() for a, b in zip(ids, ids[1:]))
+    # near-duplicates: one document of each class of what the toxicity stage kept
+    classes = Counter(r.class_id for r in neardup.near_duplicates(tables[1]).collect())
+    assert set(ids[2]) == set(classes) and len(before[2]) < len(before[1])
+    # benchmark: exactly the documents without an item
     benchmark = [decontamination.shingle_set(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs
-        path = scratch_path(spark, "stage-test")
-        stage(spark, docs, SF).write.parquet(path)
-        docs = spark.read.parquet(path)
-        counts.append(docs.count())
-        if k < 4:
-            assert docs.columns == columns
-            assert docs.select("doc_id").subtract(before.select("doc_id")).count() == 0
-        if name == "near-duplicates":
-            assert counts[-1] == neardup.near_duplicates(before).filter("first").count() < counts[-2]
-        if name == "benchmark decontamination":
-            held = lambda t: any(len(q & decontamination.shingle_set(t)) >= 0.8 * len(q) for q in benchmark)
-            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect() if not held(r.text or "")}
-    assert counts[1] < counts[0] and counts[-1] == counts[-2]
-    assert [n for n, _ in corpus_pipeline.STAGES][1] == "near-duplicates"
-
-
-def test_pipeline_run_and_empty_input(spark, none):
-    rows = corpus_pipeline.run(spark, SF).collect()
+    held = lambda t: any(len(q & decontamination.shingle_set(t)) >= 0.8 * len(q) for q in benchmark)
+    assert set(ids[3]) == {r.doc_id for r in before[2] if not held(r.text or "")}
+    # mixing repeats documents three times at most; sharding places every row
+    assert max(ids[4].values()) <= 3
+    assert Counter(r.doc_id for r in final) == ids[4]
     slots = {}
-    for r in rows:
+    for r in final:
         slots.setdefault(r.shard, []).append(r.slot)
-    assert rows and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    docs = none
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_stages_on_an_empty_table(spark, none):
     for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-        assert docs.count() == 0
+        assert stage(spark, none, SF).count() == 0
 
 
 def test_stages_handle_odd_rows(spark, odd, clashing):
