@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..operators.sizing import broadcast_checked
 from .common import cut, free_name, number_rows
 from .textcore import word_counts
 
@@ -133,7 +134,6 @@ def _round(last: bool):
 def balanced_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
     """(row, picked) of units (row, key, size, pi, rank, rand) with 0 <= pi <= 1, balanced
     within each key on the sums of pi and of pi * size."""
-    spark = units.sparkSession
     settled = [units.filter((F.col("pi") <= _EPS) | (F.col("pi") >= 1 - _EPS))]
     open_ = units.filter((F.col("pi") > _EPS) & (F.col("pi") < 1 - _EPS))
     schema = units.schema
@@ -143,12 +143,11 @@ def balanced_sample(units: DataFrame, block: int = BLOCK) -> DataFrame:
         last = most <= block
         # half-filled blocks on average, so that a hash rarely overfills one
         n = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / F.lit(block))).cast("long")
-        dealt = open_
         if last:
-            done = dealt.groupBy("key").applyInPandas(_round(True), schema)
+            done = open_.groupBy("key").applyInPandas(_round(True), schema)
             settled.append(done)
             break
-        parts = cut(dealt.join(counts.select("key", n.alias("blocks")), "key")
+        parts = cut(open_.join(broadcast_checked(counts.select("key", n.alias("blocks")))[0], "key")
                     .withColumn("block", F.pmod(F.col("rank"), F.col("blocks"))).drop("blocks")
                     .groupBy("key", "block").applyInPandas(lambda pdf: _round(False)(pdf.drop(columns="block")), schema))
         settled.append(parts.filter((F.col("pi") <= _EPS) | (F.col("pi") >= 1 - _EPS)))
@@ -175,8 +174,8 @@ def mix_plan(df: DataFrame, text: str = "text", source: str = "source", row_id:
                 .withColumn("row", F.monotonically_increasing_id()))
     sizes = sized.groupBy("key").agg(F.sum("size").alias("source_size"))
     targets = cut(source_targets(sizes, weights, max_ratio))
-    # one row per source against all documents: left to the join strategy of the session
-    with_target = sized.join(targets, "key")
+    # one row per source against all documents: broadcast where measured small
+    with_target = sized.join(broadcast_checked(targets)[0], "key")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + _EPS)
     h = F.xxhash64(F.lit(seed), F.col("row_id").cast("string"), F.col("at")["t"], F.col("nth"))
