@@ -69,14 +69,15 @@ def close_in_blocks(members: DataFrame, alike) -> DataFrame:
     are alike.  ``members``: bucket, id, n, component, sketch.
 
     A bucket is cut into blocks of about ``BLOCK`` members by hash, and every two blocks of
-    it are compared in one row of bounded size; only pairs found alike become rows."""
+    it are compared in one row of bounded size; only pairs found alike become rows, and a
+    pair that shares several buckets should be reported by ``alike`` in one of them."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK))).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
     one = F.struct(F.col("own").alias("k"), "id", "component", "sketch")
     pieces = (members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
               .groupBy("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
               .agg(F.collect_list(one).alias("m")).filter(F.size("m") > 1))
-    return pieces.select(F.explode(alike("lo", "hi", "m")).alias("p")).select("p.a", "p.b").distinct()
+    return pieces.select(F.explode(alike("bucket", "lo", "hi", "m")).alias("p")).select("p.a", "p.b").distinct()
 
 
 def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch: Callable[[DataFrame], DataFrame], alike) -> DataFrame:

@@ -114,15 +114,17 @@ def _bands(idf):
 
 def _sketches(idf):
     @F.arrow_udf(BinaryType())
-    def sketch(texts: pa.Array) -> pa.Array:
-        """One byte for each of SKETCH draws, by seeds that the bands do not use."""
+    def sketch(texts: pa.Array, bands: pa.Array) -> pa.Array:
+        """One byte for each of SKETCH draws, by seeds that the bands do not use, and the
+        keys of the text's bands."""
         out = []
         for _, part in slices(texts, 64):
             h, of, count = text_shingles(part)
             first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(part)))])[:-1]
             d = draws(mix(h + _U(1)), first, weights(h, count, idf.value), SKETCH).view(np.uint32).astype(np.uint64)
             out += [row.tobytes() for row in (mix(d) >> _U(56)).astype(np.uint8).T]
-        return pa.array(out, type=pa.binary())
+        keys = bands.flatten().to_numpy().reshape(-1, BANDS)
+        return pa.array([s + k.tobytes() for s, k in zip(out, keys)], type=pa.binary())
     return sketch
 
 
@@ -130,20 +132,25 @@ _PAIRS = ArrayType(StructType([StructField("a", LongType()), StructField("b", Lo
 
 
 @F.arrow_udf(_PAIRS)
-def _alike(lo: pa.Array, hi: pa.Array, members: pa.Array) -> pa.Array:
-    """Pairs of different components, of block lo and block hi, whose sketches agree."""
+def _alike(buckets: pa.Array, lo: pa.Array, hi: pa.Array, members: pa.Array) -> pa.Array:
+    """Pairs of different components, of block lo and block hi, whose sketches agree, each
+    in the first band that the two share."""
     least = int(np.ceil(SKETCH_AGREE * SKETCH))
     out = []
-    for l, h, rows in zip(lo.to_pylist(), hi.to_pylist(), members):
+    for bucket_, l, h, rows in zip(buckets.to_pylist(), lo.to_pylist(), hi.to_pylist(), members):
         block, ids, comp, sketch = rows.values.flatten()
         k = block.to_numpy()
         ids, comp = ids.to_numpy(), comp.to_numpy()
-        s = np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+        s = np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        s, keys = s[:, :SKETCH], np.ascontiguousarray(s[:, SKETCH:]).view(np.int64)
         left, right = np.flatnonzero(k == l), np.flatnonzero(k == h)
         found = []
         for i in left:
             other = right[(comp[right] != comp[i]) & ((l != h) | (ids[right] > ids[i]))]
             near = other[(s[other] == s[i]).sum(axis=1) >= least]
+            if len(near):
+                shared = (keys[near] == keys[i]).argmax(axis=1)          # the first band they share
+                near = near[keys[i][shared] == bucket_]
             found += [{"a": int(min(ids[i], ids[j])), "b": int(max(ids[i], ids[j]))} for j in near]
         out.append(found)
     return pa.array(out, type=pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
@@ -196,7 +203,8 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
             .select("a", "b", "similarity")
 
     def sketch(ids: DataFrame) -> DataFrame:
-        return texts.join(ids, "id").select("id", _sketches(idf)("text").alias("sketch"))
+        return (texts.join(ids, "id").join(nodes.select("id", "bands"), "id")
+                .select("id", _sketches(idf)("text", "bands").alias("sketch")))
 
     label = links.group(near, verify, sketch, _alike)
     named = nodes.select("id", "md5").join(label, "id", "left").select("md5", F.coalesce("component", "id").alias("component"))

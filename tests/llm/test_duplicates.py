@@ -137,7 +137,7 @@ def test_group_finds_links_that_leaders_miss(spark, monkeypatch):
         return pairs.filter("floor(a / 10) = floor(b / 10) and (b - a) % 3 = 0 or a = 5 and b = 17")
 
     @arrow_udf(neardup._PAIRS)
-    def alike(lo: pa.Array, hi: pa.Array, m: pa.Array) -> pa.Array:
+    def alike(bucket: pa.Array, lo: pa.Array, hi: pa.Array, m: pa.Array) -> pa.Array:
         out = []
         for a, b, rows in zip(lo.to_pylist(), hi.to_pylist(), m.to_pylist()):
             out.append([{"a": min(x["id"], y["id"]), "b": max(x["id"], y["id"])} for x in rows for y in rows
