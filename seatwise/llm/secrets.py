@@ -37,8 +37,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_HINT = re.compile(r"pass(?:word|wd)|secret|token|api_?key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9-]+: [^\n-]*\n|[A-Za-z0-9+/=\s\\])*)"
-                  r"-----END \1-----")
+# header values run to the line end (a line break, or one escaped as in JSON).  The scan is
+# linear: a run is taken whole (lookahead, then reference), every body splits in one way only,
+# and none goes past another marker
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----"
+                  r"((?:(?=([A-Za-z0-9-]+))\3: (?=((?:(?!\\n|-----(?:BEGIN|END) )[^\n])*))\4(?:\n|\\n)"
+                  r"|(?![A-Za-z0-9-]+: )(?=([A-Za-z0-9+/=]+))\5|\s|\\n|\\(?!n))*)-----END \1-----")
 _DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{30,}={0,2}")
 _DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
 _SSH64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]+={0,2}")

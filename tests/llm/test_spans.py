@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 
 import pytest
 
@@ -111,6 +112,30 @@ def test_structures_are_confirmed():
     assert kinds(token(b'{"alg":"none"}')) == kinds(token(b'{"x":1}')) == kinds(token(b'{"alg":"RS256"')) == []
 
 
+@pytest.mark.parametrize("cipher", ["AES-128-CBC", "DES-EDE3-CBC", "AES-256-CBC"])
+@pytest.mark.parametrize("eol", ["\n", "\r\n", "\\n"])
+def test_encrypted_pem_with_header_lines(cipher, eol):
+    body = base64.b64encode(bytes(range(7, 255)) * 3).decode()
+    lines = [body[i:i + 64] for i in range(0, len(body), 64)]
+    pem = eol.join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED",
+                    f"DEK-Info: {cipher},0123456789ABCDEF", "", *lines, "-----END RSA PRIVATE KEY-----"])
+    text = f"see {pem} and {pem}."
+    found = [(text[s["start"]:s["end"]], s["detail"]) for s in secrets.scan_text(text) if s["kind"] == "pem"]
+    assert found == [(pem, "legacy-encrypted")] * 2
+    # headers alone confirm nothing
+    assert "pem" not in kinds(eol.join(pem.split(eol)[:4] + ["not a key!", "-----END RSA PRIVATE KEY-----"]))
+
+
+def test_pem_scan_is_linear():
+    begin = "-----BEGIN PRIVATE KEY-----\n"
+    for text in (begin + "Header-Name: x-y\n" * 20_000, (begin + "A: -") * 20_000, (begin.strip() + "\nA: b-c\n") * 20_000,
+                 begin + "Header-Name: x-y\\n" * 20_000, begin + "\\nAbc" * 50_000,
+                 begin + "A" * 300_000, begin + "A-" * 150_000, begin + "Header-Name: " + "x" * 300_000):
+        started = time.process_time()
+        assert "pem" not in kinds(text)
+        assert time.process_time() - started < 10
+
+
 def test_iban_context_and_score():
     found = pii.scan_text("Konto: DE89 3704 0044 0532 0130 00 bitte")
     assert [s["kind"] for s in found if s["kind"] == "iban"] == ["iban"]
