@@ -8,8 +8,9 @@ as "card" or "Telefon" shortly before or after the span raises its score; one th
 points elsewhere ("order", "version") lowers it.
 
 Defined results: a null or empty text has no spans.  Proposals of one kind are leftmost
-and non-overlapping, and a failed one is dropped, not retried.  Repeated rows are
-scanned alike.  Every scan is linear in the text: address and number patterns start only
+and non-overlapping, and a failed one is dropped, not retried; only IBANs are searched
+anew from just after a failed one's country and check digits.  Repeated rows are scanned
+alike.  Every scan is linear in the text: address and number patterns start only
 where a run starts.  Other columns pass through; a column that has the output's name is
 replaced.
 """
@@ -62,7 +63,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = {c: re.compile(rf"(?:\x20?[A-Z0-9]){{{n - 4}}}") for c, n in IBAN_LENGTH.items()}
 _WORD = re.compile(r"[^\W\d_][\w-]*")
 _FOR = {k: frozenset(v.split()) for k, v in FOR.items()}
 _AGAINST = {k: frozenset(v.split()) for k, v in AGAINST.items()}
@@ -99,6 +101,18 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping IBANs.  The country's length ends one, as upper-case words or
+    a further IBAN may follow; after a prefix that begins none, the search goes on."""
+    out, at = [], 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        rest = _IBAN_REST[m[0][:2]].match(text, at) if m[0][:2] in _IBAN_REST else None
+        if rest and not text[rest.end():rest.end() + 1].isalnum() and mod97((m[0] + rest[0]).replace(" ", "")):
+            out.append((m.start(), at := rest.end()))
+    return out
+
+
 def scan_text(text: str | None) -> list[dict]:
     """Spans of one text by kind as listed, then start (code points, end exclusive)."""
     if not text:
@@ -114,14 +128,7 @@ def scan_text(text: str | None) -> list[dict]:
     for m in _PHONE.finditer(text):
         if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
             found.append(("phone", *m.span()))
-    for m in _IBAN.finditer(text):
-        # the pattern may run on into upper-case words: the country's length ends it
-        ends, n = m.start(), IBAN_LENGTH.get(m[0][:2], 99)
-        while n and ends < m.end():
-            n -= text[ends] != " "
-            ends += 1
-        if not n and not text[ends:ends + 1].isalnum() and mod97(text[m.start():ends].replace(" ", "")):
-            found.append(("iban", m.start(), ends))
+    found += [("iban", *span) for span in ibans(text)]
     return [{"kind": k, "start": s, "end": e, "score": _score(text, k, s, e)} for k, s, e in found]
 
 

@@ -186,6 +186,21 @@ def test_ibans_of_every_country():
     assert spans("ZZ12 3456 7890 1234 5678 90") == []
 
 
+def test_ibans_one_after_the_other():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert spans(f"{de} {gb}") == [de, gb] and spans(f"{gb} {de} {gb}") == [gb, de, gb]
+    assert spans(f"AB12 {de}") == [de]                  # an unknown country
+    assert spans(f"DE12 {gb}") == spans(f"DE12 3456 {gb}") == [gb]   # a known one that fails
+    assert spans(f"{de} AND MORE {gb}") == [de, gb]
+    assert spans(f"{de}{gb}") == spans(f"X{de}") == spans(f"{de}5") == spans(f"{de}é") == []
+    every = " ".join(IBANS)
+    assert spans(every) == spans(every.replace(" ", ", ")) == IBANS
+    many = [de] * 20_000
+    started = time.process_time()
+    assert spans(" ".join(many)) == many and spans("AB12 DE89 " * 50_000) == []
+    assert time.process_time() - started < 20
+
+
 @pytest.mark.parametrize("find,out", [(secrets.find_secrets, "secrets"), (pii.find_pii, "pii")])
 def test_odd_rows(odd, clashing, none, find, out):
     rows = find(odd).collect()
