@@ -8,7 +8,9 @@ copies of a good document do not make its lines boilerplate (copies are the busi
 de-duplication).
 
 The limits do not depend on the size of the corpus: a line is removed when it occurs in
-at least ``min_docs`` documents of the host and in at least ``max_share`` of them.
+at least ``min_docs`` documents of the host and in at least ``max_share`` of them.  They do
+depend on the size of the host: above ``min_docs / max_share`` distinct texts (5,000) the
+share rules alone, so a large host keeps lines that a small one would lose.
 
 Defined results: a null or empty text has no words and fails the base rule; a null host
 is a host of its own; repeated rows are judged alike; an empty table gives no rows.

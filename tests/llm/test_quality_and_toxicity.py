@@ -5,6 +5,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seatwise.llm import quality, queries, toxicity
 
@@ -33,6 +34,18 @@ def test_boilerplate_lines(spark):
     assert all(out[300 + i].kept for i in range(40))
 
 
+def test_share_rules_alone_on_a_hot_host(spark):
+    """The same line in ten documents: boilerplate up to 5,000 texts of the host, text above;
+    on a small host, nine are too few."""
+    def host(name, size, held):
+        return [(name, f"text {name} {i}" + "\nthe license line" * (i < held)) for i in range(size)]
+    rows = host("full", 5000, 10) + host("hot", 5001, 10) + host("hotter", 5500, 11) + host("small", 20, 9)
+    out = quality.quality_rules(spark.createDataFrame(rows, "source string, text string"))
+    gone = {r.source: (r.n, r.rows) for r in out.filter("n_removed_words > 0").groupBy("source")
+            .agg(F.sum("n_removed_words").alias("n"), F.count("*").alias("rows")).collect()}
+    assert gone == {"full": (30, 10), "hotter": (33, 11)}
+
+
 def test_quality_odd_rows(odd, clashing, none):
     out = quality.quality_rules(clashing).collect()
     assert len(out) == odd.count()
