@@ -1,15 +1,16 @@
 """Legacy archive converter: ARC files to WARC files.
 
 ``write_arc`` stores pages as ARC archives (version 1: five fields in a record's header
-line; version 2: ten).  ``read_arc`` parses them: the version block names the fields of
-the header lines, and each record's declared length says where it ends.  ``to_warc``
-synthesises equivalent WARC records: ids, timestamps, types, digests, and a warcinfo
-record per conversion; a payload of at least ``MIN_REVISIT`` bytes that occurs again is
-stored once (response) and referred to by the others (revisit).  ``write_warc`` and
-``read_warc`` store and read these.
+line; version 2: ten), each part opened by its version block.  ``read_arc`` parses them:
+the version block names the fields of the header lines, and each record's declared length
+says where it ends.  ``to_warc`` synthesises equivalent WARC records: ids, timestamps,
+types, digests; a payload of at least ``MIN_REVISIT`` bytes that occurs again is stored
+once (response) and referred to by the others (revisit).  ``write_warc`` and ``read_warc``
+store and read these; a warcinfo record opens each file.
 
 Archives are folders of gzip part files, written by Spark and split by record count, so
-a part stays small and is read by one task; plain files are read as well.  A record's id is derived from its place in the
+a part stays small and is read by one task; plain files are read as well.  The query's
+archive has parts of both versions in turn.  A record's id is derived from its place in the
 ARC archive, so a retried task gives it the same id.
 
 Defined results: a null html is an empty payload; a null url is written as ``-``;
@@ -28,14 +29,15 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..session import scratch_path
-from .common import cut, remove
+from .common import cut, free_name, remove
 
 MIN_REVISIT = 1000             # bytes from which on equal payloads become revisits
 RECORDS_PER_FILE = 4000        # an archive part holds at most so many records
@@ -55,11 +57,23 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 # ---- ARC -------------------------------------------------------------------------
 
-def write_arc(pages: DataFrame, path: str, version: int = 1, page_id: str = "page_id", url: str = "url",
+def _placed(df: DataFrame, records_per_file: int) -> tuple[DataFrame, Column, Column]:
+    """``df`` as the text writer will store it: whether a row opens a file, and a number
+    that is one higher in the task's next file and in the next task.  Rows reach the writer
+    in the task's order, and it starts a file every ``records_per_file`` of them."""
+    row, = free_name(df, "row")
+    at = F.col(row).bitwiseAND((1 << 33) - 1)          # the place within the task
+    return (df.withColumn(row, F.monotonically_increasing_id()), at % records_per_file == 0,
+            F.shiftright(row, 33) + F.floor(at / records_per_file))
+
+
+def write_arc(pages: DataFrame, path: str, version: int | None = 1, page_id: str = "page_id", url: str = "url",
               html: str = "html", date: str | None = None, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write pages as ARC archive parts below ``path``.  A record's content is an HTTP
     response: headers (with the page id) and the html in UTF-8.  Records are separated by
-    a line break, as the format has it."""
+    a line break, as the format has it.  Every part is opened by its version block; without
+    a ``version``, parts have the two versions in turn."""
+    pages, opens, part = _placed(pages, records_per_file)
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     has_id = F.col(page_id).isNotNull()
     content = F.concat(F.lit(_HTTP), F.when(has_id, F.concat(F.lit(f"{_PAGE}: "), F.col(page_id), F.lit("\r\n")))
@@ -67,10 +81,12 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, page_id: str = "pag
     link = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("-")), r"\r|\n", "%0A"), r"\s", "%20")
     fields = [F.when(F.length(link) == 0, F.lit("-")).otherwise(link), F.lit(IP),
               F.coalesce(F.col(date).cast("string"), F.lit(DATE)) if date else F.lit(DATE), F.lit("text/html")]
-    if version == 2:
-        fields += [F.lit("200"), F.md5(F.encode(body, "UTF-8")), F.lit("-"), F.lit("0"), F.lit("pages.arc")]
-    head = F.concat_ws(" ", *fields, F.octet_length(content).cast("string"))
-    (pages.select(F.concat(head, F.lit("\n"), content).alias("value"))
+    more = [F.lit("200"), F.md5(F.encode(body, "UTF-8")), F.lit("-"), F.lit("0"), F.lit("pages.arc")]
+    second = part % 2 == 1 if version is None else F.lit(version == 2)
+    # a null is left out
+    head = F.concat_ws(" ", *fields, F.when(second, F.concat_ws(" ", *more)), F.octet_length(content).cast("string"))
+    block = F.when(second, arc_version_block(2) + "\n").otherwise(arc_version_block(1) + "\n")
+    (pages.select(F.concat(F.when(opens, block).otherwise(""), head, F.lit("\n"), content).alias("value"))
      .write.option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
@@ -182,9 +198,21 @@ def to_warc(records: DataFrame, digests: DataFrame | None = None) -> DataFrame:
             .withColumn("refers_to_id", F.when(again, F.col("of_id"))).drop("of_id"))
 
 
+def _warcinfo() -> Column:
+    """A warcinfo record that opens a WARC file, with the two line breaks that end it.  Its id
+    is made from that of the file's first record."""
+    about = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n"
+    name = F.regexp_replace(F.md5(F.concat(F.lit("warcinfo "), "record_id")),
+                            "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-3$3-a$4-$5")
+    return F.concat(F.lit("WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:"), name,
+                    F.lit(f">\r\nWARC-Date: {datetime.now(timezone.utc):%Y-%m-%dT%H:%M:%SZ}\r\n"
+                          f"Content-Type: application/warc-fields\r\nContent-Length: {len(about)}\r\n\r\n{about}\r\n\r\n"))
+
+
 def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write ``to_warc`` records as WARC/1.1 files below ``path``.  Two line breaks end a
-    record, which is Spark's line separator here."""
+    """Write ``to_warc`` records as WARC/1.1 files below ``path``, each opened by a warcinfo
+    record.  Two line breaks end a record, which is Spark's line separator here."""
+    records, opens, _ = _placed(records, records_per_file)
     when = F.concat(*[x for a, n, sep in ((1, 4, "-"), (5, 2, "-"), (7, 2, "T"), (9, 2, ":"), (11, 2, ":"), (13, 2, "Z"))
                       for x in (F.substring("date", a, n), F.lit(sep))])
     revisit = F.col("record_type") == "revisit"
@@ -198,7 +226,8 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PE
                                  "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")))
-    (records.withColumn("block", block).select(F.concat(head, F.lit("\r\n\r\n"), "block").alias("value"))
+    (records.withColumn("block", block)
+     .select(F.concat(F.when(opens, _warcinfo()).otherwise(""), head, F.lit("\r\n\r\n"), "block").alias("value"))
      .write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
@@ -223,14 +252,17 @@ _READ = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("u
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files below ``path``: a response's payload is measured and
-    digested anew and must have the digest its header states; of a revisit, the digest is
-    the stated one and ``payload_bytes`` is null (its payload is elsewhere)."""
+    """The records of the WARC files below ``path``, but the warcinfo ones: a response's
+    payload is measured and digested anew and must have the digest its header states; of a
+    revisit, the digest is the stated one and ``payload_bytes`` is null (its payload is
+    elsewhere)."""
     def parse(batches):
         def rows():
             for b in batches:
                 for name, data in zip(b.column(0).to_pylist(), b.column(1)):
                     for head, block in warc_records(_plain(data.as_py()), name):
+                        if head["WARC-Type"] == "warcinfo":
+                            continue
                         http, payload = _split_http(block)
                         revisit = head["WARC-Type"] == "revisit"
                         stated = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
@@ -254,12 +286,13 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Pages written as ARC, converted to WARC, read back: one row per page.  The archives
-    are below ``spark.checkpoint.dir`` and are removed once they have been read."""
+    """Pages written as ARC (parts of both versions in turn), converted to WARC, read back:
+    one row per page.  The archives are below ``spark.checkpoint.dir`` and are removed once
+    they have been read."""
     spark = pages.sparkSession
     arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
-    write_arc(pages, arc, page_id=page_id, url=url, html=html)
-    write_warc(to_warc(read_arc(spark, arc, 1), read_arc(spark, arc, 1, payloads=False)), warc)
+    write_arc(pages, arc, None, page_id=page_id, url=url, html=html)
+    write_warc(to_warc(read_arc(spark, arc), read_arc(spark, arc, payloads=False)), warc)
     records = cut(read_warc(spark, warc))
     remove(spark, arc, warc)
     return resolve_revisits(records)

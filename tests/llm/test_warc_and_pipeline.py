@@ -63,6 +63,39 @@ def test_arc_versions(spark, version):
     assert got == {i: h or "" for i, _, h in PAGES}
 
 
+def files(spark, path):
+    return [f for f in (warc._plain(r.content) for r in warc._files(spark, path).collect()) if f]
+
+
+def test_archives_open_with_version_block_and_warcinfo(spark, monkeypatch):
+    """The query's own archives, seen before they are removed."""
+    seen = []
+    monkeypatch.setattr(warc, "remove", lambda spark, *paths: seen.extend(paths))
+    pages = spark.createDataFrame(PAGES, PAGE).repartition(3)
+    assert warc.archive_round_trip(pages).count() == len(PAGES)
+    arcs, warcs = (files(spark, path) for path in seen)
+    assert {f[:f.index(b"\n", f.index(b"\n") + 1)].rsplit(b"\n", 1)[1] for f in arcs} == {b"1 0 seatwise", b"2 0 seatwise"}
+    heads = [h for f in arcs for _, h, _ in warc.arc_records(f, "f")]
+    assert len(heads) == len(PAGES) and {len(h) for h in heads} == {5, 10}
+    sums = [(h["Checksum"], hashlib.md5(c.partition(b"\r\n\r\n")[2]).hexdigest())
+            for f in arcs for _, h, c in warc.arc_records(f, "f") if len(h) == 10]
+    assert all(a == b for a, b in sums)
+    kinds = [[h["WARC-Type"] for h, _ in warc.warc_records(f, "f")] for f in warcs]
+    assert all(k[0] == "warcinfo" and k.count("warcinfo") == 1 for k in kinds)
+    infos = [next(warc.warc_records(f, "f")) for f in warcs]
+    assert all(warc.SOFTWARE in block.decode() for _, block in infos)
+    ids = [h["WARC-Record-ID"] for f in warcs for h, _ in warc.warc_records(f, "f")]
+    assert len(set(ids)) == len(ids) == len(PAGES) + len(warcs)
+
+
+def test_every_part_has_its_version_block(spark):
+    path = scratch_path(spark, "arc-test")
+    warc.write_arc(spark.range(0, 100, 1, 4).selectExpr("id as page_id", "'u' as url", "'own' as row", "'h' as html"),
+                   path, None, records_per_file=7)
+    assert sorted(sum(1 for _ in warc.arc_records(f, "f")) for f in files(spark, path)) == [4] * 4 + [7] * 12
+    assert sorted(r.page_id for r in warc.read_arc(spark, path).collect()) == list(range(100))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_version_block_names_the_fields(version):
     extra = "200 sum - 0 f.arc " if version == 2 else ""
