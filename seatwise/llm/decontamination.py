@@ -1,4 +1,4 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by MinHash containment search.
 
 A document is contaminated by a test item when it holds at least ``THRESHOLD`` of the
 item's five-word shingles.  Documents are far longer than items, so the Jaccard
@@ -8,10 +8,11 @@ grow with it.  Containment is searched instead with sketches of the items: the
 share of them that a document holds estimates the containment, whatever the document's
 length.
 
-Items are partitioned by size, because the sketch means something else in each class: up
+Items have one of two size classes, because the sketch means something else in each: up
 to ``SKETCH`` shingles it is the whole item and the threshold applies exactly; above, a
 document is a candidate from so many hits on that an item at the threshold is missed
-with a probability below ``MISS``.  A document's own small size is allowed for by the
+with a probability below ``MISS``, whatever the item's size.  The classes differ in the
+hits needed only; all items are searched by one bitmap and one join.  A document's own small size is allowed for by the
 same rule, as it can hold no more than it has.
 
 Documents are read once.  A bitmap of fixed size (8 MiB, whatever the number of items)
@@ -76,14 +77,14 @@ def _sketch_all(texts: pa.Array) -> pa.Array:
 
 
 def item_sketches(items: DataFrame, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per item and sketch value: item (its key), hash, n (its shingles), size_class
-    (the power of two its size lies in) and least (hits that make a candidate)."""
+    """One row per item and sketch value: item (its key), hash, n (its shingles) and least
+    (hits that make a candidate)."""
     body = F.col(text).cast("string")
     i = items.select(F.struct(F.col(item_id).alias("id"), F.xxhash64(body).alias("t")).alias("item"),
                      _sketch_all(body).alias("all")).filter(F.size("all") > 0).dropDuplicates(["item"])
     n = F.size("all")
     needed = F.element_at(F.array(*[F.lit(least_hits(k, threshold)) for k in range(1, SKETCH + 2)]), F.least(n, F.lit(SKETCH + 1)))
-    return i.select("item", n.alias("n"), F.floor(F.log2(n)).cast("int").alias("size_class"), needed.alias("least"),
+    return i.select("item", n.alias("n"), needed.alias("least"),
                     F.explode(F.slice(F.sort_array("all"), 1, SKETCH)).alias("hash"))
 
 

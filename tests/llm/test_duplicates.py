@@ -253,6 +253,17 @@ def test_least_hits_miss_rarely():
     assert miss <= decontamination.MISS < miss + math.comb(24, hits) * 0.8 ** hits * 0.2 ** (24 - hits)
 
 
+def test_two_size_classes(spark):
+    """Up to the sketch's length the sketch is the item; above, one number of hits for all sizes."""
+    sizes = [1, 5, 24, 25, 60, 3000]
+    items = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(n + 4 * (n > 1)))) for n in sizes], "item_id long, text string")
+    sketches = decontamination.item_sketches(items)
+    assert sketches.columns == ["item", "n", "least", "hash"]
+    rows = sketches.groupBy("n", "least").count().collect()
+    above = decontamination.least_hits(10 ** 6)
+    assert sorted(map(tuple, rows)) == [(1, 1, 1), (5, 4, 5), (24, 20, 24), *[(n, above, 24) for n in (25, 60, 3000)]]
+
+
 def test_contamination_odd_rows(spark, odd, clashing, none):
     items = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, "two words"), (2, None), (3, ""), (4, LONG)], "item_id long, text string")
     found = decontamination.find_contaminated(odd, items).collect()
