@@ -1,5 +1,7 @@
 """The composite jobs on the hand-made response table."""
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from seatwise.plans.intake import anonymised_snapshot, apply_exclusions, clean_i
 from seatwise.plans.report import profile_report, recipient_list
 from seatwise.plans.selection import score_applicants, seat_draw
 from seatwise.sources.codebook import REQUIRED
+from tests.conftest import SF01
 from tests.fixtures import TEST_NAME, responses
 
 CFG = IntakeConfig(exclude_names=(TEST_NAME,))
@@ -105,6 +108,19 @@ def test_report_and_recipients(spark, clean):
     assert len(rec) == 1 and rec[0]["recipients"].count(", ") == scored.count() - 1
 
 
+@pytest.mark.parametrize("two_phase", [False, True])
+def test_recipients_of_a_table_that_grows(spark, monkeypatch, two_phase):
+    """The catalogue's recipient queries read nation; here, batches of customer."""
+    if two_phase:
+        monkeypatch.setattr(sys.modules["seatwise.operators.ordinal"], "estimated_bytes", lambda df: 2 ** 63 - 1)
+    people = spark.read.parquet(f"{SF01}/customer.parquet").select("c_custkey", "c_name").repartition(5)
+    names = [r.c_name or "NA" for r in sorted(people.collect(), key=lambda r: r.c_custkey)]
+    for size in (1000, 7):
+        want = [", ".join(names[i:i + size]) for i in range(0, len(names), size)]
+        got = recipient_list(people, size, "c_name", "c_custkey").collect()
+        assert len(want) > 1 and [r.recipients for r in sorted(got, key=lambda r: r.batch)] == want
+
+
 def test_harmonise_and_charts(spark, clean):
     scored = score_applicants(apply_exclusions(clean)).filter(F.col("puntaje").isNotNull())
     adm = seat_draw(scored, DrawConfig(seats=20, seed=3)).drop("nombre", "correo", "puntaje")
