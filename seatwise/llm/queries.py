@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, linededup, mixing, neardup, pii, quality, secrets, sharding, toxicity, warc
+from . import bytequality, decontamination, linededup, merkle, mixing, neardup, pii, quality, secrets, sharding, spelling, toxicity, warc
 from .common import span_count, span_digest, span_list, table
 
 SHARDS = 24
@@ -76,8 +76,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("row_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = bytequality.fit_on(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(bytequality.fold("doc_id") == bytequality.HELD_OUT, F.lit(False)).alias("held_out")
+    return bytequality.score_quality(docs.select("doc_id", "text"), net).select("doc_id", held_out, "score", "predicted")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and the check of every row against it after every third row was tampered with."""
+    third = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0, F.lit(False))
+    tampered = F.when(third, merkle.tampered_leaf(list(merkle.FIELDS)))
+    m = merkle.manifest(table(spark, sf_dir, "documents"), keep={"tampered": tampered})
+    rows = merkle.verify(m.leaves.withColumn("seen", F.coalesce("tampered", "leaf")), m.root, leaf="seen")
+    return rows.select(F.col("id").alias("doc_id"), merkle.as_text(F.col("leaf")).alias("leaf"), "subroot", F.lit(m.root).alias("root"),
+                       merkle.proof_digest(F.col("way")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_linededup, op4_neardup, op5_sharding,
-                                   op6_quality, op7_toxicity, op8_pii, op9_warc, op10_mixing)}
+                                   op6_quality, op7_toxicity, op8_pii, op9_warc, op10_mixing, op11_quality_classifier,
+                                   op12_merkle, op13_spelling)}
+
+# CRC-32 bit by bit: ``code`` is a list of bytes
+SQL_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {code}), lambda a, b: list_reduce(
+  list_prepend(xor(a, b), range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))))"""
 
 ORACLE_SQL = {
     "op2_decontamination": r"""
@@ -157,4 +183,75 @@ select page_id, payload_bytes, payload_digest,
   case when payload_bytes >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
   case when payload_bytes >= 1000 and page_id < top then top end as refers_to
 from m""",
+    "op12_merkle": f"""
+with recursive doc as (
+  select *, row_number() over () as row, {SQL_CRC32.format(code="list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)")} % 3 = 0 as third
+  from documents
+), leaf as (
+  select row, doc_id, lang, third, {"sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"} as leaf,
+    {"sha256(" + " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || {v}, '-')" for c, v in (("doc_id", "cast(doc_id as varchar)"), ("source", "source"), ("lang", "lang"), ("n_chars", "cast(n_chars as varchar)"), ("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))) + ")"} as changed
+  from doc
+), placed as (
+  select *, row_number() over (partition by lang order by doc_id, leaf) - 1 as pos from leaf
+), low as (   -- levels of a language: lists of nodes
+  select lang, 0 as lvl, list(leaf order by pos) as l from placed group by lang
+  union all
+  select lang, lvl + 1, list_transform(range(0, (len(l) + 7) // 8), lambda i: sha256(array_to_string(l[i * 8 + 1:i * 8 + 8], '')))
+  from low where len(l) > 1
+), subroot as (
+  select lang, l[1] as h, row_number() over (order by lang is not null, lang) - 1 as pos from low where len(l) = 1
+), high as (
+  select 0 as lvl, list(h order by pos) as l from subroot
+  union all
+  select lvl + 1, list_transform(range(0, (len(l) + 7) // 8), lambda i: sha256(array_to_string(l[i * 8 + 1:i * 8 + 8], '')))
+  from high where len(l) > 1
+), top as (select l[1] as root from high where len(l) = 1),
+low_way as (   -- from the leaf up: place, hash and siblings so far
+  select row, lang, 0 as lvl, pos, case when third then changed else leaf end as h, '' as way from placed
+  union all
+  select w.row, w.lang, w.lvl + 1, w.pos // 8, sha256(array_to_string(low.l[w.pos // 8 * 8 + 1:w.pos], '') || w.h || array_to_string(low.l[w.pos + 2:w.pos // 8 * 8 + 8], '')),
+    w.way || array_to_string(low.l[w.pos // 8 * 8 + 1:w.pos], '') || array_to_string(low.l[w.pos + 2:w.pos // 8 * 8 + 8], '')
+  from low_way w join low on low.lang is not distinct from w.lang and low.lvl = w.lvl where len(low.l) > 1
+), low_end as (select row, lang, h, way from (select *, max(lvl) over (partition by row) as last from low_way) where lvl = last),
+high_way as (
+  select e.row, 0 as lvl, s.pos, e.h, e.way from low_end e join subroot s on s.lang is not distinct from e.lang
+  union all
+  select w.row, w.lvl + 1, w.pos // 8, sha256(array_to_string(high.l[w.pos // 8 * 8 + 1:w.pos], '') || w.h || array_to_string(high.l[w.pos + 2:w.pos // 8 * 8 + 8], '')),
+    w.way || array_to_string(high.l[w.pos // 8 * 8 + 1:w.pos], '') || array_to_string(high.l[w.pos + 2:w.pos // 8 * 8 + 8], '')
+  from high_way w join high on high.lvl = w.lvl where len(high.l) > 1
+), high_end as (select row, h, way from (select *, max(lvl) over (partition by row) as last from high_way) where lvl = last)
+select p.doc_id, p.leaf, s.h as subroot, top.root, sha256(e.way) as proof_sha256, e.h as folded_root, e.h = top.root as verified
+from placed p join high_end e on e.row = p.row join subroot s on s.lang is not distinct from p.lang cross join top""",
+    "op13_spelling": f"""
+with recursive run as (
+  select cast(doc_id as varchar) as id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r
+  from documents
+), counted as (select id, r, count(*) as n from run where len(r) >= 6 group by 1, 2),
+hashed as (
+  select *, {SQL_CRC32.format(code="flatten(list_transform(string_split(id || ':' || r, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]::bigint[] end))")} as h
+  from counted
+), slip as (
+  select case when h % 199 = 0 then r[:h % len(r)] || r[h % len(r) + 2:] else r end as word, n from hashed
+), word as (
+  select word, cast(sum(n) as bigint) as n from slip where len(word) >= 6 group by word having sum(n) >= 5
+), gone as (   -- every word without its i-th letter
+  select word, n, len(word) as size, i, word[:i - 1] || word[i + 1:] as rest
+  from (select word, n, unnest(range(1, len(word) + 1)) as i from word)
+), pair as (
+  select a.word, a.n, b.word as other, b.n as other_n from gone a join gone b on a.rest = b.rest and a.i = b.i and a.size = b.size and a.word <> b.word
+  union
+  select a.word, a.n, b.word, b.n from gone a join word b on a.rest = b.word
+  union
+  select b.word, b.n, a.word, a.n from gone a join word b on a.rest = b.word
+), near as (
+  select word, count(*) as n_near, first(other order by other_n desc, other) as form, max(other_n) as form_n from pair group by word
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * w.n then form end as form, case when form_n >= 5 * w.n then form_n end as form_n
+  from word w left join near using (word)
+), chain as (
+  select word, word as at, form as next from formed
+  union all
+  select c.word, c.next, f.form from chain c join formed f on f.word = c.next
+)
+select f.word, f.form, c.at as root, f.n, f.n_near, f.form_n from formed f join chain c on c.word = f.word and c.next is null""",
 }
