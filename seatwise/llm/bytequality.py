@@ -46,7 +46,7 @@ PAD = 255                   # a byte that UTF-8 does not use
 EPOCHS, BATCH, RATE, DECAY = 6, 16, 0.004, 1e-4
 LEAST_STEPS = 400           # a small sample gets more epochs
 VALIDATION = 0.2            # share of the sample kept for the threshold
-PIECE = 4096                # half chunks scored at once: 1 MiB of text
+PIECE = 256                 # half chunks that go through the filters at once: 64 KiB of text
 SLICE_BYTES = 4 << 20       # text laid out at once, unless one text is longer
 WINDOWS = HALF // STEP      # windows that begin in half a chunk
 
@@ -82,6 +82,14 @@ class Net:
                    rng.normal(0, (WINDOW * DIM) ** -0.5, (WINDOW * DIM, FILTERS)).astype(np.float32),
                    np.zeros(FILTERS, dtype=np.float32), rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32))
 
+    def exact(self) -> Net:
+        """The net with embedding and taps rounded so that a filter's sum is exact in 32 bits in
+        any order (products are multiples of 2^-14, sums stay below 2^10): a text has the same
+        score in any company and on any machine."""
+        self.embedding = (np.clip(np.round(self.embedding * 64), -256, 256) / 64).astype(np.float32)
+        self.taps = (np.clip(np.round(self.taps * 256), -1024, 1024) / 256).astype(np.float32)
+        return self
+
     def halves(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray, places: bool = False):
         """The greatest value of each filter in each half chunk (and the window it is at)."""
         n = int(first[-1])
@@ -118,18 +126,19 @@ class Net:
         from_after = top[after] > top[lead]
         half = np.where(from_after, after[:, None], lead[:, None])
         chunk = np.maximum(np.where(from_after, top[after], top[lead]) + self.bias, 0)
-        great = np.maximum.reduceat(chunk, begin[:-1], axis=0) if n else np.zeros((0, FILTERS), np.float32)
+        chunk = chunk.astype(np.float64)
+        great = np.maximum.reduceat(chunk, begin[:-1], axis=0) if n else np.zeros((0, FILTERS))
         mean = np.add.reduceat(chunk, begin[:-1], axis=0) / per[:, None] if n else great
         return np.concatenate([great, mean], axis=1), half, chunk, begin
 
     def logits(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return self.pooled(self.halves(flat, first, size), first)[0] @ self.out + self.out_bias
+        return (self.pooled(self.halves(flat, first, size), first)[0] * self.out).sum(axis=1) + self.out_bias
 
     def score(self, logit: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(logit), self.constant)
         z = np.clip(logit.astype(np.float64) - self.shift, -30, 30)
-        return 1 / (1 + np.exp(-(z + math.log(THRESHOLD / (1 - THRESHOLD)))))
+        return np.round(1 / (1 + np.exp(-(z + math.log(THRESHOLD / (1 - THRESHOLD))))), 9)
 
     def gradients(self, flat, first, size, label, weight):
         """(loss, gradients of embedding, taps, bias, out and out_bias) of the weighted log loss."""
@@ -214,7 +223,7 @@ def fit(texts: list[bytes], labels: np.ndarray, class_rows: tuple[int, int], see
     held = np.random.default_rng(seed).random(len(labels)) < VALIDATION
     if len(set(labels[~held].tolist())) < 2 or len(set(labels[held].tolist())) < 2:
         held[:] = False                               # too few rows: the threshold is set on the trained ones
-    net = train([t for t, h in zip(texts, held) if not h], labels[~held], seed)
+    net = train([t for t, h in zip(texts, held) if not h], labels[~held], seed).exact()
     use = held if held.any() else ~held
     net.shift = best_cut(logits_of(net, [t for t, u in zip(texts, use) if u]), labels[use])
     return net
