@@ -4,7 +4,7 @@
                                   --jdbc-partition-column C --jdbc-lower L --jdbc-upper U)
                                   --snapshot OUT --admitted OUT
                                   [--special FILE] [--seats 160] [--seed N] [--null-scores error|skip]
-                                  [--exclude-name NAME ...] [--cutoff TS]
+                                  [--exclude-name NAME ...] [--cutoff TS] [--identity name|linked]
                                   [--recipients OUT [--recipients-batch N]] [--report OUT] [--admitted-csv OUT]
     python -m seatwise.cli explore (--admitted-csv PATH | --admitted PATH) --snapshot PATH --out DIR [--csv]
 
@@ -50,7 +50,8 @@ def read_responses(spark: SparkSession, a: argparse.Namespace):
 
 def run_select(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
     raw = read_responses(spark, a)
-    clean = clean_intake(raw, IntakeConfig(exclude_names=tuple(a.exclude_name or ()), cutoff=a.cutoff))
+    clean = clean_intake(raw, IntakeConfig(exclude_names=tuple(a.exclude_name or ()), cutoff=a.cutoff,
+                                           identity=a.identity))
     # The cleaned table feeds the snapshot, the score and the draw: write it once.
     clean = clean.checkpoint(eager=True)
     out = {"snapshot": anonymised_snapshot(clean, a.snapshot)}
@@ -116,6 +117,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--seed", type=int, default=1)
     s.add_argument("--exclude-name", action="append")
     s.add_argument("--cutoff", default=CUTOFF)
+    s.add_argument("--identity", choices=["name", "linked"], default="name",
+                   help="one person per name, or per group of names and e-mails that occur together")
     s.add_argument("--null-scores", choices=["error", "skip"], default="error",
                    help="a null score (an unanswered scored question) stops the draw, or "
                         "leaves that person out of the draw")

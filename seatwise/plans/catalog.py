@@ -213,6 +213,48 @@ def clean_intake_q(spark, sf):
     return clean_intake(_event_responses(spark, sf), cfg).select("nombre", "correo", "genero", "trans")
 
 
+def _linked_responses(spark, sf) -> DataFrame:
+    """Events as answers of people with several spellings and addresses: names and e-mails
+    chain up to ten users, one user's name has many addresses, and bad addresses are shared."""
+    e, u = _t(spark, sf, "events"), F.col("user_id")
+    name = F.concat(F.when(F.col("event_type") == "error", F.lit("Usr ")).otherwise(F.lit(" user  ")), u.cast("string"))
+    mail = (F.when(F.col("value") > 60, F.lit("None @ home"))
+            .when(u % 97 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"), F.lit("@Many.cl")))
+            .when(F.col("event_type") == "click", F.concat(F.lit("a"), F.floor(u / 2).cast("string"), F.lit("@Mail.cl")))
+            .when((F.col("event_type") == "view") & (u % 10 != 0), F.concat(F.lit("b"), F.floor((u + 1) / 2).cast("string"), F.lit(" @mail.CL")))
+            .otherwise(F.concat(F.lit("c"), u.cast("string"), F.lit("@mail.cl"))))
+    return e.select(F.when(F.col("event_id") % 50 != 0, name).alias("nombre"), mail.alias("correo"),
+                    F.date_trunc("hour", "ts").cast("string").alias("time_end"), F.col("event_id").alias("session_id"),
+                    F.col("event_type").alias("genero"))
+
+
+def clean_intake_linked(spark, sf):
+    """The clean intake with people known by linked names and e-mails."""
+    cfg = IntakeConfig(identity="linked", cutoff="2024-01-28 00:00:00", keep_session=True)
+    return clean_intake(_linked_responses(spark, sf), cfg).select("nombre", "correo", "session_id", "genero")
+
+
+SQL_CLEAN_INTAKE_LINKED = r"""
+WITH RECURSIVE r AS (
+  SELECT CASE WHEN event_id % 50 <> 0 THEN CASE WHEN event_type = 'error' THEN 'usr ' ELSE 'user ' END || user_id END AS nombre,
+         CASE WHEN value > 60 THEN 'none@home' WHEN user_id % 97 = 0 THEN 'x' || event_id || '@many.cl'
+              WHEN event_type = 'click' THEN 'a' || user_id // 2 || '@mail.cl'
+              WHEN event_type = 'view' AND user_id % 10 <> 0 THEN 'b' || (user_id + 1) // 2 || '@mail.cl'
+              ELSE 'c' || user_id || '@mail.cl' END AS correo,
+         date_trunc('hour', ts) AS t, event_id AS session_id, event_type AS genero FROM events),
+k AS (SELECT *, 'n' || nombre AS n, CASE WHEN regexp_matches(correo, '@.*\.') THEN 'm' || correo END AS m FROM r),
+link AS (SELECT DISTINCT n AS x, m AS y FROM k WHERE n IS NOT NULL AND m IS NOT NULL),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+node AS (SELECT DISTINCT unnest([n, m]) AS v FROM k),
+reach AS (SELECT v, v AS w FROM node WHERE v IS NOT NULL
+          UNION SELECT r.v, b.y FROM reach r JOIN both_ways b ON b.x = r.w),
+person AS (SELECT v, min(w) AS p FROM reach GROUP BY v),
+d AS (SELECT k.* FROM k JOIN person ON person.v = coalesce(k.n, k.m)
+      QUALIFY row_number() OVER (PARTITION BY p ORDER BY t ASC NULLS LAST, session_id ASC) = 1)
+SELECT nombre, correo, session_id, genero FROM d
+WHERE regexp_matches(correo, '@.*\.') AND t <= TIMESTAMP '2024-01-28 00:00:00'
+"""
+
 SQL_CLEAN_INTAKE = r"""
 WITH r AS (
   SELECT '  User' || chr(160) || CAST(user_id AS VARCHAR) || ' ' AS nombre,
@@ -731,6 +773,7 @@ QUERIES: dict[str, Query] = {
     "first_submission": first_submission,
     "first_submission_window": first_submission_window,
     "clean_intake": clean_intake_q,
+    "clean_intake_linked": clean_intake_linked,
     "stream_clean_intake": stream_clean_intake,
     "exclusions": exclusions_q,
     "score_rules": score_rules_q,
@@ -867,6 +910,7 @@ QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY t ASC NULLS LAST, o_o
 SELECT o_custkey, o_orderkey, o_totalprice FROM ({SQL_ORDERS_TIMED}) o
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY t ASC NULLS LAST, o_orderkey) = 1""",
     "clean_intake": SQL_CLEAN_INTAKE,
+    "clean_intake_linked": SQL_CLEAN_INTAKE_LINKED,
     "exclusions": """
 SELECT p_partkey FROM part
 WHERE p_type <> 'ECONOMY' AND nullif(p_brand, 'Brand#7') <> 'Brand#1' AND p_size <> 50 AND p_size <> 49""",

@@ -67,6 +67,7 @@ class IntakeConfig:
     yes_value: str = YES_VALUE
     dedup_method: str = "window"
     dedup_extra_keys: tuple[str, ...] = ()       # e.g. ("correo",): two people, one name
+    identity: str = "name"                       # "linked": rows that share a name or a valid e-mail are one person
     validate_before_dedup: bool = False          # True: bad answers cannot shadow good ones
     keep_session: bool = False                   # the scripts drop it; we use it as tie-break
 

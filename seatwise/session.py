@@ -89,7 +89,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/seatwise-scratch/{name}-{uuid.uuid4().hex}"
 
 
-__all__ = ["build_session", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path",
+def stored(df):
+    """``df`` written below ``spark.checkpoint.dir`` and read from there: computed once, and a
+    lost executor costs no recomputation of what lies before."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+__all__ = ["stored", "build_session", "checkpoint_root", "ensure_checkpoint_dir", "scratch_path",
            "DEFAULT_CONF"]
 
 

@@ -33,6 +33,8 @@ def first_submissions(stream: DataFrame, cfg: IntakeConfig | None = None) -> Dat
     ``valid`` flag (e-mail pattern and inclusive cut-off hold).  Honours the same
     switches as the batch job (``dedup_extra_keys``, ``validate_before_dedup``)."""
     cfg = cfg or IntakeConfig()
+    if cfg.identity != "name":
+        raise ValueError("a stream knows people by name: links between names and e-mails need all rows")
     name, mail, t, sid = cfg.name_col, cfg.email_col, cfg.time_col, cfg.session_col
     out = stream.filter(F.col(mail).isNotNull())
     for test in cfg.exclude_names:
