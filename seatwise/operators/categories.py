@@ -39,8 +39,8 @@ def relevel_ordinal(df: DataFrame, col: str, first: Sequence[str], name: str | N
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     levels = df.filter(F.col(col).isNotNull()).select(col).distinct()
     levels = levels.withColumn("__listed", F.coalesce(listed, F.lit(len(first))))
-    # ordinal(): one task for a small level table, the two-phase plan for a large one.
-    levels = ordinal(levels, ["__listed", col], name=name).select(col, name)
+    # ordinal(): the levels are stored; one task for a small table, the two-phase plan for a large one.
+    levels = ordinal(levels, ["__listed", col], name=name, method="measured").select(col, name)
     return df.join(broadcast_checked(levels)[0], on=col, how="left")
 
 
@@ -83,5 +83,5 @@ def reorder_by(df: DataFrame, col: str, measure: str, prior: str | None = None,
         return df.withColumn(name, F.when(F.col(col).isNotNull(), F.row_number().over(order)).cast("long"))
     keys = [col] + ([prior] if prior else [])
     med = level_medians(df.filter(F.col(col).isNotNull()), keys, measure, "__med")
-    ordered = ordinal(med, ["__med"] + ([prior] if prior else []) + [col], name=name).select(col, name)
+    ordered = ordinal(med, ["__med"] + ([prior] if prior else []) + [col], name=name, method="measured").select(col, name)
     return df.join(broadcast_checked(ordered)[0], on=col, how="left")

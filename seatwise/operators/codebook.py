@@ -4,7 +4,8 @@ A codebook is the definition of a form: usually tens to hundreds of options.  Up
 ``MAX_LITERALS`` options it becomes plain expressions (a map literal per question for
 decoding, an ``IN`` list for the domain test), so the response table is read in one
 pass without a join.  A larger codebook is joined question by question; the join's
-strategy is chosen on the size of its option table.  The results are the same.
+strategy is chosen on the size of its option table.  Both follow one rule: answers and codes
+are compared as text, and of a repeated code the greatest label (in byte order) counts.
 """
 
 from __future__ import annotations
@@ -20,13 +21,19 @@ MAX_LITERALS = 500       # options that are made literals of the plan
 
 
 def _options(codebook: DataFrame) -> dict[str, list[tuple[str, str]]] | None:
-    """The options by question, None when there are more than ``MAX_LITERALS``."""
+    """The distinct options by question in the codebook's order, None when there are more than
+    ``MAX_LITERALS``; of a repeated code the greatest label, which may be null only alone."""
     rows = codebook.filter(F.col("option_code").isNotNull()).limit(MAX_LITERALS + 1).collect()
     if len(rows) > MAX_LITERALS:
         return None
-    out: dict[str, list[tuple[str, str]]] = {}
+    best: dict[tuple[str, str], str | None] = {}
     for r in rows:
-        out.setdefault(r["question_id"], []).append((r["option_code"], r["option_label"]))
+        key, label = (r["question_id"], str(r["option_code"])), r["option_label"]
+        held = best.get(key)
+        best[key] = label if held is None or label is not None and label.encode() > held.encode() else held
+    out: dict[str, list[tuple[str, str]]] = {}
+    for (question, code), label in best.items():
+        out.setdefault(question, []).append((code, label))
     return out
 
 
@@ -40,14 +47,15 @@ def _closed(codebook: DataFrame, columns: Sequence[str]) -> list[str]:
 def _codes(codebook: DataFrame, q: str) -> DataFrame:
     """(code, label) of a question; of a repeated code one label is taken."""
     return (codebook.filter((F.col("question_id") == q) & F.col("option_code").isNotNull())
-            .groupBy(F.col("option_code").alias("__code")).agg(F.max("option_label").alias("__label")))
+            .groupBy(F.col("option_code").cast("string").alias("__code")).agg(F.max("option_label").alias("__label")))
 
 
 def decode(df: DataFrame, codebook: DataFrame, questions: Sequence[str] | None = None,
            suffix: str = "_label") -> DataFrame:
     """Add ``<q><suffix>`` = option label for each closed question column ``q``.
 
-    Unknown codes and nulls give null.
+    Unknown codes and nulls give null.  A code is compared with the answer's text, so a column
+    of numbers is decoded like one of texts.
     """
     opts = _options(codebook)
     if opts is None:
@@ -60,7 +68,7 @@ def decode(df: DataFrame, codebook: DataFrame, questions: Sequence[str] | None =
     adds = {}
     for q in qs:
         m = F.create_map(*[F.lit(x) for code, label in opts[q] for x in (code, label)])
-        adds[f"{q}{suffix}"] = F.try_element_at(m, F.col(q))
+        adds[f"{q}{suffix}"] = F.try_element_at(m, F.col(q).cast("string"))
     return df.withColumns(adds) if adds else df
 
 

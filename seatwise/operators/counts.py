@@ -6,7 +6,7 @@ costs one row per task in the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,3 +89,32 @@ def count_each(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataFrame
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
     return (df.select(kv.alias("kv")).select("kv.column", "kv.value")
               .groupBy("column", "value").agg(F.count(F.lit(1)).alias(name)))
+
+
+def count_tables(df: DataFrame, tables: Mapping[str, Sequence[str]], aggs: Mapping[str, Column] | None = None,
+                 label: str = "table", name: str = "n") -> DataFrame:
+    """Several count tables from ONE scan, as one table: ``label``, every key column (null
+    where a table has not that key), ``name`` and the further aggregates ``aggs``.
+
+    ``tables`` maps a table's name to its keys; without keys it is the row of the whole table.
+    The key sets become one aggregate with grouping sets.  Each row is repeated per set inside
+    the task and met by the partial aggregate there, so what is shuffled is one row per level
+    and task.  The grouping id tells a table's null level from the null of a key it has not.
+    """
+    cols = list(dict.fromkeys(k for keys in tables.values() for k in keys))
+    tables_of: dict[int, list[str]] = {}
+    for t, keys in tables.items():
+        # the id has a bit per column, the first one highest, set where the column is no key
+        tables_of.setdefault(sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in keys), []).append(t)
+    sets = [[F.col(c) for i, c in enumerate(cols) if not bits >> (len(cols) - 1 - i) & 1] for bits in tables_of]
+    aggs = [F.count(F.lit(1)).alias(name), *[a.alias(k) for k, a in (aggs or {}).items()]]
+    if not cols:
+        out = df.agg(*aggs).withColumn("__gid", F.lit(0))
+    else:
+        out = df.groupingSets(sets, *[F.col(c) for c in cols]).agg(*aggs, F.grouping_id().alias("__gid"))
+    names = None
+    for bits, ts in tables_of.items():
+        here, value = F.col("__gid") == bits, F.array(*[F.lit(t) for t in ts])
+        names = F.when(here, value) if names is None else names.when(here, value)
+    out = out.select(F.explode(names).alias(label), *cols, *[c for c in out.columns if c not in (*cols, "__gid")])
+    return out

@@ -1,8 +1,8 @@
 """Membership tests against a key list (``x %in% list``): semi-join and flag.
 
 Null keys never match and rows never multiply (the list is de-duplicated).  The list
-is broadcast only after its rows and bytes have been measured; a longer or wider list is
-joined with a shuffle (AQE splits a skewed side).
+is stored, so that it is computed once, and broadcast only after its rows and bytes have been
+measured; a longer or wider list is joined with a shuffle (AQE splits a skewed side).
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.operators.sizing import broadcast_checked
+from seatwise.session import stored
 
 MAX_BROADCAST_ROWS = 1_000_000
 
 
 def _keys(keys: DataFrame, key_col: str, on: str, max_broadcast_rows: int) -> DataFrame:
     k = keys.select(F.col(key_col).alias(on)).filter(F.col(on).isNotNull()).distinct()
-    return broadcast_checked(k, max_broadcast_rows)[0]
+    return broadcast_checked(stored(k), max_broadcast_rows)[0]
 
 
 def in_list(df: DataFrame, on: str, keys: DataFrame, key_col: str = "value",

@@ -29,8 +29,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatwise.operators.sizing import measured_size
 from seatwise.operators.sorting import SortSpec, sort_cols
-from seatwise.session import ensure_checkpoint_dir, estimated_bytes
+from seatwise.session import ensure_checkpoint_dir, estimated_bytes, stored
 
 SINGLE_TASK_BYTES = 64 * 1024 * 1024   # auto: at most this much goes through one task
 
@@ -47,12 +48,16 @@ def ordinal(df: DataFrame, order: Sequence[SortSpec], name: str = "id",
     column can be pruned through a checkpoint.  ``method="auto"`` takes the window
     when Catalyst's size estimate of ``df`` is at most ``single_task_bytes``, and the
     two-phase plan otherwise; both give the same numbers, so the estimate only decides
-    about the cost.
+    about the cost.  ``method="measured"`` stores ``df`` and decides on its measured bytes:
+    for a small result of a large plan (a table of levels), which estimates make large.
     """
     # A row hash as the last key, in both plans: ties get the same numbers in any plan and
     # under any partitioning, and a value held by a third of the rows is split across
     # ranges.  With a total order it never decides anything.
     cols = sort_cols(order) + [F.asc(F.xxhash64(*[F.col(c) for c in df.columns]))]
+    if method == "measured":
+        df = stored(df)
+        method = "window" if measured_size(df)[1] <= single_task_bytes else "range"
     if method == "auto":
         method = "window" if estimated_bytes(df) <= single_task_bytes else "range"
     if method == "window":

@@ -41,10 +41,10 @@ from seatwise.operators.sizing import spread
 from seatwise.plans.config import DrawConfig, IntakeConfig, ScoreConfig
 from seatwise.plans import explore
 from seatwise.plans.explore import stack_populations
-from seatwise.plans.report import profile_report
+from seatwise.plans.report import profile_report, report_counts
 from seatwise.plans.intake import apply_exclusions, clean_intake
 from seatwise.plans.selection import score_applicants, seat_draw
-from seatwise.session import scratch_path
+from seatwise.session import scratch_path, stored
 from seatwise.sources.codebook import codebook_df
 from seatwise.sources.inspect import column_profile
 from seatwise.sources.readers import read_csv2
@@ -694,7 +694,8 @@ datos AS (
 
 
 def _datos(spark, sf) -> DataFrame:
-    return explore.harmonise(_answers(_admitted(spark, sf)), _answers(_t(spark, sf, "customer")))
+    # the draw is stored, as the explore job reads it from the select job's output
+    return explore.harmonise(_answers(stored(_admitted(spark, sf))), _answers(_t(spark, sf, "customer")))
 
 
 def harmonise_q(spark, sf):
@@ -739,6 +740,26 @@ def report_applicants(spark, sf):
     return _report(spark, sf, _answers(_t(spark, sf, "customer")).drop("c_custkey"))
 
 
+def report_one_scan(spark, sf):
+    """All count tables of the report and its mean from one scan, in print order."""
+    r = report_counts(_answers(_t(spark, sf, "customer")).withColumn("edad", F.regexp_replace("edad", "30d", "30")))
+    return r.withColumn("mean", _r9("mean"))
+
+
+def chart_tables_one_scan(spark, sf):
+    """The five charts of counts, from one scan of both populations."""
+    tables = explore.chart_tables(_datos(spark, sf))
+    out = None
+    for name, (level, ord_) in {"gender": ("genero", None), "lgbt": ("lgbt", None), "level": ("nivel_r", "nivel_r_ord"),
+                                "areas": ("areas", "areas_ord"), "countries": ("pais", "pais_ord")}.items():
+        t = tables[name]
+        part = t.select(F.lit(name).alias("chart"), F.col(level).alias("level"),
+                        (F.col("tipo") if "tipo" in t.columns else F.lit(None).cast("string")).alias("tipo"), "n", _r9("p").alias("p"),
+                        (F.col(ord_) if ord_ else F.lit(None)).cast("long").alias("ord"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def report_admitted(spark, sf):
     return _report(spark, sf, _answers(_admitted(spark, sf)).drop("c_custkey"))
 
@@ -839,6 +860,8 @@ QUERIES: dict[str, Query] = {
     "chart_top_countries": _chart("top_countries_share", "pais", "n", "p", "pais_ord", "label"),
     "chart_age_density": chart_age_density,
     "report_applicants": report_applicants,
+    "report_one_scan": report_one_scan,
+    "chart_tables_one_scan": chart_tables_one_scan,
     "report_admitted": report_admitted,
     "codebook_file": codebook_file,
 }
@@ -1185,6 +1208,37 @@ SELECT nivel_r, tipo, nivel_r_ord, n, round(n / sum(n) OVER (PARTITION BY tipo),
     "chart_top_areas": _sql_lump("areas", 10, "'otras disciplinas'", True),
     "chart_top_countries": _sql_lump("pais", 7, "'Otros' || chr(10) || 'países'", False),
     "chart_age_density": f"WITH {SQL_DATOS}, v0 AS (SELECT edad FROM datos WHERE tipo = 'inscritos/as')," + _sql_density("edad", "v0").lstrip()[4:],
+    "report_one_scan": f"""
+WITH a AS ({SQL_ANSWERS} FROM customer),
+g AS (SELECT genero, pais, nivel_r, nivel_programacion, trans, educacion, areas, count(*) AS n,
+        round(avg(CAST(replace(edad, '30d', '30') AS DOUBLE)), 9) AS mean,
+        GROUPING(genero) AS g1, GROUPING(pais) AS g2, GROUPING(nivel_r) AS g3, GROUPING(nivel_programacion) AS g4,
+        GROUPING(trans) AS g5, GROUPING(educacion) AS g6, GROUPING(areas) AS g7
+      FROM a GROUP BY GROUPING SETS ((genero), (pais), (nivel_r), (nivel_programacion), (trans), (educacion), (areas), (), (pais, trans))),
+t AS (SELECT *, CASE WHEN g2 + g5 = 0 THEN 9 WHEN g1 = 0 THEN 1 WHEN g2 = 0 THEN 2 WHEN g3 = 0 THEN 3 WHEN g4 = 0 THEN 4
+        WHEN g5 = 0 THEN 5 WHEN g6 = 0 THEN 6 WHEN g7 = 0 THEN 7 ELSE 8 END AS k FROM g),
+kept AS (SELECT * FROM t WHERE k < 9 OR trans = 'sí')
+SELECT ['by_gender', 'by_country', 'by_level', 'by_programming', 'by_trans', 'by_education', 'by_area', 'mean_age', 'country_trans'][k] AS "table",
+  genero, pais, nivel_r, nivel_programacion, trans, educacion, areas, n, CASE WHEN k = 8 THEN mean END AS mean,
+  row_number() OVER (ORDER BY k, CASE WHEN k IN (2, 6, 7) THEN n END DESC NULLS LAST, genero NULLS LAST, pais NULLS LAST, nivel_r NULLS LAST,
+    nivel_programacion NULLS LAST, trans NULLS LAST, educacion NULLS LAST, areas NULLS LAST) AS place
+FROM kept""",
+    "chart_tables_one_scan": f"""
+WITH {SQL_DATOS},
+sh AS (SELECT 'gender' AS chart, genero AS level, tipo, count(*) AS n FROM datos WHERE genero IN ('no binario', 'femenino', 'masculino') GROUP BY 2, 3
+  UNION ALL SELECT 'lgbt', lgbt, tipo, count(*) FROM datos WHERE NOT coalesce(lgbt = 'prefiero_no_decirlo', false) GROUP BY 2, 3
+  UNION ALL SELECT 'level', nivel_r, tipo, count(*) FROM datos GROUP BY 2, 3),
+lv AS (SELECT 'areas' AS chart, areas AS level, count(*) AS n, 10 AS keep, 'otras disciplinas' AS other FROM datos WHERE tipo = 'inscritos/as' GROUP BY 2
+  UNION ALL SELECT 'countries', pais, count(*), 7, 'Otros' || chr(10) || 'países' FROM datos WHERE tipo = 'inscritos/as' GROUP BY 2),
+rk AS (SELECT *, rank() OVER (PARTITION BY chart ORDER BY n DESC) AS r FROM lv),
+lu AS (SELECT *, CASE WHEN r > keep AND count(*) FILTER (r > keep) OVER (PARTITION BY chart) > 1 THEN other ELSE level END AS lumped FROM rk),
+lc AS (SELECT chart, lumped AS level, other, sum(n)::BIGINT AS n FROM lu GROUP BY ALL),
+lp AS (SELECT *, n / sum(n) OVER (PARTITION BY chart) AS p FROM lc)
+SELECT chart, level, tipo, n, round(n / sum(n) OVER (PARTITION BY chart, tipo), 9) AS p,
+  CASE WHEN chart = 'level' THEN CASE level WHEN 'intermedio' THEN 1 WHEN 'principiante' THEN 2 WHEN 'ninguno' THEN 3 ELSE 4 END END::BIGINT AS ord FROM sh
+UNION ALL
+SELECT chart, level, CASE WHEN chart = 'areas' THEN 'inscritos/as' END, n, round(p, 9),
+  row_number() OVER (PARTITION BY chart ORDER BY p, level = other, level) FROM lp""",
     "report_applicants": _sql_report(f"WITH a AS ({SQL_ANSWERS} FROM customer)"),
     "report_admitted": _sql_report(f"WITH {SQL_ADMITTED}, a AS ({SQL_ANSWERS} FROM admitted)"),
     "codebook_file": """

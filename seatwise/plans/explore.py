@@ -14,11 +14,12 @@ from seatwise.functions.recode import recode
 from seatwise.functions.text import percent_label, replace_all, replace_each_first, replace_first, title_case, wrap
 from seatwise.operators.categories import relevel_ordinal, reorder_by
 from seatwise.operators.columns import select_any_of
-from seatwise.operators.counts import count_by
+from seatwise.operators.counts import count_by, count_tables
 from seatwise.operators.density import density
-from seatwise.operators.lump import lump_top_n
+from seatwise.operators.lump import lump_counts
 from seatwise.operators.shares import share_of_total, share_within
 from seatwise.plans import config as C
+from seatwise.session import stored
 
 
 def stack_populations(admitted: DataFrame, applicants: DataFrame, tipo: str = "tipo",
@@ -103,13 +104,15 @@ def auto_percent_digits(df: DataFrame, p: str = "p") -> int:
     value gives 0.  Runs on a chart table (one row per level), so the scalars that come
     back are all that reaches the driver."""
     vals = df.select((F.col(p) * 100.0).alias("v")).filter(F.col("v").isNotNull()).distinct()
-    gap = vals.select((F.col("v") - F.lag("v").over(Window.orderBy("v"))).alias("d")) \
-              .agg(F.min("d").alias("d")).first()["d"]
+    gaps = vals.withColumn("d", F.col("v") - F.lag("v").over(Window.orderBy("v")))
+    # whether the last digit is 0 in all values, for each number of digits that a gap can ask for
+    tried = range(0, 12)
+    idle = F.array(*[F.bool_and(F.bround(F.col("v") * F.lit(10.0 ** k)) % 10 == 0) for k in tried])
+    gap, idle = gaps.agg(F.min("d"), idle).first()
     if gap is None or gap < 1.4901161193847656e-08:      # sqrt(machine epsilon)
         return 0
     digits = 1 - math.floor(math.log10(gap))
-    idle = vals.agg(F.bool_and(F.bround(F.col("v") * F.lit(10.0 ** digits)) % 10 == 0)).first()[0]
-    return max(0, digits - 1 if idle else digits)
+    return max(0, digits - 1 if digits < 1 or idle[digits] else digits)
 
 
 def _label(df: DataFrame, digits: int | str = 1) -> DataFrame:
@@ -125,26 +128,45 @@ def _reorder_other_last(c: DataFrame, col: str, other: str) -> DataFrame:
     return reorder_by(c, col, "p", prior="__other", per_level=True).drop("__other")
 
 
-def gender_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
-    c = keep_in(count_by(datos, ["genero", tipo], ordered=False), "genero", C.GENDER_CHART_LEVELS)
+def _keys(datos: DataFrame, tipo: str) -> dict[str, list[str]]:
+    level = ["nivel_r", "nivel_r_ord"] if "nivel_r_ord" in datos.columns else ["nivel_r"]
+    keys = {"gender": ["genero"], "lgbt": ["lgbt"], "level": level, "areas": ["areas"], "countries": ["pais"]}
+    return {chart: [*ks, tipo] for chart, ks in keys.items() if all(k in datos.columns for k in ks)}
+
+
+def chart_counts(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
+    """The counts behind all charts but the density, from one scan of ``datos``: a stored table
+    of a row per chart, level and population.  Every further step of a chart runs on it."""
+    return stored(count_tables(datos, _keys(datos, tipo)))
+
+
+def _counts(datos: DataFrame, tipo: str, chart: str, counts: DataFrame | None) -> DataFrame:
+    """The stored counts of one chart: those of ``chart_counts``, or counted here."""
+    keys = _keys(datos, tipo)[chart]
+    if counts is None:
+        return stored(count_by(datos, keys, ordered=False))
+    return counts.filter(F.col("table") == chart).select(*keys, "n")
+
+
+def gender_share(datos: DataFrame, tipo: str = "tipo", counts: DataFrame | None = None) -> DataFrame:
+    c = keep_in(_counts(datos, tipo, "gender", counts), "genero", C.GENDER_CHART_LEVELS)
     return _label(share_within(c, tipo), "auto")
 
 
-def lgbt_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
-    c = filter_out(count_by(datos, ["lgbt", tipo], ordered=False), F.col("lgbt") == C.LGBT_CHART_DROP)
+def lgbt_share(datos: DataFrame, tipo: str = "tipo", counts: DataFrame | None = None) -> DataFrame:
+    c = filter_out(_counts(datos, tipo, "lgbt", counts), F.col("lgbt") == C.LGBT_CHART_DROP)
     return _label(share_within(c, tipo), "auto")
 
 
-def level_count(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
-    keys = ["nivel_r", tipo] + (["nivel_r_ord"] if "nivel_r_ord" in datos.columns else [])
-    return share_within(count_by(datos, keys, ordered=False), tipo)
+def level_count(datos: DataFrame, tipo: str = "tipo", counts: DataFrame | None = None) -> DataFrame:
+    keys = [k for k in ("nivel_r", tipo, "nivel_r_ord") if k in datos.columns]
+    return share_within(_counts(datos, tipo, "level", counts), tipo).select(*keys, "n", "p")
 
 
-def top_areas_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
-    adm = datos.filter(F.col(tipo) == C.TIPO_ADMITTED)
-    lumped = lump_top_n(adm, "areas", C.AREAS_TOP, C.AREAS_OTHER)
-    c = share_within(count_by(lumped, ["areas", tipo], ordered=False), tipo)
-    return _label(_reorder_other_last(c, "areas", C.AREAS_OTHER))
+def top_areas_share(datos: DataFrame, tipo: str = "tipo", counts: DataFrame | None = None) -> DataFrame:
+    c = _counts(datos, tipo, "areas", counts).filter(F.col(tipo) == C.TIPO_ADMITTED)
+    c = lump_counts(c, "areas", C.AREAS_TOP, C.AREAS_OTHER).withColumn(tipo, F.lit(C.TIPO_ADMITTED))
+    return _label(_reorder_other_last(share_of_total(c.select("areas", tipo, "n")), "areas", C.AREAS_OTHER))
 
 
 def age_density(datos: DataFrame, tipo: str = "tipo", points: int = 512) -> DataFrame:
@@ -152,19 +174,20 @@ def age_density(datos: DataFrame, tipo: str = "tipo", points: int = 512) -> Data
     return density(adm, "edad", points=points)
 
 
-def top_countries_share(datos: DataFrame, tipo: str = "tipo") -> DataFrame:
-    adm = datos.filter(F.col(tipo) == C.TIPO_ADMITTED)
-    lumped = lump_top_n(adm, "pais", C.PAIS_TOP, C.PAIS_OTHER)
-    c = share_of_total(count_by(lumped, "pais", ordered=False))
-    return _label(_reorder_other_last(c, "pais", C.PAIS_OTHER))
+def top_countries_share(datos: DataFrame, tipo: str = "tipo", counts: DataFrame | None = None) -> DataFrame:
+    c = _counts(datos, tipo, "countries", counts).filter(F.col(tipo) == C.TIPO_ADMITTED)
+    c = lump_counts(c, "pais", C.PAIS_TOP, C.PAIS_OTHER)
+    return _label(_reorder_other_last(share_of_total(c), "pais", C.PAIS_OTHER))
 
 
 def chart_tables(datos: DataFrame, tipo: str = "tipo") -> dict[str, DataFrame]:
+    """All six chart tables; five of them come from one scan of ``datos``."""
+    counts = chart_counts(datos, tipo)
     return {
-        "gender": gender_share(datos, tipo),
-        "lgbt": lgbt_share(datos, tipo),
-        "level": level_count(datos, tipo),
-        "areas": top_areas_share(datos, tipo),
+        "gender": gender_share(datos, tipo, counts),
+        "lgbt": lgbt_share(datos, tipo, counts),
+        "level": level_count(datos, tipo, counts),
+        "areas": top_areas_share(datos, tipo, counts),
         "age": age_density(datos, tipo),
-        "countries": top_countries_share(datos, tipo),
+        "countries": top_countries_share(datos, tipo, counts),
     }
