@@ -81,7 +81,7 @@ def run_explore(spark: SparkSession, a: argparse.Namespace) -> dict[str, str]:
         admitted = read_parquet(spark, a.admitted).drop("nombre", "correo", "puntaje")
     applicants = read_parquet(spark, a.snapshot)
     codebook = codebook_df(spark) if a.codebook_labels else None
-    datos = harmonise(admitted, applicants, codebook=codebook).checkpoint(eager=True)
+    datos = harmonise(admitted, applicants, codebook=codebook, balanced=a.balanced_wrap, collation=a.collation).checkpoint(eager=True)
     out = {}
     for name, df in chart_tables(datos).items():
         path = f"{a.out.rstrip('/')}/{name}"
@@ -131,6 +131,8 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--csv", action="store_true", help="also write each chart table as ;-CSV")
     e.add_argument("--codebook-labels", action="store_true",
                    help="exact option labels from the codebook instead of the charts' partial repairs")
+    e.add_argument("--balanced-wrap", action="store_true", help="wrap discipline labels with least raggedness")
+    e.add_argument("--collation", help="language whose order the levels follow, e.g. es (default: by bytes)")
     return p
 
 

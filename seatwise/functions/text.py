@@ -3,7 +3,7 @@
 Differences between regex engines are handled here once:
 * white space includes Unicode separators (the no-break space is one),
 * "replace" means the FIRST match, "replace_all" every match,
-* wrapping is greedy at a width (balanced and greedy agree on the codebook labels).
+* wrapping is greedy at a width or balanced (both agree on the codebook labels).
 """
 
 from __future__ import annotations
@@ -71,6 +71,44 @@ def wrap(col, width: int) -> Column:
     return F.regexp_replace(wrapped, "\n+$", "")
 
 
+def wrap_balanced(col, width: int) -> Column:
+    """Word wrap with the least raggedness: lines of at most ``width`` characters joined by
+    ``\\n`` such that the squared free space, summed over all lines but the last, is least.
+
+    White space is squished first.  A word longer than ``width`` is a line of its own and
+    costs nothing.  Of equally good breaks the one with the longest last line is taken, then
+    the longest last line before it, and so on.
+
+    Dynamic programming in the JVM: word by word, the best layout that ends there is chosen
+    among those that end up to one line earlier.  Only these are kept, so a long text costs
+    time and memory in proportion to its words.
+    """
+    width = int(width)
+    if width < 1:
+        raise ValueError("width must be >= 1")
+    s = squish(col)
+    most = (width + 1) // 2       # words that fit on a line
+    # layouts of all words but the last 0, 1, 2, ... ones
+    start = F.array(F.struct(F.lit(0).cast("bigint").alias("cost"), F.lit("").alias("text"))).cast("array<struct<cost:bigint,text:string>>")
+
+    def place(words, layouts, j):
+        def with_line(k):
+            line, before = F.array_join(F.slice(words, j - k + 1, k), " "), F.element_at(layouts, k)
+            free = (F.lit(width) - F.length(line)).cast("bigint")
+            cost = F.when((j == F.size(words)) | (free < 0), F.lit(0).cast("bigint")).otherwise(free * free)
+            text = F.concat(before["text"], F.when(j > k, F.lit("\n")).otherwise(F.lit("")), line)
+            return F.when((free >= 0) | (k == 1), F.struct((before["cost"] + cost).alias("cost"), (-k).alias("k"), text.alias("text")))
+        best = F.array_min(F.array_compact(F.transform(F.sequence(F.lit(1), F.size(layouts)), with_line)))
+        return F.slice(F.concat(F.array(F.struct(best["cost"].alias("cost"), best["text"].alias("text"))), layouts), 1, most)
+
+    def lay_out(words):
+        return F.aggregate(F.sequence(F.lit(1), F.size(words)), start, lambda layouts, j: place(words, layouts, j),
+                           lambda layouts: F.element_at(layouts, 1)["text"])
+
+    # the words are the variable of a one-element transform, so a text is split once and not per step
+    return F.when(s.isNotNull(), F.element_at(F.transform(F.array(F.split(s, " ")), lay_out), 1))
+
+
 def title_case(col) -> Column:
     """Upper-case the first letter of each space-separated word, lower the rest.
 

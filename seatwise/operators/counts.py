@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatwise.functions.convert import as_double, to_number
-from seatwise.operators.sorting import sort_cols
+from seatwise.operators.sorting import collated, sort_cols
 
 
 def _list(x) -> list[str]:
@@ -20,9 +20,12 @@ def _list(x) -> list[str]:
 
 
 def count_by(df: DataFrame, keys: str | Sequence[str], sort: bool = False,
-             name: str = "n", ordered: bool = True) -> DataFrame:
+             name: str = "n", ordered: bool = True, collation: str | None = None) -> DataFrame:
     """Rows per key combination; null is its own group.
 
+    ``collation`` names the language whose order the keys follow (default: bytes); the groups
+    are those of the exact texts either way, and texts that it takes as equal follow their bytes.
+
     Ordered by the keys ascending (nulls last), or with ``sort=True`` by ``name``
     descending then the keys.  The order is for display and runs on the aggregated
     rows; ``ordered=False`` skips it when the counts feed another step.
@@ -31,8 +34,10 @@ def count_by(df: DataFrame, keys: str | Sequence[str], sort: bool = False,
     out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
     if not ordered:
         return out
-    order = ([f"-{name}"] if sort else []) + keys
-    return out.orderBy(*sort_cols(order))
+    order = sort_cols([f"-{name}"]) if sort else []
+    if collation is not None:
+        order += [c.asc_nulls_last() for c in (collated(out, k, collation) for k in keys)]
+    return out.orderBy(*order, *sort_cols(keys))
 
 
 def count_having(df: DataFrame, keys: str | Sequence[str], cond: Column,

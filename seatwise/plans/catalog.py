@@ -23,7 +23,7 @@ from seatwise.functions.convert import timestamp_literal, to_timestamp_utc
 from seatwise.functions.nulls import case_default, filter_out, keep_in
 from seatwise.functions.recode import recode
 from seatwise.functions.text import (
-    percent_label, replace_each_first, replace_first, slug, squish, title_case, wrap,
+    percent_label, replace_each_first, replace_first, slug, squish, title_case, wrap, wrap_balanced,
 )
 from seatwise.operators.categories import relevel_ordinal, reorder_by
 from seatwise.operators.codebook import conformance, decode
@@ -428,16 +428,24 @@ def mean_na_rm(spark, sf):
     return m.select("c_nationkey", _r9("mean").alias("mean"))
 
 
+RECIPIENTS = 500       # addresses a line, as a mail server takes them
+
+
+def _recipients(spark, sf) -> DataFrame:
+    """Addresses of all customers in batches, the largest balance first; some have none."""
+    c = _t(spark, sf, "customer").select("c_custkey", "c_acctbal", F.when(F.col("c_nationkey") != 3, F.col("c_name")).alias("mail"))
+    return collapse(c, "mail", ["-c_acctbal", "c_custkey"], batch_size=RECIPIENTS)
+
+
 def recipient_list_q(spark, sf):
-    return collapse(_t(spark, sf, "nation"), "n_name", "n_name", batch_size=10)
+    return _recipients(spark, sf)
 
 
 def recipient_file(spark, sf):
     """Recipient batches written as text lines and read back."""
     from seatwise.sources.writers import write_text_lines
 
-    batches = collapse(_t(spark, sf, "nation"), "n_name", "n_name", batch_size=10)
-    path = write_text_lines(batches, "recipients", scratch_path(spark, "recipients"))
+    path = write_text_lines(_recipients(spark, sf), "recipients", scratch_path(spark, "recipients"))
     return spark.read.text(path)
 
 
@@ -487,6 +495,35 @@ def wrap_label(spark, sf):
     return p.select("p_partkey", wrap(txt, 12).alias("v"))
 
 
+def wrap_label_balanced(spark, sf):
+    """Labels wrapped with the least squared raggedness."""
+    p = _t(spark, sf, "part")
+    txt = F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name")
+    return p.select("p_partkey", wrap_balanced(txt, 18).alias("v"))
+
+
+SPANISH = ["ñandú", "nácar", "nieve", "oro", "ópalo", "Ébano", "éter", "Zafiro", "zinc", "ágata", "azul", "ámbar", "nube", "Ñu", "oír"]
+
+
+def _spanish(spark, sf) -> DataFrame:
+    """Parts with an accented level; some have none."""
+    level = F.element_at(F.array(*[F.lit(x) for x in SPANISH]), (F.col("p_partkey") % len(SPANISH) + 1).cast("int"))
+    return _t(spark, sf, "part").withColumn("level", F.when(F.col("p_size") != 50, level))
+
+
+def category_order_collated(spark, sf):
+    """Level order of raw rows in Spanish: two listed levels, the others as a dictionary has them."""
+    p = relevel_ordinal(_spanish(spark, sf), "level", ["oro", "azul"], name="ord", collation="es")
+    return p.select("p_partkey", "level", F.col("ord").cast("long").alias("ord"))
+
+
+def count_collated(spark, sf):
+    """Counts in Spanish order, with each row's place in it and in the order by frequency."""
+    c = count_by(_spanish(spark, sf), "level", ordered=False)
+    c = relevel_ordinal(c, "level", [], name="place", per_level=True, collation="es")
+    return reorder_by(c, "level", "n", name="by_count", per_level=True, collation="es")
+
+
 def title_case_q(spark, sf):
     p = _t(spark, sf, "part")
     return p.select("p_partkey", title_case(F.concat_ws(" ", "p_name", "p_type")).alias("v"))
@@ -826,6 +863,9 @@ QUERIES: dict[str, Query] = {
     "replace_first": replace_first_q,
     "repair_list": repair_list,
     "wrap_label": wrap_label,
+    "wrap_label_balanced": wrap_label_balanced,
+    "category_order_collated": category_order_collated,
+    "count_collated": count_collated,
     "title_case": title_case_q,
     "percent_label": percent_label_q,
     "recode": recode_q,
@@ -983,9 +1023,9 @@ SELECT c_nationkey, round(CASE WHEN count(*) = count(x) THEN avg(x) END, 9) AS m
 WITH t AS (SELECT c_nationkey, CASE WHEN c_nationkey NOT BETWEEN 3 AND 9 THEN c_acctbal END AS x FROM customer)
 SELECT c_nationkey, round(avg(x), 9) AS mean FROM t GROUP BY 1""",
     "recipient_list": """
-WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation)
-SELECT CAST((i - 1) // 10 AS BIGINT) AS batch,
-       string_agg(coalesce(n_name, 'NA'), ', ' ORDER BY i) AS recipients FROM r GROUP BY 1""",
+WITH r AS (SELECT CASE WHEN c_nationkey <> 3 THEN c_name END AS mail, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i FROM customer)
+SELECT CAST((i - 1) // 500 AS BIGINT) AS batch,
+       string_agg(coalesce(mail, 'NA'), ', ' ORDER BY i) AS recipients FROM r GROUP BY 1""",
     "text_squish_lower": r"""
 SELECT doc_id, md5(lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')))) AS h FROM documents""",
     "email_filter": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '@.*\.')",
@@ -1061,8 +1101,8 @@ SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority),
     "line_list_semi_join": f"SELECT c_custkey, c_name FROM customer WHERE c_name IN ({SQL_SPECIAL_LIST})",
     "flagship_union_form": f"WITH {SQL_ADMITTED} SELECT c_custkey, c_mktsegment, score FROM admitted",
     "recipient_file": """
-WITH r AS (SELECT n_name, row_number() OVER (ORDER BY n_name) AS i FROM nation)
-SELECT string_agg(coalesce(n_name, 'NA'), ', ' ORDER BY i) AS value FROM r GROUP BY (i - 1) // 10""",
+WITH r AS (SELECT CASE WHEN c_nationkey <> 3 THEN c_name END AS mail, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i FROM customer)
+SELECT string_agg(coalesce(mail, 'NA'), ', ' ORDER BY i) AS value FROM r GROUP BY (i - 1) // 500""",
     "drop_prefix_relocate": """
 SELECT o_custkey, CAST(1.0 AS DOUBLE) AS w, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders""",
     "sort_text_number": """
@@ -1208,6 +1248,30 @@ SELECT nivel_r, tipo, nivel_r_ord, n, round(n / sum(n) OVER (PARTITION BY tipo),
     "chart_top_areas": _sql_lump("areas", 10, "'otras disciplinas'", True),
     "chart_top_countries": _sql_lump("pais", 7, "'Otros' || chr(10) || 'países'", False),
     "chart_age_density": f"WITH {SQL_DATOS}, v0 AS (SELECT edad FROM datos WHERE tipo = 'inscritos/as')," + _sql_density("edad", "v0").lstrip()[4:],
+    "wrap_label_balanced": """
+WITH RECURSIVE label AS (   -- every way to break each text, and the best of them
+  SELECT DISTINCT concat_ws(' ', p_name, p_type, p_brand, p_name) AS t FROM part),
+split AS (SELECT t, string_split(t, ' ') AS w FROM label),
+lay AS (
+  SELECT t, w, 0 AS done, 0::BIGINT AS cost, '' AS text, []::INTEGER[] AS counts FROM split
+  UNION ALL
+  SELECT t, w, done + k, cost + CASE WHEN done + k = len(w) OR length(line) > 18 THEN 0 ELSE (18 - length(line)) ** 2 END::BIGINT,
+    text || CASE WHEN done > 0 THEN chr(10) ELSE '' END || line, list_prepend(k::INTEGER, counts)
+  FROM (SELECT *, array_to_string(w[done + 1:done + k], ' ') AS line
+        FROM (SELECT *, unnest(range(1, len(w) - done + 1)) AS k FROM lay WHERE done < len(w)))
+  WHERE k = 1 OR length(line) <= 18),
+best AS (SELECT t, text FROM lay WHERE done = len(w)
+         QUALIFY row_number() OVER (PARTITION BY t ORDER BY cost, counts DESC) = 1)
+SELECT p_partkey, text AS v FROM part JOIN best ON t = concat_ws(' ', p_name, p_type, p_brand, p_name)""",
+    "category_order_collated": f"""
+WITH l AS (SELECT p_partkey, CASE WHEN p_size <> 50 THEN {SPANISH}[p_partkey % {len(SPANISH)} + 1] END AS level FROM part),
+o AS (SELECT level, row_number() OVER (ORDER BY CASE level WHEN 'oro' THEN 0 WHEN 'azul' THEN 1 ELSE 2 END, level COLLATE es) AS ord
+      FROM (SELECT DISTINCT level FROM l WHERE level IS NOT NULL))
+SELECT p_partkey, level, ord FROM l LEFT JOIN o USING (level)""",
+    "count_collated": f"""
+WITH c AS (SELECT CASE WHEN p_size <> 50 THEN {SPANISH}[p_partkey % {len(SPANISH)} + 1] END AS level, count(*) AS n FROM part GROUP BY 1)
+SELECT level, n, CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY level IS NULL ORDER BY level COLLATE es) END AS place,
+  CASE WHEN level IS NOT NULL THEN row_number() OVER (PARTITION BY level IS NULL ORDER BY n, level COLLATE es) END AS by_count FROM c""",
     "report_one_scan": f"""
 WITH a AS ({SQL_ANSWERS} FROM customer),
 g AS (SELECT genero, pais, nivel_r, nivel_programacion, trans, educacion, areas, count(*) AS n,

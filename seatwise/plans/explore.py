@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from seatwise.functions.convert import to_number
 from seatwise.functions.nulls import filter_out, keep_in
 from seatwise.functions.recode import recode
-from seatwise.functions.text import percent_label, replace_all, replace_each_first, replace_first, title_case, wrap
+from seatwise.functions.text import percent_label, replace_all, replace_each_first, replace_first, title_case, wrap, wrap_balanced
 from seatwise.operators.categories import relevel_ordinal, reorder_by
 from seatwise.operators.columns import select_any_of
 from seatwise.operators.counts import count_by, count_tables
@@ -49,28 +49,30 @@ def stack_populations(admitted: DataFrame, applicants: DataFrame, tipo: str = "t
     return adm.unionByName(app, allowMissingColumns=True)
 
 
-def display_labels(datos: DataFrame) -> DataFrame:
+def display_labels(datos: DataFrame, balanced: bool = False, collation: str | None = None) -> DataFrame:
     """Codes -> display labels for the charts (partial, as the charts had them):
-    gender recode + first ``_`` to space; R-level recode and fixed level order;
-    discipline ``_`` -> space, five spelling repairs, wrap at 30; three country
-    recodes, then title case."""
+    gender recode + first ``_`` to space; R-level recode and fixed level order (levels that
+    are not listed follow in byte order, or in the order of ``collation``);
+    discipline ``_`` -> space, five spelling repairs, wrap at 30 (greedy, or ``balanced``);
+    three country recodes, then title case."""
+    fold = wrap_balanced if balanced else wrap
     adds = {}
     if "genero" in datos.columns:
         adds["genero"] = replace_first(recode("genero", C.GENERO_RECODE), "_", " ")
     if "nivel_r" in datos.columns:
         adds["nivel_r"] = recode("nivel_r", C.NIVEL_R_RECODE)
     if "areas" in datos.columns:
-        adds["areas"] = wrap(replace_each_first(replace_all("areas", "_", " "), C.AREAS_REPAIRS), C.AREAS_WRAP)
+        adds["areas"] = fold(replace_each_first(replace_all("areas", "_", " "), C.AREAS_REPAIRS), C.AREAS_WRAP)
     if "pais" in datos.columns:
         adds["pais"] = title_case(recode("pais", C.PAIS_RECODE))
     datos = datos.withColumns(adds) if adds else datos
     if "nivel_r" in datos.columns:
-        datos = relevel_ordinal(datos, "nivel_r", C.NIVEL_R_FIRST)
+        datos = relevel_ordinal(datos, "nivel_r", C.NIVEL_R_FIRST, collation=collation)
     return datos
 
 
 def codebook_labels(datos: DataFrame, codebook: DataFrame,
-                    questions=("genero", "pais", "areas", "nivel_r")) -> DataFrame:
+                    questions=("genero", "pais", "areas", "nivel_r"), collation: str | None = None) -> DataFrame:
     """Exact labels from the codebook instead of the partial hand repairs: each code
     column is replaced by its option label (unknown codes kept as they are), then the
     fixed level order of the R-level question is added."""
@@ -85,16 +87,19 @@ def codebook_labels(datos: DataFrame, codebook: DataFrame,
     if "nivel_r" in out.columns:
         label_of = {r["option_code"]: r["option_label"] for r in
                     codebook.filter(F.col("question_id") == "nivel_r").collect()}
-        out = relevel_ordinal(out, "nivel_r", [label_of.get(c, c) for c in C.NIVEL_R_FIRST])
+        out = relevel_ordinal(out, "nivel_r", [label_of.get(c, c) for c in C.NIVEL_R_FIRST], collation=collation)
     return out
 
 
 def harmonise(admitted: DataFrame, applicants: DataFrame, tipo: str = "tipo",
-              codebook: DataFrame | None = None) -> DataFrame:
+              codebook: DataFrame | None = None, balanced: bool = False, collation: str | None = None) -> DataFrame:
     """One labelled table of both populations with display-ready labels; with a
-    ``codebook`` the labels are the exact option labels."""
+    ``codebook`` the labels are the exact option labels.  ``balanced`` wraps the disciplines
+    with least raggedness, ``collation`` orders levels in a language's order."""
     datos = stack_populations(admitted, applicants, tipo)
-    return codebook_labels(datos, codebook) if codebook is not None else display_labels(datos)
+    if codebook is not None:
+        return codebook_labels(datos, codebook, collation=collation)
+    return display_labels(datos, balanced, collation)
 
 
 def auto_percent_digits(df: DataFrame, p: str = "p") -> int:
