@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of tables that nothing refers to any
+    more.  Its cleaner learns of them from the driver's garbage collector, which by itself may
+    come only after a whole job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, *names: str) -> list[str]:
     """Names that clash with no column of ``df`` (underscores are appended)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType
 
 from ..session import scratch_path
-from .common import cut, free_name, remove
+from .common import cut, free_name, release, remove
 from .frequencies import BITS, bitmap, flagged, shingle_frequencies
 from .links import FIRST, GROWTH, in_buckets, leads
 from .textcore import NON_ALNUM, Texts, mix, shingle_hashes, slices
@@ -183,10 +183,13 @@ def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     shared = (lines.select(F.explode("prefix").alias("token"), node).groupBy("token")
               .agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("token"))
     flags = spark.sparkContext.broadcast(bitmap(shared))
+    del shared
+    release(spark)
     postings = (lines.select(node, "n", F.explode(_postings_in(flags)("prefix")).alias("x"))
                 .groupBy(F.col("x").bitwiseAND(F.lit((1 << 52) - 1)).alias("bucket"), "id")
                 .agg(F.first("n").alias("size"), F.min(F.shiftrightunsigned("x", 52)).cast("int").alias("pos")))
     postings = in_buckets(postings, "size", "pos")
+    release(spark)
     # place and text of the nodes that have candidates
     ids = spark.sparkContext.broadcast(bitmap(postings.select("id")))
     wanted = cut(lines.select(node, place.alias("place")).filter(_in(ids)("id")).groupBy("id").agg(F.min("place").alias("place")))
@@ -194,10 +197,13 @@ def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     doc_flags = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(head))))
     per_doc = wanted.groupBy(head.alias("doc")).agg(F.collect_list(F.struct("place", "id")).alias("want"))
     texts = cut(docs.select(doc.alias("doc"), body.alias("text")).filter(_in(doc_flags)(F.xxhash64("doc")))
-                .join(per_doc, "doc").dropDuplicates(["doc"])
+                .join(per_doc, "doc")
                 .select("want", _some_lines("text", F.transform("want", lambda w: w["place"]["o3"])).alias("lines"))
                 .select(F.explode(F.arrays_zip("want", "lines")).alias("z"))
-                .select(F.col("z")["want"]["id"].alias("id"), F.col("z")["want"]["place"].alias("place"), F.col("z")["lines"].alias("line")))
+                .select(F.col("z")["want"]["id"].alias("id"), F.col("z")["want"]["place"].alias("place"), F.col("z")["lines"].alias("line"))
+                .dropDuplicates(["id"]))              # a repeated row has the same lines
+    del wanted, per_doc
+    release(spark)
 
     t, round_, matched, open_ = threshold, 0, None, postings
     while True:
@@ -220,6 +226,8 @@ def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
         if open_.isEmpty():
             break
         round_ += 1
+        del pairs, found, lead
+        release(spark)
     # by line: of a class all but the first line are copies; lines of other classes stay
     lines = lines.select("doc", "line_no", node, place.alias("own"))
     classes = cut(lines.groupBy("id").agg(F.min("own").alias("place"), F.count("*").alias("n"))

@@ -159,7 +159,7 @@ def _alike(buckets: pa.Array, lo: pa.Array, hi: pa.Array, members: pa.Array) ->
 def weighted_jaccard(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     """Exact similarity of each pair of texts (0 where neither has a word)."""
     out = [np.zeros(0)]
-    for at, part in slices(a):
+    for at, part in slices(a, beside=b):
         n = len(part)
         sides = []
         for side in (part, b.slice(at, n)):

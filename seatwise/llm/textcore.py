@@ -129,15 +129,25 @@ def shingle_hashes(word: np.ndarray, text: np.ndarray, n_texts: int, k: int = 5
     return out, owner
 
 
-SLICE = 256   # texts handled together: small enough for the CPU caches
+SLICE = 256               # texts handled together: small enough for the CPU caches
+SLICE_BYTES = 2 << 20     # and their bytes: what a worker holds at once follows them
 
 
-def slices(column: pa.Array, step: int = SLICE):
-    """(first row, slice) of a column in steps of at most ``step`` texts."""
+def slices(column: pa.Array, step: int = SLICE, beside: pa.Array | None = None):
+    """(first row, slice) of a column in steps of at most ``step`` texts and ``SLICE_BYTES``, or
+    one longer text.  ``beside``: a second column whose bytes count as well."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    for at in range(0, len(column), step):
-        yield at, column.slice(at, step)
+    size = np.zeros(len(column), dtype=np.int64)
+    for c in (column, beside):
+        if c is not None:
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < len(column):
+        to = int(np.searchsorted(ends, ends[at] + SLICE_BYTES, side="right")) - 1
+        to = min(max(to, at + 1), at + step, len(column))
+        yield at, column.slice(at, to - at)
+        at = to
 
 
 def distinct_per_text(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

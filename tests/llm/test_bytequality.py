@@ -103,3 +103,28 @@ def test_odd_rows(spark, odd, clashing, none):
     for labels, share in ((few.filter("doc_id = 2"), 1.0), (few.limit(0), 0.0)):
         got = {r.score for r in bytequality.score_quality(odd, bytequality.fit_on(odd, labels)).collect()}
         assert got == {share}
+
+
+def test_slices_are_bounded_by_bytes(monkeypatch):
+    """256 texts of 100 kB: what is handled at once stays small, and nothing is left out."""
+    import tracemalloc
+
+    from seatwise.llm import quality, textcore
+    from seatwise.llm.frequencies import text_shingles
+
+    text = " ".join(f"w{i % 5000}" for i in range(18_000))
+    column = pa.array([text] * 256 + [None, "", "x" * (3 << 20)])
+    parts = list(textcore.slices(column))
+    assert [p for _, part in parts for p in part.to_pylist()] == column.to_pylist()
+    assert [at for at, _ in parts] == np.cumsum([0, *[len(p) for _, p in parts[:-1]]]).tolist()
+    assert all(len(p) == 1 or sum(len(x or "") for x in p.to_pylist()) <= textcore.SLICE_BYTES for _, p in parts)
+    assert max(len(p) for _, p in textcore.slices(pa.array(["a"] * 1000))) == textcore.SLICE
+    beside = [len(p) for _, p in textcore.slices(pa.array(["a"] * 40), beside=pa.array([text] * 40))]
+    assert sum(beside) == 40 and max(beside) <= textcore.SLICE_BYTES // len(text)
+    tracemalloc.start()
+    for _, part in textcore.slices(column.slice(0, 256)):
+        text_shingles(part)
+        quality._statistics(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
