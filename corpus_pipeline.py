@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seatwise.llm import decontamination, mixing, neardup, sharding, toxicity
-from seatwise.llm.common import table
+from seatwise.llm.common import remove, table
 from seatwise.llm.queries import SHARDS
 from seatwise.session import scratch_path
 
@@ -18,8 +18,10 @@ from seatwise.session import scratch_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not reject."""
     net = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs.select(*[F.col(c).alias(f"c_{c}") for c in docs.columns]), net, "c_text")
-    return scored.filter("predicted = 0").select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+    own = {f"c{i}": c for i, c in enumerate(docs.columns)}      # an extra column may have any name, also with a dot
+    text = next(k for k, c in own.items() if c == "text")
+    scored = toxicity.score_toxicity(docs.toDF(*own), net, text)
+    return scored.filter("predicted = 0").select(*own).toDF(*own.values())
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +57,13 @@ ORACLE_SQL = None      # trained models, hashing and packing are beyond SQL: see
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         path = scratch_path(spark, f"stage{k}")
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)          # the next stage's table stands: this one is read no more
+        before = path
     return docs
