@@ -149,6 +149,13 @@ def test_pipeline_run(spark, monkeypatch):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_toxicity_stage_keeps_columns_of_any_name(spark, documents):
+    some = documents.limit(30).withColumns({"a.b": F.lit(1), "score": F.lit("own"), "c 0": F.lit(2)})
+    out = corpus_pipeline.drop_toxic(spark, some, SF)
+    assert out.columns == some.columns
+    assert 0 < out.count() <= 30 and {r.score for r in out.collect()} == {"own"}
+
+
 def test_stages_on_an_empty_table(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
