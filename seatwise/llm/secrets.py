@@ -5,11 +5,18 @@ hex digits) are reported as they match.  Further candidates are reported only af
 their structure has been confirmed by decoding and parsing:
 
 * ``pem``      a PEM private-key block whose body decodes to a key;
-* ``der``      base64 or hex text that decodes to a DER private key (PKCS#1, SEC1,
-               PKCS#8, encrypted PKCS#8): every nested length must fit exactly;
+* ``der``      base64 or hex text that decodes to a DER private key (PKCS#1, SEC1, DSA,
+               PKCS#8, encrypted PKCS#8): every nested length must fit exactly.  The key
+               inside PKCS#8 is parsed as its algorithm says (another algorithm's: as
+               PKCS#1 or SEC1), and an encrypted one must name a password-based scheme with
+               its parameters, so digests and made-up frames are not reported;
 * ``openssh``  base64 text of an OpenSSH private key: magic and length-prefixed strings;
-* ``jwt``      a signed token: header and claims are JSON objects, the header names a
-               signing algorithm, and the signature is present.
+* ``jwt``      a signed token: header and claims are JSON objects however they are laid
+               out, the header names a registered signing algorithm, and the signature
+               decodes.  One of another length than the algorithm's is reported as cut.
+
+A PEM block with an encrypted body must name its cipher and an initial vector of whole
+8-byte blocks, and its body must be whole 8-byte blocks too (the least block of the ciphers).
 
 Defined results: a null or empty text has no spans.  Matches of one kind never overlap;
 different kinds may.  Repeated rows are scanned alike.  Every pattern is linear in the
@@ -46,9 +53,32 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----"
 _DER64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{30,}={0,2}")
 _DERHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
 _SSH64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]+={0,2}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+# a header is a JSON object: its first byte is a brace or white space, whatever follows
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?:e[w-z0-9_-]|C[Q-Za-v]|D[Q-Za-f]|I[A-P])[A-Za-z0-9_-]{12,}"
+                  r"\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 _SSH_MAGIC = b"openssh-key-v1\0"
 
+# fixed values: object identifiers of key algorithms, their DER content in hex
+RSA_OIDS = ("2a864886f70d010101", "2a864886f70d01010a")
+EC_OIDS = ("2a8648ce3d0201",)
+NUMBER_OIDS = ("2a8648ce380401", "2a864886f70d010301", "2a8648ce3e0201")              # DSA, DH: the key is a number
+RAW_OIDS = {"2b656e": 32, "2b656f": 56, "2b6570": 32, "2b6571": 57}                   # X25519, X448, Ed25519, Ed448
+PBES2_OID = "2a864886f70d01050d"
+PBE_OIDS = ("2a864886f70d010501", "2a864886f70d010503", "2a864886f70d010504", "2a864886f70d010506",
+            "2a864886f70d01050a", "2a864886f70d01050b", "2a864886f70d010c0101", "2a864886f70d010c0102",
+            "2a864886f70d010c0103", "2a864886f70d010c0104", "2a864886f70d010c0105", "2a864886f70d010c0106")
+# fixed values: signing algorithms and their signatures' bytes; an RSA one's are its modulus's, 128 at least
+SIGNATURE_BYTES = {
+    "HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES256K": (64,), "ES384": (96,), "ES512": (132,),
+    "EdDSA": (64, 114), "Ed25519": (64,), "Ed448": (114,),
+    "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None,
+}
+# fixed values: ciphers of encrypted PEM bodies
+PEM_CIPHERS = ("DES-CBC", "DES-EDE3-CBC", "AES-128-CBC", "AES-192-CBC", "AES-256-CBC", "CAMELLIA-128-CBC",
+               "CAMELLIA-192-CBC", "CAMELLIA-256-CBC", "SEED-CBC", "IDEA-CBC", "BF-CBC", "CAST5-CBC", "RC2-CBC")
+_PROC_TYPE = re.compile(r"(?:^|\n)\s*Proc-Type: 4,ENCRYPTED\s*(?:\n|$)")
+_DEK_INFO = re.compile(r"(?:^|\n)\s*DEK-Info: ([A-Z0-9-]+),((?:[0-9A-Fa-f]{16})+)\s*(?:\n|$)")
+
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
                              ("detail", pa.string())]))
 
@@ -86,24 +116,56 @@ def der_items(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     return items
 
 
+def _sequence(b: bytes, item: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+    """The elements of a DER sequence, none when it is no sequence or does not fit."""
+    return der_items(b, *item[1:]) or [] if item[0] == 0x30 else []
+
+
+def _identifier(b: bytes, items: list[tuple[int, int, int]]) -> str | None:
+    """Hex content of the object identifier that opens the elements, else None."""
+    return b[items[0][1]:items[0][2]].hex() if items and items[0][0] == 6 else None
+
+
+def _holds_key(b: bytes, oid: str) -> bool:
+    """Whether the bytes inside a PKCS#8 frame are a private key of its algorithm."""
+    if oid in RAW_OIDS:
+        return len(b) == RAW_OIDS[oid] + 2 and b[:2] == bytes([4, RAW_OIDS[oid]])
+    if oid in NUMBER_OIDS:
+        items = der_items(b, 0, len(b))
+        return bool(items) and [t for t, _, _ in items] == [2] and len(b) > 16
+    kind = der_key(b)
+    return kind in (("pkcs1",) if oid in RSA_OIDS else ("sec1",) if oid in EC_OIDS else ("pkcs1", "sec1"))
+
+
+def _password_based(b: bytes, scheme: list[tuple[int, int, int]]) -> bool:
+    """Whether an algorithm's elements are a password-based scheme with its parameters."""
+    oid = _identifier(b, scheme)
+    given = _sequence(b, scheme[1]) if len(scheme) == 2 else []
+    if oid == PBES2_OID:      # how the key is derived, then the cipher, either an algorithm
+        return len(given) == 2 and all(_identifier(b, _sequence(b, x)) for x in given)
+    return oid in PBE_OIDS and [t for t, _, _ in given] == [4, 2]      # salt and rounds
+
+
 def der_key(b: bytes) -> str | None:
     """Which private-key structure the bytes are, exactly and whole; None if none."""
     top = der_items(b, 0, len(b))
-    if not top or len(top) != 1 or top[0][0] != 0x30:
+    if not top or len(top) != 1:
         return None
-    parts = der_items(b, *top[0][1:])
-    if not parts or len(parts) < 2:
+    parts = _sequence(b, top[0])
+    if len(parts) < 2:
         return None
     tags = [t for t, _, _ in parts]
-    number = lambda k: int.from_bytes(b[parts[k][1]:parts[k][2]], "big") if tags[k] == 2 else None
-    names_algorithm = lambda k: tags[k] == 0x30 and [t for t, _, _ in der_items(b, *parts[k][1:]) or []][:1] == [6]
-    if tags[:9] == [2] * 9 and number(0) in (0, 1):
+    version = int.from_bytes(b[parts[0][1]:parts[0][2]], "big") if tags[0] == 2 else None
+    if (tags, version) in (([2] * 9, 0), ([2] * 9 + [0x30], 1)):
         return "pkcs1"
-    if tags[:2] == [2, 4] and number(0) == 1:
+    if tags == [2] * 6 and version == 0 and parts[1][2] - parts[1][1] >= 64:
+        return "dsa"
+    if tags[:2] == [2, 4] and version == 1 and tags[2:] in ([], [0xA0], [0xA1], [0xA0, 0xA1]):
         return "sec1"
-    if len(tags) >= 3 and tags[0] == 2 and tags[2] == 4 and number(0) in (0, 1) and names_algorithm(1):
-        return "pkcs8"
-    if tags == [0x30, 4] and names_algorithm(0):
+    if tags[:3] == [2, 0x30, 4] and version in (0, 1) and set(tags[3:]) <= {0xA0, 0xA1, 0x81}:
+        oid = _identifier(b, _sequence(b, parts[1]))
+        return "pkcs8" if oid and _holds_key(b[parts[2][1]:parts[2][2]], oid) else None
+    if tags == [0x30, 4] and parts[1][2] > parts[1][1] and _password_based(b, _sequence(b, parts[0])):
         return "pkcs8-encrypted"
     return None
 
@@ -131,19 +193,30 @@ def ssh_key(b: bytes) -> str | None:
 
 
 def signed_token(text: str) -> str | None:
-    """Algorithm of a signed token with JSON header and claims, else None."""
+    """Algorithm of a signed token with JSON header and claims, else None.  A signature that
+    is not as long as the algorithm's is told in the answer: the token was cut."""
+    parts = text.split(".")
     try:
-        head, claims = (json.loads(unbase64(x) or b"") for x in text.split(".")[:2])
+        head, claims = (json.loads(unbase64(x) or b"") for x in parts[:2])
     except (ValueError, RecursionError):
         return None
     alg = head.get("alg") if isinstance(head, dict) and isinstance(claims, dict) else None
-    return alg if isinstance(alg, str) and alg.lower() != "none" else None
+    signature = unbase64(parts[2])
+    if not isinstance(alg, str) or alg not in SIGNATURE_BYTES or not signature:
+        return None
+    sizes = SIGNATURE_BYTES[alg]
+    whole = len(signature) in sizes if sizes else len(signature) >= 128
+    return alg if whole else alg + " cut"
 
 
 def _pem_body(body: str) -> str | None:
-    lines = [x for x in body.replace("\\n", "\n").split("\n") if ": " not in x]
-    raw = unbase64("".join("".join(lines).split()))
-    return raw and (der_key(raw) or ssh_key(raw) or ("legacy-encrypted" if "ENCRYPTED" in body else None))
+    body = body.replace("\\n", "\n")
+    raw = unbase64("".join("".join(x for x in body.split("\n") if ": " not in x).split()))
+    if not raw:
+        return None
+    dek = _DEK_INFO.search(body) if _PROC_TYPE.search(body) else None
+    encrypted = dek and dek[1] in PEM_CIPHERS and len(raw) % 8 == 0
+    return der_key(raw) or ssh_key(raw) or ("legacy-encrypted" if encrypted else None)
 
 
 def scan_text(text: str | None) -> list[dict]:
