@@ -5,7 +5,9 @@ numbers and IBANs.  Validators confirm them: number ranges for addresses, Luhn f
 cards, digit counts for phones, mod-97 and the country's length for IBANs (of the
 countries of the IBAN registry; another prefix is no IBAN).  A word such
 as "card" or "Telefon" shortly before or after the span raises its score; one that
-points elsewhere ("order", "version") lowers it.
+points elsewhere ("order", "version") lowers it.  A kind with a least score (IBANs: 0.7,
+that is, none beside a word against it unless one speaks for it) is reported from that score
+on; the base kinds are reported whatever theirs is, with it.
 
 Defined results: a null or empty text has no spans.  Proposals of one kind are leftmost
 and non-overlapping, and a failed one is dropped, not retried; only IBANs are searched
@@ -30,6 +32,7 @@ KINDS = BASE_KINDS + ("iban",)
 BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8}
 CONTEXT = 40          # code points looked at on either side
 STEP = 0.2            # score step of a context word
+LEAST = {"iban": 0.7}  # least score reported, by kind; any for the others
 
 # fixed values: words that speak for or against a kind, in four languages
 FOR = {
@@ -129,7 +132,8 @@ def scan_text(text: str | None) -> list[dict]:
         if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
             found.append(("phone", *m.span()))
     found += [("iban", *span) for span in ibans(text)]
-    return [{"kind": k, "start": s, "end": e, "score": _score(text, k, s, e)} for k, s, e in found]
+    scored = ((k, s, e, _score(text, k, s, e)) for k, s, e in found)
+    return [{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in scored if x >= LEAST.get(k, 0.0)]
 
 
 def _score(text: str, kind: str, start: int, end: int) -> float:

@@ -63,7 +63,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     s = F.col("pii")
     return found.select("doc_id", *[span_count(s, k).alias(f"n_{k}") for k in pii.BASE_KINDS],
-                        span_digest(_base(s, pii.BASE_KINDS)).alias("base_sha256"), span_list(s).alias("spans"))
+                        span_digest(_base(s, pii.BASE_KINDS)).alias("base_sha256"), span_list(s).alias("spans"),
+                        F.transform(s, lambda x: x["score"]).alias("scores"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

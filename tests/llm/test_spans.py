@@ -210,3 +210,71 @@ def test_odd_rows(odd, clashing, none, find, out):
     clash = find(clashing)
     assert clash.count() == odd.count() and dict(clash.dtypes)["size"] == "string"
     assert pii.scan_text(LONG) == secrets.scan_text(None) == []
+
+
+RSA = der(6, bytes.fromhex("2a864886f70d010101")) + der(5, b"")
+PBES2 = der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(0x30, der(6, b"\x2a\x86\x48")) + der(0x30, der(6, b"\x60\x86\x48")))
+PBES1 = der(6, bytes.fromhex("2a864886f70d010503")) + der(0x30, der(4, b"saltsalt") + INT(2048))
+
+
+def pkcs8(algorithm, inner):
+    return der(0x30, INT(0) + der(0x30, algorithm) + der(4, inner))
+
+
+def test_digests_and_made_up_frames_are_no_keys():
+    digest_info = bytes.fromhex("3031300d060960864801650304020105000420") + bytes(range(32))
+    for frame in (digest_info, pkcs8(RSA, bytes(range(1, 33))), pkcs8(RSA, SEC1),
+                  pkcs8(der(6, bytes.fromhex("2b6570")), bytes(range(32))),
+                  der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d"))) + der(4, b"x" * 64)),
+                  der(0x30, der(0x30, PBES1) + der(4, b""))):
+        assert secrets.der_key(frame) is None
+        assert "der" not in kinds(f"hex {frame.hex()} end") + kinds(f"b64 {base64.b64encode(frame).decode()} end")
+
+
+@pytest.mark.parametrize("key,name", [
+    (pkcs8(RSA, PKCS1), "pkcs8"), (pkcs8(der(6, bytes.fromhex("2a8648ce3d0201")), SEC1), "pkcs8"),
+    (pkcs8(der(6, bytes.fromhex("2b6570")), der(4, bytes(range(32)))), "pkcs8"),
+    (pkcs8(der(6, bytes.fromhex("2a8648ce380401")), INT(3 ** 90)), "pkcs8"),
+    (der(0x30, INT(0) + b"".join(INT(3 ** (400 + i)) for i in range(5))), "dsa"),
+    (der(0x30, der(0x30, PBES2) + der(4, b"x" * 64)), "pkcs8-encrypted"),
+    (der(0x30, der(0x30, PBES1) + der(4, b"x" * 64)), "pkcs8-encrypted")])
+def test_keys_of_each_algorithm(key, name):
+    assert secrets.der_key(key) == name
+    assert "der" in kinds(f"hex {key.hex()} end") and "der" in kinds(f"b64 {base64.b64encode(key).decode()} end")
+
+
+@pytest.mark.parametrize("head,body", [
+    ("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "QUJD"),
+    ("Proc-Type: 4,ENCRYPTED", "QUJD" * 40), ("Proc-Type: 4,ENCRYPTED\nDEK-Info: ROT-13,0123456789ABCDEF", "QUJD" * 40),
+    ("Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123456789", "QUJD" * 40),
+    ("DEK-Info: DES-EDE3-CBC,0123456789ABCDEF", "QUJD" * 40)])
+def test_encrypted_pem_needs_cipher_vector_and_blocks(head, body):
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{head}\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert "pem" not in kinds(pem)
+
+
+def test_tokens_by_algorithm_and_layout():
+    def details(t):
+        return [s["detail"] for s in secrets.scan_text(t) if s["kind"] == "jwt"]
+    for head in (b'{\n "alg":"HS256"}', b'{ "typ":"JWT", "alg":"HS256"}', b'\n{"alg":"HS256"}', b'\t{"alg":"HS256"}',
+                 b' {"alg":"HS256"}', b'\r\n{"alg":"HS256"}', b'{"alg":"HS256"}'):
+        assert details(f"Bearer {token(head, sign=bytes(32))}") == ["HS256"]
+    assert details(token(b'{"alg":"HS256"}', sign=bytes(31))) == ["HS256 cut"]
+    assert details(token(b'{"alg":"RS256"}', sign=bytes(256))) == ["RS256"]
+    assert details(token(b'{"alg":"ES512"}', sign=bytes(132))) == ["ES512"]
+    assert details(token(b'{"alg":"banana"}')) == details(token(b'{"alg":["HS256"]}')) == details(token(b'{"alg":"none"}')) == []
+
+
+def test_context_decides_about_ibans():
+    iban = "DE89 3704 0044 0532 0130 00"
+    def score(t):
+        return [s["score"] for s in pii.scan_text(t) if s["kind"] == "iban"]
+    assert score(iban) == [0.8] and score(f"Konto {iban}") == [1.0]
+    assert score(f"serial {iban}") == [] and score(f"serial, account {iban}") == [0.8]
+    assert [s["kind"] for s in pii.scan_text("order 4111111111111111")] == ["card"]      # base kinds stay
+
+
+def test_scores_stand_beside_spans(spark):
+    rows = queries.op8_pii(spark, SF).collect()
+    assert all(len(r.scores) == (len(r.spans.split(",")) if r.spans else 0) for r in rows)
+    assert all(0.0 <= x <= 1.0 for r in rows for x in r.scores) and len({x for r in rows for x in r.scores}) > 2
