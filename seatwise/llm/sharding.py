@@ -5,12 +5,13 @@ a given number of shards of the smallest fixed capacity that holds them: sorted
 each enters the open shard with the least remaining capacity that still takes it; the
 remaining capacities are kept in a balanced search tree.
 
-Only a bounded number of items is packed in one place, whatever the size of the corpus.
-Groups above ``1 / FINE`` of a mean shard are items of their own; there are at most
-``FINE`` times the shard count of them.  The smaller groups are first bundled by a hash
-of their text into ``FINE`` bundles per shard, and a bundle is one item.  Sizes and
-members are found by distributed aggregation, and the packing comes back as a table of
-at most ``2 * FINE * shards`` rows.
+Every group goes through best fit, in levels, so that only a bounded number is packed in one
+place.  First the groups are dealt over tasks of about ``PART`` groups, and each task packs
+its own, in descending order, into boxes of ``1 / FINE`` of a mean shard; a larger group has
+a box to itself.  While more than ``4 * FINE`` boxes a shard are left (a task's last box may
+be half empty), the boxes are packed into further ones in the same way.  The last boxes are
+packed into the shards.  The hash that deals groups over tasks decides no box: those are
+each task's best fit.  Sizes and members are found by distributed aggregation.
 
 A group larger than a mean shard cannot be split: the capacity grows to its size, it has
 a shard to itself (best fit puts the rest elsewhere while it fits), and the other shards
@@ -26,13 +27,17 @@ from __future__ import annotations
 
 import bisect
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
 from .common import cut, free_name, number_rows
 
 ROW_COST = 8          # bytes counted for a row besides its text
-FINE = 256            # items per shard at most (large groups), and bundles per shard
+FINE = 256            # boxes per shard, about
+PART = 20_000         # groups or boxes packed by one task, about
+MOST_SENT = 500_000   # boxes broadcast at most, some 20 MB; more are shuffled
 PIECE = 50_000        # rows numbered together, about
 
 
@@ -108,11 +113,41 @@ def pack(sizes: list[int], shards: int) -> list[int]:
     return best_fit_decreasing(sizes, tried[at] if at < len(tried) else high)[0]
 
 
-def _item(group: Column, size: Column, total: Column, shards: int) -> Column:
-    """The item a group belongs to: itself when large, else its bundle."""
-    large = size * F.lit(shards * FINE) > total
-    return F.when(large, F.concat(F.lit("g"), group)).otherwise(
-        F.concat(F.lit("b"), F.pmod(F.xxhash64(group), F.lit(shards * FINE))))
+def _boxes(items: DataFrame, n: int, capacity: int) -> DataFrame:
+    """``items`` (item, size), ``n`` of them, with the ``box`` that best fit gives each.  A box's
+    name depends on the items of its part alone, so a lost task packs again as before."""
+    def pack_part(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["size", "item"], ascending=[False, True], ignore_index=True)
+        where, _ = best_fit_decreasing(part["size"].tolist(), capacity)
+        name = str(part["part"].iloc[0]) + "."
+        return pd.DataFrame({"item": part["item"], "size": part["size"], "box": [name + str(w) for w in where]})
+
+    parts = max(1, -(-n // PART))
+    dealt = items.select("item", "size", F.pmod(F.xxhash64("item"), F.lit(parts)).alias("part"))
+    return cut(dealt.groupBy("part").applyInPandas(pack_part, "item string, size long, box string"))
+
+
+def _place(groups: DataFrame, n: int, total: int, shards: int) -> DataFrame:
+    """The ``shard`` of each of the ``n`` groups (item, size)."""
+    capacity = max(1, -(-total // (FINE * shards)))
+    levels = [_boxes(groups, n, capacity)]
+    while True:
+        # at most two boxes for each capacity's worth of bytes, and one more a part: a level with
+        # more than the limit leaves fewer
+        boxes = levels[-1].groupBy("box").agg(F.sum("size").alias("size")).withColumnRenamed("box", "item")
+        n = boxes.count()
+        if n <= 4 * FINE * shards:
+            break
+        levels.append(_boxes(boxes, n, capacity))
+    last = sorted((-r["size"], r["item"]) for r in boxes.collect())      # at most 4 * FINE * shards
+    where = pack([-s for s, _ in last], shards)
+    rows = [(i, w) for (_, i), w in zip(last, where)]
+    placed = groups.sparkSession.createDataFrame(rows, "box string, shard int")
+    placed = F.broadcast(placed) if len(rows) <= MOST_SENT else placed
+    for level in reversed(levels):
+        placed = level.join(placed, "box").select("item", "shard")
+        placed = placed if level is levels[0] else placed.withColumnRenamed("item", "box")
+    return placed
 
 
 def shard_plan(df: DataFrame, shards: int, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -125,13 +160,9 @@ def shard_plan(df: DataFrame, shards: int, text: str = "text", row_id: str = "do
                          F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.md5(F.encode(body, "UTF-8")).alias("group")))
     groups = rows.groupBy("group").agg(F.sum("size").alias("group_size"), F.count("*").alias("n"))
     groups = cut(groups)
-    total, n_rows = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    groups = groups.withColumn("item", _item(F.col("group"), F.col("group_size"), F.lit(total), shards))
-    # at most 2 * FINE * shards items, whatever the input
-    items = sorted(((-r["s"], r["item"]) for r in groups.groupBy("item").agg(F.sum("group_size").alias("s")).collect()))
-    where = pack([-s for s, _ in items], shards)
-    packed = df.sparkSession.createDataFrame([(i, w) for (_, i), w in zip(items, where)], "item string, shard int")
-    placed = rows.join(groups.join(F.broadcast(packed), "item").select("group", "shard"), "group")
+    total, n_rows, n_groups = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    placed = _place(groups.select(F.col("group").alias("item"), F.col("group_size").alias("size")), n_groups, total, shards)
+    placed = lookup(rows, "group", placed.withColumnRenamed("item", "group"))
     # slots: rows are numbered in pieces of bounded size, a shard's pieces one after another
     pieces = max(1, -(-n_rows // (PIECE * shards)))
     placed = placed.withColumn("piece", F.pmod(F.xxhash64("row_id", "text_crc32"), F.lit(pieces)).cast("int"))

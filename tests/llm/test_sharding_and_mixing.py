@@ -70,6 +70,42 @@ def test_shards_of_many_pieces(spark, monkeypatch):
     check_shards(out, lambda r: r.text)
 
 
+@pytest.mark.parametrize("part,fine", [(50, 256), (50, 4), (7, 2), (10 ** 6, 8)])
+def test_groups_are_packed_in_levels(spark, monkeypatch, part, fine):
+    """Boxes of every part are the best fit of its groups by hand, at each level, and the shards
+    that of the last boxes, whatever the number of levels."""
+    monkeypatch.setattr(sharding, "PART", part)
+    monkeypatch.setattr(sharding, "FINE", fine)
+    levels, boxes = [], sharding._boxes
+    monkeypatch.setattr(sharding, "_boxes", lambda items, n, capacity: levels.append((capacity, boxes(items, n, capacity))) or levels[-1][1])
+    rng = random.Random(part * fine)
+    sizes = {f"{i:04d}": rng.choice([9, 9, 12, 40, rng.randrange(8, 400), 3000]) for i in range(900)}
+    groups = spark.createDataFrame(list(sizes.items()), "item string, size long")
+    placed = {r.item: r.shard for r in sharding._place(groups, 900, sum(sizes.values()), 5).collect()}
+    assert placed.keys() == sizes.keys() and set(placed.values()) <= set(range(5))
+    inside, load = dict(sizes), Counter()
+    for capacity, level in levels:
+        by_part, size = defaultdict(list), Counter()
+        for r in level.collect():
+            assert inside[r.item] == r.size
+            by_part[r.box.split(".")[0]].append(r)
+            size[r.box] += r.size
+        assert sum(map(len, by_part.values())) == len(inside)
+        for rows in by_part.values():
+            rows.sort(key=lambda r: (-r.size, r.item))
+            where, _ = best_fit_by_hand([r.size for r in rows], capacity)
+            assert [int(r.box.split(".")[1]) for r in rows] == where
+        inside = dict(size)
+    assert len(inside) <= 4 * fine * 5 and (len(levels) > 1) == ((part, fine) == (7, 2))
+    for g, s in sizes.items():
+        load[placed[g]] += s
+    last = sorted(inside.values(), reverse=True)
+    want = Counter()
+    for s, w in zip(last, sharding.pack(last, 5)):
+        want[w] += s
+    assert sorted(load.values()) == sorted(want.values())
+
+
 def test_shards_odd_rows(odd, clashing, none):
     out = sharding.shard(clashing, 3)
     rows = out.collect()
