@@ -54,22 +54,11 @@ def sampling_key(id_col, weight: Column, seed: int | Column) -> Column:
     return -F.log(hash_uniform(id_col, seed)) / weight
 
 
-def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | None = None,
-                    seed: int = 1, on_short: str = "error", null_weight: str = "error",
-                    strategy: str = "auto", negative_weight: str = "error") -> DataFrame:
-    """Draw ``k`` rows of ``df`` without replacement, chance proportional to ``weight``.
-
-    ``weight=None`` is the uniform draw.  Rows with weight 0 are never drawn.  A
-    null, NaN or infinite weight raises (``null_weight="error"``) or is skipped
-    (``"skip"``); so does a negative one (``negative_weight``).  When
-    fewer than ``k`` rows can be drawn, ``on_short="error"`` raises and ``"all"``
-    returns every drawable row.  Returns the drawn rows with all their columns.
-    """
-    if k < 0:
-        raise ValueError("k must be >= 0")
+def checked_weight(weight: str | Column | None, wc: Column, null_weight: str, negative_weight: str) -> tuple[Column, Column]:
+    """The weight as a double (null when it is none) and, on the column ``wc`` that holds it,
+    the condition of rows that can be drawn; it raises for weights that are refused."""
     w = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
     w = w.cast("double")
-    wc = F.col("__w")
     # NaN and infinity are no weights: refused or skipped like null, whatever the plan
     w = F.when(F.isnan(w) | (w == F.lit(float("inf"))), F.lit(None)).otherwise(w)
     if null_weight == "error":
@@ -83,6 +72,24 @@ def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | N
                 .otherwise(keep)
     elif negative_weight != "skip":
         raise ValueError(f"unknown negative_weight {negative_weight!r}")
+    return w, keep
+
+
+def weighted_sample(df: DataFrame, k: int, id_col: str, weight: str | Column | None = None,
+                    seed: int = 1, on_short: str = "error", null_weight: str = "error",
+                    strategy: str = "auto", negative_weight: str = "error") -> DataFrame:
+    """Draw ``k`` rows of ``df`` without replacement, chance proportional to ``weight``.
+
+    ``weight=None`` is the uniform draw.  Rows with weight 0 are never drawn.  A
+    null, NaN or infinite weight raises (``null_weight="error"``) or is skipped
+    (``"skip"``); so does a negative one (``negative_weight``).  When
+    fewer than ``k`` rows can be drawn, ``on_short="error"`` raises and ``"all"``
+    returns every drawable row.  Returns the drawn rows with all their columns.
+    """
+    if k < 0:
+        raise ValueError("k must be >= 0")
+    wc = F.col("__w")
+    w, keep = checked_weight(weight, wc, null_weight, negative_weight)
     eligible = df.withColumn("__w", w).filter(keep).withColumn("__key", sampling_key(id_col, wc, seed)) \
         .drop("__w")
     if strategy == "auto":

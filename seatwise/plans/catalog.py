@@ -27,6 +27,7 @@ from seatwise.functions.text import (
 )
 from seatwise.operators.categories import relevel_ordinal, reorder_by
 from seatwise.operators.codebook import conformance, decode
+from seatwise.operators.chances import inclusion_chances
 from seatwise.operators.columns import across_strings
 from seatwise.operators.counts import collapse, count_by, count_having, mean_strict
 from seatwise.operators.dedup import first_per_key
@@ -172,6 +173,12 @@ def weighted_sample_threshold_q(spark, sf):
                            strategy="threshold").select("c_custkey")
 
 
+def draw_chances(spark, sf):
+    """Everyone's chance to get one of the drawn seats, known before the draw."""
+    scored = score_applicants(_customers(spark, sf), _score_cfg(rank=False)).select("c_custkey", "score")
+    return inclusion_chances(scored, SEATS, "score").select("c_custkey", "score", _r9("chance").alias("chance"))
+
+
 def _orders_timed(spark, sf) -> DataFrame:
     o = _t(spark, sf, "orders")
     t = F.when(~((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000)), F.col("o_orderdate"))
@@ -295,6 +302,24 @@ def stream_clean_intake(spark, sf):
     return current_firsts(spark, out_path, cfg).select("nombre", "correo", "genero", "trans")
 
 
+def stream_final_intake(spark, sf):
+    """The clean intake as a stream that ends: one window up to the closing time, each person's
+    row appended once when the watermark has passed it."""
+    from seatwise.streaming import final_submissions
+
+    schema = _t(spark, sf, "events").schema
+    root = sf.rstrip("/")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1) \
+        .option("basePath", root).parquet(f"{root}/events*.parquet")
+    cfg = IntakeConfig(exclude_names=("  User\u00a03 ",), cutoff="2024-01-20 00:00:00")
+    out_path, ck = scratch_path(spark, "final-intake"), scratch_path(spark, "final-intake-ck")
+    final = final_submissions(_event_responses(spark, sf, stream), cfg)
+    q = (final.writeStream.outputMode("append").format("parquet").option("path", out_path)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(final.schema).parquet(out_path).select("nombre", "correo", "genero", "trans")
+
+
 def exclusions_q(spark, sf):
     p = _t(spark, sf, "part").withColumn("brand", F.when(F.col("p_brand") != "Brand#7", F.col("p_brand")))
     ex = [("p_type", "ECONOMY"), ("brand", "Brand#1"), ("p_size", 50), ("p_size", 49)]
@@ -827,12 +852,14 @@ QUERIES: dict[str, Query] = {
     "flagship_seat_draw": flagship_seat_draw,
     "weighted_sample": weighted_sample_q,
     "weighted_sample_threshold": weighted_sample_threshold_q,
+    "draw_chances": draw_chances,
     "uniform_sample": uniform_sample_q,
     "first_submission": first_submission,
     "first_submission_window": first_submission_window,
     "clean_intake": clean_intake_q,
     "clean_intake_linked": clean_intake_linked,
     "stream_clean_intake": stream_clean_intake,
+    "stream_final_intake": stream_final_intake,
     "exclusions": exclusions_q,
     "score_rules": score_rules_q,
     "ordinal_rank": ordinal_rank,
@@ -965,6 +992,18 @@ SELECT c_mktsegment, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) A
 FROM admitted GROUP BY c_mktsegment""",
     "weighted_sample": _sql_sample("score", SQL_SCORED),
     "weighted_sample_threshold": _sql_sample("score", SQL_SCORED),
+    "draw_chances": f"""
+WITH RECURSIVE scored AS (SELECT c_custkey, score FROM {SQL_SCORED}),
+c AS (SELECT score AS w, count(*) AS n FROM scored WHERE score > 0 GROUP BY 1),
+b AS (SELECT 0 AS i, {SEATS} / sum(n * w) AS lo,
+             CASE WHEN sum(n) > {SEATS} THEN greatest({SEATS} / sum(n * w), -ln(1 - {SEATS} / sum(n)) / min(w)) END AS hi FROM c
+      UNION ALL
+      SELECT i + 1, CASE WHEN sum(n * (1 - exp(-w * (lo + hi) / 2))) < {SEATS} THEN (lo + hi) / 2 ELSE lo END,
+             CASE WHEN sum(n * (1 - exp(-w * (lo + hi) / 2))) < {SEATS} THEN hi ELSE (lo + hi) / 2 END
+      FROM b, c WHERE i < 80 GROUP BY i, lo, hi)
+SELECT c_custkey, score, CASE WHEN NOT score > 0 THEN 0.0 WHEN hi IS NULL THEN 1.0
+  ELSE round(1 - exp(-score * (lo + hi) / 2), 9) END::DOUBLE AS chance
+FROM scored, (SELECT lo, hi FROM b WHERE i = 80)""",
     "uniform_sample": _sql_sample("1.0", "customer"),
     "first_submission": f"""
 SELECT o_custkey, o_orderkey, o_totalprice FROM ({SQL_ORDERS_TIMED}) o
@@ -1098,6 +1137,7 @@ SELECT 'o_orderpriority', count(*), count(*) - count(o_orderpriority),
        count(*) FILTER (WHERE o_orderpriority IS NOT NULL AND o_orderpriority NOT IN
                         ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')) FROM o""",
     "stream_clean_intake": SQL_CLEAN_INTAKE,
+    "stream_final_intake": SQL_CLEAN_INTAKE,
     "line_list_semi_join": f"SELECT c_custkey, c_name FROM customer WHERE c_name IN ({SQL_SPECIAL_LIST})",
     "flagship_union_form": f"WITH {SQL_ADMITTED} SELECT c_custkey, c_mktsegment, score FROM admitted",
     "recipient_file": """

@@ -92,3 +92,59 @@ def test_stream_keeps_people_apart_like_the_batch(spark, scratch):
         got = current_firsts(spark, out, cfg)
         assert sorted(r["nombre"] for r in got.collect()) == sorted(r["nombre"] for r in want.collect())
         assert got.count() == (3 if not extra else 4)
+
+
+def _run_final(spark, scratch, arrivals, cfg, late="0 seconds"):
+    """Feed the arrivals one after another: rows out after each, and rows of state."""
+    from seatwise.streaming import final_submissions
+
+    folder, out, told = os.path.join(scratch, "in"), os.path.join(scratch, "out"), []
+    os.makedirs(folder)
+    final = final_submissions(response_stream(spark, folder, SCHEMA, 1), cfg, late)
+    q = (final.writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(scratch, "ck")).start())
+    try:
+        for rows in arrivals:
+            spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+            q.processAllAvailable()
+            told.append((spark.read.schema(final.schema).parquet(out).count(),
+                         q.lastProgress["stateOperators"][0]["numRowsTotal"]))
+    finally:
+        q.stop()
+    return spark.read.schema(final.schema).parquet(out), told
+
+
+def test_final_rows_equal_the_batch_and_leave_no_state(spark, scratch):
+    rows = response_rows()
+    cfg = IntakeConfig(exclude_names=(TEST_NAME,))
+    t = [f.split()[0] for f in SCHEMA.split(", ")].index("time_end")
+    before = [r for r in rows if r[t] is None or r[t] <= cfg.cutoff]
+    after = [r for r in rows if r[t] is not None and r[t] > cfg.cutoff]
+    assert before and after
+    # the second arrival holds earlier answers of some people; the last is a straggler, too late
+    straggler = tuple("2026-05-01 10:00:00" if i == t else v for i, v in enumerate(before[2]))
+    got, told = _run_final(spark, scratch, [before[1::2], before[0::2], after, [straggler]], cfg)
+    assert [n for n, _ in told[:2]] == [0, 0] and told[0][1] > 0
+    want = clean_intake(spark.createDataFrame(rows, SCHEMA), cfg)
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    assert sorted(got.select(*cols).collect(), key=key) == sorted(want.select(*cols).collect(), key=key)
+    assert told[2] == told[3] == (want.count(), 0)
+
+
+def test_final_rows_wait_for_late_answers(spark, scratch):
+    rows = [r for r in response_rows() if r[0] in ("s14", "s16", "s17")]      # s14: a second after the closing
+    got, told = _run_final(spark, scratch, [rows], IntakeConfig(), late="1 hour")
+    assert got.count() == 0 and told[0][1] == 2
+
+
+def test_final_rows_need_a_closing_time(spark, scratch):
+    import pytest
+
+    from seatwise.streaming import final_submissions
+
+    stream = response_stream(spark, scratch, SCHEMA)
+    for cfg in (IntakeConfig(cutoff=None), IntakeConfig(cutoff="1899-01-01 00:00:00"), IntakeConfig(identity="linked")):
+        with pytest.raises(ValueError):
+            final_submissions(stream, cfg)
