@@ -274,3 +274,44 @@ def test_contamination_odd_rows(spark, odd, clashing, none):
     assert sorted(r.doc_id or -1 for r in clean.collect()) == [-1, -1, 4, 5, 6, 10, 11]
     assert decontamination.decontaminate(odd, items.limit(0)).count() == odd.count()
     assert decontamination.decontaminate(none, items).count() == 0
+
+
+def test_size_partitions(spark):
+    """Each item has its partition's sketch and least hits, and items of every partition are
+    found at the threshold in documents of any size that can hold them, not below it."""
+    words = lambda tag, n: [f"{tag}x{i}" for i in range(n)]
+    sizes = [1, 6, 24, 25, 64, 65, 256, 257, 900]
+    texts = {n: words(f"i{n}", n + 4) for n in sizes}
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in texts.items()], "item_id long, text string")
+    seen = {}
+    for r in decontamination.partitioned_sketches(items).collect():
+        assert r.n == r.item.id
+        seen.setdefault(r.n, []).append(r)
+    for n, rows in seen.items():
+        part = max(p for p, (least, _) in enumerate(decontamination.PARTITIONS) if least <= n)
+        least, kept = decontamination.PARTITIONS[part]
+        assert {r.part for r in rows} == {part} and len({r.hash for r in rows}) == len(rows) == min(n, kept)
+        assert {r.least for r in rows} == {decontamination.least_hits(n, sketch=kept)}
+    docs, want = [], set()
+    for n, w in texts.items():
+        need = math.ceil(0.8 * n)                         # shingles a document must hold
+        for j, size in enumerate((need, need - 1, n)):
+            if size < 1:
+                continue
+            part = w[:size + 4]
+            for k, long in enumerate((0, 3000)):          # alone, and inside a long text
+                doc = n * 10 + j * 2 + k
+                docs.append((doc, " ".join(words(f"d{doc}", long) + part + words(f"e{doc}", long))))
+                if size >= 0.8 * n:
+                    want.add((doc, n, size))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc.id, r.item_id, r.shared) for r in decontamination.find_contaminated(docs, items).collect()}
+    assert found == want
+
+
+def test_popular_item(spark):
+    text = " ".join(f"p{i}" for i in range(40))
+    docs = spark.range(3000).selectExpr("id as doc_id", f"concat('w', id, ' {text} v', id) as text")
+    items = spark.createDataFrame([(1, text), (2, text + " q")], "item_id long, text string")
+    found = decontamination.find_contaminated(docs, items)
+    assert found.count() == 6000 and found.select("doc").distinct().count() == 3000
