@@ -7,6 +7,7 @@ Python step per word.  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -133,6 +134,15 @@ SLICE = 256               # texts handled together: small enough for the CPU cac
 SLICE_BYTES = 2 << 20     # and their bytes: what a worker holds at once follows them
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system.  Workers are used again for later stages,
+    and the C allocator keeps what arrays below its (growing) threshold took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc; other libraries have none
+    if trim is not None:
+        trim(0)
+
+
 def slices(column: pa.Array, step: int = SLICE, beside: pa.Array | None = None):
     """(first row, slice) of a column in steps of at most ``step`` texts and ``SLICE_BYTES``, or
     one longer text.  ``beside``: a second column whose bytes count as well."""
@@ -148,6 +158,7 @@ def slices(column: pa.Array, step: int = SLICE, beside: pa.Array | None = None):
         to = min(max(to, at + 1), at + step, len(column))
         yield at, column.slice(at, to - at)
         at = to
+    give_back()
 
 
 def distinct_per_text(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
