@@ -20,6 +20,7 @@ BITS = 20
 BLOCKS = 64           # parts of the table, so that its sums are found by several tasks
 HASH_BITS = 56        # of the hashes that distinct_per_text gives
 FLAG_BITS = 26        # bits of a bitmap: 8 MiB
+FLAG_BLOCK = 1 << 16  # bytes of a part of a bitmap
 
 
 def text_shingles(column: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +53,7 @@ def shingle_frequencies(docs: DataFrame, text: str = "text", k: int = 5) -> tupl
                                               pa.array([n] + [0] * (BLOCKS - 1), pa.int64())], names=["block", "counts", "n"])
 
     def add(batches):
-        # one task may hold several blocks; each is a running sum of fixed size
+        # a task may hold several blocks; each is a running sum of fixed size
         sums, n = {}, 0
         for b in batches:
             for block, counts, docs_ in zip(*(c.to_pylist() for c in b.columns)):
@@ -64,7 +65,7 @@ def shingle_frequencies(docs: DataFrame, text: str = "text", k: int = 5) -> tupl
 
     schema = "block int, counts binary, n long"
     rows = (docs.select(F.col(text).cast("string")).mapInArrow(count, schema)
-            .repartition(8, "block").mapInArrow(add, schema).collect())
+            .repartition("block").mapInArrow(add, schema).collect())
     table = np.zeros(2 ** BITS, dtype=np.uint64)
     for r in rows:
         table[r["block"] * size:(r["block"] + 1) * size] = np.frombuffer(bytes(r["counts"]), dtype=np.uint64)
@@ -72,26 +73,43 @@ def shingle_frequencies(docs: DataFrame, text: str = "text", k: int = 5) -> tupl
 
 
 def bitmap(numbers: DataFrame, bits: int = FLAG_BITS) -> np.ndarray:
-    """Bitmap of a column of longs (their low bits): made in the tasks, joined in one pass
-    of fixed memory.  A superset filter of fixed size, whatever the number of rows."""
+    """Bitmap of a column of longs (their low bits), made in the tasks in fixed memory.  Only
+    its blocks that have a bit are shuffled, and each block is merged by a task of its own.  A
+    superset filter of fixed size, whatever the number of rows."""
     numbers, size = numbers.toDF("number"), 1 << (bits - 3)
+    width = min(FLAG_BLOCK, size)
+
+    def rows_of(blocks):
+        return pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())],
+                                          names=["block", "flags"])
 
     def mark(batches):
         flags = np.zeros(size, dtype=np.uint8)
         for b in batches:
-            at = np.unique(b.column(0).to_numpy() & (2 ** bits - 1))
-            np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([flags.tobytes()], pa.binary())], names=["flags"])
+            at = np.unique(b.column(0).drop_null().to_numpy() & (2 ** bits - 1))
+            if len(at):
+                byte = at >> 3
+                first = np.flatnonzero(np.diff(byte, prepend=-1))
+                flags[byte[first]] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first)
+        blocks = flags.reshape(-1, width)
+        some = {int(i): blocks[i] for i in np.flatnonzero(blocks.any(axis=1))}
+        if some:
+            yield rows_of(some)
 
     def merge(batches):
-        flags = np.zeros(size, dtype=np.uint8)
+        merged = {}
         for b in batches:
-            for x in b.column(0):
-                flags |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([flags.tobytes()], pa.binary())], names=["flags"])
-
-    found = numbers.mapInArrow(mark, "flags binary").repartition(1).mapInArrow(merge, "flags binary").collect()
-    return np.frombuffer(bytes(found[0][0]), dtype=np.uint8) if found else np.zeros(size, dtype=np.uint8)
+            for i, x in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(x.as_buffer(), dtype=np.uint8)
+                merged[i] = merged[i] | x if i in merged else x.copy()
+        if merged:
+            yield rows_of(merged)
+
+    schema = "block int, flags binary"
+    flags = np.zeros((size // width, width), dtype=np.uint8)
+    for r in numbers.mapInArrow(mark, schema).repartition("block").mapInArrow(merge, schema).collect():
+        flags[r["block"]] = np.frombuffer(bytes(r["flags"]), dtype=np.uint8)
+    return flags.reshape(-1)
 
 
 def flagged(flags: np.ndarray, numbers: np.ndarray) -> np.ndarray:

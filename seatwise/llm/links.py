@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 FIRST = 8             # leaders of a bucket in the first round of a join
 GROWTH = 16           # times as many in each round
@@ -96,6 +96,8 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketch:
     mixed = (named.filter(F.col("n") > LEADERS).groupBy("bucket")
              .agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("bucket"))
     open_ = cut(named.join(mixed, "bucket", "left_semi"))
+    del lead, pairs, named, mixed
+    release(members.sparkSession)
     sketched = sketch(open_.select("id").distinct())
     found = verify(close_in_blocks(open_.join(sketched, "id"), alike)).select("a", "b")
     return components(cut(edges.unionByName(found)))

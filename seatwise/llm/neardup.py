@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from . import links
-from .common import cut, free_name, number_rows
+from .common import cut, free_name, number_rows, release
 from .frequencies import bucket, shingle_frequencies, text_shingles
 from .textcore import mix, slices
 
@@ -187,6 +187,7 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     # equal texts are one node, named by one of its rows (null md5: null texts)
     nodes = cut(rows.groupBy("md5").agg(F.min("row").alias("id"), F.first("bands").alias("bands")))
     near = links.in_buckets(nodes.select(F.explode("bands").alias("bucket"), "id"))
+    release(spark)
     # the texts of nodes that have candidates at all
     wanted = near.select("id").distinct().join(nodes.select("id", "md5"), "id")
     texts = cut(docs.select(body.alias("text")).withColumn("md5", F.md5(F.col("text").cast("binary")))
@@ -207,9 +208,10 @@ def near_duplicates(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
                 .select("id", _sketches(idf)("text", "bands").alias("sketch")))
 
     label = links.group(near, verify, sketch, _alike)
+    release(spark)
     named = nodes.select("id", "md5").join(label, "id", "left").select("md5", F.coalesce("component", "id").alias("component"))
     classed = rows.drop("bands").withColumn("m", F.struct("md5")).join(named.withColumn("m", F.struct("md5")).drop("md5"), "m").drop("m")
-    # least id of a class, and its first row: aggregated, then joined back with salted keys
+    # least id of a class, and its first row: aggregated, then joined back
     order = F.struct(F.col("row_id").isNull().alias("o0"), F.col("row_id").alias("o1"), F.col("row").alias("o2"))
     least = classed.groupBy("component").agg(F.min(order).alias("least"))
     return (classed.join(least, "component").withColumn("class_id", F.col("least")["o1"])
