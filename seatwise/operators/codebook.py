@@ -72,9 +72,9 @@ def decode(df: DataFrame, codebook: DataFrame, questions: Sequence[str] | None =
     return df.withColumns(adds) if adds else df
 
 
-def conformance(df: DataFrame, codebook: DataFrame, required: Sequence[str]) -> DataFrame:
-    """Per question: rows, missing answers to required questions, answers outside the
-    closed domain.  Rows ``(question_id, n, n_missing, n_out_of_domain)``."""
+def conformance_counts(df: DataFrame, codebook: DataFrame, required: Sequence[str]) -> tuple[DataFrame, list[str], list]:
+    """``df`` with the columns that the counts read (``__ok_<q>``, for a large codebook only), the
+    questions, and the aggregates ``m__<q>`` (missing) and ``o__<q>`` (out of domain) of each."""
     opts = _options(codebook)
     req = set(required)
     if opts is None:
@@ -85,19 +85,26 @@ def conformance(df: DataFrame, codebook: DataFrame, required: Sequence[str]) ->
     else:
         closed = [q for q in opts if q in df.columns]
     qs = [q for q in dict.fromkeys([*required, *closed]) if q in df.columns]
-    if not qs:
-        return df.sparkSession.createDataFrame(
-            [], "question_id string, n bigint, n_missing bigint, n_out_of_domain bigint")
     aggs = []
     for q in qs:
         c = F.col(q)
-        miss = F.sum(F.when(c.isNull(), 1).otherwise(0)) if q in req else F.lit(0).cast("long")
+        miss = F.sum(F.when(c.isNull(), 1).otherwise(0)) if q in req else F.sum(F.lit(0))
         if q in closed:
             known = F.col(f"__ok_{q}").isNotNull() if opts is None else c.cast("string").isin([code for code, _ in opts[q]])
             ood = F.sum(F.when(c.isNotNull() & ~known, 1).otherwise(0))
         else:
-            ood = F.lit(0).cast("long")
-        aggs += [miss.cast("long").alias(f"m__{q}"), ood.cast("long").alias(f"o__{q}")]
+            ood = F.sum(F.lit(0))
+        aggs += [F.coalesce(miss, F.lit(0)).cast("long").alias(f"m__{q}"), F.coalesce(ood, F.lit(0)).cast("long").alias(f"o__{q}")]
+    return df, qs, aggs
+
+
+def conformance(df: DataFrame, codebook: DataFrame, required: Sequence[str]) -> DataFrame:
+    """Per question: rows, missing answers to required questions, answers outside the
+    closed domain.  Rows ``(question_id, n, n_missing, n_out_of_domain)``."""
+    df, qs, aggs = conformance_counts(df, codebook, required)
+    if not qs:
+        return df.sparkSession.createDataFrame(
+            [], "question_id string, n bigint, n_missing bigint, n_out_of_domain bigint")
     one = df.agg(F.count(F.lit(1)).alias("__n"), *aggs)
     stack = ", ".join(f"'{q}', `m__{q}`, `o__{q}`" for q in qs)
     return one.select(F.col("__n").alias("n"),

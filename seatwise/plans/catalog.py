@@ -14,6 +14,7 @@ Every query reads whole tables; a limit appears only where it is the operator
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,10 +45,13 @@ from seatwise.plans import explore
 from seatwise.plans.explore import stack_populations
 from seatwise.plans.report import profile_report, report_counts
 from seatwise.plans.intake import apply_exclusions, clean_intake
+from seatwise.plans.observed import write_observed_intake
 from seatwise.plans.selection import score_applicants, seat_draw
 from seatwise.session import scratch_path, stored
+from seatwise.sources.buckets import write_bucketed
 from seatwise.sources.codebook import codebook_df
 from seatwise.sources.inspect import column_profile
+from seatwise.sources.profile import FIELDS, build_profile, merge_profiles, read_profile
 from seatwise.sources.readers import read_csv2
 from seatwise.sources.writers import write_csv2, write_snapshot
 
@@ -283,6 +287,16 @@ FROM d WHERE regexp_matches(correo, '@.*\.') AND time_end <= TIMESTAMP '2024-01-
 """
 
 
+SQL_INTAKE_ACCOUNT = SQL_CLEAN_INTAKE[:SQL_CLEAN_INTAKE.index("SELECT CASE WHEN regexp_matches(nombre")].rstrip() + """,
+s AS (SELECT 0 AS k, 'read' AS step, count(*) AS n FROM r
+      UNION ALL SELECT 1, 'e-mail present', count(*) FROM r WHERE correo IS NOT NULL
+      UNION ALL SELECT 2, 'test names out', count(*) FROM f
+      UNION ALL SELECT 3, 'first of a person', count(*) FROM d
+      UNION ALL SELECT 4, 'valid and in time', count(*) FROM d
+                WHERE regexp_matches(correo, '@.*\\.') AND time_end <= TIMESTAMP '2024-01-20 00:00:00')
+SELECT step, n, coalesce(lag(n) OVER (ORDER BY k) - n, 0) AS n_lost FROM s"""
+
+
 def stream_clean_intake(spark, sf):
     """The clean intake as a stream: events arrive as files, the first submission per
     person is kept in the state store, each trigger writes only the people whose
@@ -663,6 +677,83 @@ def column_profile_q(spark, sf):
     return column_profile(_t(spark, sf, "customer"))
 
 
+PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+
+
+def profile_merged(spark, sf):
+    """Profiles of the months' snapshots, stored, read again and merged: exact columns as they
+    are, the sketched ones held against exact counts (5 % of distinct values, 2 % of ranks)."""
+    o = _t(spark, sf, "orders").withColumn("month", F.date_trunc("month", "o_orderdate")).select("month", *PROFILED)
+    path = scratch_path(spark, "profiles")
+    build_profile(o, by=["month"]).write.parquet(path)
+    merged = stored(merge_profiles(spark.read.parquet(path)))
+    report = read_profile(merged, [0.5])
+    exact = column_profile(o.select(*PROFILED)).select("column", F.col("n_distinct").alias("exact"))
+    medians = report.filter("quantiles is not null").select("column", F.col("quantiles")[0].alias("median"))
+    cells = o.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
+                                         for c in ("o_orderkey", "o_custkey", "o_totalprice")])).alias("x")).select("x.*")
+    ranks = (cells.join(F.broadcast(medians), "column").groupBy("column")           # one row a column
+             .agg(F.avg((F.col("value") < F.col("median")).cast("int")).alias("below"),
+                  F.avg((F.col("value") <= F.col("median")).cast("int")).alias("upto")))
+    return (report.join(exact, "column").join(ranks, "column", "left").select(
+        *FIELDS[:3], *[F.when(F.col("least_number").isNull(), F.col(c)).alias(c) for c in ("least", "greatest")],
+        *[F.round(c, 9).alias(c) for c in ("least_number", "greatest_number")],
+        (F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * 0.05).alias("distinct_close"),
+        ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_close")))
+
+
+def _sql_profile(column: str) -> str:
+    text = column in ("o_orderstatus", "o_orderpriority")
+    pick = lambda f, yes: f"{f}({column})" if yes else "NULL"
+    return (f"SELECT '{column}' AS \"column\", count(*) AS n, count({column}) AS n_non_null, "
+            f"CAST({pick('min', text)} AS VARCHAR) AS least, CAST({pick('max', text)} AS VARCHAR) AS greatest, "
+            f"round(CAST({pick('min', not text)} AS DOUBLE), 9) AS least_number, "
+            f"round(CAST({pick('max', not text)} AS DOUBLE), 9) AS greatest_number, true AS distinct_close, "
+            f"{'CAST(NULL AS BOOLEAN)' if text else 'true'} AS median_close FROM orders")
+
+
+ANSWER_CODEBOOK = [
+    ("genero", "mc", "Event", [("Click", "click"), ("View", "view"), ("Purchase", "purchase")]),
+    ("trans", "mc", "High", [("Yes", "sí")]),
+    ("correo", "text", "Mail", []),
+]
+
+
+def _observed_intake(spark, sf):
+    cfg = IntakeConfig(exclude_names=("  User\u00a03 ",), cutoff="2024-01-20 00:00:00")
+    return write_observed_intake(_event_responses(spark, sf), scratch_path(spark, "observed"), cfg,
+                                 codebook_df(spark, ANSWER_CODEBOOK), required=["correo", "trans"])
+
+
+def intake_account(spark, sf):
+    """Rows after each step of the clean intake, observed while its snapshot is written."""
+    return _observed_intake(spark, sf)[0]
+
+
+def conformance_observed(spark, sf):
+    """Conformance of the cleaned rows, observed while their snapshot is written."""
+    return _observed_intake(spark, sf)[1]
+
+
+def bucketed_firsts(spark, sf):
+    """First order of each listed customer, on snapshots in buckets: neither the semi-join nor
+    the first per key shuffles."""
+    one = lambda name: f"{name}_{uuid.uuid4().hex}"
+    orders = write_bucketed(_t(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey"), one("orders"),
+                            scratch_path(spark, "bucketed"), "o_custkey", 16, ["o_orderdate", "o_orderkey"])
+    listed = write_bucketed(_t(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey")),
+                            one("listed"), scratch_path(spark, "bucketed"), "o_custkey", 16)
+    found = orders.join(listed.hint("merge"), "o_custkey", "left_semi")
+    return first_per_key(found, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+def semi_join_thinned(spark, sf):
+    """A list too long to broadcast: lines of the dear orders, thinned by a bitmap before the join."""
+    keys = _t(spark, sf, "orders").filter("o_totalprice > 200000").select(F.col("o_orderkey").alias("value"))
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return in_list(lines, "l_orderkey", keys, max_broadcast_rows=0)
+
+
 def slugify(spark, sf):
     p = _t(spark, sf, "part")
     return p.select("p_partkey", slug(F.concat_ws(" ", "p_brand", "p_name", "p_type")).alias("code"))
@@ -858,6 +949,8 @@ QUERIES: dict[str, Query] = {
     "first_submission_window": first_submission_window,
     "clean_intake": clean_intake_q,
     "clean_intake_linked": clean_intake_linked,
+    "intake_account": intake_account,
+    "conformance_observed": conformance_observed,
     "stream_clean_intake": stream_clean_intake,
     "stream_final_intake": stream_final_intake,
     "exclusions": exclusions_q,
@@ -868,6 +961,8 @@ QUERIES: dict[str, Query] = {
     "tail_ranked": tail_ranked,
     "semi_join_list": semi_join_list,
     "line_list_semi_join": line_list_semi_join,
+    "semi_join_thinned": semi_join_thinned,
+    "bucketed_firsts": bucketed_firsts,
     "flagship_union_form": flagship_union_form,
     "count_one": count_one,
     "count_two": count_two,
@@ -907,6 +1002,7 @@ QUERIES: dict[str, Query] = {
     "csv2_roundtrip": csv2_roundtrip,
     "snapshot_anonymised": snapshot_anonymised,
     "column_profile": column_profile_q,
+    "profile_merged": profile_merged,
     "glimpse": glimpse_q,
     "admitted_snapshot": admitted_snapshot,
     "admitted_by_nation": admitted_by_nation,
@@ -1013,6 +1109,20 @@ SELECT o_custkey, o_orderkey, o_totalprice FROM ({SQL_ORDERS_TIMED}) o
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY t ASC NULLS LAST, o_orderkey) = 1""",
     "clean_intake": SQL_CLEAN_INTAKE,
     "clean_intake_linked": SQL_CLEAN_INTAKE_LINKED,
+    "intake_account": SQL_INTAKE_ACCOUNT,
+    "conformance_observed": f"""
+WITH o AS ({SQL_CLEAN_INTAKE})
+SELECT 'correo' AS question_id, count(*) AS n, count(*) - count(correo) AS n_missing, CAST(0 AS BIGINT) AS n_out_of_domain FROM o
+UNION ALL
+SELECT 'trans', count(*), count(*) - count(trans), count(*) FILTER (WHERE trans NOT IN ('sí')) FROM o
+UNION ALL
+SELECT 'genero', count(*), CAST(0 AS BIGINT), count(*) FILTER (WHERE genero NOT IN ('click', 'view', 'purchase')) FROM o""",
+    "profile_merged": "\nUNION ALL ".join(_sql_profile(c) for c in PROFILED),
+    "semi_join_thinned": """
+SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 200000)""",
+    "bucketed_firsts": """
+SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1""",
     "exclusions": """
 SELECT p_partkey FROM part
 WHERE p_type <> 'ECONOMY' AND nullif(p_brand, 'Brand#7') <> 'Brand#1' AND p_size <> 50 AND p_size <> 49""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,8 @@ from seatwise.session import stored
 from seatwise.sources.writers import write_snapshot
 
 
-def clean_intake(df: DataFrame, cfg: IntakeConfig | None = None) -> DataFrame:
+def clean_intake(df: DataFrame, cfg: IntakeConfig | None = None,
+                 mark: Callable[[str, DataFrame], DataFrame] = lambda step, rows: rows) -> DataFrame:
     """Responses -> one cleaned row per person.
 
     In this order: e-mail present -> test names out -> drop ``time*`` columns but the
@@ -33,6 +34,8 @@ def clean_intake(df: DataFrame, cfg: IntakeConfig | None = None) -> DataFrame:
     (``validate_before_dedup=True`` checks first instead).  The key is the name alone
     unless ``dedup_extra_keys`` adds columns.  With ``identity="linked"`` a person is
     everything that names and e-mails link (``first_per_person``).
+
+    ``mark`` is given the rows after each step, with the step's name (``plans.observed``).
     """
     cfg = cfg or IntakeConfig()
     if cfg.identity not in ("name", "linked"):
@@ -40,9 +43,10 @@ def clean_intake(df: DataFrame, cfg: IntakeConfig | None = None) -> DataFrame:
     if cfg.identity == "linked" and cfg.dedup_extra_keys:
         raise ValueError("identity='linked' takes no dedup_extra_keys: a key that splits a name contradicts the links")
     name, mail, t, sid = cfg.name_col, cfg.email_col, cfg.time_col, cfg.session_col
-    out = df.filter(F.col(mail).isNotNull())
+    out = mark("e-mail present", mark("read", df).filter(F.col(mail).isNotNull()))
     for test in cfg.exclude_names:
         out = out.filter(F.col(name) != F.lit(test))
+    out = mark("test names out", out)
     has_sid = sid in out.columns
     out = drop_prefix_keep(out, cfg.time_prefix, keep=[t] + ([sid] if has_sid else []), drop=[])
     out = out.withColumn(t, as_timestamp(out, t))
@@ -54,14 +58,15 @@ def clean_intake(df: DataFrame, cfg: IntakeConfig | None = None) -> DataFrame:
     if cfg.cutoff is not None:
         checks = checks & (F.col(t) <= timestamp_literal(cfg.cutoff, out.schema[t].dataType))
     if cfg.validate_before_dedup:
-        out = out.filter(checks)
+        out = mark("valid and in time", out.filter(checks))
     if cfg.identity == "linked":
         out = first_per_person(out, cfg, [sid] if has_sid else [])
     else:
         keys = [name, *cfg.dedup_extra_keys]
         out = first_per_key(out, keys, t, tiebreak=[sid] if has_sid else [], method=cfg.dedup_method)
+    out = mark("first of a person", out)
     if not cfg.validate_before_dedup:
-        out = out.filter(checks)
+        out = mark("valid and in time", out.filter(checks))
     if has_sid and not cfg.keep_session:
         out = out.drop(sid)
     yes = cfg.yes_pattern
