@@ -103,6 +103,32 @@ def test_held_out_rows_and_other_columns_do_not_matter(toxic_rows, spark):
     assert {i for i in out if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_all_labelled_rows_are_learned(toxic_rows, monkeypatch):
+    """With more rows than one task learns from, every row of the other folds is still read, and
+    the net of several tasks is as good and the same again."""
+    docs, labels = toxic_rows
+    seen, occurrences = [], toxicity._occurrences
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 120)
+    monkeypatch.setattr(toxicity, "_occurrences", lambda rows: seen.append(occurrences(rows)) or seen[-1])
+    a, b = toxicity.fit_on(docs, labels), toxicity.fit_on(docs, labels)
+    known = labels.filter(toxicity.fold("doc_id") != 0)
+    assert seen[0][1].sum(axis=0).tolist() == [known.filter(f"toxic = {y}").count() for y in (0, 1)]
+    assert np.array_equal(a.embedding, b.embedding) and np.array_equal(a.thresholds, b.thresholds)
+    held = toxicity.score_toxicity(docs, a).join(labels, "doc_id").filter(toxicity.fold("doc_id") == 0).collect()
+    assert np.mean([(r.score >= 0.5) == (r.toxic == 1) for r in held]) > 0.95
+
+
+def test_long_texts_are_learned(spark, monkeypatch):
+    """Texts of 5,200 words, compared in stretches: the toxic ones can be told by a word near the end."""
+    monkeypatch.setattr(toxicity, "STRETCH", 1000)
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 300}" for j in range(5200)) + " zorgel" * (i % 2) + " the of" * 3) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    net = toxicity.fit_on(docs, labels)
+    assert net.constant is None
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.score_toxicity(docs, net).collect())
+
+
 def test_toxicity_odd_rows(odd, clashing, none, toxic_rows):
     net = toxicity.fit_on(*toxic_rows)
     out = toxicity.score_toxicity(clashing, net).collect()
