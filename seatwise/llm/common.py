@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import gc
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .textcore import give_back
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +25,34 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints of tables that nothing refers to any
-    more.  Its cleaner learns of them from the driver's garbage collector, which by itself may
-    come only after a whole job."""
+    more, and return the driver's freed memory to the system.  Spark's cleaner learns of them
+    from the driver's garbage collector, which by itself may come only after a whole job."""
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
+    trim_native_heap(spark)
+
+
+def trim_native_heap(spark: SparkSession) -> bool:
+    """Have the driver's JVM return what its C allocator keeps of freed memory (compilers, network
+    and file buffers).  False on a JVM without that command; OpenJDK 17 on Linux has it."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    objects = lambda *x: _filled(new_array(jvm.Object, len(x)), x)
+    try:
+        # the server's class is not public, so its method is taken from the interface
+        (invoke,) = [m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke"]
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        invoke.invoke(server, objects(command, "systemTrimNativeHeap", None, None))
+        return True
+    except Py4JError:
+        return False
+
+
+def _filled(array, values):
+    for i, v in enumerate(values):
+        array[i] = v
+    return array
 
 
 def free_name(df: DataFrame, *names: str) -> list[str]:
