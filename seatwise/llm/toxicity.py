@@ -414,7 +414,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, row_id: str = "doc_id", text: str
     if texts.schema["id"].dataType == known.schema["id"].dataType:       # equal hashes need equal types
         texts = possible_members(texts, "id", known.select("id"), sum(class_rows))
     held = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1000)) < int(1000 * VALIDATION)
-    rows = cut(texts.join(known, "id").select("id", "y", held.alias("held"), "text").repartition(shards, "id")
+    rows = cut(texts.join(known.hint("merge"), "id").select("id", "y", held.alias("held"), "text").repartition(shards, "id")
                .sortWithinPartitions("id", "text").select("y", "held", "text"))
     release(docs.sparkSession)               # the shuffled texts are in the checkpoint
     occurs, classes, usable = _occurrences(rows)
