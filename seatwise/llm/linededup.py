@@ -11,6 +11,8 @@ the threshold share one of the first ``n - ceil(t n) + 1`` tokens of the one and
 first ``m - ceil(t m) + 1`` of the other (prefix filter); their sizes differ by at most
 the factor t (length filter); and the tokens after the shared one must still suffice for
 the overlap (positional filter).  Pairs that pass are verified on the words themselves.
+The prefix tokens are shuffled once, by token; posting lists of one set are dropped where
+they arrive, and only lines in the others, and of those only the ones in a pair, move on.
 
 Equal sets are one class, removed but for the first line.  A token that holds a large
 share of all lines is handled in rounds (see ``links``): leaders of its posting list are
@@ -26,20 +28,20 @@ Documents with a null id come last.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from ..session import scratch_path
 from .common import cut, free_name, release, remove
 from .frequencies import BITS, bitmap, flagged, shingle_frequencies
-from .links import FIRST, GROWTH, in_buckets, leads
+from .links import FIRST, GROWTH, leads
 from .textcore import NON_ALNUM, Texts, mix, shingle_hashes, slices
 
 THRESHOLD = 0.8
@@ -50,6 +52,8 @@ _TOKEN_BITS, _LEVEL_BITS, _LINE_BITS = 46, 6, 12      # of a token's sort key
 _LINES = pa.list_(pa.struct([("line_no", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()),
                              ("prefix", pa.list_(pa.int64()))]))
 
+_NUMBERED = pa.list_(pa.struct([("line_no", pa.int32()), ("line", pa.string())]))
+
 
 def rarity_levels(frequencies: np.ndarray) -> np.ndarray:
     """Rarity level (0: rarest) of each bucket: about four levels for each doubling."""
@@ -79,7 +83,8 @@ def _line_table(part: pa.Array, level: np.ndarray, threshold: float):
         token = h[a:b] >> _U(64 - _TOKEN_BITS)
         rank = level[(h[a:b] >> _U(64 - BITS)).astype(np.int64)]
         key = (of[a:b].astype(np.uint64) << _U(64 - _LINE_BITS)) | (rank << _U(_TOKEN_BITS)) | token
-        keys.append(np.unique(key))
+        key.sort()                       # np.unique finds integers by a hash table, which takes longer
+        keys.append(key[np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))] if len(key) else key)
     n, token = [], []
     for i, key in enumerate(keys):
         n.append(np.bincount((key >> _U(64 - _LINE_BITS)).astype(np.int64), minlength=min(2 ** _LINE_BITS, len(first) - i * 2 ** _LINE_BITS)))
@@ -96,12 +101,25 @@ def _line_table(part: pa.Array, level: np.ndarray, threshold: float):
     return text, number, k1, k2, n, token[place < np.repeat(p, n)], p
 
 
+def first_of_equals(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
+    """Whether a pair of hashes is the first of its equals."""
+    order = np.lexsort((k2, k1))
+    a, b = k1[order], k2[order]
+    new = np.ones(len(order), dtype=bool)
+    new[order[1:]] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return new
+
+
 def _lines(level, threshold):
+    """Lines of texts.  Of equal sets in a slice only the first has its prefix tokens: a line
+    that very many texts hold has few rows in its posting lists."""
     @F.arrow_udf(from_arrow_type(_LINES))
     def lines(texts: pa.Array) -> pa.Array:
         out = []
         for _, part in slices(texts, 64):
             text, number, k1, k2, n, prefix, p = _line_table(part, level.value, threshold)
+            new = first_of_equals(k1, k2)
+            prefix, p = prefix[np.repeat(new, p)], np.where(new, p, 0)
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)),
                                               pa.array(prefix.view(np.int64)))
             row = pa.StructArray.from_arrays(
@@ -113,32 +131,40 @@ def _lines(level, threshold):
     return lines
 
 
-_WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]+")      # as NON_ALNUM separates
+_BLANK = {i: " " for i in np.flatnonzero(NON_ALNUM).tolist()}
 
 
 def line_set(line: str) -> set[tuple[str, ...]]:
-    w = _WORD.findall(line.lower())
-    return {tuple(w[i:i + K]) for i in range(max(1, len(w) - K + 1))} if w else set()
+    w = [x for x in line.lower().translate(_BLANK).split(" ") if x]
+    return set(zip(*(w[i:] for i in range(K)))) if len(w) >= K else {tuple(w)} if w else set()
 
 
 @F.arrow_udf(DoubleType())
 def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
+    out, known = [], lru_cache(1024)(line_set)        # a leader is in many pairs
     for x, y in zip(a, b):
-        x, y = line_set(x.as_py()), line_set(y.as_py())
+        x, y = known(x.as_py()), known(y.as_py())
         shared = len(x & y)
         out.append(shared / max(1, len(x) + len(y) - shared))
     return pa.array(out)
 
 
-@F.arrow_udf(ArrayType(StringType()))
-def _some_lines(texts: pa.Array, numbers: pa.Array) -> pa.Array:
-    """The lines of each text that have the given numbers."""
-    out = []
-    for t, n in zip(texts, numbers):
-        lines = t.as_py().split("\n")
-        out.append([lines[i] for i in n.as_py()])
-    return pa.array(out, pa.list_(pa.string()))
+def _lines_in(flags):
+    @F.arrow_udf(from_arrow_type(_NUMBERED))
+    def some(texts: pa.Array, docs: pa.Array) -> pa.Array:
+        """Number and text of the lines that may be in a bitmap of ``document hash ^ number``."""
+        breaks = pc.count_substring(texts, "\n")
+        n = np.where(texts.is_null(), 0, pc.fill_null(breaks, 0).to_numpy(zero_copy_only=False) + 1)
+        first = np.concatenate([[0], np.cumsum(n)])
+        number = np.arange(first[-1]) - np.repeat(first[:-1], n)
+        hit = np.flatnonzero(flagged(flags.value, np.repeat(docs.to_numpy(zero_copy_only=False), n) ^ number))
+        to, number, lines = np.searchsorted(hit, first), number[hit], []
+        for i in np.flatnonzero(np.diff(to)):
+            text = texts[i].as_py().split("\n")
+            lines += [text[k] for k in number[to[i]:to[i + 1]]]
+        row = pa.StructArray.from_arrays([pa.array(number.astype(np.int32)), pa.array(lines, pa.string())], ["line_no", "line"])
+        return pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), row)
+    return some
 
 
 def _in(flags):
@@ -148,19 +174,35 @@ def _in(flags):
     return test
 
 
-def _postings_in(flags):
-    @F.arrow_udf(ArrayType(LongType()))
-    def keep(prefixes: pa.Array) -> pa.Array:
-        """Position and token, as ``position << 52 | token``, of the tokens that may match."""
-        flat = prefixes.flatten().to_numpy(zero_copy_only=False)
-        size = pa.compute.list_value_length(prefixes).to_numpy(zero_copy_only=False).astype(np.int64)
-        place = np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(size)])[:-1], size)
-        keep = flagged(flags.value, flat)
-        of = np.repeat(np.arange(len(size)), size)[keep]
-        per = np.bincount(of, minlength=len(size))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)),
-                                        pa.array((place[keep] << 52) | flat[keep]))
-    return keep
+def in_several(batches):
+    """Of rows (bucket, id, size, pos) sorted by bucket, those of buckets that have two or more ids;
+    copies of a bucket's first row are left out.  Holds a batch and that row, whatever a bucket's size."""
+    held, given = None, False             # the first row of the last bucket, and whether it was given
+    for b in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        bucket, id_ = cols[:2]
+        if not len(bucket):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        keep = id_ != np.repeat(id_[start], np.diff(np.append(start, len(bucket))))
+        several = np.logical_or.reduceat(keep, start)
+        keep[start] = several
+        keep[0] &= not given
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["bucket", "id", "size", "pos"])
+        given = bool(several[-1]) or given and len(start) == 1
+        held = [c[start[-1]:start[-1] + 1] for c in cols]
+
+
+def postings_of(lines: DataFrame) -> DataFrame:
+    """Posting lists (bucket: the token, id, n, size, pos) of two or more nodes.  ``lines``: id,
+    n (tokens) and prefix.  The tokens move once; lists of one node, most of them, end there."""
+    several = (lines.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "bucket"))
+               .select("bucket", "id", "size", "pos").repartition("bucket").sortWithinPartitions("bucket")
+               .mapInArrow(in_several, "bucket long, id long, size int, pos int"))
+    nodes = several.repartition("bucket").groupBy("bucket", "id").agg(F.first("size").alias("size"), F.min("pos").alias("pos"))
+    return cut(nodes.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).select("bucket", "id", "n", "size", "pos"))
 
 
 def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -173,36 +215,24 @@ def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
     doc = F.struct(F.col(row_id).alias("id"), F.xxhash64(body).alias("t"))
     # all lines, without their texts, as a table that is read several times
     path = scratch_path(spark, "lines")
-    docs.select(doc.alias("doc"), F.explode(_lines(level, threshold)(body)).alias("l")).select("doc", "l.*").write.parquet(path)
-    lines = spark.read.parquet(path)
     # equal sets are one node; its place is that of its first line
-    node = F.xxhash64("k1", "k2").alias("id")
+    (docs.select(doc.alias("doc"), _lines(level, threshold)(body).alias("l")).select("doc", F.explode("l").alias("l"))
+     .select("doc", "l.line_no", F.xxhash64("l.k1", "l.k2").alias("id"), "l.n", "l.prefix").write.parquet(path))
+    lines = spark.read.parquet(path)
     place = F.struct(F.col("doc.id").isNull().alias("o0"), F.col("doc.id").alias("o1"), F.col("doc.t").alias("o2"),
                      F.col("line_no").alias("o3"))
-    # prefix tokens of more than one node: the others can match nothing
-    shared = (lines.select(F.explode("prefix").alias("token"), node).groupBy("token")
-              .agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("token"))
-    flags = spark.sparkContext.broadcast(bitmap(shared))
-    del shared
     release(spark)
-    postings = (lines.select(node, "n", F.explode(_postings_in(flags)("prefix")).alias("x"))
-                .groupBy(F.col("x").bitwiseAND(F.lit((1 << 52) - 1)).alias("bucket"), "id")
-                .agg(F.first("n").alias("size"), F.min(F.shiftrightunsigned("x", 52)).cast("int").alias("pos")))
-    postings = in_buckets(postings, "size", "pos")
+    postings = postings_of(lines.select("id", "n", "prefix"))
     release(spark)
     # place and text of the nodes that have candidates
     ids = spark.sparkContext.broadcast(bitmap(postings.select("id")))
-    wanted = cut(lines.select(node, place.alias("place")).filter(_in(ids)("id")).groupBy("id").agg(F.min("place").alias("place")))
+    wanted = cut(lines.select("id", place.alias("place")).filter(_in(ids)("id")).groupBy("id").agg(F.min("place").alias("place")))
     head = F.struct(F.col("place.o1").alias("id"), F.col("place.o2").alias("t"))
-    doc_flags = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(head))))
-    per_doc = wanted.groupBy(head.alias("doc")).agg(F.collect_list(F.struct("place", "id")).alias("want"))
-    texts = cut(docs.select(doc.alias("doc"), body.alias("text")).filter(_in(doc_flags)(F.xxhash64("doc")))
-                .join(per_doc, "doc")
-                .select("want", _some_lines("text", F.transform("want", lambda w: w["place"]["o3"])).alias("lines"))
-                .select(F.explode(F.arrays_zip("want", "lines")).alias("z"))
-                .select(F.col("z")["want"]["id"].alias("id"), F.col("z")["want"]["place"].alias("place"), F.col("z")["lines"].alias("line"))
-                .dropDuplicates(["id"]))              # a repeated row has the same lines
-    del wanted, per_doc
+    spots = spark.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64(head).bitwiseXOR(F.col("place.o3").cast("long")))))
+    texts = (docs.select(doc.alias("doc"), _lines_in(spots)(body, F.xxhash64(doc)).alias("l")).select("doc", F.explode("l").alias("l"))
+             .select("doc", "l.*").select(place.alias("place"), "line"))
+    texts = cut(texts.join(wanted, "place").dropDuplicates(["place"]))              # a repeated row has the same lines
+    del wanted
     release(spark)
 
     t, round_, matched, open_ = threshold, 0, None, postings
@@ -213,10 +243,13 @@ def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
         small, large = F.least("size", "l_size"), F.greatest("size", "l_size")
         rest = F.least(F.col("size") - F.col("pos"), F.col("l_size") - F.col("l_pos"))      # tokens from the shared one on
         need = F.ceil(F.lit(t / (1 + t)) * (F.col("size") + F.col("l_size")) - F.lit(1e-9))
-        pairs = (open_.join(lead, "bucket")
-                 .filter((F.col("id") != F.col("l_id")) & (small >= F.lit(t) * large - F.lit(1e-9)) & (rest >= need))
-                 .select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct())
-        side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("place").alias(f"place_{c}"))
+        pairs = cut(open_.join(lead, "bucket")
+                    .filter((F.col("id") != F.col("l_id")) & (small >= F.lit(t) * large - F.lit(1e-9)) & (rest >= need))
+                    .select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct())
+        # the texts of these pairs: fewer with each round
+        paired = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")))))
+        those = texts.filter(_in(paired)("id"))
+        side = lambda c: those.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"), F.col("place").alias(f"place_{c}"))
         found = (pairs.join(side("a"), "a").join(side("b"), "b").filter(_jaccard("line_a", "line_b") >= threshold)
                  .select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct())
         matched = cut(found if matched is None else matched.unionByName(found).distinct())
@@ -226,10 +259,12 @@ def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text",
         if open_.isEmpty():
             break
         round_ += 1
-        del pairs, found, lead
+        del pairs, found, lead, those, side
         release(spark)
+    del pairs, found, lead, those, side, postings, open_, live, texts
+    release(spark)
     # by line: of a class all but the first line are copies; lines of other classes stay
-    lines = lines.select("doc", "line_no", node, place.alias("own"))
+    lines = lines.select("doc", "line_no", "id", place.alias("own"))
     classes = cut(lines.groupBy("id").agg(F.min("own").alias("place"), F.count("*").alias("n"))
                   .join(matched.withColumn("near", F.lit(True)), "id", "left").filter("n > 1 or near").drop("n"))
     some = spark.sparkContext.broadcast(bitmap(classes.select("id")))
@@ -265,7 +300,7 @@ def line_report(docs: DataFrame, row_id: str = "doc_id", text: str = "text", **k
     """One row per document (equal id and text: one): doc, n_lines (with a word), n_copies
     and n_near (removed)."""
     doc = F.struct(F.col(row_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("t"))
-    found = duplicate_lines(docs, row_id, text, **kw).dropDuplicates(["doc", "line_no"])
+    found = duplicate_lines(docs, row_id, text, **kw).distinct()       # rows of one line agree
     count = lambda c: F.coalesce(F.count_if(c), F.lit(0)).cast("long")
     per_doc = found.groupBy("doc").agg(F.count("*").alias("n_lines"), count(F.col("reason") == "copy").alias("n_copies"),
                                        count(F.col("reason") == "near").alias("n_near"))

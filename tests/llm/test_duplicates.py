@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seatwise.llm import decontamination, linededup, links, neardup, queries
@@ -211,6 +212,49 @@ def test_many_lines_in_one_text(spark):
     assert len(got) == 9001 and sum(r.reason == "copy" for r in got) == 1
 
 
+def test_posting_lists_move_tokens_once(spark):
+    rng = random.Random(11)
+    # lists of one set (copies among them), of several, and one that most rows are in, over batch ends
+    rows = [(i, 9, sorted({rng.randrange(900) for _ in range(4)} | ({-1} if i % 3 else set()))) for i in range(300)]
+    rows = [(i, n, t) for i, n, t in rows for _ in range(1 + i % 3)]
+    lines = spark.createDataFrame(rows, "id long, n int, prefix array<long>")
+    held = defaultdict(dict)
+    for i, n, tokens in rows:
+        for k, t in enumerate(tokens):
+            held[t][i] = (n, k)
+    want = sorted((t, i, len(m), *x) for t, m in held.items() if len(m) > 1 for i, x in m.items())
+    got = linededup.postings_of(lines)
+    assert sorted(map(tuple, got.select("bucket", "id", "n", "size", "pos").collect())) == want
+    for size in (1, 2, 7, 5000):
+        flat = sorted((t, i, n, k) for i, n, tokens in rows for k, t in enumerate(tokens))
+        rng.shuffle(flat)
+        flat.sort(key=lambda r: r[0])
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*flat[j:j + size])], names=["bucket", "id", "size", "pos"])
+                   for j in range(0, len(flat), size)]
+        out = [r for b in linededup.in_several(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert {(t, i) for t, i, *_ in out} == {(t, i) for t, i, *_ in want}
+
+
+def test_only_wanted_lines_leave_the_texts(spark):
+    texts = ["a\n\nb", None, "", "one\n", "é\n\x1cx\r\ny"]
+    flags = spark.sparkContext.broadcast(np.full(1 << 23, 255, dtype=np.uint8))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(2)
+    got = {r.i: [tuple(x) for x in r.l] for r in docs.select("i", linededup._lines_in(flags)("t", "i").alias("l")).collect()}
+    assert got == {i: list(enumerate(t.split("\n"))) if t is not None else [] for i, t in enumerate(texts)}
+    one = np.zeros(1 << 23, dtype=np.uint8)
+    one[(8 ^ 2) >> 3] |= 1 << ((8 ^ 2) & 7)
+    flags = spark.sparkContext.broadcast(one)
+    docs = spark.createDataFrame([(8, "a\nb\nc\nd"), (9, "a\nb")], "i long, t string")
+    got = {r.i: [tuple(x) for x in r.l] for r in docs.select("i", linededup._lines_in(flags)("t", "i").alias("l")).collect()}
+    assert got == {8: [(2, "c")], 9: []}
+
+
+def test_words_of_lines():
+    for line in ("", "#-# ", "a", "Two words", "a b c d e", "A-b_c d\te f\u00a0g \u4e2d\u3000x \u0130 \x85 \x1c h \x7f i", "r " * 30):
+        w = TOKEN.findall(line.lower())
+        assert linededup.line_set(line) == ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+
+
 # ---- benchmark ---------------------------------------------------------------------
 
 def test_contamination_matches_sql(spark):
