@@ -28,8 +28,6 @@ Documents with a null id come last.  An empty table gives no rows.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -70,7 +68,9 @@ def _line_table(part: pa.Array, level: np.ndarray, threshold: float):
     t = Texts(part, lower=True)
     start, end, owner = t.pieces(NON_ALNUM)
     breaks = np.flatnonzero(t.bytes == 10)
-    line = np.searchsorted(breaks, start) + np.searchsorted(t.off[1:], start, side="right")   # over all texts
+    # over all texts: the line feeds and ends of texts up to each word
+    passed = np.concatenate([np.searchsorted(start, breaks), np.searchsorted(start, t.off[1:])])
+    line = np.cumsum(np.bincount(passed, minlength=len(start) + 1))[:len(start)]
     first = np.flatnonzero(np.diff(line, prepend=-1))
     number = np.searchsorted(breaks, start[first]) - np.searchsorted(breaks, t.off[:-1])[owner[first]]
     text = owner[first]
@@ -139,14 +139,57 @@ def line_set(line: str) -> set[tuple[str, ...]]:
     return set(zip(*(w[i:] for i in range(K)))) if len(w) >= K else {tuple(w)} if w else set()
 
 
+def _numbered(values: pa.Array) -> np.ndarray:
+    """A number for each value: equal values, and no others, have the same."""
+    return values.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _line_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of ``line_set`` for many lines: shingle numbers, line by line, and their count
+    per line.  Equal shingles, and no others, have the same number, as their words are compared."""
+    t = Texts(pa.array([x.lower() for x in lines.to_pylist()], pa.large_string()))
+    start, end, owner = t.pieces(NON_ALNUM)
+    ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
+    letters = t.bytes[~NON_ALNUM[t.bytes]]                # all words, one after the other
+    number = _numbered(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(letters)]))
+    per = np.bincount(owner, minlength=len(t))
+    size = np.where(per > 0, np.maximum(per, K), 0)       # shorter lines are filled up with what is no word
+    first, place = np.cumsum(size) - size, np.arange(len(owner)) - (np.cumsum(per) - per)[owner]
+    blank = len(number)
+    word = np.full(int(size.sum()), blank, dtype=np.int64)
+    word[first[owner] + place] = number
+    n = np.maximum(size - K + 1, 0)
+    of = np.repeat(np.arange(len(t)), n)
+    at = first[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    shingle = word[at]
+    for j in range(1, K):
+        shingle = _numbered(pa.array(shingle * (blank + 1) + word[at + j]))
+    key = np.sort(of * (len(of) + 1) + shingle)
+    key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+    of = key // (len(at) + 1)
+    return key - of * (len(at) + 1), np.bincount(of, minlength=len(t))
+
+
+def jaccards(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Jaccard similarity of the sets of two columns of lines.  A line of many pairs is read once."""
+    both = pa.concat_arrays([a, b]).dictionary_encode()
+    x, y = np.split(both.indices.to_numpy(zero_copy_only=False).astype(np.int64), 2)
+    shingle, n = _line_sets(both.dictionary)
+    first, found = np.cumsum(n) - n, []
+    for side in (x, y):
+        pair = np.repeat(np.arange(len(side)), n[side])
+        at = first[side][pair] + np.arange(len(pair)) - (np.cumsum(n[side]) - n[side])[pair]
+        found.append(pair * (len(shingle) + 1) + shingle[at])
+    key = np.sort(np.concatenate(found))
+    twice = key[1:][key[1:] == key[:-1]]
+    shared = np.bincount(twice // (len(shingle) + 1), minlength=len(x))
+    return shared / np.maximum(1, n[x] + n[y] - shared)
+
+
 @F.arrow_udf(DoubleType())
 def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-    out, known = [], lru_cache(1024)(line_set)        # a leader is in many pairs
-    for x, y in zip(a, b):
-        x, y = known(x.as_py()), known(y.as_py())
-        shared = len(x & y)
-        out.append(shared / max(1, len(x) + len(y) - shared))
-    return pa.array(out)
+    out = [jaccards(part, b.slice(at, len(part))) for at, part in slices(a, 4096, beside=b)]
+    return pa.array(np.concatenate(out) if out else [], pa.float64())
 
 
 def _lines_in(flags):
@@ -176,7 +219,8 @@ def _in(flags):
 
 def in_several(batches):
     """Of rows (bucket, id, size, pos) sorted by bucket, those of buckets that have two or more ids;
-    copies of a bucket's first row are left out.  Holds a batch and that row, whatever a bucket's size."""
+    copies of a bucket's first row are left out.  Holds a batch and that row, whatever a bucket's size.
+    ``postings_of`` finds the same by a window, as handing single tokens to Python takes longer."""
     held, given = None, False             # the first row of the last bucket, and whether it was given
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -198,11 +242,11 @@ def in_several(batches):
 def postings_of(lines: DataFrame) -> DataFrame:
     """Posting lists (bucket: the token, id, n, size, pos) of two or more nodes.  ``lines``: id,
     n (tokens) and prefix.  The tokens move once; lists of one node, most of them, end there."""
-    several = (lines.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "bucket"))
-               .select("bucket", "id", "size", "pos").repartition("bucket").sortWithinPartitions("bucket")
-               .mapInArrow(in_several, "bucket long, id long, size int, pos int"))
-    nodes = several.repartition("bucket").groupBy("bucket", "id").agg(F.first("size").alias("size"), F.min("pos").alias("pos"))
-    return cut(nodes.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).select("bucket", "id", "n", "size", "pos"))
+    tokens = lines.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "bucket"))
+    of_bucket = Window.partitionBy("bucket")
+    several = tokens.withColumn("lo", F.min("id").over(of_bucket)).withColumn("hi", F.max("id").over(of_bucket)).filter("lo != hi")
+    nodes = several.groupBy("bucket", "id").agg(F.first("size").alias("size"), F.min("pos").alias("pos"))
+    return cut(nodes.withColumn("n", F.count("*").over(of_bucket)).select("bucket", "id", "n", "size", "pos"))
 
 
 def duplicate_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -300,10 +344,10 @@ def line_report(docs: DataFrame, row_id: str = "doc_id", text: str = "text", **k
     """One row per document (equal id and text: one): doc, n_lines (with a word), n_copies
     and n_near (removed)."""
     doc = F.struct(F.col(row_id).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("t"))
-    found = duplicate_lines(docs, row_id, text, **kw).distinct()       # rows of one line agree
+    found = duplicate_lines(docs, row_id, text, **kw)
     count = lambda c: F.coalesce(F.count_if(c), F.lit(0)).cast("long")
     per_doc = found.groupBy("doc").agg(F.count("*").alias("n_lines"), count(F.col("reason") == "copy").alias("n_copies"),
                                        count(F.col("reason") == "near").alias("n_near"))
-    zero = F.lit(0).cast("long")
-    return (docs.select(doc.alias("doc")).distinct().join(per_doc, "doc", "left")
-            .select("doc", *[F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_copies", "n_near")]))
+    # a repeated row has the same lines with the same reasons, so each count is a multiple of its rows
+    return (docs.select(doc.alias("doc")).groupBy("doc").agg(F.count("*").alias("rows")).join(per_doc, "doc", "left")
+            .select("doc", *[F.expr(f"coalesce({c} div rows, 0L)").alias(c) for c in ("n_lines", "n_copies", "n_near")]))

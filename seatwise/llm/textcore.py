@@ -65,15 +65,11 @@ class Texts:
     def pieces(self, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Maximal runs of non-separator bytes: (start, end, text index); none crosses
         from one text into the next."""
-        inside = ~separator[self.bytes]
-        edge = np.zeros(len(inside) + 1, dtype=bool)
-        edge[1:-1] = inside[1:] != inside[:-1]
-        edge[0] = edge[-1] = True
-        edge[self.off] = True
-        at = np.flatnonzero(edge)
-        start, end = at[:-1], at[1:]
-        real = inside[start] if len(start) else np.zeros(0, dtype=bool)
-        start, end = start[real], end[real]
+        inside = np.frombuffer(self.bytes.tobytes().translate((~separator).tobytes()), dtype=bool)
+        before, after = np.zeros((2, len(inside) + 1), dtype=bool)
+        before[1:], after[:-1] = inside, inside
+        before[self.off] = after[self.off] = False
+        start, end = np.flatnonzero(inside > before[:-1]), np.flatnonzero(inside > after[1:]) + 1
         first = np.searchsorted(start, self.off)
         return start, end, np.repeat(np.arange(self.n), np.diff(first))
 
@@ -86,9 +82,9 @@ class Texts:
         """64-bit hash of each byte range (equal bytes, equal hash, in any batch)."""
         size = end - start
         eight = np.ndarray(shape=(len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
-        h = size.astype(np.uint64) * _M1
-        rest = np.flatnonzero(size <= LONG_WORD)
-        step = 0
+        h = mix(size.astype(np.uint64) * _M1 ^ (eight[start] & KEEP[np.minimum(size, 8)]))
+        rest = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+        step = 8
         while len(rest):
             left = size[rest] - step
             chunk = eight[start[rest] + step] & KEEP[np.minimum(left, 8)]

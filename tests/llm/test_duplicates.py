@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from seatwise.llm import decontamination, linededup, links, neardup, queries
+from seatwise.llm import decontamination, linededup, links, neardup, queries, textcore
 
 from .conftest import LONG, PROSE, SF
 
@@ -359,3 +359,46 @@ def test_popular_item(spark):
     items = spark.createDataFrame([(1, text), (2, text + " q")], "item_id long, text string")
     found = decontamination.find_contaminated(docs, items)
     assert found.count() == 6000 and found.select("doc").distinct().count() == 3000
+
+
+def test_similarity_of_pairs_of_lines():
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(12)] + ["İ", "É", "αΣ", " x", "中", "Ab", "-", "\x1c", "\x85", "#"]
+    lines = ["", " ", "-", "a", "A", "a b c d", "a  b-c d E"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(25))) for _ in range(80)]
+    a = [rng.choice(lines) for _ in range(600)]
+    b = [rng.choice([rng.choice(lines), x + " tail", x.upper(), x]) for x in a]
+    sets = [(linededup.line_set(x), linededup.line_set(y)) for x, y in zip(a, b)]
+    want = [len(x & y) / max(1, len(x | y)) for x, y in sets]
+    assert linededup.jaccards(pa.array(a), pa.array(b)).tolist() == want
+    assert linededup.jaccards(pa.array([], pa.string()), pa.array([], pa.string())).tolist() == []
+
+
+def test_line_report_of_repeated_rows(spark):
+    rows = [(1, "one two\nthree four\none two"), (2, "one two\nfive six"), (2, "five six"), (None, "one two"), (3, None), (4, "")]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame([r for i, r in enumerate(rows) for _ in range(1 + i % 3)], once.schema).repartition(3)
+    want = sorted(map(str, linededup.line_report(once).collect()))
+    assert len(want) == 6 and sorted(map(str, linededup.line_report(many).collect())) == want
+
+
+def test_tokens_of_lines_cross_to_python_in_lists_only(spark):
+    lines = spark.createDataFrame([(1, 9, [5, 6]), (2, 9, [6])], "id long, n int, prefix array<long>")
+    asked = []
+    linededup.cut, cut = lambda df: asked.append(df._jdf.queryExecution().executedPlan().toString()) or df, linededup.cut
+    try:
+        linededup.postings_of(lines)
+    finally:
+        linededup.cut = cut
+    assert "Window" in asked[0] and "MapInArrow" not in asked[0]       # a row of each token is what took the time
+
+
+def test_words_and_hashes_of_texts():
+    rng = random.Random(3)
+    for _ in range(200):
+        texts = ["".join(rng.choice("ab \n-é\x1c") for _ in range(rng.choice([0, 3, 12, 300]))) for _ in range(rng.randrange(6))]
+        t = textcore.Texts(pa.array(texts, pa.string()))
+        start, end, owner = t.pieces(textcore.NON_ALNUM)
+        got = [(int(o), t.data[s:e].tobytes().decode()) for s, e, o in zip(start, end, owner)]
+        assert got == [(i, w) for i, x in enumerate(texts) for w in re.findall(r"[abé]+", x)]
+        h = t.hashes(start, end).tolist()
+        assert len({(w, x) for (_, w), x in zip(got, h)}) == len(set(h)) == len({w for _, w in got})
